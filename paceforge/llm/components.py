@@ -2,8 +2,8 @@
 
 Every round is two shuffles over the pairs; hot nodes are reduced by partial
 aggregation (a smallest neighbour per node), never gathered into a group. The
-rounds end when a count of changed pairs is zero; only that number reaches the
-driver. Each round is a reliable checkpoint.
+rounds end when each component is a star around its smallest node; only whether
+that is so reaches the driver. Each round is a reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ def connected_components(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
         # small star: each node sends all its smaller neighbours, and itself, to the smallest of them
         lowest = stars.groupBy("hi").agg(F.min("lo").alias("m"))
         small = stars.join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        new = settle(small.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct())
-        changed = new.exceptAll(edges).limit(1).count() or edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
+        edges = settle(small.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct())
+        centres = edges.select(F.col("lo").alias("hi")).distinct()
+        chained = edges.join(centres, "hi", "left_semi").select("hi")
+        if not chained.unionByName(edges.groupBy("hi").count().where("count > 1").select("hi")).limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
