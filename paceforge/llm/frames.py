@@ -18,8 +18,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     """Run ``make()`` once per task and its result on every Arrow batch.
 
     The function gets a record batch and returns the output columns as a list,
-    in the order of ``schema``. Nothing outlives the batch except what the
-    function itself keeps.
+    in the order of ``schema``, or yields several such lists. Nothing outlives
+    the batch except what the function itself keeps.
     """
     out = pa.schema([(f.name, _arrow(f.dataType)) for f in T._parse_datatype_string(schema).fields])
 
@@ -27,8 +27,9 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
         fn = make()
         for batch in batches:
             if batch.num_rows:
-                cols = fn(batch)
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
+                made = fn(batch)
+                for cols in made if isinstance(made, Iterator) else [made]:
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
 
     return df.mapInArrow(run, schema)
 
