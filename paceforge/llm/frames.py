@@ -76,3 +76,12 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint in the shared folder."""
     scratch_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: for what is used several times and may be large."""
+    import uuid
+
+    path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

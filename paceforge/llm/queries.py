@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, secrets, simhash, tiff, toxicity, warc
+from . import bpe, decontam, langid, linedup, secrets, simhash, tiff, toxicity, warc
 from .frames import read_table
 
 
@@ -28,6 +28,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +44,6 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_bpe, op4_toxicity, op6_secrets, op8_decontamination, op9_simhash, op10_tiff)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_bpe, op4_toxicity, op6_secrets, op7_line_dedup, op8_decontamination, op9_simhash, op10_tiff)}
 
 ORACLE_SQL: dict[str, str] = {}
