@@ -245,11 +245,11 @@ def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str =
     return map_batches(encoded.select(encoded[id_col].cast("long"), "ids"), f"`{id_col}` long, text string", make)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode and decode in one pass and return digests of both.
 
-    (id, n_tokens, ids_sha256, decoded_sha256); the rules are those of
-    ``encode_documents``.
+    (id, n_tokens, ids_sha256, decoded_sha256), and ``ids`` too if asked; the
+    rules are those of ``encode_documents``.
     """
     tables = broadcast_tables(docs.sparkSession, path)
 
@@ -257,16 +257,18 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         coder = coder_of(tables)
 
         def both(batch):
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, kept = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = coder.encode(text or "")
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(coder.decode(ids).encode("utf-8")).hexdigest())
-            return [batch.column(0), n, ids_sha, text_sha]
+                if with_ids:
+                    kept.append(ids)
+            return [batch.column(0), n, ids_sha, text_sha] + [kept] * with_ids
 
         return both
 
     rows = docs.select(docs[id_col].cast("long"), docs[text_col])
-    return map_batches(rows, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_batches(rows, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids, make)
 

@@ -13,7 +13,8 @@ import re
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import fold_remainder, hash_below, map_batches, settle
@@ -236,6 +237,27 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return map_batches(rows, f"`{id_col}` long, lang_pred string, score double", make)
 
 
+def keep_identified(docs: DataFrame, model: dict, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, in their own columns, whose language is determined with at least ``min_score``; ``und`` goes."""
+    sent = docs.sparkSession.sparkContext.broadcast({"model": model})
+    k = docs.columns.index(text_col)
+
+    def make():
+        state = sent.value
+        if "scorer" not in state:
+            state["scorer"] = _Scorer(model=state["model"])
+
+        def run(batch):
+            langs, scores = state["scorer"].score(batch.column(k).to_pylist())
+            left = batch.filter(pa.array([lang != UNDETERMINED and p >= min_score for lang, p in zip(langs, scores)]))
+            return list(left.columns)
+
+        return run
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return map_batches(docs, schema, make)
+
+
 def identify(docs: DataFrame, held_out_mod: int = 5, **options) -> DataFrame:
     """Learn from rows whose fold is not 0, predict all: (doc_id, held_out, lang_pred, score)."""
     model = fit(docs.where(fold_remainder("doc_id", held_out_mod) != 0), **options)

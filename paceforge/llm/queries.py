@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, linedup, secrets, simhash, tiff, toxicity, warc
+from . import bpe, decontam, langid, linedup, quality, secrets, simhash, tiff, toxicity, warc
 from .frames import read_table
 
 
@@ -24,6 +24,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.select(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_bpe, op4_toxicity, op6_secrets, op7_line_dedup, op8_decontamination, op9_simhash, op10_tiff)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_bpe, op4_toxicity, op5_quality, op6_secrets, op7_line_dedup, op8_decontamination, op9_simhash, op10_tiff)}
 
 ORACLE_SQL: dict[str, str] = {}
