@@ -93,15 +93,16 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     null component_id. Other columns are not carried.
     """
     marked = settle(fingerprints(docs, id_col, text_col))
-    own = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    own = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     pairs = linked_pairs(own.select("fp"), max_bits)
     linked = connected_components(pairs.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
     chained = linked.join(own, linked["node"] == own["fp"])
     smallest = chained.groupBy("component").agg(F.min("least").alias("smallest"))
     named = linked.join(smallest, "component").select(F.col("node").alias("fp"), "smallest")
-    # few fingerprints have links; only they meet the rows again by a join on the fingerprint
-    ids = own.join(named, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint of one row without links is its own component; only the others meet the rows again, as the side that is not split
+    ids = own.join(named, "fp", "left").where("n > 1 or smallest is not null").select("fp", F.coalesce("smallest", "least").alias("component"))
+    found = marked.join(ids, "fp", "left")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id") -> DataFrame:
