@@ -7,12 +7,14 @@ segments and the probe keys the few substrings at those places, both as 64-bit
 hashes of (length, segment number, content). Nearly all keys belong to one line
 only, which an aggregation finds without pairing anything; the lines of the
 others are paired, and verified on their texts by a banded bit-parallel edit
-distance.
+distance. Lines carry the parities of their bigram counts in 128 bits: an edit
+changes at most four of them, so the join itself drops pairs that differ in
+more than 4 tau.
 
-A segment that many lines share would pair them all. Its lines are dealt by
-refined keys: an edit touches at most two classes of characters, so of
+A segment that very many lines share would compare them all. Its lines are
+dealt by refined keys: an edit touches at most two classes of characters, so of
 2 tau + 2 classes near copies agree on the whole subsequence of at least two.
-Both ways are exact, so where a list counts as long changes no result.
+All filters are exact, so where a list counts as long changes no result.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from .frames import map_batches, settle, store
 
 TAU, MIN_CHARS = 2, 40
 #: A list with more index entries than this is dealt by refined keys.
-LONG_LIST = 64
+LONG_LIST = 1000
 #: Sides of up to this many rows are broadcast (a few MB).
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 
 def edits_within(a: str, b: str, k: int) -> bool:
@@ -99,8 +101,16 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
 
 
-def _refine(rows: DataFrame, tau: int) -> DataFrame:
-    """(key, own, h1, h2) with each key joined with the subsequence of each pair of character classes of ``line``."""
+def bigram_parities(codes: np.ndarray) -> tuple[int, int]:
+    """Which of 128 classes of neighbouring characters occur an odd number of times, as two signed longs."""
+    pairs = codes[:-1].astype(np.uint64) * np.uint64(0x9E3779B1) + codes[1:] * np.uint64(0x85EBCA77)
+    odd = np.bincount((pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(57)).astype(np.int64), minlength=128) & 1
+    low, high = np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
+    return low, high
+
+
+def _entries(rows: DataFrame, tau: int, refine: bool) -> DataFrame:
+    """(key, own, id, p1, p2) of list rows; refined, each key is joined with the subsequence of each pair of character classes."""
 
     def make():
         from xxhash import xxh64_intdigest
@@ -109,17 +119,21 @@ def _refine(rows: DataFrame, tau: int) -> DataFrame:
 
         def run(batch):
             out = []
-            for key, own, h1, h2, line in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for key, own, line_id, line in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+                parities = bigram_parities(codes)
+                if not refine:
+                    out.append((key, own, line_id, *parities))
+                    continue
                 group = codes % (2 * tau + 2)
                 for n, (u, v) in enumerate(groups):
                     h = xxh64_intdigest(codes[(group == u) | (group == v)].tobytes(), (key + n) & 0xFFFFFFFFFFFFFFFF)
-                    out.append((h - (1 << 64) if h >> 63 else h, own, h1, h2))
+                    out.append((h - (1 << 64) if h >> 63 else h, own, line_id, *parities))
             return [list(c) for c in zip(*out)]
 
         return run
 
-    return map_batches(rows.select("key", "own", "h1", "h2", "line"), "key long, own int, h1 long, h2 long", make)
+    return map_batches(rows.select("key", "own", _line_id("h1", "h2").alias("id"), "line"), "key long, own int, id string, p1 long, p2 long", make)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -132,14 +146,24 @@ def near_lines(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
 
     ``lines`` has (line, h1, h2) and may repeat.
     """
-    keyed = lines.where(F.length("line") >= min_chars).select("line", "h1", "h2", F.explode(list_keys(F.col("line"), tau)).alias("k")).select("k.key", "k.own", "h1", "h2", "line")
+    long_enough = lines.where(F.length("line") >= min_chars)
+    keyed = long_enough.select("line", "h1", "h2", F.explode(list_keys(F.col("line"), tau)).alias("k")).select("k.key", "k.own", "h1", "h2", "line")
     met = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.sum("own").alias("n")).where("low < high and n > 0")
     shared = store(met.select("key", (F.col("n") > LONG_LIST).alias("long")))
-    rows = store(keyed.join(_small(shared), "key").groupBy("key", "h1", "h2").agg(F.max("own").alias("own"), F.first("long").alias("long"), F.first("line").alias("line")))
-    entries = rows.where("not long").select("key", "own", "h1", "h2").unionByName(_refine(rows.where("long"), tau))
-    ids = entries.select("key", "own", _line_id("h1", "h2").alias("id"))
-    pairs = ids.where("own = 1").select("key", F.col("id").alias("x")).join(ids.select("key", F.col("id").alias("y")), "key").where("x <> y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    once = [F.max("own").alias("own"), F.first("long").alias("long")]
+    if shared.count() <= BROADCAST_ROWS:
+        rows = store(keyed.join(F.broadcast(shared), "key").groupBy("key", "h1", "h2").agg(*once, F.first("line").alias("line")))
+    else:
+        # the texts are shuffled once, not with each key of a line
+        places = store(keyed.select("key", "own", "h1", "h2").join(shared, "key").groupBy("key", "h1", "h2").agg(*once))
+        wanted = store(places.select("h1", "h2").distinct())
+        own = store(long_enough.join(_small(wanted), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")))
+        rows = store(places.join(own, ["h1", "h2"]))
+    entries = _entries(rows.where("not long"), tau, False).unionByName(_entries(rows.where("long"), tau, True))
+    x, y = (entries.select("key", "own", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "p1", "p2")]) for side in "xy")
+    changed = F.bit_count(F.col("x_p1").bitwiseXOR(F.col("y_p1"))) + F.bit_count(F.col("x_p2").bitwiseXOR(F.col("y_p2")))
+    pairs = x.where("own = 1").drop("own").join(y.drop("own"), "key").where((F.col("x_id") != F.col("y_id")) & (changed <= 4 * tau))
+    pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     texts = store(rows.groupBy("h1", "h2").agg(F.first("line").alias("line")).select(_line_id("h1", "h2").alias("id"), "line"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
 

@@ -190,9 +190,10 @@ def test_banded_edit_distance():
         assert linedup.edits_within(a, b, k) == (distance(a, b) <= k)
 
 
-@pytest.mark.parametrize("long_list", [64, 3])
+@pytest.mark.parametrize("long_list", [1000, 3])
 def test_line_dedup(spark, monkeypatch, long_list):
     monkeypatch.setattr(linedup, "LONG_LIST", long_list)
+    monkeypatch.setattr(linedup, "BROADCAST_ROWS", 50_000 if long_list > 3 else 1)
     rnd = random.Random(8)
     base = ["".join(rnd.choice("abcdefgh ijk") for _ in range(rnd.randint(36, 60))) for _ in range(20)]
     pool = base + [mutated(rnd, rnd.choice(base), rnd.randint(0, 4)) for _ in range(120)] + ["x" * 20 + mutated(rnd, "abcdefghijabcdefghijabcdefghij", 3) for _ in range(60)] + ["short", "short", ""]
