@@ -123,7 +123,7 @@ def walk_forward(observations: DataFrame) -> DataFrame:
         "distance",
         F.col("p.baseline").alias("baseline"),
         F.round("elapsed_s", 3).alias("actual_s"),
-        F.round("p.predicted", 3).alias("predicted_s"),
+        F.round(F.col("p.predicted").cast("decimal(18,6)"), 3).cast("double").alias("predicted_s"),
         F.round(error, 3).alias("signed_error_s"),
         F.round(F.abs(error), 3).alias("absolute_error_s"),
         F.round(F.abs(error) / F.col("elapsed_s") * 100, 6).alias("absolute_pct"),

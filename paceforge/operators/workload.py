@@ -60,7 +60,7 @@ def workload_series(daily: DataFrame, end_date: Column | None = None, block_days
     return states.select(
         "athlete_id",
         "local_date",
-        F.round("daily_load", places).alias("daily_load"),
+        F.round("daily_load", 6).alias("daily_load"),
         F.when(history >= ACUTE_DAYS, F.round("acute", places)).alias("acute_load"),
         F.when(history >= CHRONIC_DAYS, F.round("chronic", places)).alias("chronic_load"),
         F.when(history >= CHRONIC_DAYS, F.round(F.col("chronic") - F.col("acute"), places)).alias("form_index"),

@@ -82,7 +82,7 @@ series AS (SELECT athlete_id, local_date, load AS daily_load, CASE WHEN day >= 6
 """
 
 
-@query(SERIES + "SELECT athlete_id, local_date, round(daily_load, 4) AS daily_load, round(acute_load, 4) AS acute_load, round(chronic_load, 4) AS chronic_load, round(form_index, 4) AS form_index, CAST(history_days AS INT) AS history_days FROM series")
+@query(SERIES + "SELECT athlete_id, local_date, round(daily_load, 6) AS daily_load, round(acute_load, 4) AS acute_load, round(chronic_load, 4) AS chronic_load, round(form_index, 4) AS form_index, CAST(history_days AS INT) AS history_days FROM series")
 def daily_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _series(spark, sf_dir).drop("coverage_pct")
 
@@ -243,7 +243,7 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _performances(spark, sf_dir).select("athlete_id", "activity_id", "distance", "elapsed_s", "achieved_at")
 
 
-@query(FORWARD + "SELECT athlete_id, activity_id, distance, baseline, round(actual, 3) AS actual_s, round(p, 3) AS predicted_s, round(abs(p - actual) / actual * 100, 6) AS absolute_pct FROM pred")
+@query(FORWARD + "SELECT athlete_id, activity_id, distance, baseline, round(actual, 3) AS actual_s, CAST(round(CAST(p AS DECIMAL(18,6)), 3) AS DOUBLE) AS predicted_s, round(abs(p - actual) / actual * 100, 6) AS absolute_pct FROM pred")
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.walk_forward(_observations(spark, sf_dir)).drop("signed_error_s", "absolute_error_s")
 
@@ -261,7 +261,7 @@ def _window_columns() -> str:
         out += [
             f"count(*) {f} AS {p}runs",
             f"round(CAST(coalesce(sum(distance_m) {f}, 0) AS DOUBLE) / 1000, 6) AS {p}distance_km",
-            f"round(coalesce(sum(moving_ms) {f}, 0) / 3600000, 6) AS {p}moving_hours",
+            f"CAST(round(CAST(coalesce(sum(moving_ms) {f}, 0) / 3600000 AS DECIMAL(20,9)), 6) AS DOUBLE) AS {p}moving_hours",
             f"round(CAST(max(distance_m) {f} AS DOUBLE) / 1000, 6) AS {p}longest_run_km",
             f"round(CASE WHEN sum(distance_m) {f} > 0 AND sum(moving_ms) {f} > 0 THEN sum(moving_ms) {f} / CAST(sum(distance_m) {f} AS DOUBLE) END, 6) AS {p}weighted_pace",
             f"round(CAST(sum(elevation_m) {f} AS DOUBLE), 6) AS {p}elevation_m",
