@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, titles
-from ..operators import activity, bests, efforts, features, reconcile, trends, workload
+from ..operators import activity, bests, efforts, evidence, features, fitness, reconcile, replies, state, training_plan, trends, workload
 from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -324,3 +324,160 @@ UNION ALL SELECT NULL, b.id, 'single_source', athlete_id, round(distance_m, 3),
 )
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.reconcile(*_providers(spark, sf_dir)).select("a_id", "b_id", "method", "athlete_id", F.round("distance_m", 3).alias("distance_m"), "name")
+
+
+TAGGED = """,
+tagged AS (SELECT *, CASE name WHEN 'City Race' THEN ['race'] WHEN '6 x 1K intervals' THEN ['intervals'] WHEN 'Progressive long run' THEN ['progressive', 'long'] WHEN 'Easy aerobic' THEN ['easy'] ELSE ['unclassified'] END AS tags FROM activities)
+"""
+
+
+def _tagged(acts: DataFrame) -> DataFrame:
+    classes = acts.select("name").distinct().withColumn("c", titles.classify(F.col("name"))).select("name", "c.tags", "c.is_quality", F.col("c.primary").alias("session_kind"))
+    return acts.join(classes, "name")
+
+
+ASKS = """, asks AS (SELECT athlete_id, 0::BIGINT AS ask, max(local_date) AS as_of FROM activities GROUP BY 1 UNION ALL SELECT athlete_id, activity_id + 1, local_date - 1 FROM activities WHERE activity_id % 50 = 0)
+"""
+
+
+def _asks(acts: DataFrame) -> DataFrame:
+    now = _as_of(acts).select("athlete_id", F.lit(0).cast("bigint").alias("ask"), "as_of")
+    return now.unionByName(acts.where("activity_id % 50 = 0").select("athlete_id", (F.col("activity_id") + 1).alias("ask"), F.date_sub("local_date", 1).alias("as_of")))
+
+
+def _window(n: int) -> str:
+    return f"count(*) FILTER (back < {n}) AS runs_{n}d, round(CAST(coalesce(sum(distance_m) FILTER (back < {n}), 0) AS DOUBLE) / 1000, 6) AS distance_{n}d_km"
+
+
+@query(
+    TAGGED
+    + ASKS
+    + f"""SELECT athlete_id, ask, as_of, {', '.join(map(_window, (28, 84, 168, 365)))}, round(CAST(max(distance_m) FILTER (back < 84) AS DOUBLE) / 1000, 6) AS longest_84d_km,
+  count(*) FILTER (back < 84 AND tags <> ['unclassified']) AS classified_84d, count(*) FILTER (back < 84 AND tags[1] IN ('race', 'intervals', 'progressive')) AS quality_84d
+FROM (SELECT a.*, date_diff('day', t.local_date, a.as_of) AS back, t.distance_m, t.tags FROM asks a JOIN tagged t ON t.athlete_id = a.athlete_id AND t.local_date <= a.as_of UNION ALL SELECT *, 100000, NULL, NULL FROM asks) GROUP BY 1, 2, 3"""
+)
+def training_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acts = views.activities(spark, sf_dir)
+    return fitness.training_profiles(_asks(acts), _tagged(acts))
+
+
+@query(
+    ASKS
+    + """SELECT athlete_id, ask, as_of, count(distance_m) AS runs, round(CAST(coalesce(sum(distance_m), 0) AS DOUBLE) / 1000, 6) AS distance_km, CAST(round(CAST(coalesce(sum(moving_ms), 0) / 3600000 AS DECIMAL(20,9)), 6) AS DOUBLE) AS moving_hours,
+  round(CAST(max(distance_m) AS DOUBLE) / 1000, 6) AS longest_km, max(local_date) AS last_run FROM asks a LEFT JOIN (SELECT athlete_id AS i, local_date, distance_m, moving_ms FROM activities) t ON i = a.athlete_id AND local_date BETWEEN as_of - 41 AND as_of GROUP BY 1, 2, 3"""
+)
+def training_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acts = views.activities(spark, sf_dir)
+    return fitness.training_blocks(_asks(acts), acts)
+
+
+GOAL_SQL = (
+    BESTS
+    + """, best AS (SELECT athlete_id, distance, min(elapsed_s) AS best_s, arg_min(CAST(achieved_at AS DATE), (elapsed_s, achieved_at)) AS on_date FROM perf GROUP BY 1, 2),
+nows AS (SELECT athlete_id, max(local_date) AS as_of FROM activities GROUP BY 1),
+cur AS (SELECT n.athlete_id, n.as_of, count(*) AS runs, CAST(sum(distance_m) AS DOUBLE) / 1000 AS km, CAST(max(distance_m) AS DOUBLE) / 1000 AS longest, max(local_date) AS last_run FROM nows n JOIN activities a ON a.athlete_id = n.athlete_id AND local_date BETWEEN as_of - 41 AND as_of GROUP BY 1, 2),
+ref AS (SELECT b.athlete_id, b.distance, count(distance_m) AS runs, coalesce(CAST(sum(distance_m) AS DOUBLE) / 1000, 0) AS km, CAST(max(distance_m) AS DOUBLE) / 1000 AS longest FROM best b LEFT JOIN (SELECT athlete_id AS i, local_date, distance_m FROM activities) a ON i = b.athlete_id AND local_date BETWEEN on_date - 42 AND on_date - 1 GROUP BY 1, 2),
+k(distance, cap, wr, wd, wl) AS (VALUES ('5k', 15.0::DOUBLE, 0.35::DOUBLE, 0.50::DOUBLE, 0.15::DOUBLE), ('10k', 24.0, 0.25, 0.45, 0.30), ('half_marathon', 32.0, 0.20, 0.35, 0.45), ('marathon', 42.195, 0.15, 0.30, 0.55)),
+rt AS (SELECT b.*, c.runs AS cr, r.runs AS rr, k.*, c.as_of, c.last_run, CASE WHEN r.runs > 0 THEN round(c.runs / r.runs, 6) END AS a, CASE WHEN r.km > 0 THEN round(c.km / r.km, 6) END AS d, CASE WHEN least(coalesce(r.longest, 0), cap) > 0 THEN round(least(c.longest, cap) / least(r.longest, cap), 6) END AS l
+  FROM best b JOIN cur c USING (athlete_id) JOIN ref r USING (athlete_id, distance) JOIN k USING (distance)),
+sc AS (SELECT *, round((coalesce(least(greatest(a, 0.5::DOUBLE), 1.5::DOUBLE) * wr, 0) + coalesce(least(greatest(d, 0.5::DOUBLE), 1.5::DOUBLE) * wd, 0) + coalesce(least(greatest(l, 0.5::DOUBLE), 1.5::DOUBLE) * wl, 0)) / nullif((a IS NOT NULL)::INT * wr + (d IS NOT NULL)::INT * wd + (l IS NOT NULL)::INT * wl, 0), 6) AS s FROM rt),
+fx AS (SELECT *, CASE WHEN s IS NULL THEN 1.02::DOUBLE WHEN s >= 1.1::DOUBLE THEN 0.98 WHEN s >= 0.9::DOUBLE THEN 0.99 WHEN s >= 0.75::DOUBLE THEN 1.0 ELSE 1.02 END AS lo, CASE WHEN s IS NULL THEN 1.08::DOUBLE WHEN s >= 1.1::DOUBLE THEN 1.02 WHEN s >= 0.9::DOUBLE THEN 1.03 WHEN s >= 0.75::DOUBLE THEN 1.05 ELSE 1.08 END AS hi FROM sc)
+SELECT athlete_id, distance, a AS run_ratio, d AS distance_ratio, l AS longest_ratio, s AS support, CAST(round(CAST(best_s * lo AS DECIMAL(18,6)), 3) AS DOUBLE) AS optimistic_s, CAST(round(CAST(best_s * hi AS DECIMAL(18,6)), 3) AS DOUBLE) AS conservative_s,
+  CASE WHEN cr < 6 OR rr < 6 OR s IS NULL THEN 'low' ELSE 'medium' END AS confidence,
+  CASE WHEN coalesce(a, d, l) IS NULL THEN 'history' WHEN least(a, d, l) >= 1 THEN 'distance' WHEN a = least(a, d, l) THEN 'frequency' WHEN d = least(a, d, l) THEN 'volume' ELSE 'long_run' END AS focus FROM fx
+"""
+)
+
+
+@query(GOAL_SQL)
+def goal_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acts, perf = views.activities(spark, sf_dir), _performances(spark, sf_dir)
+    best = perf.groupBy("athlete_id", "distance").agg(F.min(F.struct("elapsed_s", "achieved_at", "local_date")).alias("b")).select("athlete_id", "distance", F.col("b.elapsed_s").alias("best_s"), F.date_sub("b.local_date", 1).alias("as_of"))
+    now = fitness.training_blocks(_as_of(acts).withColumn("ask", F.lit(0)), acts)
+    before = fitness.training_blocks(best.select("athlete_id", F.col("distance").alias("ask"), "as_of"), acts).withColumnRenamed("ask", "distance")
+    goals = best.select("athlete_id", "distance", "best_s", F.lit(None).cast("double").alias("form_index"))
+    return fitness.goal_assessments(goals, now, before)
+
+
+@query(
+    STANDARD
+    + """, c AS (SELECT a.*, n.distance AS target, n.m, CAST(a.distance_m AS DOUBLE) / 1000 AS km, moving_ms / 1000 AS mv, elapsed_ms / 1000 AS el FROM (SELECT * FROM activities WHERE status <> 'verified' AND distance_m > 0) a LEFT JOIN (SELECT activity_id, distance, m FROM near) n USING (activity_id)),
+r AS (SELECT *, el >= mv AND el <= mv * 1.10::DOUBLE AS ok, coalesce(target = '10k' AND el * m / (km * 1000) < 2520 OR target = 'half_marathon' AND el * m / (km * 1000) < 6300, false) AS fast FROM c),
+k AS (SELECT *, CASE WHEN name = 'City Race' AND ok THEN 'race_performance' WHEN ok AND fast THEN 'standard_distance_performance' WHEN ok AND km >= 3 AND mv >= 720 AND mv / km < 270 THEN 'strong_training' END AS evidence_kind, CASE WHEN km < 5 THEN 1 WHEN km < 10 THEN 2 WHEN km < 21.0975::DOUBLE THEN 3 ELSE 4 END AS band FROM r),
+q AS (SELECT *, row_number() OVER (PARTITION BY athlete_id, evidence_kind, band ORDER BY mv / km, local_date DESC, activity_id) AS p1, row_number() OVER (PARTITION BY athlete_id, evidence_kind, band ORDER BY local_date DESC, mv / km, activity_id) AS p2 FROM k WHERE evidence_kind IS NOT NULL)
+SELECT athlete_id, activity_id, local_date AS achieved_on, evidence_kind, CASE WHEN evidence_kind <> 'strong_training' THEN target END AS target, round(km, 6) AS distance_km, round(el, 3) AS elapsed_s, round(el / km, 6) AS pace FROM q WHERE evidence_kind <> 'strong_training' OR p1 = 1 OR p2 = 1"""
+)
+def performance_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acts = _tagged(views.activities(spark, sf_dir))
+    c = acts.select("athlete_id", "activity_id", F.col("local_date").alias("achieved_on"), "distance_m", (F.col("moving_ms") / 1000).alias("moving_s"), (F.col("elapsed_ms") / 1000).alias("elapsed_s"), F.lit("unknown").alias("activity_type"), "session_kind")
+    return evidence.select_evidence(c, acts.where("status = 'verified'"))
+
+
+@query(
+    """, g AS (SELECT c_custkey AS goal_id, ['5k', '10k', 'half_marathon', 'marathon'][c_custkey % 4 + 1] AS distance, DATE '1998-01-01' + CAST(c_custkey % 7 AS INT) AS as_of, DATE '1998-01-10' + CAST(c_custkey % 380 AS INT) AS race_date, CAST(10 + c_custkey % 60 AS DOUBLE) AS recent FROM customer),
+k(distance, share, cap, least_peak, most_peak, race_km) AS (VALUES ('5k', 0.22::DOUBLE, 18.0::DOUBLE, 30.0::DOUBLE, 65.0::DOUBLE, 5.0::DOUBLE), ('10k', 0.24, 22.0, 35.0, 75.0, 10.0), ('half_marathon', 0.28, 30.0, 45.0, 90.0, 21.0975), ('marathon', 0.32, 35.0, 60.0, 105.0, 42.195)),
+p AS (SELECT g.*, k.* EXCLUDE (distance), CASE WHEN dayofweek(as_of) = 0 THEN as_of + 1 ELSE CAST(date_trunc('week', as_of) AS DATE) END AS s FROM g JOIN k USING (distance)),
+w AS (SELECT *, date_diff('day', s, race_date) + 1 AS n, CAST(ceil((date_diff('day', s, race_date) + 1) / 7) AS INT) AS weeks FROM p WHERE date_diff('day', s, race_date) + 1 BETWEEN 14 AND 364),
+e AS (SELECT *, CAST(round(CAST(CAST(least(greatest(recent * 1.15::DOUBLE, least_peak), recent * pow(1.05::DOUBLE, greatest(weeks - 3, 1)), most_peak) AS VARCHAR) AS DECIMAL(30,18)), 1) AS DOUBLE) AS peak, unnest(range(1, weeks + 1)) AS week FROM w),
+f AS (SELECT *, CASE WHEN week = weeks THEN 'race' WHEN weeks - week <= 2 THEN 'taper' WHEN weeks - week <= greatest(5, weeks // 3) THEN 'specific' WHEN week <= greatest(2, weeks // 4) THEN 'base' ELSE 'build' END AS phase FROM e),
+t AS (SELECT *, CAST(round(CAST(CAST(CASE WHEN phase = 'race' THEN greatest(recent * 0.45::DOUBLE, race_km + 6) WHEN phase = 'taper' THEN peak * CASE WHEN weeks - week = 1 THEN 0.62::DOUBLE ELSE 0.78::DOUBLE END
+  ELSE least(recent * pow(1.035::DOUBLE, (week - 1) - (week - 1) // 4) * CASE WHEN week % 4 = 0 THEN 0.82::DOUBLE ELSE 1.0::DOUBLE END, peak) END AS VARCHAR) AS DECIMAL(30,18)), 1) AS DOUBLE) AS target_km FROM f)
+SELECT goal_id, distance, weeks, CAST(week AS INT) AS week, s + CAST((week - 1) * 7 AS INT) AS start_date, least(s + CAST((week - 1) * 7 AS INT) + 6, race_date) AS end_date, phase, target_km,
+  CASE WHEN phase = 'race' THEN 0.0::DOUBLE ELSE CAST(round(CAST(CAST(least(target_km * CASE WHEN distance = 'marathon' THEN CASE phase WHEN 'build' THEN 0.35::DOUBLE WHEN 'specific' THEN 0.38::DOUBLE ELSE 0.32::DOUBLE END ELSE share END, cap) * CASE WHEN phase = 'taper' THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS VARCHAR) AS DECIMAL(30,18)), 1) AS DOUBLE) END AS long_run_km FROM t"""
+)
+def plan_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    names = F.array(*[F.lit(d) for d in scalars.STANDARD_DISTANCES])
+    goals = views.table(spark, sf_dir, "customer").select(
+        k.alias("goal_id"),
+        names[(k % 4).cast("int")].alias("distance"),
+        F.date_add(F.lit("1998-01-01").cast("date"), (k % 7).cast("int")).alias("as_of"),
+        F.date_add(F.lit("1998-01-10").cast("date"), (k % 380).cast("int")).alias("race_date"),
+        (10 + k % 60).cast("double").alias("recent_weekly_km"),
+    )
+    return training_plan.weekly_outline(goals)
+
+
+@query(SERIES + """, old AS (SELECT athlete_id, local_date, CAST(round(CAST(daily_load AS DECIMAL(18,6)), 4) AS DOUBLE) + CASE WHEN day(local_date) = 1 THEN 1 ELSE 0 END AS v FROM series WHERE athlete_id % 3 <> 0 UNION ALL SELECT athlete_id, local_date + 100000, 0 FROM series WHERE day(local_date) = 2)
+SELECT CASE WHEN o.v IS NULL THEN 'created' WHEN s.daily_load IS NULL THEN 'kept' WHEN CAST(o.v AS DECIMAL(12,4)) = CAST(round(CAST(s.daily_load AS DECIMAL(18,6)), 4) AS DECIMAL(12,4)) THEN 'reused' ELSE 'updated' END AS action, count(*) AS n FROM series s FULL JOIN old o USING (athlete_id, local_date) GROUP BY 1""")
+def daily_load_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = _series(spark, sf_dir).select("athlete_id", "local_date", "daily_load")
+    changed = now.where("athlete_id % 3 <> 0").withColumn("daily_load", F.round("daily_load", 4) + F.when(F.dayofmonth("local_date") == 1, 1).otherwise(0))
+    gone = now.where("day(local_date) = 2").select("athlete_id", F.date_add("local_date", 100000).alias("local_date"), F.lit(0.0).alias("daily_load"))
+    merged = state.upsert(changed.unionByName(gone), now, ("athlete_id", "local_date"), {"daily_load": "decimal(12,4)"})
+    return merged.groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(SERIES + ", ".join(["", STANDARD.strip().lstrip(",").strip()]) + " SELECT n.activity_id, round(s.acute_load, 4) AS prior_acute_load, round(s.chronic_load, 4) AS prior_chronic_load, round(s.form_index, 4) AS prior_form_index FROM near n LEFT JOIN series s ON s.athlete_id = n.athlete_id AND s.local_date = n.local_date - 1")
+def prior_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = features.distance_candidates(views.activities(spark, sf_dir))
+    return features.prior_workload(near, _series(spark, sf_dir))
+
+
+@query(
+    BESTS
+    + """SELECT c.activity_id, min(v.elapsed_s) FILTER (v.distance = '5k') AS prior_5k_s, min(v.elapsed_s) FILTER (v.distance = '10k') AS prior_10k_s, min(v.elapsed_s) FILTER (v.distance = 'half_marathon') AS prior_half_marathon_s, min(v.elapsed_s) FILTER (v.distance = 'marathon') AS prior_marathon_s
+FROM near c LEFT JOIN (SELECT n.athlete_id AS i, n.distance, elapsed_ms / 1000 AS elapsed_s, start_utc AS at FROM near n WHERE status = 'verified') v ON v.i = c.athlete_id AND v.at < c.start_utc GROUP BY 1"""
+)
+def prior_bests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    perf = _performances(spark, sf_dir)
+    near = features.distance_candidates(views.activities(spark, sf_dir))
+    return features.prior_bests(near, perf.where("status = 'verified'"))
+
+
+@query(
+    """, q AS (SELECT conv_id * 1000 + turn AS reply_id, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS answer, conv_id, turn FROM conversations),
+c AS (SELECT *, [('e' || (turn % 3)), ('e' || (conv_id % 5))] AS cited, ['e0', 'e1', 'e2'] AS allowed FROM q)
+SELECT reply_id, sha256(coalesce(question, '')) AS question_sha256, CAST(length(coalesce(question, '')) AS INT) AS question_length, CAST(len(list_distinct(list_filter(cited, lambda x: NOT list_contains(allowed, x)))) AS INT) AS unsupported,
+  regexp_matches(coalesce(answer, ''), '(?i)\\b(ignore (the )?pain|run through (the )?pain|guarantee[ds]?|diagnos\\w+)\\b') AS unsafe, regexp_matches(coalesce(question, ''), '(?i)\\b(pain|injur\\w+|chest|dizz\\w+|doctor|medical|fever)\\b') AS medical,
+  CASE WHEN len(list_filter(cited, lambda x: NOT list_contains(allowed, x))) = 0 AND NOT regexp_matches(coalesce(answer, ''), '(?i)\\b(ignore (the )?pain|run through (the )?pain|guarantee[ds]?|diagnos\\w+)\\b') THEN 'approved' ELSE 'fallback' END AS outcome FROM c"""
+)
+def reply_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("conv_id").orderBy("turn", "text")
+    tag = lambda x: F.concat(F.lit("e"), x.cast("string"))
+    rows = views.table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), F.col("text").alias("question"), F.lead("text").over(order).alias("answer"), F.array(tag(F.col("turn") % 3), tag(F.col("conv_id") % 5)).alias("cited"), F.array(*map(F.lit, ("e0", "e1", "e2"))).alias("allowed")
+    )
+    return replies.audit(rows)
