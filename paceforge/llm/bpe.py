@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ from .frames import map_batches
 
 #: How the byte-level pre-tokenizer splits text (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run of blanks in which the pre-tokenizer looks past a blank, so that text cannot be cut there.
+LONG_BLANKS = re.compile(r"\s (?:\s|$)")
 #: Words and arcs that a worker remembers; beyond it the memory starts anew.
 REMEMBERED_WORDS, REMEMBERED_ARCS = 250_000, 500_000
 
@@ -105,7 +108,9 @@ class Coder:
         self.resolved = 0
         self.split = regex.compile(SPLIT).findall
         self.around = regex.compile("(" + "|".join(map(regex.escape, (s.decode() for s in self.special))) + ")").split if self.special else None
-        self.words = _Words(self)
+        self.words = _Remembered(lambda word: np.array(self.encode_word(word.encode("utf-8")), "<u4").tobytes())
+        # a blank and what follows it up to the next one
+        self.chunks = _Remembered(lambda chunk: b"".join(map(self.words.__getitem__, self.split(" " + chunk))))
 
     def removed_from(self, state: int) -> dict[int, int]:
         """The arcs that this state lacks as a copy of a copy of the first: token -> merge of the removal."""
@@ -136,31 +141,35 @@ class Coder:
         self.resolved += 1
         return token
 
+    def leads(self, state: int, word: bytes, i: int) -> list[tuple[int, int]]:
+        """The arcs of ``state`` over the word from i on, as (token, end), the longest last; each is resolved once and then looked up."""
+        row, out = self.rows[state], []
+        for j in range(i + 1, min(len(word), i + self.longest) + 1):
+            part = word[i:j]
+            token = row.get(part)
+            if token is None:
+                token = row[part] = self.arc(state, part)
+            if token >= 0:
+                out.append((token, j))
+            elif token == -2:
+                break
+        return out
+
     def encode_word(self, word: bytes) -> list[int]:
-        """Follow the automaton's one path for the word; each arc is resolved once and then looked up."""
-        n, longest, target, rows = len(word), self.longest, self.target, self.rows
-        state = [-1] * (n + 1)
-        back = [(0, 0)] * (n + 1)
-        state[0] = 0
-        for i in range(n):
-            if (here := state[i]) < 0:
+        """The automaton's one path over the word. A prefix has one path too, so a position that leads nowhere is tried once."""
+        if not word:
+            return []
+        n, target, path, open_arcs = len(word), self.target, [], [self.leads(0, word, 0)]
+        while True:
+            if not open_arcs[-1]:
+                open_arcs.pop()
+                path.pop()
                 continue
-            row = rows[here]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                part = word[i:j]
-                token = row.get(part)
-                if token is None:
-                    token = row[part] = self.arc(here, part)
-                if token >= 0:
-                    state[j] = target[token]
-                    back[j] = (i, token)
-                elif token == -2:
-                    break
-        out, at = [], n
-        while at:
-            at, token = back[at]
-            out.append(token)
-        return out[::-1]
+            token, j = open_arcs[-1].pop()
+            path.append(token)
+            if j == n:
+                return path
+            open_arcs.append(self.leads(target[token], word, j))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -169,8 +178,13 @@ class Coder:
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(self.special[part.encode()].to_bytes(4, "little"))
-            else:
+            elif LONG_BLANKS.search(part):
                 out += map(self.words.__getitem__, self.split(part))
+            else:
+                # no word crosses a single blank that stands before it, so what lies between blanks can be looked up whole
+                first, *rest = part.split(" ")
+                out += map(self.words.__getitem__, self.split(first))
+                out += map(self.chunks.__getitem__, rest)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -178,19 +192,21 @@ class Coder:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-class _Words(dict):
-    """The packed ids of the words seen by a task."""
+class _Remembered(dict):
+    """What a worker has packed before; of the two halves of its memory the older one goes when the newer is full."""
 
-    def __init__(self, coder: Coder):
+    def __init__(self, pack):
         super().__init__()
-        self.coder = coder
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        out = np.array(self.coder.encode_word(word.encode("utf-8")), "<u4").tobytes()
-        if len(word) < 100:
-            self[word] = out
+        self.pack, self.older = pack, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (out := self.older.get(key)) is None:
+            out = self.pack(key)
+        if len(key) < 100:
+            if len(self) >= REMEMBERED_WORDS // 2:
+                self.older = dict(self)
+                self.clear()
+            self[key] = out
         return out
 
 
