@@ -26,10 +26,12 @@ from .frames import map_batches
 
 #: How the byte-level pre-tokenizer splits text (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Rows of which a task holds ids at a time.
+SLICE_ROWS = 500
 #: A run of blanks in which the pre-tokenizer looks past a blank, so that text cannot be cut there.
 LONG_BLANKS = re.compile(r"\s (?:\s|$)")
 #: Words and arcs that a worker remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS, REMEMBERED_ARCS = 250_000, 500_000
+REMEMBERED_WORDS, REMEMBERED_ARCS = 160_000, 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -241,8 +243,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
         coder = coder_of(tables)
 
         def encode(batch):
-            ids = [coder.encode(t or "") for t in batch.column(1).to_pylist()]
-            return [batch.column(0), [len(x) // 4 for x in ids], ids]
+            for cut in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(cut, SLICE_ROWS)
+                ids = [coder.encode(text.as_py() or "") for text in part.column(1)]
+                yield [part.column(0), [len(x) // 4 for x in ids], ids]
 
         return encode
 
@@ -273,15 +277,17 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         coder = coder_of(tables)
 
         def both(batch):
-            n, ids_sha, text_sha, kept = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = coder.encode(text or "")
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(coder.decode(ids).encode("utf-8")).hexdigest())
-                if with_ids:
-                    kept.append(ids)
-            return [batch.column(0), n, ids_sha, text_sha] + [kept] * with_ids
+            for cut in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(cut, SLICE_ROWS)
+                n, ids_sha, text_sha, kept = [], [], [], []
+                for text in part.column(1):
+                    ids = coder.encode(text.as_py() or "")
+                    n.append(len(ids) // 4)
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    text_sha.append(hashlib.sha256(coder.decode(ids).encode("utf-8")).hexdigest())
+                    if with_ids:
+                        kept.append(ids)
+                yield [part.column(0), n, ids_sha, text_sha] + [kept] * with_ids
 
         return both
 
