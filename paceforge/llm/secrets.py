@@ -105,7 +105,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         return F.array_sort(F.concat(*[tagged(k) for k in KINDS if k.weak == weak]))
 
     scanned = settle(rows.select("doc_id", F.sha2("__text", 256).alias("key"), listed(False).alias("base"), listed(True).alias("weak")))
-    return scanned.join(link(scanned, scope), "key", "left").select("doc_id", "base", F.coalesce("linked", F.filter("weak", lambda s: F.lit(False))).alias("linked"))
+    none = F.filter("weak", lambda s: F.lit(False)).alias("linked")
+    # only texts with weak spans meet their links; copies of such a text are spread by Spark's split of skewed joins
+    with_weak = scanned.where(F.size("weak") > 0).join(link(scanned, scope), "key", "left").select("doc_id", "base", F.coalesce("linked", none).alias("linked"))
+    return scanned.where(F.size("weak") == 0).select("doc_id", "base", none).unionByName(with_weak)
 
 
 def link(scanned: DataFrame, scope: int) -> DataFrame:
