@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, titles
-from ..operators import activity, bests, efforts, evidence, features, fitness, reconcile, replies, state, training_plan, trends, workload
+from ..operators import activity, bests, efforts, evidence, features, fitness, reconcile, replies, state, tracking, training_plan, trends, workload
 from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -481,3 +481,41 @@ def reply_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), F.col("text").alias("question"), F.lead("text").over(order).alias("answer"), F.array(tag(F.col("turn") % 3), tag(F.col("conv_id") % 5)).alias("cited"), F.array(*map(F.lit, ("e0", "e1", "e2"))).alias("allowed")
     )
     return replies.audit(rows)
+
+
+@query(
+    PROVIDERS
+    + """, src AS (SELECT CASE WHEN activity_id % 4 = 0 THEN 'x' || activity_id END AS external_id, CASE WHEN activity_id % 20 = 0 THEN NULL ELSE activity_id END AS activity_id FROM activities WHERE activity_id % 6 <> 0
+  UNION ALL SELECT 'x' || activity_id, activity_id FROM activities WHERE activity_id % 28 = 0),
+f AS (SELECT id AS file_id, athlete_id, CASE WHEN id % 3 = 0 THEN 'x' || (id - 1000000000) END AS external_id, start_s, elapsed_s, distance_m FROM b),
+c AS (SELECT activity_id, athlete_id, CAST(epoch(start_utc) AS DOUBLE) AS start_s, elapsed_ms / 1000 AS elapsed_s, CAST(distance_m AS DOUBLE) AS distance_m FROM activities),
+i AS (SELECT file_id, count(*) AS n, min(activity_id) AS a FROM f JOIN src USING (external_id) GROUP BY 1),
+t AS (SELECT file_id, count(*) AS n, min(activity_id) AS a FROM f JOIN c ON f.athlete_id = c.athlete_id AND abs(f.start_s - c.start_s) <= 2 AND abs(f.elapsed_s - c.elapsed_s) <= greatest(60, c.elapsed_s * 0.02::DOUBLE) AND abs(f.distance_m - c.distance_m) <= greatest(50, c.distance_m * 0.005::DOUBLE) GROUP BY 1),
+p AS (SELECT activity_id, count(*) AS k FROM src WHERE activity_id IS NOT NULL GROUP BY 1),
+z AS (SELECT f.file_id, i.n AS id_n, i.a AS id_a, t.n AS t_n, t.a AS t_a, coalesce(p.k, 0) AS k FROM f LEFT JOIN i USING (file_id) LEFT JOIN t USING (file_id) LEFT JOIN p ON p.activity_id = t.a),
+y AS (SELECT *, CASE WHEN id_n > 1 THEN 'ambiguous' WHEN id_n = 1 THEN CASE WHEN id_a IS NULL THEN 'unmatched' ELSE 'matched' END WHEN t_n > 1 THEN 'ambiguous' WHEN t_n = 1 AND k = 1 THEN 'matched' WHEN t_n = 1 AND k > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status FROM z)
+SELECT file_id, CASE WHEN status = 'matched' THEN coalesce(id_a, t_a) END AS activity_id, status FROM y"""
+)
+def resolved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acts, b = views.activities(spark, sf_dir), _providers(spark, sf_dir)[1]
+    k = F.col("activity_id")
+    name = F.concat(F.lit("x"), k.cast("string"))
+    sources = acts.where(k % 6 != 0).select(F.lit("p").alias("provider"), F.when(k % 4 == 0, name).alias("external_id"), F.when(k % 20 != 0, k).alias("activity_id"))
+    sources = sources.unionByName(acts.where(k % 28 == 0).select(F.lit("p").alias("provider"), name.alias("external_id"), k))
+    external = F.when(F.col("id") % 3 == 0, F.concat(F.lit("x"), (F.col("id") - 1000000000).cast("string")))
+    files = b.select(F.col("id").alias("file_id"), "athlete_id", F.lit("p").alias("provider"), external.alias("external_id"), "start_s", "elapsed_s", "distance_m")
+    canonical = acts.select("activity_id", "athlete_id", F.unix_timestamp("start_utc").cast("double").alias("start_s"), (F.col("elapsed_ms") / 1000).alias("elapsed_s"), F.col("distance_m").cast("double").alias("distance_m"))
+    return tracking.resolve_files(files, sources, canonical)
+
+
+@query()
+def session_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One week of four sessions per athlete in each month with runs, against the athlete's runs."""
+    acts = _tagged(views.activities(spark, sf_dir))
+    month = F.to_date(F.date_trunc("month", F.col("local_date")))
+    plans = acts.select("athlete_id", month.alias("month")).distinct()
+    plan = plans.select((F.col("athlete_id") * 1000000 + F.year("month") * 100 + F.month("month")).alias("plan_id"), "athlete_id", F.next_day("month", "Mon").alias("monday"))
+    slots = F.array(*[F.struct(F.lit(i).alias("session"), F.lit(d).alias("offset"), F.lit(k).alias("kind"), F.lit(km).alias("target_km")) for i, (d, k, km) in enumerate([(0, "easy", 8.0), (2, "quality", 10.0), (4, "recovery", 6.0), (6, "long", 20.0)])])
+    sessions = plan.withColumn("s", F.explode(slots)).select("plan_id", "athlete_id", "s.session", F.expr("date_add(monday, s.offset)").alias("scheduled"), "s.kind", "s.target_km", F.date_add("monday", 40).alias("as_of"))
+    runs = acts.select("athlete_id", "activity_id", "start_utc", "local_date", "distance_m", "tags", F.col("session_kind").alias("primary"), F.lit("unknown").alias("activity_type"))
+    return tracking.match_sessions(sessions, runs)

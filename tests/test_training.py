@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceforge.functions import scalars, titles
-from paceforge.operators import activity, bests, efforts, features, fitness, reconcile, state, training_plan, workload
+from paceforge.operators import activity, bests, efforts, features, fitness, reconcile, state, tracking, training_plan, workload
 
 D = dt.date
 
@@ -185,3 +185,15 @@ def test_clock_and_distance(spark):
     assert [r.ms for r in rows] == [185000, 3723000, None, None, None] and [r.c for r in rows] == ["3:05", "1:02:03", None, None, None]
     d = spark.createDataFrame([(5100.0,), (5200.0,), (42195.0,), (None,), (0.0,)], "m double").select(scalars.standard_distance(F.col("m")).alias("d")).collect()
     assert [r.d for r in d] == ["5k", None, "marathon", None, None]
+
+
+def test_session_matching(spark):
+    sessions = [(1, 5, 0, D(2024, 1, 1), "easy", 8.0, D(2024, 1, 7)), (1, 5, 1, D(2024, 1, 3), "quality", 10.0, D(2024, 1, 7)), (1, 5, 2, D(2024, 1, 6), "long", 20.0, D(2024, 1, 7))]
+    s = spark.createDataFrame(sessions, "plan_id long, athlete_id long, session int, scheduled date, kind string, target_km double, as_of date")
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    runs = [(5, 10, at(1, 8), D(2024, 1, 1), 8000.0, ["easy"], "easy", "unknown"), (5, 11, at(1, 18), D(2024, 1, 1), 3000.0, ["unclassified"], "unclassified", "unknown"), (5, 12, at(4, 8), D(2024, 1, 4), 9000.0, ["tempo"], "tempo", "unknown"), (5, 13, at(5, 8), D(2024, 1, 5), 9000.0, ["easy"], "easy", "unknown")]
+    r = spark.createDataFrame(runs, "athlete_id long, activity_id long, start_utc timestamp, local_date date, distance_m double, tags array<string>, primary string, activity_type string")
+    found = tracking.match_sessions(s, r)
+    assert {(x.session, x.activity_id) for x in found.collect()} == {(0, 10), (1, 12)}
+    status = tracking.session_status(s, found, tracking.session_candidates(s, r))
+    assert {x.session: x.status for x in status.collect()} == {0: "completed", 1: "completed", 2: "missed"}
