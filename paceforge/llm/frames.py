@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of an Arrow batch: texts can be long, and a task holds a batch on both sides.
+BATCH_ROWS = 1000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,6 +27,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     """
     out = pa.schema([(f.name, _arrow(f.dataType)) for f in T._parse_datatype_string(schema).fields])
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
