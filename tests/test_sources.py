@@ -90,3 +90,31 @@ def test_streaming_ingest_is_exactly_once(spark, tmp_path):
 
     assert run("1.json", [record, {**record, "athlete_id": 2}]) == {1: 5.0, 2: 5.0}
     assert run("2.json", [record, {**record, "load": 7.0}]) == {1: 12.0, 2: 5.0}
+
+
+def test_contracts(spark):
+    from paceforge.operators import contracts
+
+    rows = spark.createDataFrame([(1, 10.0, 60.0, 50.0, 150.0), (2, -1.0, 10.0, 50.0, 400.0), (3, None, None, None, None)], "activity_id long, distance_m double, elapsed_s double, moving_s double, average_heart_rate double")
+    good, findings = contracts.split(contracts.check(rows, contracts.activity_rules()), "activity_id")
+    assert sorted(r.activity_id for r in good.collect()) == [1, 3]
+    assert sorted((r.activity_id, r.code) for r in findings.collect()) == [(2, "MOVING_OVER_ELAPSED"), (2, "average_heart_rate_RANGE"), (2, "distance_m_NEGATIVE")]
+    points = spark.createDataFrame([(1, 1.0, None, 100), (2, 91.0, 2.0, 300)], "activity_id long, latitude double, longitude double, heart_rate int")
+    assert contracts.split(contracts.check(points, contracts.trackpoint_rules()), "activity_id")[1].count() == 3
+
+
+def test_label_queue(spark, tmp_path):
+    from paceforge.functions.scalars import review_token
+    from paceforge.operators import labels
+
+    path = tmp_path / "q.csv"
+    header = ",".join(f.split(" ")[0] for f in labels.SCHEMA.split(", "))
+    path.write_text(header + "\nv1,a,n,2024-01-01 00:00:00,5k,5000,1200,0.1,unreviewed,,,\nv1,b,n,2024-01-02 00:00:00,5k,5000,x,0.1,verified,,,\n")
+    queue = labels.read_queue(spark, str(path))
+    assert sorted(r.code for r in labels.queue_findings(queue).collect()) == ["LABEL_NUMBER_INVALID", "LABEL_STATUS_INVALID"]
+    assert labels.status_counts(queue).first().asDict() == {"total": 2, "verified": 1, "excluded": 0, "unreviewed": 1}
+    decisions = spark.createDataFrame([("a", "5k", "verified", "race", 1195.0, None), ("z", "5k", "excluded", None, None, None)], "activity_id string, matched_distance string, review_status string, review_label string, verified_elapsed_time_seconds double, review_notes string")
+    done = labels.apply_reviews(queue, decisions)
+    assert {r.activity_id: r.review_status for r in done.collect()} == {"a": "verified", "b": "verified"} and labels.verified_observations(done).where("label = 'race'").first().elapsed_s == 1195.0
+    token = queue.where("activity_id = 'a'").select(review_token(F.col("dataset_version"), F.col("activity_id"))).first()[0]
+    assert [r.activity_id for r in labels.by_token(queue, token).collect()] == ["a"] and labels.page(queue, "unreviewed").count() == 1
