@@ -70,14 +70,14 @@ def _shared_prefix(a: str, b: str) -> int:
 
 def segment(length: Column, tau: int, i: int) -> tuple[Column, Column]:
     """(start from 0, size) of segment i of a line of this length; the longer ones come last."""
-    size, longer = F.floor(length / (tau + 1)).cast("int"), length % (tau + 1)
+    size, longer = F.call_function("div", length, F.lit(tau + 1)).cast("int"), length % (tau + 1)
     before = F.greatest(F.lit(0), F.lit(i) - (tau + 1 - longer))
     return size * i + before, size + F.when(F.lit(i) >= tau + 1 - longer, 1).otherwise(0)
 
 
 def _key(line: Column, length: Column, tau: int, i: int, shift: int) -> Column:
     start, size = segment(length, tau, i)
-    return F.xxhash64(F.substring(line, start + 1 + shift, size), length, F.lit(i))
+    return F.xxhash64(F.substring(line, start + 1 + shift, size), length * (tau + 1) + i)
 
 
 def list_keys(line: Column, tau: int) -> Column:
