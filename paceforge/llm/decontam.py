@@ -132,34 +132,51 @@ def scan(
     A null text has no words. Items may repeat; null item ids are ignored.
     Columns other than ``keep`` are not carried.
     """
-    spans = "array<struct<first:int,end:int>>"
-    found = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].alias("__text"), *[docs[c] for c in keep]).withColumns(
-        {"n_words": F.lit(-1).cast("long"), "spans": F.array().cast(spans), "items": F.array().cast("array<string>")}
-    )
-    kept = [f for f in found.schema.fields if f.name not in ("n_words", "spans", "items")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long", f"spans {spans}", "items array<string>"])
-    for block in list(benchmark_blocks(benchmark.where(F.col(item_col).isNotNull()), item_col, benchmark_text_col, window, block_windows)) or [{}]:
-        sent = docs.sparkSession.sparkContext.broadcast({"block": block})
+    rows = docs.select(docs[id_col].cast("long").alias(id_col), *[docs[c] for c in keep], docs[text_col].alias("__text"))
+    return _passes(rows, benchmark.select(F.col(item_col).alias("item_id"), F.col(benchmark_text_col).alias("text")), window, block_windows).drop("__text")
+
+
+SPANS = "array<struct<first:int,end:int>>"
+SPANS_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+
 
-        def make(sent=sent):
+def _passes(rows: DataFrame, benchmark: DataFrame, window: int, block_windows: int, finish=None) -> DataFrame:
+    """Add (n_words, spans, items) for the column ``__text``, which is the last of ``rows``; one pass per block.
+
+    With ``finish``, the last pass returns what it makes of (batch, n_words,
+    spans): columns like those of ``rows``, with the text as it shall be.
+    """
+    found = rows.withColumns({"n_words": F.lit(-1).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    width = len(rows.columns)
+    blocks = benchmark_blocks(benchmark.where("item_id is not null"), "item_id", "text", window, block_windows)
+    block = next(blocks, {})
+    while block is not None:
+        following = next(blocks, None)
+        sent = rows.sparkSession.sparkContext.broadcast({"block": block})
+        ends = following is None and finish is not None
+
+        def make(sent=sent, ends=ends):
             match = Matcher(sent.value["block"])
-            width = len(kept)
 
             def run(batch):
                 n, runs, items = [], [], []
                 old = zip(batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist())
-                texts = batch.column(1).to_pylist()
+                texts = batch.column(width - 1).to_pylist()
                 for cut in range(0, len(texts), 256):
                     for (size, hit, named), (before, known) in zip(match(texts[cut : cut + 256]), old):
                         n.append(size)
-                        runs.append([{"first": a, "end": b} for a, b in merge([(x["first"], x["end"]) for x in before] + hit)])
+                        runs.append(merge([(x["first"], x["end"]) for x in before] + hit))
                         items.append(sorted(named | set(known)))
-                return [*(batch.column(i) for i in range(width)), n, pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), items]
+                if ends:
+                    return finish(batch, n, runs)
+                return [*batch.columns[:width], n, pa.array([[{"first": a, "end": b} for a, b in r] for r in runs], SPANS_ARROW), items]
 
             return run
 
-        found = map_batches(found, schema, make)
-    return found.drop("__text")
+        found = map_batches(found, own if ends else f"{own}, n_words long, spans {SPANS}, items array<string>", make)
+        block = following
+    return found
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -187,28 +204,33 @@ def remove_spans(text: str, runs: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    drop_share: float = 0.5,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    benchmark_text_col: str = "text",
+    window: int = WINDOW,
+    block_windows: int = BLOCK_WINDOWS,
+) -> DataFrame:
     """The documents without benchmark passages, in their own columns.
 
     A document of whose words more than ``drop_share`` are hit goes; of the
     others the hit spans are removed. A text that changes is otherwise kept to
     the byte; null texts stay null.
     """
-    names = docs.columns
-    found = scan(docs, benchmark, id_col=id_col, text_col=text_col, keep=tuple(c for c in names if c != id_col), **options)
-    n_hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["first"])
-    left = found.where(n_hit <= drop_share * F.greatest("n_words", F.lit(0)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*names).schema.fields)
-
-    def make():
-        def run(batch):
-            cols = list(batch.columns[:-1])
-            k = names.index(text_col)
-            spans = batch.columns[-1].to_pylist()
-            if any(spans):
-                cols[k] = [t if not s else remove_spans(t, [(x["first"], x["end"]) for x in s]) for t, s in zip(cols[k].to_pylist(), spans)]
-            return cols
-
-        return run
-
-    return map_batches(left.select(*names, "spans"), schema, make)
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*[docs[c] for c in others], docs[text_col].alias("__text"))
+
+    def finish(batch, n_words, runs):
+        keep = [sum(b - a for a, b in r) <= drop_share * max(n, 0) for n, r in zip(n_words, runs)]
+        left = batch.filter(pa.array(keep))
+        text = left.column(len(others))
+        spans = [r for r, k in zip(runs, keep) if k]
+        if any(spans):
+            text = pa.array([t if not r else remove_spans(t, r) for t, r in zip(text.to_pylist(), spans)], pa.string())
+        return [*left.columns[: len(others)], text]
+
+    cleaned = _passes(rows, benchmark.select(F.col(item_col).alias("item_id"), F.col(benchmark_text_col).alias("text")), window, block_windows, finish)
+    return cleaned.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
