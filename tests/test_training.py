@@ -197,3 +197,17 @@ def test_session_matching(spark):
     assert {(x.session, x.activity_id) for x in found.collect()} == {(0, 10), (1, 12)}
     status = tracking.session_status(s, found, tracking.session_candidates(s, r))
     assert {x.session: x.status for x in status.collect()} == {0: "completed", 1: "completed", 2: "missed"}
+
+
+def test_plan_versions(spark):
+    from paceforge.operators import plan_versions
+
+    existing = spark.createDataFrame([(1, 1, "a", "superseded"), (1, 2, "b", "active"), (2, 1, "c", "active"), (3, 1, "d", "active")], "goal_id long, version int, evidence_hash string, status string")
+    calculated = spark.createDataFrame([(1, "a"), (2, "x"), (4, "y")], "goal_id long, evidence_hash string")
+    found = {(r.goal_id, r.version): (r.status, r.action) for r in plan_versions.store_versions(existing, calculated).collect()}
+    assert found == {(1, 1): ("active", "reactivated"), (1, 2): ("superseded", "superseded"), (2, 1): ("superseded", "superseded"), (2, 2): ("active", "created"), (3, 1): ("active", "kept"), (4, 1): ("active", "created")}
+    weeks = "goal_id long, week int, start_date date, end_date date, target_km double, long_run_km double"
+    old = spark.createDataFrame([(1, 1, D(2024, 1, 1), D(2024, 1, 7), 30.0, 9.0), (1, 2, D(2024, 1, 8), D(2024, 1, 14), 31.0, 9.5)], weeks)
+    new = spark.createDataFrame([(1, 1, D(2024, 1, 1), D(2024, 1, 7), 40.0, 12.0), (1, 2, D(2024, 1, 8), D(2024, 1, 14), 41.0, 12.5)], weeks)
+    kept = plan_versions.retain_completed(old, new, F.lit(D(2024, 1, 8))).orderBy("week").collect()
+    assert [(r.target_km, r.long_run_km) for r in kept] == [(30.0, 9.0), (41.0, 12.5)] and plan_versions.calendar_conflicts(old, new).count() == 0
