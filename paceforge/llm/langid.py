@@ -22,7 +22,7 @@ from .frames import fold_remainder, hash_below, map_batches, settle
 #: A word is a run of letters; scoring cuts longer runs into parts of this many letters.
 LETTERS, LONGEST_PART, LONGEST_PIECE = re.compile(r"[^\W\d_]+"), 24, 8
 #: Scored words that a worker remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 150_000
 UNDETERMINED = "und"
 
 
