@@ -33,3 +33,43 @@ def test_queries_give_a_row_per_input_row(spark, name):
 
     table = "pages" if name == "op2_warc" else "documents"
     assert entry.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+def test_near_dedup_finds_all_pairs_of_four_fifths(spark):
+    import random
+
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdef") for _ in range(5)) for _ in range(2000)]
+    common = " ".join(words[:12])
+    rows = [(None, "a b"), (1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE  two"), (6, "one three"), (7, common), (7, "seven alone")]
+    for k in range(30):
+        base = [rnd.choice(words) for _ in range(rnd.randint(20, 200))]
+        rows.append((100 * k + 100, " ".join(base) + " " + common))
+        for c in range(1, 7):
+            copy = list(base)
+            for at in rnd.sample(range(len(base)), rnd.randint(1, max(1, len(base) // 40))):
+                copy[at] = rnd.choice(words)
+            rows.append((100 * k + 100 + c, " ".join(copy) + " " + common))
+    group = [rnd.choice(words) for _ in range(150)]
+    for c in range(80):
+        rows.append((5000 + c, " ".join(rnd.choice(words) if rnd.random() < 0.01 else w for w in group)))
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, place = [grams(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if place[a] != place[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                place = [place[b] if p == place[a] else p for p in list(place)]
+    least = {}
+    for (i, _), p in zip(rows, place):
+        if i is not None:
+            least[p] = min(least.get(p, i), i)
+    expected = sorted(((i, t) for (i, t), p in zip(rows, place) if i is None or i == least[p]), key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str) == expected
+    assert corpus_pipeline.near_dedup(spark, docs.where("false"), SF).count() == 0
