@@ -161,7 +161,7 @@ classed AS (SELECT *, CASE WHEN len(tags) > 0 THEN tags WHEN notation THEN ['int
 def session_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
     made = F.concat(F.col("p_name"), F.lit(" "), (F.col("p_size") % 9).cast("string"), F.lit(" × "), size, F.lit(" "), F.col("p_type"))
-    names = views.all_activities(spark, sf_dir).select(F.col("name").alias("title")).union(views.table(spark, sf_dir, "part").select(made)).union(views.table(spark, sf_dir, "documents").select(F.substring("text", 1, 200))).distinct()
+    names = views.all_activities(spark, sf_dir).select(F.col("name").alias("title")).union(views.table(spark, sf_dir, "part").select(made)).union(views.table(spark, sf_dir, "documents").select("text")).distinct()
     found = names.withColumn("normalized", titles.normalized_title(F.col("title"))).withColumn("c", titles.classify_normalized(F.col("normalized")))
     return found.select("title", "normalized", F.col("c.primary").alias("primary_kind"), F.array_join("c.tags", ",").alias("tags"), "c.confidence", "c.is_quality")
 

@@ -211,3 +211,19 @@ def test_plan_versions(spark):
     new = spark.createDataFrame([(1, 1, D(2024, 1, 1), D(2024, 1, 7), 40.0, 12.0), (1, 2, D(2024, 1, 8), D(2024, 1, 14), 41.0, 12.5)], weeks)
     kept = plan_versions.retain_completed(old, new, F.lit(D(2024, 1, 8))).orderBy("week").collect()
     assert [(r.target_km, r.long_run_km) for r in kept] == [(30.0, 9.0), (41.0, 12.5)] and plan_versions.calendar_conflicts(old, new).count() == 0
+
+
+def test_session_classes_read_whole_texts(spark):
+    import duckdb
+
+    from paceforge.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("orders", "customer", "lineitem", "part", "documents", "events", "supplier", "nation", "region"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    con.execute("SET TimeZone = 'UTC'")
+    whole = queries.ORACLE_SQL["session_classes"].replace("substr(text, 1, 200)", "text")
+    found = [tuple(r) for r in queries.QUERIES["session_classes"](spark, sf).collect()]
+    assert sorted(found, key=str) == sorted(con.execute(whole).fetchall(), key=str)
+    assert max(len(r[0] or "") for r in found) > 200
