@@ -3,13 +3,16 @@
 Each language has a probability for every piece of a fixed public vocabulary.
 The probability of a word is the sum, over all its segmentations into pieces,
 of the product of their probabilities (a forward pass); a text's is the product
-over its words. Training is EM: the forward-backward passes run in tasks over
-the word counts of a bounded sample, and only piece counts reach the driver.
+over its words. Pieces of every length and whole words count. Training is EM:
+the forward-backward passes run in tasks over the word counts of a bounded
+sample, and only piece counts reach the driver.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .frames import fold_remainder, hash_below, map_batches, settle
 
-#: A word is a run of letters; scoring cuts longer runs into parts of this many letters.
-LETTERS, LONGEST_PART, LONGEST_PIECE = re.compile(r"[^\W\d_]+"), 24, 8
+#: A word is a run of letters. Longer words than this are summed by logarithms, one by one, and not remembered.
+LETTERS, LONGEST_TOGETHER = re.compile(r"[^\W\d_]+"), 24
+#: No piece is left out for its length; the bound of a pass is that of its vocabulary (``longest_piece``).
+LONGEST_PIECE = sys.maxsize
 #: Scored words that a worker remembers; beyond it the memory starts anew.
 REMEMBERED_WORDS = 150_000
 UNDETERMINED = "und"
@@ -41,27 +46,28 @@ def load_pieces(path: str) -> dict[str, int]:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).lower()
         body = piece.removeprefix("▁")
-        if body and body.isalpha() and len(piece) <= LONGEST_PIECE:
+        if body and body.isalpha():
             pieces.setdefault(piece, len(pieces))
     return pieces
 
 
 def words_of(text: str) -> list[str]:
-    """The letter runs of a text, lower-cased, with a word start mark, in parts of bounded length."""
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST_PART for w in found):
-        found = [w[i : i + LONGEST_PART] for w in found for i in range(0, len(w), LONGEST_PART)]
-    return found
+    """The whole letter runs of a text, lower-cased."""
+    return LETTERS.findall(text.lower())
 
 
-def spans(length: int) -> list[tuple[int, int]]:
-    return [(i, j) for j in range(1, length + 1) for i in range(max(0, j - LONGEST_PIECE), j)]
+def longest_piece(pieces: dict[str, int]) -> int:
+    return max(map(len, pieces), default=1)
 
 
-def piece_ids(words: list[str], pieces: dict[str, int]) -> np.ndarray:
+def spans(length: int, longest: int) -> list[tuple[int, int]]:
+    return [(i, j) for j in range(1, length + 1) for i in range(max(0, j - longest), j)]
+
+
+def piece_ids(words: list[str], pieces: dict[str, int], longest: int) -> np.ndarray:
     """[word, span] ids for marked words of one length; a lone unknown letter has the id ``len(pieces)``, other non-pieces one more."""
     unknown, none = len(pieces), len(pieces) + 1
-    get, where = pieces.get, [(i, j, unknown if j - i == 1 else none) for i, j in spans(len(words[0]))]
+    get, where = pieces.get, [(i, j, unknown if j - i == 1 else none) for i, j in spans(len(words[0]), longest)]
     return np.array([[get(w[i:j], k) for i, j, k in where] for w in words], np.int32)
 
 
@@ -72,37 +78,75 @@ def by_length(words: list[str]) -> dict[int, list[int]]:
     return out
 
 
-def forward(ids: np.ndarray, table: np.ndarray, length: int) -> np.ndarray:
+def forward(ids: np.ndarray, table: np.ndarray, length: int, longest: int) -> np.ndarray:
     """[word, position, language]: the summed probability of all segmentations of each prefix."""
     alpha = np.zeros((len(ids), length + 1, table.shape[1]))
     alpha[:, 0] = 1
-    for k, (i, j) in enumerate(spans(length)):
+    for k, (i, j) in enumerate(spans(length, longest)):
         alpha[:, j] += alpha[:, i] * table[ids[:, k]]
     return alpha
 
 
-def word_scores(words: list[str], pieces: dict[str, int], table: np.ndarray) -> np.ndarray:
+def endings(word: str, pieces: dict[str, int], longest: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """For each position j from 1 on: (j, starts, ids) of the pieces that end there; a lone unknown letter is one."""
+    for j in range(1, len(word) + 1):
+        starts = [i for i in range(max(0, j - longest), j - 1) if word[i:j] in pieces]
+        yield j, [*starts, j - 1], [*(pieces[word[i:j]] for i in starts), pieces.get(word[j - 1], len(pieces))]
+
+
+def long_score(word: str, pieces: dict[str, int], table: np.ndarray, longest: int) -> np.ndarray:
+    """[language]: log probability of a marked word of any length; only the last ``longest`` positions are held."""
+    logs = np.zeros((longest + 1, table.shape[1]))  # position j is in row j % (longest + 1)
+    for j, starts, ids in endings(word, pieces, longest):
+        last = logs[(j - 1) % len(logs)]
+        logs[j % len(logs)] = last + np.log((np.exp(logs[np.array(starts) % len(logs)] - last) * table[ids]).sum(0))
+    return logs[len(word) % len(logs)]
+
+
+def add_long_counts(out: np.ndarray, word: str, counts: np.ndarray, pieces: dict[str, int], table: np.ndarray, longest: int) -> None:
+    """Add the expected pieces of a marked word of any length to ``out``."""
+    alpha, beta = np.zeros((len(word) + 1, table.shape[1])), np.full((len(word) + 1, table.shape[1]), -np.inf)
+    ends = list(endings(word, pieces, longest))
+    for j, starts, ids in ends:
+        alpha[j] = alpha[j - 1] + np.log((np.exp(alpha[starts] - alpha[j - 1]) * table[ids]).sum(0))
+    beta[-1] = 0
+    for j, starts, ids in reversed(ends):
+        through = np.log(table[ids]) + beta[j]
+        beta[starts] = np.logaddexp(beta[starts], through)
+        np.add.at(out, ids, np.exp(alpha[starts] + through - alpha[-1]) * counts)
+
+
+def word_scores(words: list[str], pieces: dict[str, int], table: np.ndarray, longest: int | None = None) -> np.ndarray:
     """[word, language]: log probability of each marked word."""
+    longest = longest or longest_piece(pieces)
     out = np.empty((len(words), table.shape[1]))
     for length, at in by_length(words).items():
+        if length > LONGEST_TOGETHER + 1:
+            for k in at:
+                out[k] = long_score(words[k], pieces, table, longest)
+            continue
         for cut in range(0, len(at), 4096):
             part = at[cut : cut + 4096]
-            total = forward(piece_ids([words[k] for k in part], pieces), table, length)[:, length]
+            total = forward(piece_ids([words[k] for k in part], pieces, longest), table, length, longest)[:, length]
             out[part] = np.log(np.maximum(total, 1e-300))
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, pieces: dict[str, int], table: np.ndarray) -> np.ndarray:
     """[piece, language]: how often each piece is expected, given the [word, language] counts."""
-    out = np.zeros_like(table)
+    out, longest = np.zeros_like(table), longest_piece(pieces)
     for length, at in by_length(words).items():
+        if length > LONGEST_TOGETHER + 1:
+            for k in at:
+                add_long_counts(out, words[k], counts[k], pieces, table, longest)
+            continue
         for cut in range(0, len(at), 4096):
             part = at[cut : cut + 4096]
-            ids = piece_ids([words[k] for k in part], pieces)
-            alpha = forward(ids, table, length)
+            ids = piece_ids([words[k] for k in part], pieces, longest)
+            alpha = forward(ids, table, length, longest)
             beta = np.zeros_like(alpha)
             beta[:, length] = 1
-            pairs = list(enumerate(spans(length)))
+            pairs = list(enumerate(spans(length, longest)))
             for k, (i, j) in reversed(pairs):
                 beta[:, i] += table[ids[:, k]] * beta[:, j]
             scale = counts[part] / np.maximum(alpha[:, length], 1e-300)
@@ -180,11 +224,12 @@ def fit(
 
 
 class _Scorer(dict):
-    """Word -> row of the score matrix; unseen words of a batch are scored together."""
+    """Word -> row of the score matrix; unseen words of a batch are scored together. Very long words are not remembered."""
 
     def __init__(self, model: dict):
         super().__init__()
         self.model, self.rows = model, np.empty((1024, model["table"].shape[1]))
+        self.longest = longest_piece(model["pieces"])
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
@@ -195,7 +240,7 @@ class _Scorer(dict):
         if end > len(self.rows):
             self.rows = np.resize(self.rows, (2 * end, self.rows.shape[1]))
         if new:
-            self.rows[start:end] = word_scores(["▁" + w for w in new], self.model["pieces"], self.model["table"])
+            self.rows[start:end] = word_scores(["▁" + w for w in new], self.model["pieces"], self.model["table"], self.longest)
             self.update(zip(new, range(start, end)))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -205,13 +250,18 @@ class _Scorer(dict):
         for cut in range(0, len(texts), step):
             each = [words_of(t) if t else [] for t in texts[cut : cut + step]]
             each = [w if any(map(str.isalpha, w)) else [] for w in each]
-            self.learn(set().union(*each))
-            for words in each:
+            known = [[w for w in words if len(w) <= LONGEST_TOGETHER] for words in each]
+            self.learn(set().union(*known))
+            for words, short in zip(each, known):
                 if not words or not languages:
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                total = self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(0)
+                total = self.rows[np.fromiter(map(self.__getitem__, short), np.int64, len(short))].sum(0)
+                if len(short) < len(words):
+                    for w in words:
+                        if len(w) > LONGEST_TOGETHER:
+                            total = total + long_score("▁" + w, self.model["pieces"], self.model["table"], self.longest)
                 best = int(total.argmax())
                 langs.append(languages[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))

@@ -70,6 +70,40 @@ def test_forward_sums_all_segmentations():
     assert counts[4] == pytest.approx(0.15 / whole) and counts[3] == pytest.approx(table[6, 0] * 0.05 / whole)
 
 
+def test_forward_uses_long_pieces_and_whole_words():
+    given = langid.load_pieces(langid.default_vocabulary())
+    assert len(given) == 23_947 and langid.longest_piece(given) == 16
+    rnd = random.Random(13)
+    pieces = {p: k for k, p in enumerate(["▁a", "a", "b", "ab", "▁abababababab", "babababab", "ba"])}
+    table = np.array([[rnd.uniform(0.01, 0.2), rnd.uniform(0.01, 0.2)] for _ in range(8)] + [[0.0, 0.0]])
+
+    def brute(word):
+        sums = [np.ones(2)]
+        for j in range(1, len(word) + 1):
+            sums.append(sum(sums[i] * table[pieces.get(word[i:j], 7 if j - i == 1 else 8)] for i in range(j)))
+        return sums
+
+    words = ["▁abababababab", "▁" + "ab" * 11, "▁" + "ab" * 20, "▁" + "c" + "babababab" * 5, "▁aab"]
+    assert np.allclose(np.exp(langid.word_scores(words, pieces, table)), [brute(w)[-1] for w in words], atol=0)
+    for w in words:
+        ahead, n = brute(w), len(w)
+        behind = [np.zeros(2)] * n + [np.ones(2)]
+        for i in reversed(range(n)):
+            behind[i] = sum(table[pieces.get(w[i:j], 7 if j - i == 1 else 8)] * behind[j] for j in range(i + 1, n + 1))
+        expected = np.zeros_like(table)
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                k = pieces.get(w[i:j], 7 if j - i == 1 else 8)
+                expected[k] += ahead[i] * table[k] * behind[j] / ahead[n]
+        assert np.allclose(langid.expected_counts([w], np.ones((1, 2)), pieces, table), expected)
+    far = langid.word_scores(["▁" + "ab" * 20_000], pieces, table)
+    assert np.isfinite(far).all() and (far < -1000).all()
+    model = {"languages": ["x", "y"], "pieces": pieces, "table": table}
+    total = sum(np.log(brute("▁" + w)[-1]) for w in ("ab", "ab" * 20, "ba"))
+    lang, score = langid._Scorer(model).score(["ab " + "ab" * 20 + " ba"])
+    assert lang == [model["languages"][int(total.argmax())]] and score[0] == pytest.approx(1 / np.exp(total - total.max()).sum())
+
+
 def test_warc_round_trip(spark):
     pages = [(i, f"http://h/{i}", f"<p>{i % 7}</p>\r\n\r\nWARC/1.0\r\n" if i % 3 else f"é {i}") for i in range(60)]
     pages += [(100, None, None), (101, "u\r\nx", ""), (102, "u", "solo"), (102, "u", "solo"), (None, "q", "solo"), (None, "q", "other")]
