@@ -11,7 +11,6 @@ sample, and only piece counts reach the driver.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,8 +23,8 @@ from .frames import fold_remainder, hash_below, map_batches, settle
 
 #: A word is a run of letters. Longer words than this are summed by logarithms, one by one, and not remembered.
 LETTERS, LONGEST_TOGETHER = re.compile(r"[^\W\d_]+"), 24
-#: No piece is left out for its length; the bound of a pass is that of its vocabulary (``longest_piece``).
-LONGEST_PIECE = sys.maxsize
+#: Words that take the forward pass together.
+WORDS_TOGETHER = 8192
 #: Scored words that a worker remembers; beyond it the memory starts anew.
 REMEMBERED_WORDS = 150_000
 UNDETERMINED = "und"
@@ -60,31 +59,88 @@ def longest_piece(pieces: dict[str, int]) -> int:
     return max(map(len, pieces), default=1)
 
 
-def spans(length: int, longest: int) -> list[tuple[int, int]]:
-    return [(i, j) for j in range(1, length + 1) for i in range(max(0, j - longest), j)]
-
-
-def piece_ids(words: list[str], pieces: dict[str, int], longest: int) -> np.ndarray:
-    """[word, span] ids for marked words of one length; a lone unknown letter has the id ``len(pieces)``, other non-pieces one more."""
-    unknown, none = len(pieces), len(pieces) + 1
-    get, where = pieces.get, [(i, j, unknown if j - i == 1 else none) for i, j in spans(len(words[0]), longest)]
-    return np.array([[get(w[i:j], k) for i, j, k in where] for w in words], np.int32)
-
-
-def by_length(words: list[str]) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        out.setdefault(len(w), []).append(k)
-    return out
-
-
-def forward(ids: np.ndarray, table: np.ndarray, length: int, longest: int) -> np.ndarray:
-    """[word, position, language]: the summed probability of all segmentations of each prefix."""
-    alpha = np.zeros((len(ids), length + 1, table.shape[1]))
-    alpha[:, 0] = 1
-    for k, (i, j) in enumerate(spans(length, longest)):
-        alpha[:, j] += alpha[:, i] * table[ids[:, k]]
-    return alpha
+class PieceTree:
+    """The pieces as a tree of characters; node n + 1 is entered by arcs[n] = parent << 21 | code point."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.pieces, self.longest, self.unknown = pieces, longest_piece(pieces), len(pieces)
+        arcs, piece, level = [], [-1], {"": 0}
+        prefixes: dict[int, set[str]] = {}
+        for p in pieces:
+            for n in range(1, len(p) + 1):
+                prefixes.setdefault(n, set()).add(p[:n])
+        for n in sorted(prefixes):
+            deeper = {}
+            for prefix in sorted(prefixes[n], key=lambda x: (level[x[:-1]], x[-1])):
+                arcs.append(level[prefix[:-1]] << 21 | ord(prefix[-1]))
+                piece.append(pieces.get(prefix, -1))
+                deeper[prefix] = len(arcs)
+            level = deeper
+        self.arcs, self.piece = np.array(arcs or [-1], np.int64), np.array(piece, np.int64)
+
+    def occurrences(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, id, slot) of all pieces in the words; a lone letter that is no piece has the id ``unknown``.
+
+        A word of n letters has n + 1 places, which follow those of the word
+        before; ``slot`` is each word's first place.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        slot = np.cumsum(sizes + 1) - sizes - 1
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        start, until = np.arange(len(letters)) + word, np.repeat(slot + sizes, sizes)
+        code, first = np.zeros(int((sizes + 1).sum()), np.int64), start
+        code[start] = letters
+        node, end, found = np.zeros(len(start), np.int64), start, []
+        while len(start):
+            key = node << 21 | code[end]
+            n = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            alive = self.arcs[n] == key
+            node, start, end, until = n[alive] + 1, start[alive], end[alive] + 1, until[alive]
+            piece = self.piece[node]
+            ended = piece >= 0
+            found.append((start[ended], end[ended], piece[ended]))
+            inside = end < until
+            node, start, end, until = node[inside], start[inside], end[inside], until[inside]
+        lone = np.ones(len(code), bool)
+        for s, e, _ in found[:1]:
+            lone[s] = False
+        first = first[lone[first]]
+        found.append((first, first + 1, np.full(len(first), self.unknown)))
+        return (*(np.concatenate(x) for x in zip(*found)), slot)
+
+
+class Lattice:
+    """All pieces of some marked words, and the probabilities of what lies before and behind each."""
+
+    def __init__(self, words: list[str], tree: PieceTree, table: np.ndarray):
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.start, self.end, self.id, self.slot = tree.occurrences(words)
+        self.table, self.places = table, int((self.sizes + 1).sum())
+        self.base = np.repeat(self.slot, self.sizes + 1)
+
+    def _sweep(self, at: np.ndarray, other: np.ndarray, sums: np.ndarray, backward: bool) -> np.ndarray:
+        """Add up, place by place, the pieces with one side ``at`` a place times the sum at their ``other`` side; all words step together."""
+        local = at - self.base[at]
+        turns = np.lexsort((at, local))
+        at, other, ids, local = at[turns], other[turns], self.id[turns], local[turns]
+        stops = np.cumsum(np.bincount(local)).tolist() if len(local) else []
+        steps = [(low, high) for low, high in zip([0, *stops], stops) if low < high]
+        for low, high in reversed(steps) if backward else steps:
+            begins = np.nonzero(np.diff(at[low:high], prepend=-1))[0]
+            sums[at[low:high][begins]] = np.add.reduceat(sums[other[low:high]] * self.table[ids[low:high]], begins)
+        return sums
+
+    def forward(self) -> np.ndarray:
+        """[place, language]: the summed probability of all segmentations of each prefix."""
+        sums = np.zeros((self.places, self.table.shape[1]))
+        sums[self.slot] = 1
+        return self._sweep(self.end, self.start, sums, False)
+
+    def backward(self) -> np.ndarray:
+        sums = np.zeros((self.places, self.table.shape[1]))
+        sums[self.slot + self.sizes] = 1
+        return self._sweep(self.start, self.end, sums, True)
 
 
 def endings(word: str, pieces: dict[str, int], longest: int) -> Iterator[tuple[int, list[int], list[int]]]:
@@ -116,44 +172,40 @@ def add_long_counts(out: np.ndarray, word: str, counts: np.ndarray, pieces: dict
         np.add.at(out, ids, np.exp(alpha[starts] + through - alpha[-1]) * counts)
 
 
-def word_scores(words: list[str], pieces: dict[str, int], table: np.ndarray, longest: int | None = None) -> np.ndarray:
+def _parts(words: list[str]) -> tuple[list[int], list[np.ndarray]]:
+    """(numbers of the very long words, numbers of the others in parts, shorter words first)."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    short = np.argsort(sizes, kind="stable")[: int((sizes <= LONGEST_TOGETHER + 1).sum())]
+    return np.nonzero(sizes > LONGEST_TOGETHER + 1)[0].tolist(), [short[cut : cut + WORDS_TOGETHER] for cut in range(0, len(short), WORDS_TOGETHER)]
+
+
+def word_scores(words: list[str], pieces: dict[str, int], table: np.ndarray, tree: PieceTree | None = None) -> np.ndarray:
     """[word, language]: log probability of each marked word."""
-    longest = longest or longest_piece(pieces)
+    tree = tree or PieceTree(pieces)
     out = np.empty((len(words), table.shape[1]))
-    for length, at in by_length(words).items():
-        if length > LONGEST_TOGETHER + 1:
-            for k in at:
-                out[k] = long_score(words[k], pieces, table, longest)
-            continue
-        for cut in range(0, len(at), 4096):
-            part = at[cut : cut + 4096]
-            total = forward(piece_ids([words[k] for k in part], pieces, longest), table, length, longest)[:, length]
-            out[part] = np.log(np.maximum(total, 1e-300))
+    long, parts = _parts(words)
+    for k in long:
+        out[k] = long_score(words[k], pieces, table, tree.longest)
+    for part in parts:
+        lattice = Lattice([words[k] for k in part.tolist()], tree, table)
+        out[part] = np.log(np.maximum(lattice.forward()[lattice.slot + lattice.sizes], 1e-300))
     return out
 
 
-def expected_counts(words: list[str], counts: np.ndarray, pieces: dict[str, int], table: np.ndarray) -> np.ndarray:
+def expected_counts(words: list[str], counts: np.ndarray, pieces: dict[str, int], table: np.ndarray, tree: PieceTree | None = None) -> np.ndarray:
     """[piece, language]: how often each piece is expected, given the [word, language] counts."""
-    out, longest = np.zeros_like(table), longest_piece(pieces)
-    for length, at in by_length(words).items():
-        if length > LONGEST_TOGETHER + 1:
-            for k in at:
-                add_long_counts(out, words[k], counts[k], pieces, table, longest)
-            continue
-        for cut in range(0, len(at), 4096):
-            part = at[cut : cut + 4096]
-            ids = piece_ids([words[k] for k in part], pieces, longest)
-            alpha = forward(ids, table, length, longest)
-            beta = np.zeros_like(alpha)
-            beta[:, length] = 1
-            pairs = list(enumerate(spans(length, longest)))
-            for k, (i, j) in reversed(pairs):
-                beta[:, i] += table[ids[:, k]] * beta[:, j]
-            scale = counts[part] / np.maximum(alpha[:, length], 1e-300)
-            for k, (i, j) in pairs:
-                share = alpha[:, i] * table[ids[:, k]] * beta[:, j] * scale
-                for lang in range(table.shape[1]):
-                    out[:, lang] += np.bincount(ids[:, k], share[:, lang], len(out))
+    tree = tree or PieceTree(pieces)
+    out = np.zeros_like(table)
+    long, parts = _parts(words)
+    for k in long:
+        add_long_counts(out, words[k], counts[k], pieces, table, tree.longest)
+    for part in parts:
+        lattice = Lattice([words[k] for k in part.tolist()], tree, table)
+        before, behind = lattice.forward(), lattice.backward()
+        scale = np.repeat(counts[part] / np.maximum(before[lattice.slot + lattice.sizes], 1e-300), lattice.sizes + 1, axis=0)
+        share = before[lattice.start] * table[lattice.id] * behind[lattice.end] * scale[lattice.start]
+        for lang in range(table.shape[1]):
+            out[:, lang] += np.bincount(lattice.id, share[:, lang], len(out))
     return out
 
 
@@ -205,10 +257,12 @@ def fit(
         now = words.sparkSession.sparkContext.broadcast((pieces, table))
 
         def expect(now=now):
+            known, probabilities = now.value
+            tree = PieceTree(known)
+
             def run(batch):
-                known, probabilities = now.value
                 counts = np.stack([np.asarray(batch.column(1 + i)) for i in range(width)], 1).astype(float)
-                found = expected_counts(batch.column(0).to_pylist(), counts, known, probabilities)
+                found = expected_counts(batch.column(0).to_pylist(), counts, known, probabilities, tree)
                 piece, lang = np.nonzero(found > 1e-6)
                 return [piece.astype("int32").tolist(), lang.astype("int32").tolist(), found[piece, lang].tolist()]
 
@@ -229,7 +283,7 @@ class _Scorer(dict):
     def __init__(self, model: dict):
         super().__init__()
         self.model, self.rows = model, np.empty((1024, model["table"].shape[1]))
-        self.longest = longest_piece(model["pieces"])
+        self.tree = PieceTree(model["pieces"])
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
@@ -240,7 +294,7 @@ class _Scorer(dict):
         if end > len(self.rows):
             self.rows = np.resize(self.rows, (2 * end, self.rows.shape[1]))
         if new:
-            self.rows[start:end] = word_scores(["▁" + w for w in new], self.model["pieces"], self.model["table"], self.longest)
+            self.rows[start:end] = word_scores(["▁" + w for w in new], self.model["pieces"], self.model["table"], self.tree)
             self.update(zip(new, range(start, end)))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -261,7 +315,7 @@ class _Scorer(dict):
                 if len(short) < len(words):
                     for w in words:
                         if len(w) > LONGEST_TOGETHER:
-                            total = total + long_score("▁" + w, self.model["pieces"], self.model["table"], self.longest)
+                            total = total + long_score("▁" + w, self.model["pieces"], self.model["table"], self.tree.longest)
                 best = int(total.argmax())
                 langs.append(languages[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
