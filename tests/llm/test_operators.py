@@ -224,13 +224,15 @@ def test_banded_edit_distance():
         assert linedup.edits_within(a, b, k) == (distance(a, b) <= k)
 
 
-@pytest.mark.parametrize("long_list", [1000, 3])
+@pytest.mark.parametrize("long_list", [64, 3])
 def test_line_dedup(spark, monkeypatch, long_list):
     monkeypatch.setattr(linedup, "LONG_LIST", long_list)
     monkeypatch.setattr(linedup, "BROADCAST_ROWS", 50_000 if long_list > 3 else 1)
+    monkeypatch.setattr(linedup, "BROADCAST_KEYS", 50_000 if long_list > 3 else 1)
     rnd = random.Random(8)
     base = ["".join(rnd.choice("abcdefgh ijk") for _ in range(rnd.randint(36, 60))) for _ in range(20)]
     pool = base + [mutated(rnd, rnd.choice(base), rnd.randint(0, 4)) for _ in range(120)] + ["x" * 20 + mutated(rnd, "abcdefghijabcdefghijabcdefghij", 3) for _ in range(60)] + ["short", "short", ""]
+    pool += [mutated(rnd, "0123456789 abcdefghij klmnopqrst uvwxyz"[: rnd.choice([12, 19, 20, 21, 30, 39])], rnd.randint(0, 2)) for _ in range(60)]
     rows = [(i if i % 17 else None, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 5))) if i % 13 else None) for i in range(120)]
     rows += [(500, ""), (501, "short\nshort"), *rows[:4]]
     docs = documents(spark, rows)
@@ -242,10 +244,11 @@ def test_line_dedup(spark, monkeypatch, long_list):
             x = parent[x]
         return x
 
-    long = [line for line in lines if len(line) >= linedup.MIN_CHARS]
+    long = [line for line in lines if len(line) >= 20]
     for i, a in enumerate(long):
         for b in long[i + 1 :]:
-            if abs(len(a) - len(b)) <= 2 and find(a) != find(b) and distance(a, b) <= 2:
+            allowed = 2 if min(len(a), len(b)) >= 40 else 1
+            if abs(len(a) - len(b)) <= allowed and find(a) != find(b) and distance(a, b) <= allowed:
                 parent[find(a)] = find(b)
     keys = {r.text: r.k for r in docs.select("text", F.xxhash64("text").alias("k")).collect()}
     first = {}
