@@ -99,7 +99,7 @@ class LineKeys:
     def _grow(self, n: int) -> None:
         if n > len(self.power):
             n = max(n, 1 << 16)
-            self.power, self.back = (np.cumprod(np.concatenate([[1], np.full(n - 1, k, np.uint64)]), dtype=np.uint64) for k in (_ODD, pow(_ODD, -1, 1 << 64)))
+            self.power, self.back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, k, np.uint64)]), dtype=np.uint64) for k in (_ODD, pow(_ODD, -1, 1 << 64)))
 
     def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of the line, key, own): substrings where a segment of a line that is no longer can lie.

@@ -224,6 +224,14 @@ def test_banded_edit_distance():
         assert linedup.edits_within(a, b, k) == (distance(a, b) <= k)
 
 
+def test_line_keys_tell_contents_apart():
+    rnd = random.Random(9)
+    lines = ["".join(rnd.choice("abc d") for _ in range(60)) for _ in range(500)] + ["x" * 7 + "same segment at its place" + "y" * 28] * 2
+    number, keys, own = linedup.LineKeys()(lines)
+    entries = {(n, k) for n, k, o in zip(number.tolist(), keys.tolist(), own.tolist()) if o}
+    assert len(entries) == 3 * 502 and len({k for _, k in entries}) == 3 * 501
+
+
 @pytest.mark.parametrize("long_list", [64, 3])
 def test_line_dedup(spark, monkeypatch, long_list):
     monkeypatch.setattr(linedup, "LONG_LIST", long_list)
