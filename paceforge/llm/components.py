@@ -14,6 +14,17 @@ from pyspark.sql import functions as F
 from .frames import settle
 
 
+def first_of_repeats(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one of the rows that repeat both an id and a text; ``marked`` has (doc_id, doc_key) of every row. Rows without an id stay."""
+    repeated = marked.where("doc_id is not null").groupBy("doc_id", "doc_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"))
+    if not repeated.limit(1).count():
+        return docs
+    repeated = settle(repeated)
+    same = (docs[id_col].cast("long") == F.col("__id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("__key"))
+    once = docs.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(repeated, same, "left_anti").unionByName(once)
+
+
 def connected_components(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of ``pairs`` (columns a, b, long).
 

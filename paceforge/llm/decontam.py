@@ -1,10 +1,11 @@
 """Benchmark decontamination against a broadcast hash set of normalised test n-grams.
 
 The windows of the benchmark are hashed into a set that is broadcast in blocks
-of a fixed number of windows (a larger benchmark takes more passes over the
-documents, not more memory). Each pass rolls over the words of the whole text,
-looks every window up, compares the words of a hit with the item's own, and
-adds the hit words and items. There is no shuffle.
+of a fixed number of windows, one at a time: a larger benchmark takes more
+passes over the documents, whose outcome is stored in between, not more memory.
+Each pass rolls over the words of the whole text, looks every window up,
+compares the words of a hit with the item's own, and adds the hit words and
+items. The documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .frames import map_batches
+from .frames import map_batches, store
 
 #: Words after lower-casing A-Z, over UTF-8 bytes: runs without ASCII signs, blanks and controls.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -57,19 +59,40 @@ def item_windows(text: str | None, window: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_windows: int):
+def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """(width, hash, words, item) of every window of (item_id, text), each once; made in tasks."""
+
+    def make():
+        hasher = _WordHash()
+
+        def run(batch):
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for words in item_windows(text, window):
+                    key = int(roll(np.array([hasher[w] for w in words], np.uint64), len(words))[0])
+                    rows.append((len(words), key - (1 << 64) if key >> 63 else key, b" ".join(words), item))
+                if len(rows) > 10_000:
+                    yield [list(c) for c in zip(*rows)]
+                    rows = []
+            if rows:
+                yield [list(c) for c in zip(*rows)]
+
+        return run
+
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), "text")
+    return map_batches(items, "width int, hash long, words binary, item string", make).distinct()
+
+
+def benchmark_blocks(windows: DataFrame, block_windows: int):
     """Yield {width: {hash: {words: [items]}}} for blocks of at most ``block_windows`` windows, read as a stream."""
-    hasher = _WordHash()
     block: dict[int, dict[int, dict[bytes, set]]] = {}
     n = 0
-    for row in benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).toLocalIterator():
-        for words in item_windows(row["text"], window):
-            key = int(roll(np.array([hasher[w] for w in words], np.uint64), len(words))[0])
-            block.setdefault(len(words), {}).setdefault(key, {}).setdefault(b" ".join(words), set()).add(row["item"])
-            n += 1
-            if n >= block_windows:
-                yield block
-                block, n = {}, 0
+    for row in windows.toLocalIterator():
+        block.setdefault(row["width"], {}).setdefault(row["hash"] & 0xFFFFFFFFFFFFFFFF, {}).setdefault(bytes(row["words"]), set()).add(row["item"])
+        n += 1
+        if n >= block_windows:
+            yield block
+            block, n = {}, 0
     if n:
         yield block
 
@@ -132,8 +155,9 @@ def scan(
     A null text has no words. Items may repeat; null item ids are ignored.
     Columns other than ``keep`` are not carried.
     """
-    rows = docs.select(docs[id_col].cast("long").alias(id_col), *[docs[c] for c in keep], docs[text_col].alias("__text"))
-    return _passes(rows, benchmark.select(F.col(item_col).alias("item_id"), F.col(benchmark_text_col).alias("text")), window, block_windows).drop("__text")
+    rows = docs.select(docs[id_col].cast("long").alias("c0"), *[docs[c].alias(f"c{k}") for k, c in enumerate(keep, 1)], docs[text_col].alias("__text"))
+    found = _passes(rows, benchmark.select(F.col(item_col).alias("item_id"), F.col(benchmark_text_col).alias("text")), window, block_windows)
+    return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate((id_col, *keep))], *[F.col(f"__{c}").alias(c) for c in ("n_words", "spans", "items")])
 
 
 SPANS = "array<struct<first:int,end:int>>"
@@ -141,15 +165,14 @@ SPANS_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
 
 def _passes(rows: DataFrame, benchmark: DataFrame, window: int, block_windows: int, finish=None) -> DataFrame:
-    """Add (n_words, spans, items) for the column ``__text``, which is the last of ``rows``; one pass per block.
+    """Add (__n_words, __spans, __items) for the column ``__text``, which is the last of ``rows``; one pass per block.
 
     With ``finish``, the last pass returns what it makes of (batch, n_words,
     spans): columns like those of ``rows``, with the text as it shall be.
     """
-    found = rows.withColumns({"n_words": F.lit(-1).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    found = rows.withColumns({"__n_words": F.lit(-1).cast("long"), "__spans": F.array().cast(SPANS), "__items": F.array().cast("array<string>")})
     width = len(rows.columns)
-    blocks = benchmark_blocks(benchmark.where("item_id is not null"), "item_id", "text", window, block_windows)
+    blocks = benchmark_blocks(store(benchmark_windows(benchmark, window)), block_windows)
     block = next(blocks, {})
     while block is not None:
         following = next(blocks, None)
@@ -174,7 +197,10 @@ def _passes(rows: DataFrame, benchmark: DataFrame, window: int, block_windows: i
 
             return run
 
-        found = map_batches(found, own if ends else f"{own}, n_words long, spans {SPANS}, items array<string>", make)
+        found = map_batches(found, T.StructType(found.schema.fields[: width if ends else None]), make)
+        if following is not None:
+            found = store(found)  # one block is alive at a time
+            sent.unpersist()
         block = following
     return found
 
@@ -220,8 +246,8 @@ def clean(
     others the hit spans are removed. A text that changes is otherwise kept to
     the byte; null texts stay null.
     """
-    others = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*[docs[c] for c in others], docs[text_col].alias("__text"))
+    others = {c: f"c{k}" for k, c in enumerate(c for c in docs.columns if c != text_col)}
+    rows = docs.select(*[docs[c].alias(k) for c, k in others.items()], docs[text_col].alias("__text"))
 
     def finish(batch, n_words, runs):
         keep = [sum(b - a for a, b in r) <= drop_share * max(n, 0) for n, r in zip(n_words, runs)]
@@ -233,4 +259,4 @@ def clean(
         return [*left.columns[: len(others)], text]
 
     cleaned = _passes(rows, benchmark.select(F.col(item_col).alias("item_id"), F.col(benchmark_text_col).alias("text")), window, block_windows, finish)
-    return cleaned.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return cleaned.select(*[F.col(others.get(c, "__text")).alias(c) for c in docs.columns])

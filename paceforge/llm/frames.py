@@ -11,23 +11,27 @@ from pyspark.sql import types as T
 
 
 #: Rows of an Arrow batch: texts can be long, and a task holds a batch on both sides.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_SETTING, BATCH_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable]]) -> DataFrame:
+def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], Iterable]]) -> DataFrame:
     """Run ``make()`` once per task and its result on every Arrow batch.
 
     The function gets a record batch and returns the output columns as a list,
-    in the order of ``schema``, or yields several such lists. Nothing outlives
-    the batch except what the function itself keeps.
+    in the order of ``schema``, or yields several such lists. A column is a
+    list of values or an Arrow array, such as one of the batch, of any type.
+    Nothing outlives the batch except what the function itself keeps. Where the
+    session's batch size is Spark's default it is set to ``BATCH_ROWS``.
     """
-    out = pa.schema([(f.name, _arrow(f.dataType)) for f in T._parse_datatype_string(schema).fields])
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+    names, kinds = [f.name for f in fields], [f.dataType for f in fields]
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if df.sparkSession.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -35,7 +39,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
             if batch.num_rows:
                 made = fn(batch)
                 for cols in made if isinstance(made, Iterator) else [made]:
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, _arrow(kind)) for c, kind in zip(cols, kinds)], names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -72,7 +76,10 @@ def scratch_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
-        found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if found is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = found or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
     return found

@@ -358,8 +358,7 @@ def keep_identified(docs: DataFrame, model: dict, min_score: float = 0.5, id_col
 
         return run
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_batches(docs, schema, make)
+    return map_batches(docs, docs.schema, make)
 
 
 def identify(docs: DataFrame, held_out_mod: int = 5, **options) -> DataFrame:

@@ -18,8 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .frames import map_batches, settle
+from .components import connected_components, first_of_repeats
+from .frames import map_batches, settle, store
 
 SEED, SHINGLE_WORDS, MAX_BITS = 42, 3, 2
 #: Shingles of one text that are counted at a time.
@@ -105,7 +105,19 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id is the smallest of their component, in their own columns; rows without an id stay."""
-    found = near_duplicates(docs, max_bits, id_col).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first document of each component, in their own columns.
+
+    The first is that with the smallest id, then with the smallest text hash;
+    of rows that repeat id and text one stays. Rows without an id stay.
+    """
+    texts = store(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("doc_key")).where("doc_id is not null"))
+    marked = texts.select("doc_id", "doc_key")
+    # every text is a document of its own here, whatever its id
+    numbered = store(texts.groupBy("doc_id", "doc_key").agg(F.first("text").alias("text")).withColumn("number", F.monotonically_increasing_id()))
+    found = near_duplicates(numbered, max_bits, "number").select(F.col("doc_id").alias("number"), "component_id")
+    placed = store(numbered.select("number", "doc_id", "doc_key").join(found, "number"))
+    least = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "doc_key")).alias("least"))
+    gone = placed.join(least, "component_id").where(F.struct("doc_id", "doc_key") > F.col("least")).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"))
+    docs = first_of_repeats(docs, marked, id_col, text_col)
+    return docs.join(gone, (docs[id_col].cast("long") == F.col("__id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("__key")), "left_anti").select(*docs.columns)

@@ -19,13 +19,18 @@ from pyspark.sql import DataFrame
 from .frames import map_batches
 
 #: Tag numbers and compression codes of the TIFF 6.0 format (fixed values).
-WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
+WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER = 256, 257, 258, 259, 262, 266
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q"}
 
 
+#: A page may hold as many samples as this; more is an error.
+MAX_SAMPLES = 1 << 28
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
 class TiffError(ValueError):
     """The file breaks the format, or uses a part of it that is not read here."""
 
@@ -131,14 +136,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def inflate(data: bytes) -> bytes:
+def inflate(data: bytes, most: int = 0) -> bytes:
+    """At most so many bytes of the stream; 0: all."""
     try:
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     except zlib.error as error:
         raise TiffError(f"deflate: {error}") from error
 
 
-DECODERS = {NONE: bytes, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
+#: Compression: (packed, bytes needed) -> bytes. LZW and PackBits cannot grow by more than their code lengths allow.
+DECODERS = {NONE: lambda x, n: x[:n], LZW: lambda x, n: lzw_decode(x), DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: lambda x, n: unpack_bits(x)}
 ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 6), OLD_DEFLATE: lambda x: zlib.compress(x, 6), PACKBITS: pack_bits}
 
 
@@ -159,7 +166,7 @@ def directories(data: bytes) -> list[tuple[str, dict[int, tuple]]]:
             for k in range(n):
                 entry = at + 2 + 12 * k
                 tag, kind, count = struct.unpack_from(order + "HHI", data, entry)
-                if kind in TYPES:
+                if kind in TYPES and count:
                     form = f"{order}{count}{TYPES[kind]}"
                     size = struct.calcsize(form)
                     where = entry + 8 if size <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
@@ -191,24 +198,40 @@ def undo_predictor(block: np.ndarray, predictor: int, order: str) -> np.ndarray:
     raise TiffError(f"predictor {predictor}")
 
 
+def _unpack_samples(raw: bytes, kind: np.dtype, bits: int, rows: int, pixels: int, samples: int) -> np.ndarray:
+    """[row, pixel, sample]; samples of less than a byte lie from the high bits on, and each row begins with a byte."""
+    if bits >= 8:
+        return np.frombuffer(raw, kind).reshape(rows, pixels, samples)
+    each = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : pixels * samples * bits]
+    return each.reshape(rows, pixels, samples, bits) @ (1 << np.arange(bits - 1, -1, -1)).astype(np.uint8)
+
+
 def read_page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
-    """The page's sizes and its samples as bytes, row by row, pixels interleaved, least significant byte first."""
-    one = lambda tag, default=None: tags.get(tag, (default,))[0]
+    """The page's sizes and its samples as bytes, row by row, pixels interleaved, least significant byte first; samples of less than a byte take one each."""
+
+    def one(tag: int, default: int | None = None) -> int | None:
+        value = tags.get(tag, (default,))[0]
+        if value is not None and not isinstance(value, int):
+            raise TiffError(f"tag {tag} is not a whole number")
+        return value
+
     width, height, samples = one(WIDTH), one(LENGTH), one(SAMPLES, 1)
     bits, compression, predictor, planar = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
     if not width or not height or samples < 1 or len(set(tags.get(BITS, (1,)))) > 1:
         raise TiffError("sizes are missing or differ by sample")
     if compression not in DECODERS:
         raise TiffError(f"compression {compression}")
-    if bits not in (8, 16, 32, 64):
-        raise TiffError(f"{bits} bits per sample")
-    kind = np.dtype(f"{order}u{bits // 8}")
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or (bits < 8 and predictor != 1):
+        raise TiffError(f"{bits} bits per sample, predictor {predictor}")
+    if min(width, height) < 0 or width * height * samples > MAX_SAMPLES:
+        raise TiffError(f"{width} x {height} x {samples} samples")
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
     tiled = TILE_OFFSETS in tags
     across, down = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ())
     planes, depth = (samples, 1) if planar == 2 else (1, samples)
-    if not across or not down:
-        raise TiffError("a block has no size")
+    if not across or not down or min(across, down) < 0 or across * down * depth > MAX_SAMPLES:
+        raise TiffError("a block has no size, or too large a one")
     columns, rows = -(-width // across), -(-height // down)
     if len(offsets) != len(counts) or len(offsets) < columns * rows * planes:
         raise TiffError("blocks are missing")
@@ -217,13 +240,15 @@ def read_page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
         plane, cell = divmod(k, columns * rows)
         top, left = cell // columns * down, cell % columns * across
         high = down if tiled else min(down, height - top)
-        if offsets[k] + counts[k] > len(data):
+        first, size = offsets[k], counts[k]
+        if not isinstance(first, int) or not isinstance(size, int) or min(first, size) < 0 or first + size > len(data):
             raise TiffError("a block lies outside the file")
-        raw = DECODERS[compression](data[offsets[k] : offsets[k] + counts[k]])
-        need = high * across * depth * kind.itemsize
+        packed = data[first : first + size]
+        need = high * (-(-across * depth * bits // 8))
+        raw = DECODERS[compression](packed.translate(_REVERSED) if one(FILL_ORDER, 1) == 2 else packed, need)[:need]
         if len(raw) < need:
             raise TiffError("a block is too short")
-        block = undo_predictor(np.frombuffer(raw[:need], kind).reshape(high, across, depth), predictor, order)
+        block = undo_predictor(_unpack_samples(raw, kind, bits, high, across, depth), predictor, order)
         part = page[top : top + high, left : left + across, plane : plane + depth]
         part[:] = block[: part.shape[0], : part.shape[1]]
     return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": compression, "predictor": predictor, "tiled": tiled, "pixels": page.astype(kind.newbyteorder("<")).tobytes()}
@@ -289,7 +314,7 @@ def read_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "media
                     try:
                         page = read_page(data, order, tags)
                         rows.append((key, k, *[page[n] for n in names], None))
-                    except (TiffError, ValueError) as error:
+                    except (TiffError, ValueError, OverflowError, MemoryError) as error:
                         rows.append((key, k, *[None] * len(names), str(error)))
             return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(len(names) + 3)]
 

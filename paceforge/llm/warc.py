@@ -15,16 +15,17 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import map_batches, scratch_dir
+from .frames import map_batches, scratch_dir, store
 
 VERSION, END = b"WARC/1.0", b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-RECORD = "record_id string, warc_type string, concurrent_to string, refers_to string, target_uri string, date string, digest string, page_id long, length long, headers string, payload binary"
+RECORD = "record_id string, warc_type string, concurrent_to string, refers_to string, target_uri string, date string, digest string, page_id long, length long, headers string, payload binary, error string"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -111,15 +112,28 @@ def parse_archive(data: bytes):
         while (line := stream.readline()).strip():
             name, _, value = line.partition(b":")
             headers[name.decode("utf-8").strip().lower()] = value.decode("utf-8").strip()
-        size = int(headers["content-length"])
+        size = int(headers.get("content-length", "-1"))
+        if size < 0:
+            raise ValueError("a WARC record has no length")
         block = stream.read(size)
         if len(block) < size:
             raise ValueError("a WARC block ends early")
         yield headers, block
 
 
+def _number(value: str | bytes | None) -> int | None:
+    """A count or id of at most 18 digits; null if it is none."""
+    text = value.decode("ascii", "replace") if isinstance(value, bytes) else value or ""
+    return int(text) if text.isascii() and text.lstrip("-").isdigit() and text.count("-") <= 1 and len(text) < 19 else None
+
+
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row per record of the archives under ``path``; without ``payloads`` their bytes are left out, not their digests."""
+    """One row per record of the archives under ``path``; without ``payloads`` their bytes are left out, not their digests.
+
+    Where an archive breaks off or breaks the format, its records up to there
+    are followed by a row of which only ``error`` is set. A page id or length
+    that is no number is null. An empty file has no records.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def parsed(headers: dict[str, str], block: bytes) -> tuple:
@@ -128,19 +142,22 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
         fields = dict(line.lower().replace(b" ", b"").split(b":", 1) for line in http.split(b"\r\n")[1:] if b":" in line)
         page, whole = headers.get("x-page-id"), kind == "response"
         digest = base32_sha1(payload) if whole else headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
-        length = len(payload) if whole else int(fields[b"content-length"]) if kind == "revisit" else None
+        length = len(payload) if whole else _number(fields.get(b"content-length")) if kind == "revisit" else None
         ids = (headers.get(k) for k in ("warc-record-id", "warc-type", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-date"))
-        return (*ids, digest, int(page) if page else None, length, http.decode("utf-8", "replace"), payload if payloads and whole else None)
+        return (*ids, digest, _number(page), length, http.decode("utf-8", "replace"), payload if payloads and whole else None, None)
 
     def make():
         def run(batch):
             rows = []
             for data in batch.column(0):
-                for headers, block in parse_archive(data.as_py()):
-                    rows.append(parsed(headers, block))
-                    if len(rows) >= 500:
-                        yield [list(c) for c in zip(*rows)]
-                        rows = []
+                try:
+                    for headers, block in parse_archive(data.as_py()):
+                        rows.append(parsed(headers, block))
+                        if len(rows) >= 500:
+                            yield [list(c) for c in zip(*rows)]
+                            rows = []
+                except (ValueError, EOFError, OSError, zlib.error) as error:
+                    rows.append((*[None] * 11, str(error)))
             if rows:
                 yield [list(c) for c in zip(*rows)]
 
@@ -182,6 +199,7 @@ def write_and_assemble(pages: DataFrame, records_per_file: int = 6000) -> DataFr
     spark = pages.sparkSession
     path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, records_per_file)
-    return assemble(read_records(spark, path, payloads=False)).select(
+    # the archives are parsed once; without payloads the records are small
+    return assemble(store(read_records(spark, path, payloads=False))).select(
         "page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", (F.col("request").isNotNull() & F.col("metadata").isNotNull()).alias("complete")
     )

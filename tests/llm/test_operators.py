@@ -131,6 +131,22 @@ def test_warc_reads_record_compression_and_payloads(spark, tmp_path):
     assert row.request.headers.startswith("GET /b HTTP") and "page_id: 7" in row.metadata.headers
 
 
+def test_warc_broken_archives_give_error_rows(spark, tmp_path):
+    import gzip
+
+    records = warc.capture_records(7, "http://a/b", b"body", None)
+    whole = gzip.compress(b"".join(r + warc.END for r in records))
+    (tmp_path / "cut.warc.gz").write_bytes(whole[:-20])
+    (tmp_path / "text.warc").write_bytes(b"no archive")
+    (tmp_path / "length.warc").write_bytes(records[0].replace(b"Content-Length", b"Content-Size") + warc.END)
+    (tmp_path / "number.warc").write_bytes(records[1].replace(b"X-Page-Id: 7", b"X-Page-Id: seven") + warc.END)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = warc.read_records(spark, str(tmp_path)).collect()
+    assert sum(r.error is not None for r in rows) == 3 and all(r.record_id is None for r in rows if r.error)
+    assert any(r.page_id is None and r.warc_type == "response" for r in rows)
+    assert warc.assemble(warc.read_records(spark, str(tmp_path))).count() >= 1
+
+
 def test_toxicity_finds_marked_words(spark):
     rnd = random.Random(4)
     names = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
@@ -391,6 +407,71 @@ def test_tiff_codecs_and_floating_point_predictor():
     assert tiff.undo_predictor(block, 3, "<").tobytes() == values.astype("<f4").tobytes()
 
 
+def crafted(entries):
+    """A little-endian file with one directory of (tag, type, count, four value bytes)."""
+    import struct
+
+    fields = b"".join(struct.pack("<HHI", tag, kind, count) + value for tag, kind, count, value in entries)
+    return b"II*\0\x0a\0\0\0\xa5\x0f" + struct.pack("<H", len(entries)) + fields + b"\0\0\0\0"
+
+
+def test_tiff_crafted_files_give_error_rows(spark):
+    import struct
+
+    number = lambda v: struct.pack("<I", v)
+    sizes = [(256, 4, 1, number(4)), (257, 4, 1, number(1))]
+    block = [(273, 4, 1, number(8)), (279, 4, 1, number(2))]
+    files = [
+        (1, crafted([(256, 4, 0, number(0)), sizes[1], *block])),
+        (2, crafted([(256, 11, 1, struct.pack("<f", 4.0)), sizes[1], *block])),
+        (3, crafted([(256, 4, 1, number(1 << 31)), (257, 4, 1, number(1 << 31)), *block])),
+        (4, crafted([*sizes, (258, 3, 1, number(4)), *block])),
+        (5, crafted([(256, 4, 1, number(12)), sizes[1], (266, 3, 1, number(2)), *block])),
+    ]
+    rows = {r.doc_id: r for r in tiff.read_pages(spark.createDataFrame(files, "doc_id long, media binary")).collect()}
+    assert all(rows[i].error and rows[i].pixels is None for i in (1, 2, 3))
+    assert list(rows[4].pixels) == [0xA, 0x5, 0x0, 0xF]
+    assert list(rows[5].pixels) == [int(b) for b in "101001011111"]
+    assert tiff.read_pages(spark.createDataFrame([], "doc_id long, media binary")).count() == 0
+    assert tiff.inflate(zlib.compress(bytes(1 << 20)), 100) == bytes(100)
+
+
+CLASHING = "doc_id long, text string, items string, spans int, n_words float, day date, at timestamp, small short, price decimal(10,2), tags map<string,int>, __n_words long, c0 string"
+
+
+def clashing(spark, texts):
+    import datetime as dt
+    from decimal import Decimal
+
+    rest = ("x", 1, 1.5, dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5), 7, Decimal("1.25"), {"a": 1}, 9, "z")
+    return spark.createDataFrame([(i, t, *rest) for i, t in texts], CLASHING)
+
+
+def test_filters_carry_columns_of_any_name_and_type(spark):
+    texts = [(1, "the house and the water " * 5), (2, None), (3, "one two three four five six seven eight nine ten and more"), (3, ""), (None, "x y z")]
+    docs = clashing(spark, texts)
+    benchmark = spark.createDataFrame([("a", "two three four")], "item_id string, text string")
+    cleaned = decontam.clean(docs, benchmark, block_windows=1)
+    assert cleaned.schema == docs.schema and Counter(r.text for r in cleaned.collect()) == Counter([*(t for _, t in texts if t is None or "two" not in t), "one  five six seven eight nine ten and more"])
+    model = langid.fit(docs.withColumn("lang", F.lit("en")))
+    kept = langid.keep_identified(docs, model)
+    assert kept.schema == docs.schema and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
+    assert {tuple(map(str, r[2:])) for r in kept.collect()} == {tuple(map(str, r[2:])) for r in docs.collect()}
+    assert linedup.remove_repeated(docs).schema == docs.schema and simhash.keep_one(docs).schema == docs.schema
+
+
+@pytest.mark.parametrize("module", ["simhash", "nearcopies"])
+def test_near_dedup_removes_rows_not_ids(spark, module):
+    from paceforge.llm import nearcopies
+
+    keep_one = {"simhash": simhash, "nearcopies": nearcopies}[module].keep_one
+    same, other = "alpha beta gamma delta epsilon zeta eta", "quite another text of several plain words indeed"
+    rows = [(1, same), (5, same), (5, other), (8, other), (9, "again " * 9), (9, "again " * 9), (None, same), (10, None), (11, "")]
+    kept = keep_one(documents(spark, rows))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, same), (5, other), (9, "again " * 9), (None, same), (10, None)])
+    assert keep_one(documents(spark, [])).count() == 0
+
+
 def test_tiff_digests_and_broken_files(spark):
     rows = AWKWARD + [(20, "y" * 64), (21, "y" * 65)]
     found = defaultdict(list)
