@@ -51,11 +51,12 @@ def rolling_efforts(samples: DataFrame, wanted: DataFrame) -> DataFrame:
     here = pairs.select("activity_id", "target", "target_m", F.col("d").alias("x"), known.alias("point"), nothing.alias("of"), F.lit(0).alias("side"))
     ends = pairs.select("activity_id", "target", "target_m", (F.col("d") + F.col("target_m")).cast("decimal(14,3)").alias("x"), nothing.alias("point"), known.alias("of"), F.lit(1).alias("side"))
     starts = pairs.select("activity_id", "target", "target_m", (F.col("d") - F.col("target_m")).cast("decimal(14,3)").alias("x"), nothing.alias("point"), known.alias("of"), F.lit(-1).alias("side"))
-    order = Window.partitionBy("activity_id", "target").orderBy("x")
+    # both frames grow by a row at a time; a frame that shrinks would be read anew for each row
+    below, above = (Window.partitionBy("activity_id", "target").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col("x").asc(), F.col("x").desc()))
     filled = (
         here.unionByName(ends)
         .unionByName(starts)
-        .withColumns({"p": F.last("point", True).over(order.rangeBetween(Window.unboundedPreceding, 0)), "q": F.first("point", True).over(order.rangeBetween(0, Window.unboundedFollowing))})
+        .withColumns({"p": F.last("point", True).over(below), "q": F.last("point", True).over(above)})
         .where("side <> 0 and p is not null and q is not null")
     )
     exact = F.col("p.d") == F.col("x")

@@ -94,15 +94,16 @@ def walk_forward(observations: DataFrame) -> DataFrame:
 
     Baselines: the best Riegel prediction from any earlier result, the most
     recent result over the distance, and their median. ``observations`` is
-    (athlete_id, activity_id, distance, elapsed_s, achieved_at), achieved_at
-    unique per athlete. Everything is a running window: the best Riegel source
-    for a distance is the one with the least seconds / metres ** 1.06.
+    (athlete_id, activity_id, distance, elapsed_s, achieved_at). Results at one
+    instant do not know each other; of equally recent ones the last by id
+    counts. Everything is a running window: the best Riegel source for a
+    distance is the one with the least seconds / metres ** 1.06.
     """
     metres = official_metres(F.col("distance"))
     scaled = observations.withColumn("ratio", F.col("elapsed_s") / F.pow(metres, F.lit(RIEGEL_EXPONENT)))
-    earlier = Window.partitionBy("athlete_id").orderBy("achieved_at", "activity_id").rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("athlete_id", "distance").orderBy("achieved_at", "activity_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = scaled.withColumns({"best": F.min("ratio").over(earlier), "recent": F.last("elapsed_s").over(same), "median": F.expr("percentile(elapsed_s, 0.5)").over(same)})
+    earlier, same = (Window.partitionBy(*keys).orderBy(F.unix_micros("achieved_at")).rangeBetween(Window.unboundedPreceding, -1) for keys in (["athlete_id"], ["athlete_id", "distance"]))
+    recent = F.max(F.struct("achieved_at", "activity_id", "elapsed_s")).over(same)["elapsed_s"]
+    seen = scaled.withColumns({"best": F.min("ratio").over(earlier), "recent": recent, "median": F.expr("percentile(elapsed_s, 0.5)").over(same)})
     long = seen.select(
         "athlete_id",
         "activity_id",
@@ -142,3 +143,34 @@ def validation_metrics(predictions: DataFrame, places: int = 3) -> DataFrame:
             F.round(F.avg("signed_error_s"), places).alias("mean_signed_s"),
         )
     )
+
+
+#: What a set of observations needs before a model may be tried on it (fixed values).
+LEAST_LABELS, LEAST_TARGETS, LEAST_DISTANCES = 30, 8, 2
+
+
+def eligibility(observations: DataFrame) -> DataFrame:
+    """Per athlete whether verified observations allow a candidate model: (athlete_id, labels, chronological_targets, distances, status, reasons).
+
+    A chronological target is an observation with a strictly earlier one.
+    ``reasons`` names the gates that are not passed, in order.
+    """
+    first = F.min("achieved_at").over(Window.partitionBy("athlete_id"))
+    counted = observations.withColumn("later", F.col("achieved_at") > first).groupBy("athlete_id").agg(F.count("*").alias("labels"), F.count_if("later").alias("chronological_targets"), F.count_distinct("distance").alias("distances"))
+    gates = [("labels", LEAST_LABELS), ("chronological_targets", LEAST_TARGETS), ("distances", LEAST_DISTANCES)]
+    reasons = F.array_compact(F.array(*[F.when(F.col(c) < n, F.lit(c)) for c, n in gates]))
+    return counted.withColumn("reasons", reasons).withColumn("status", F.when(F.size("reasons") == 0, "eligible_for_candidate_model").otherwise("descriptive_only"))
+
+
+def feature_dataset(candidates: DataFrame, windows: DataFrame, workload: DataFrame, bests: DataFrame, verified: DataFrame) -> DataFrame:
+    """One row per candidate with its features of before the event and, if it was verified, its result (``label_s``).
+
+    The parts are those of ``pre_event_windows``, ``prior_workload`` and
+    ``prior_bests``; ``verified`` is (activity_id, distance, elapsed_s). A
+    candidate whose result was verified over another distance has no label.
+    """
+    labels = verified.select("activity_id", "distance", F.col("elapsed_s").alias("label_s"))
+    joined = candidates.join(labels, ["activity_id", "distance"], "left")
+    for part in (windows, workload, bests):
+        joined = joined.join(part, "activity_id", "left")
+    return joined

@@ -85,6 +85,31 @@ def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("a_id", "b_id", method.alias("method"), *[F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in ("athlete_id", "kind", "start_s", "elapsed_s")], *[value(f).alias(f) for f in MERGED], sources.alias("provenance"))
 
 
+def merge_canonical(reconciled: DataFrame, sources: DataFrame, known: DataFrame) -> DataFrame:
+    """What becomes of each reconciled activity in the stored table: (key, activity_id, action, new_sources).
+
+    ``sources`` is (key, provider, external_id), the representations of each
+    reconciled ``key``; ``known`` (provider, external_id, activity_id) are the
+    stored ones. An activity whose representations are stored under one
+    activity is merged into it (``updated``), under several it is a
+    ``conflict``, else it is ``created`` with an id made from its least
+    representation. Stored representations without an activity are linked, not
+    counted as new. A second identical import creates nothing.
+    """
+    own = sources.select("key", "provider", "external_id").distinct()
+    found = own.join(known.select("provider", "external_id", "activity_id").distinct().withColumn("stored", F.lit(True)), ["provider", "external_id"], "left")
+    of = found.groupBy("key").agg(
+        F.count_distinct("activity_id").alias("links"),
+        F.min("activity_id").alias("linked"),
+        F.count_distinct(F.when(F.col("stored").isNull(), F.struct("provider", "external_id"))).alias("new_sources"),
+        F.min(F.struct("provider", "external_id")).alias("least"),
+    )
+    action = F.when(F.col("links") > 1, "conflict").when(F.col("links") == 1, "updated").otherwise("created")
+    made = F.xxhash64("least.provider", "least.external_id")
+    activity_id = F.when(F.col("links") == 1, F.col("linked")).when(F.col("links") == 0, made)
+    return reconciled.select("key").join(of, "key").select("key", activity_id.alias("activity_id"), action.alias("action"), "new_sources")
+
+
 def findings(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_id, code): runs that matched several rows and were kept alone."""
     return assign(strong_matches(a, b)).where("outcome = 'ambiguous'").select("a_id", F.lit("CROSS_SOURCE_MATCH_AMBIGUOUS").alias("code"))

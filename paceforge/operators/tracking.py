@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .reconcile import START_S
@@ -38,7 +38,7 @@ def session_candidates(sessions: DataFrame, runs: DataFrame) -> DataFrame:
     fits = kind_fits(F.col("kind"), F.col("tags"), F.col("primary"), F.col("activity_type"), km, F.col("target_km"))
     same = F.col("day") == F.col("scheduled")
     score = F.when(same, SAME_DAY).otherwise(ADJACENT) + F.when(fits, FITTING).otherwise(0.0) + F.greatest(F.lit(0.0), DISTANCE - off * DISTANCE)
-    return met.select("plan_id", "session", "activity_id", "start_utc", same.alias("same_day"), fits.alias("fits"), score.alias("score"))
+    return met.select("plan_id", "session", "activity_id", "start_utc", same.alias("same_day"), fits.alias("fits"), score.alias("score"), km.alias("actual_km"), F.col("day").alias("activity_date"))
 
 
 def _take(candidates: pd.DataFrame) -> pd.DataFrame:
@@ -64,12 +64,69 @@ def match_sessions(sessions: DataFrame, runs: DataFrame) -> DataFrame:
 
 def session_status(sessions: DataFrame, matches: DataFrame, candidates: DataFrame) -> DataFrame:
     """Each session with upcoming, due, missed, substituted, partial (under three quarters) or completed, and its run."""
-    chosen = matches.join(candidates.select("plan_id", "session", "activity_id", "fits", "same_day"), ["plan_id", "session", "activity_id"])
+    chosen = matches.join(candidates.select("plan_id", "session", "activity_id", "fits", "same_day", "actual_km", "activity_date"), ["plan_id", "session", "activity_id"])
     joined = sessions.join(chosen, ["plan_id", "session"], "left")
     open_status = F.when(F.col("scheduled") > F.col("as_of"), "upcoming").when(F.col("scheduled") == F.col("as_of"), "due").otherwise("missed")
     done = F.when(~F.col("fits"), "substituted").when(F.col("actual_km") < 0.75 * F.col("target_km"), "partial").otherwise("completed")
     status = F.when(F.col("activity_id").isNull(), open_status)
-    return joined.withColumn("status", status.otherwise(done)) if "actual_km" in joined.columns else joined.withColumn("status", status.otherwise(F.when(~F.col("fits"), "substituted").otherwise("completed")))
+    return joined.withColumn("status", status.otherwise(done))
+
+
+def pace_status(planned_kind: Column, faster: Column, slower: Column, actual: Column) -> Column:
+    """Where an actual pace (s/km) lies beside the planned range; hard sessions are not judged by pace."""
+    return (
+        F.when(planned_kind.isin("quality", "race"), "not_applicable")
+        .when(faster.isNull() | slower.isNull() | actual.isNull(), "unavailable")
+        .when(actual < faster, "faster_than_planned")
+        .when(actual > slower, "easier_than_planned")
+        .otherwise("within_range")
+    )
+
+
+def pending_sessions(statuses: DataFrame, most: int = 3) -> DataFrame:
+    """The next upcoming, due or partial sessions of each plan, in plan order, numbered from 1: a report of the first ``most``."""
+    order = Window.partitionBy("plan_id").orderBy("scheduled", "session")
+    return statuses.where(F.col("status").isin("upcoming", "due", "partial")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+
+
+def latest_completed(statuses: DataFrame) -> DataFrame:
+    """The session of each plan whose run is the latest; of one day the first in plan order."""
+    done = statuses.where(F.col("status").isin("completed", "partial", "substituted") & F.col("activity_date").isNotNull())
+    order = Window.partitionBy("plan_id").orderBy(F.desc("activity_date"), "scheduled", "session")
+    return done.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+
+
+#: From what share and distance above the plan optional volume is trimmed (fixed values).
+OVER_PCT, OVER_KM = 115.0, 5.0
+
+
+def recommendations(statuses: DataFrame) -> DataFrame:
+    """(plan_id, planned_km, actual_km, adherence_pct, recommendation): one code per plan.
+
+    Planned distance counts sessions up to the as-of date. A missed hard session
+    comes first, then a partial one, then volume far above the plan, then a plan
+    that has not begun, then the next session; else the week is complete.
+    """
+    hard = F.col("kind").isin("quality", "long", "race")
+    due = F.col("scheduled") <= F.col("as_of")
+    sums = statuses.groupBy("plan_id").agg(
+        F.sum(F.when(due, F.col("target_km")).otherwise(0.0)).alias("planned_km"),
+        F.coalesce(F.sum("actual_km"), F.lit(0.0)).alias("actual_km"),
+        F.bool_or(hard & (F.col("status") == "missed")).alias("missed"),
+        F.bool_or(hard & (F.col("status") == "partial")).alias("half"),
+        F.bool_or(F.col("status").isin("due", "upcoming")).alias("next"),
+        F.bool_or(due).alias("begun"),
+    )
+    share = F.when(F.col("planned_km") > 0, F.col("actual_km") / F.col("planned_km") * 100)
+    code = (
+        F.when(F.col("missed"), "avoid_makeup_quality")
+        .when(F.col("half"), "accept_partial_quality")
+        .when((share > OVER_PCT) & (F.col("actual_km") - F.col("planned_km") >= OVER_KM), "reduce_optional_volume")
+        .when(~F.col("begun") & F.col("next"), "plan_not_started")
+        .when(F.col("next"), "continue_as_planned")
+        .otherwise("week_complete")
+    )
+    return sums.select("plan_id", F.round("planned_km", 3).alias("planned_km"), F.round("actual_km", 3).alias("actual_km"), F.round(share, 4).alias("adherence_pct"), code.alias("recommendation"))
 
 
 def resolve_files(files: DataFrame, sources: DataFrame, activities: DataFrame) -> DataFrame:

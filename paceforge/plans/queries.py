@@ -39,15 +39,16 @@ def _series(spark: SparkSession, sf_dir: str, places: int = 4) -> DataFrame:
 METRICS = """,
 timed AS (
   SELECT t.*, CASE WHEN is_paused THEN 0 ELSE greatest(0, least(10000, coalesce(lead(elapsed_ms) OVER (PARTITION BY activity_id ORDER BY seq) - elapsed_ms, 0))) END AS ms FROM trackpoints t),
-own AS (SELECT a.*, p.max_hr FROM activities a LEFT JOIN profiles p ON a.athlete_id = p.athlete_id AND p.valid_from <= a.local_date AND (p.valid_to IS NULL OR a.local_date < p.valid_to)),
+own AS MATERIALIZED (SELECT a.*, p.max_hr FROM activities a LEFT JOIN profiles p ON a.athlete_id = p.athlete_id AND p.valid_from <= a.local_date AND (p.valid_to IS NULL OR a.local_date < p.valid_to)),
+zoned AS (SELECT t.*, CASE WHEN heart_rate IS NULL OR max_hr IS NULL THEN 0 WHEN heart_rate / max_hr < 0.6 THEN 1 WHEN heart_rate / max_hr < 0.7 THEN 2 WHEN heart_rate / max_hr < 0.8 THEN 3 WHEN heart_rate / max_hr < 0.9 THEN 4 ELSE 5 END AS zone
+  FROM timed t JOIN (SELECT activity_id, max_hr FROM own) o USING (activity_id)),
 sums AS (
   SELECT t.activity_id, sum(CASE WHEN heart_rate IS NOT NULL THEN ms ELSE 0 END) AS hr_ms, sum(CASE WHEN has_position THEN ms ELSE 0 END) AS gps_ms,
     sum(CASE WHEN cadence IS NOT NULL THEN ms ELSE 0 END) AS cadence_ms,
-    sum(CASE WHEN heart_rate IS NULL OR max_hr IS NULL THEN 0 WHEN heart_rate / max_hr < 0.6 THEN ms WHEN heart_rate / max_hr < 0.7 THEN 2 * ms
-      WHEN heart_rate / max_hr < 0.8 THEN 3 * ms WHEN heart_rate / max_hr < 0.9 THEN 4 * ms ELSE 5 * ms END) AS weighted_ms
-  FROM timed t JOIN own USING (activity_id) GROUP BY 1),
-metrics AS (
-  SELECT o.*, eff, CAST(eff / 60000 AS DECIMAL(18,6)) AS training_load, coalesce(hr_ms, 0) AS hr_ms, coalesce(gps_ms, 0) AS gps_ms, coalesce(cadence_ms, 0) AS cadence_ms,
+    sum(zone * ms) AS weighted_ms, sum(ms) FILTER (zone = 1) AS z1, sum(ms) FILTER (zone = 2) AS z2, sum(ms) FILTER (zone = 3) AS z3, sum(ms) FILTER (zone = 4) AS z4, sum(ms) FILTER (zone = 5) AS z5
+  FROM zoned t GROUP BY 1),
+metrics AS MATERIALIZED (
+  SELECT o.*, eff, CAST(eff / 60000 AS DECIMAL(18,6)) AS training_load, coalesce(hr_ms, 0) AS hr_ms, coalesce(gps_ms, 0) AS gps_ms, coalesce(cadence_ms, 0) AS cadence_ms, coalesce(z1, 0) AS z1, coalesce(z2, 0) AS z2, coalesce(z3, 0) AS z3, coalesce(z4, 0) AS z4, coalesce(z5, 0) AS z5,
     CASE WHEN max_hr IS NOT NULL AND hr_ms > 0 THEN round(weighted_ms / 60000, 6) END AS edwards_trimp
   FROM (SELECT *, CASE WHEN moving_ms > 0 THEN moving_ms ELSE elapsed_ms END AS eff FROM own) o LEFT JOIN sums USING (activity_id))
 """
@@ -59,11 +60,13 @@ metrics AS (
 SELECT activity_id, athlete_id, local_date, round(CASE WHEN moving_ms > 0 AND distance_m > 0 THEN moving_ms / CAST(distance_m AS DOUBLE) END, 6) AS moving_pace,
   round(CASE WHEN elapsed_ms > 0 AND distance_m > 0 THEN elapsed_ms / CAST(distance_m AS DOUBLE) END, 6) AS elapsed_pace,
   round(CASE WHEN eff > 0 THEN least(hr_ms, eff) / eff * 100 ELSE 0 END, 4) AS hr_coverage, round(CASE WHEN eff > 0 THEN least(gps_ms, eff) / eff * 100 ELSE 0 END, 4) AS gps_coverage,
-  round(CASE WHEN eff > 0 THEN least(cadence_ms, eff) / eff * 100 ELSE 0 END, 4) AS cadence_coverage, CAST(training_load AS DOUBLE) AS training_load, edwards_trimp
-FROM metrics"""
+  round(CASE WHEN eff > 0 THEN least(cadence_ms, eff) / eff * 100 ELSE 0 END, 4) AS cadence_coverage, CAST(training_load AS DOUBLE) AS training_load, edwards_trimp, """
+    + ", ".join(f"CASE WHEN max_hr IS NOT NULL THEN round(z{z} / 1000, 3) END AS zone{z}_s, CASE WHEN max_hr IS NOT NULL THEN round(CASE WHEN hr_ms > 0 THEN least(z{z}, hr_ms) / hr_ms * 100 ELSE 0 END, 4) END AS zone{z}_pct" for z in range(1, 6))
+    + " FROM metrics"
 )
 def activity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir).drop("zones").withColumn("training_load", F.col("training_load").cast("double"))
+    zones = {f"zone{z}_{short}": F.col("zones")[z - 1][field] for z in range(1, 6) for short, field in (("s", "seconds"), ("pct", "pct"))}
+    return _metrics(spark, sf_dir).withColumns({"training_load": F.col("training_load").cast("double"), **zones}).drop("zones")
 
 
 SERIES = """,
@@ -113,9 +116,9 @@ def trailing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.trailing(acts, _as_of(acts))
 
 
-@query(METRICS + "SELECT athlete_id, round(avg(CASE WHEN eff > 0 THEN round(least(hr_ms, eff) / eff * 100, 4) ELSE 0 END), 8) AS hr_coverage, round(avg(CASE WHEN eff > 0 THEN round(least(gps_ms, eff) / eff * 100, 4) ELSE 0 END), 8) AS gps_coverage, count(edwards_trimp) AS with_trimp FROM metrics GROUP BY 1")
+@query(METRICS + "SELECT athlete_id, round(avg(CASE WHEN eff > 0 THEN round(least(hr_ms, eff) / eff * 100, 4) ELSE 0 END), 8) AS hr_coverage, round(avg(CASE WHEN eff > 0 THEN round(least(gps_ms, eff) / eff * 100, 4) ELSE 0 END), 8) AS gps_coverage, round(avg(CASE WHEN eff > 0 THEN round(least(cadence_ms, eff) / eff * 100, 4) ELSE 0 END), 8) AS cadence_coverage, count(edwards_trimp) AS with_trimp FROM metrics GROUP BY 1")
 def coverage_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.coverage(_metrics(spark, sf_dir), places=8).drop("cadence_coverage")
+    return trends.coverage(_metrics(spark, sf_dir), places=8)
 
 
 @query(
@@ -145,7 +148,7 @@ def distance_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLASSES = """,
-titles AS (SELECT DISTINCT name AS title FROM all_activities UNION SELECT DISTINCT p_name || ' ' || (p_size % 9) || ' × ' || p_size || ' ' || p_type FROM part UNION SELECT substr(text, 1, 200) FROM documents),
+titles AS (SELECT DISTINCT name AS title FROM all_activities UNION SELECT DISTINCT p_name || ' ' || (p_size % 9) || ' × ' || p_size || ' ' || p_type FROM part UNION SELECT text FROM documents),
 folded AS (SELECT title, trim(regexp_replace(lower(regexp_replace(strip_accents(replace(title, '×', 'x')), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9+]+', ' ', 'g')) AS t FROM titles),
 tagged AS (SELECT title, t, list_filter([
   CASE WHEN regexp_matches(t, '\\b(race|racing|time\\s+trial|competition|championship)\\b') THEN 'race' END, CASE WHEN regexp_matches(t, '\\b(hills?|hilly|climbs?|cotes?)\\b') THEN 'hills' END,
@@ -153,7 +156,7 @@ tagged AS (SELECT title, t, list_filter([
   CASE WHEN regexp_matches(t, '\\b(progressive|progression|negative\\s+split)\\b') THEN 'progressive' END, CASE WHEN regexp_matches(t, '\\b(long|sortie\\s+longue)\\b') THEN 'long' END,
   CASE WHEN regexp_matches(t, '\\b(easy|aerobic|recovery|shakeout|footing|z(one\\s*)?2)\\b') THEN 'easy' END], lambda x: x IS NOT NULL) AS tags,
   regexp_matches(t, '\\b\\d+\\s*x\\s*\\d+(\\.\\d+)?\\s*(km|k|m|min|minute|minutes|s|sec|seconds)?\\b') AS notation FROM folded),
-classed AS (SELECT *, CASE WHEN len(tags) > 0 THEN tags WHEN notation THEN ['intervals'] ELSE ['unclassified'] END AS kinds FROM tagged)
+classed AS MATERIALIZED (SELECT *, CASE WHEN len(tags) > 0 THEN tags WHEN notation THEN ['intervals'] ELSE ['unclassified'] END AS kinds FROM tagged)
 """
 
 
@@ -248,10 +251,9 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.walk_forward(_observations(spark, sf_dir)).drop("signed_error_s", "absolute_error_s")
 
 
-@query(FORWARD + "SELECT baseline, distance, count(*) AS n, round(avg(round(abs(p - actual), 3)), 6) AS mae_s, round(avg(round(abs(p - actual) / actual * 100, 6)), 7) AS mape, round(avg(round(p - actual, 3)), 6) AS mean_signed_s FROM pred GROUP BY GROUPING SETS ((baseline), (baseline, distance))")
+@query(FORWARD + "SELECT baseline, distance, count(*) AS n, round(avg(round(abs(p - actual), 3)), 6) AS mae_s, round(median(round(abs(p - actual), 3)), 6) AS median_ae_s, round(avg(round(abs(p - actual) / actual * 100, 6)), 7) AS mape, round(avg(round(p - actual, 3)), 6) AS mean_signed_s FROM pred GROUP BY GROUPING SETS ((baseline), (baseline, distance))")
 def validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = features.validation_metrics(features.walk_forward(_observations(spark, sf_dir)), places=6)
-    return found.drop("median_ae_s")
+    return features.validation_metrics(features.walk_forward(_observations(spark, sf_dir)), places=6)
 
 
 def _window_columns() -> str:
@@ -266,6 +268,7 @@ def _window_columns() -> str:
             f"round(CASE WHEN sum(distance_m) {f} > 0 AND sum(moving_ms) {f} > 0 THEN sum(moving_ms) {f} / CAST(sum(distance_m) {f} AS DOUBLE) END, 6) AS {p}weighted_pace",
             f"round(CAST(sum(elevation_m) {f} AS DOUBLE), 6) AS {p}elevation_m",
             f"round(CAST(coalesce(sum(training_load) {f}, 0) AS DOUBLE), 6) AS {p}load_min",
+            f"count(*) FILTER (back <= {n} AND hr_coverage > 0) AS {p}hr_runs",
             f"count(*) FILTER (back <= {n} AND tag <> 'unclassified') AS {p}classified",
             f"count(*) FILTER (back <= {n} AND tag IN ('race', 'intervals', 'progressive')) AS {p}quality",
         ]
@@ -273,25 +276,30 @@ def _window_columns() -> str:
     return ", ".join(out)
 
 
-@query(
-    STANDARD
-    + """, hist AS (SELECT *, CAST((CASE WHEN moving_ms > 0 THEN moving_ms ELSE elapsed_ms END) / 60000 AS DECIMAL(18,6)) AS training_load,
-  CASE name WHEN 'City Race' THEN 'race' WHEN '6 x 1K intervals' THEN 'intervals' WHEN 'Progressive long run' THEN 'progressive' WHEN 'Easy aerobic' THEN 'easy' ELSE 'unclassified' END AS tag FROM activities),
+WINDOWS = (
+    """, hist AS (SELECT m.* EXCLUDE (training_load), training_load, round(CASE WHEN eff > 0 THEN least(hr_ms, eff) / eff * 100 ELSE 0 END, 4) AS hr_coverage,
+  CASE name WHEN 'City Race' THEN 'race' WHEN '6 x 1K intervals' THEN 'intervals' WHEN 'Progressive long run' THEN 'progressive' WHEN 'Easy aerobic' THEN 'easy' ELSE 'unclassified' END AS tag FROM metrics m),
 x AS (SELECT n.activity_id AS id, date_diff('day', h.local_date, n.local_date) AS back, h.* EXCLUDE (activity_id) FROM near n JOIN hist h ON h.athlete_id = n.athlete_id AND h.start_utc < n.start_utc AND h.local_date >= n.local_date - 365),
 agg AS (SELECT id AS activity_id, """
     + _window_columns()
     + """ FROM (SELECT * FROM x UNION ALL BY NAME SELECT activity_id AS id, 100000 AS back FROM near) GROUP BY 1)
-SELECT * FROM agg"""
+"""
 )
-def feature_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+NEAR = ", " + STANDARD.strip().lstrip(",").strip()
+
+
+def _windows(spark: SparkSession, sf_dir: str, near: DataFrame) -> DataFrame:
     acts = views.activities(spark, sf_dir)
     c = titles.classify(F.col("name"))
     # titles repeat; each is classified once and joined back by name
     classes = acts.select("name").distinct().withColumn("c", c).select("name", "c.tags", "c.is_quality")
-    load = scalars.half_up(scalars.effective_ms(F.col("moving_ms"), F.col("elapsed_ms")) / 60000, 6)
-    history = acts.join(classes, "name").withColumns({"training_load": load, "hr_coverage": F.lit(0.0)})
-    found = features.pre_event_windows(features.distance_candidates(acts).select("activity_id", "athlete_id", "start_utc", "local_date"), history)
-    return found.select(*[c for c in found.columns if not c.endswith("hr_runs")])
+    history = acts.join(classes, "name").join(_metrics(spark, sf_dir).select("activity_id", "hr_coverage", "training_load"), "activity_id")
+    return features.pre_event_windows(near.select("activity_id", "athlete_id", "start_utc", "local_date"), history)
+
+
+@query(METRICS + NEAR + WINDOWS + "SELECT * FROM agg")
+def feature_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, features.distance_candidates(views.activities(spark, sf_dir)))
 
 
 PROVIDERS = """,
@@ -336,13 +344,15 @@ def _tagged(acts: DataFrame) -> DataFrame:
     return acts.join(classes, "name")
 
 
-ASKS = """, asks AS (SELECT athlete_id, 0::BIGINT AS ask, max(local_date) AS as_of FROM activities GROUP BY 1 UNION ALL SELECT athlete_id, activity_id + 1, local_date - 1 FROM activities WHERE activity_id % 50 = 0)
+ASKS = """, asks AS (SELECT athlete_id, 0::BIGINT AS ask, max(local_date) AS as_of FROM activities GROUP BY 1 UNION ALL SELECT athlete_id, activity_id + 1, CAST(achieved_at AS DATE) - 1 FROM prog)
 """
 
 
 def _asks(acts: DataFrame) -> DataFrame:
     now = _as_of(acts).select("athlete_id", F.lit(0).cast("bigint").alias("ask"), "as_of")
-    return now.unionByName(acts.where("activity_id % 50 = 0").select("athlete_id", (F.col("activity_id") + 1).alias("ask"), F.date_sub("local_date", 1).alias("as_of")))
+    # the day before each personal best
+    near = features.distance_candidates(acts).select("athlete_id", "distance", "activity_id", F.col("start_utc").alias("achieved_at"), (F.col("elapsed_ms") / 1000).alias("elapsed_s"))
+    return now.unionByName(bests.supersessions(near).select("athlete_id", (F.col("activity_id") + 1).alias("ask"), F.date_sub(F.to_date("achieved_at"), 1).alias("as_of")))
 
 
 def _window(n: int) -> str:
@@ -350,7 +360,9 @@ def _window(n: int) -> str:
 
 
 @query(
-    TAGGED
+    BESTS
+    + ", "
+    + TAGGED.strip().lstrip(",").strip()
     + ASKS
     + f"""SELECT athlete_id, ask, as_of, {', '.join(map(_window, (28, 84, 168, 365)))}, round(CAST(max(distance_m) FILTER (back < 84) AS DOUBLE) / 1000, 6) AS longest_84d_km,
   count(*) FILTER (back < 84 AND tags <> ['unclassified']) AS classified_84d, count(*) FILTER (back < 84 AND tags[1] IN ('race', 'intervals', 'progressive')) AS quality_84d
@@ -362,7 +374,8 @@ def training_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ASKS
+    BESTS
+    + ASKS
     + """SELECT athlete_id, ask, as_of, count(distance_m) AS runs, round(CAST(coalesce(sum(distance_m), 0) AS DOUBLE) / 1000, 6) AS distance_km, CAST(round(CAST(coalesce(sum(moving_ms), 0) / 3600000 AS DECIMAL(20,9)), 6) AS DOUBLE) AS moving_hours,
   round(CAST(max(distance_m) AS DOUBLE) / 1000, 6) AS longest_km, max(local_date) AS last_run FROM asks a LEFT JOIN (SELECT athlete_id AS i, local_date, distance_m, moving_ms FROM activities) t ON i = a.athlete_id AND local_date BETWEEN as_of - 41 AND as_of GROUP BY 1, 2, 3"""
 )
@@ -439,13 +452,13 @@ def plan_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(SERIES + """, old AS (SELECT athlete_id, local_date, CAST(round(CAST(daily_load AS DECIMAL(18,6)), 4) AS DOUBLE) + CASE WHEN day(local_date) = 1 THEN 1 ELSE 0 END AS v FROM series WHERE athlete_id % 3 <> 0 UNION ALL SELECT athlete_id, local_date + 100000, 0 FROM series WHERE day(local_date) = 2)
-SELECT CASE WHEN o.v IS NULL THEN 'created' WHEN s.daily_load IS NULL THEN 'kept' WHEN CAST(o.v AS DECIMAL(12,4)) = CAST(round(CAST(s.daily_load AS DECIMAL(18,6)), 4) AS DECIMAL(12,4)) THEN 'reused' ELSE 'updated' END AS action, count(*) AS n FROM series s FULL JOIN old o USING (athlete_id, local_date) GROUP BY 1""")
+SELECT CASE WHEN o.v IS NULL THEN 'created' WHEN s.daily_load IS NULL THEN 'kept' WHEN CAST(o.v AS DECIMAL(12,4)) = CAST(round(CAST(s.daily_load AS DECIMAL(18,6)), 4) AS DECIMAL(12,4)) THEN 'reused' ELSE 'updated' END AS action, athlete_id, CAST(local_date AS DATE) AS local_date, CAST(CAST(CASE WHEN s.daily_load IS NULL THEN o.v ELSE round(CAST(s.daily_load AS DECIMAL(18,6)), 4) END AS DECIMAL(12,4)) AS DOUBLE) AS daily_load FROM series s FULL JOIN old o USING (athlete_id, local_date)""")
 def daily_load_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = _series(spark, sf_dir).select("athlete_id", "local_date", "daily_load")
     changed = now.where("athlete_id % 3 <> 0").withColumn("daily_load", F.round("daily_load", 4) + F.when(F.dayofmonth("local_date") == 1, 1).otherwise(0))
     gone = now.where("day(local_date) = 2").select("athlete_id", F.date_add("local_date", 100000).alias("local_date"), F.lit(0.0).alias("daily_load"))
     merged = state.upsert(changed.unionByName(gone), now, ("athlete_id", "local_date"), {"daily_load": "decimal(12,4)"})
-    return merged.groupBy("action").agg(F.count("*").alias("n"))
+    return merged.withColumn("daily_load", F.col("daily_load").cast("double"))
 
 
 @query(SERIES + ", ".join(["", STANDARD.strip().lstrip(",").strip()]) + " SELECT n.activity_id, round(s.acute_load, 4) AS prior_acute_load, round(s.chronic_load, 4) AS prior_chronic_load, round(s.form_index, 4) AS prior_form_index FROM near n LEFT JOIN series s ON s.athlete_id = n.athlete_id AND s.local_date = n.local_date - 1")
@@ -466,19 +479,30 @@ def prior_bests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """, q AS (SELECT conv_id * 1000 + turn AS reply_id, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS answer, conv_id, turn FROM conversations),
-c AS (SELECT *, [('e' || (turn % 3)), ('e' || (conv_id % 5))] AS cited, ['e0', 'e1', 'e2'] AS allowed FROM q)
-SELECT reply_id, sha256(coalesce(question, '')) AS question_sha256, CAST(length(coalesce(question, '')) AS INT) AS question_length, CAST(len(list_distinct(list_filter(cited, lambda x: NOT list_contains(allowed, x)))) AS INT) AS unsupported,
-  regexp_matches(coalesce(answer, ''), '(?i)\\b(ignore (the )?pain|run through (the )?pain|guarantee[ds]?|diagnos\\w+)\\b') AS unsafe, regexp_matches(coalesce(question, ''), '(?i)\\b(pain|injur\\w+|chest|dizz\\w+|doctor|medical|fever)\\b') AS medical,
-  CASE WHEN len(list_filter(cited, lambda x: NOT list_contains(allowed, x))) = 0 AND NOT regexp_matches(coalesce(answer, ''), '(?i)\\b(ignore (the )?pain|run through (the )?pain|guarantee[ds]?|diagnos\\w+)\\b') THEN 'approved' ELSE 'fallback' END AS outcome FROM c"""
+    """, q AS (SELECT conv_id * 1000 + turn AS reply_id, CASE WHEN turn % 4 = 0 THEN coalesce(text, '') || ' and tomorrow' ELSE text END AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS answer, conv_id, turn FROM conversations),
+c AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 'Nothing: no run is scheduled on 2024-03-02. ' || coalesce(answer, '') ELSE coalesce(answer, '') END AS reply, [('e' || (turn % 3)), ('e' || (conv_id % 5))] AS cited, ['e0', 'e1', 'e2'] AS allowed, conv_id % 2 = 0 AS planned FROM q),
+v AS (SELECT reply_id, sha256(coalesce(question, '')) AS question_sha256, CAST(length(coalesce(question, '')) AS INT) AS question_length, CAST(len(list_distinct(list_filter(cited, lambda x: NOT list_contains(allowed, x)))) AS INT) AS unsupported,
+  regexp_matches(reply, '(?i)\\b(guarantee(?:d)?|you (?:definitely|certainly) (?:can|will)|you have [a-z-]+itis|take \\d+\\s*(?:mg|ml))\\b') AS unsafe,
+  regexp_matches(coalesce(question, ''), '(?i)\\b(injur(?:y|ed)|pain|sick|illness|diagnos(?:e|is)|medication|chest pain|faint)\\b') AS medical,
+  NOT contains(lower(coalesce(question, '')), 'tomorrow') OR planned OR (contains(reply, '2024-03-02') AND contains(lower(reply), 'no') AND contains(lower(reply), 'scheduled')) AS grounded FROM c)
+SELECT *, CASE WHEN medical THEN 'medical' WHEN unsupported = 0 AND NOT unsafe AND grounded THEN 'approved' ELSE 'fallback' END AS outcome FROM v"""
 )
 def reply_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations with the turn that follows as the reply; every fourth asks about tomorrow, for half of the conversations a day with a session."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("conv_id").orderBy("turn", "text")
     tag = lambda x: F.concat(F.lit("e"), x.cast("string"))
+    answer = F.coalesce(F.lead("text").over(order), F.lit(""))
+    day = F.lit("2024-03-01").cast("date")
     rows = views.table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), F.col("text").alias("question"), F.lead("text").over(order).alias("answer"), F.array(tag(F.col("turn") % 3), tag(F.col("conv_id") % 5)).alias("cited"), F.array(*map(F.lit, ("e0", "e1", "e2"))).alias("allowed")
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"),
+        F.when(F.col("turn") % 4 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" and tomorrow"))).otherwise(F.col("text")).alias("question"),
+        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Nothing: no run is scheduled on 2024-03-02. "), answer)).otherwise(answer).alias("answer"),
+        F.array(tag(F.col("turn") % 3), tag(F.col("conv_id") % 5)).alias("cited"),
+        F.array(*map(F.lit, ("e0", "e1", "e2"))).alias("allowed"),
+        day.alias("as_of"),
+        F.when(F.col("conv_id") % 2 == 0, F.array(F.date_add(day, 1))).otherwise(F.array().cast("array<date>")).alias("scheduled"),
     )
     return replies.audit(rows)
 
@@ -519,3 +543,62 @@ def session_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = plan.withColumn("s", F.explode(slots)).select("plan_id", "athlete_id", "s.session", F.expr("date_add(monday, s.offset)").alias("scheduled"), "s.kind", "s.target_km", F.date_add("monday", 40).alias("as_of"))
     runs = acts.select("athlete_id", "activity_id", "start_utc", "local_date", "distance_m", "tags", F.col("session_kind").alias("primary"), F.lit("unknown").alias("activity_type"))
     return tracking.match_sessions(sessions, runs)
+
+
+@query(BESTS + """, v AS (SELECT athlete_id, distance, start_utc AS held, min(start_utc) OVER (PARTITION BY athlete_id) AS first_held FROM near WHERE status = 'verified'),
+n AS (SELECT athlete_id, count(*) AS labels, count(*) FILTER (held > first_held) AS chronological_targets, count(DISTINCT distance) AS distances FROM v GROUP BY 1)
+SELECT *, concat_ws(',', CASE WHEN labels < 30 THEN 'labels' END, CASE WHEN chronological_targets < 8 THEN 'chronological_targets' END, CASE WHEN distances < 2 THEN 'distances' END) AS reasons,
+  CASE WHEN labels >= 30 AND chronological_targets >= 8 AND distances >= 2 THEN 'eligible_for_candidate_model' ELSE 'descriptive_only' END AS status FROM n""")
+def model_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = features.eligibility(_performances(spark, sf_dir).where("status = 'verified'"))
+    return found.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(
+    METRICS
+    + NEAR
+    + WINDOWS
+    + ", "
+    + SERIES.strip().lstrip(",").strip()
+    + """, pb AS (SELECT c.activity_id, min(v.elapsed_s) FILTER (v.distance = '5k') AS prior_5k_s, min(v.elapsed_s) FILTER (v.distance = '10k') AS prior_10k_s, min(v.elapsed_s) FILTER (v.distance = 'half_marathon') AS prior_half_marathon_s, min(v.elapsed_s) FILTER (v.distance = 'marathon') AS prior_marathon_s
+FROM near c LEFT JOIN (SELECT n.athlete_id AS i, n.distance, elapsed_ms / 1000 AS elapsed_s, start_utc AS at FROM near n WHERE status = 'verified') v ON v.i = c.athlete_id AND v.at < c.start_utc GROUP BY 1)
+SELECT n.athlete_id, n.distance, CASE WHEN n.status = 'verified' THEN n.elapsed_ms / 1000 END AS label_s, agg.*, pb.* EXCLUDE (activity_id), round(s.acute_load, 4) AS prior_acute_load, round(s.chronic_load, 4) AS prior_chronic_load, round(s.form_index, 4) AS prior_form_index
+FROM near n JOIN agg USING (activity_id) JOIN pb USING (activity_id) LEFT JOIN series s ON s.athlete_id = n.athlete_id AND s.local_date = n.local_date - 1"""
+)
+def feature_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near, perf = features.distance_candidates(views.activities(spark, sf_dir)), _performances(spark, sf_dir).where("status = 'verified'")
+    return features.feature_dataset(near.select("activity_id", "athlete_id", "distance"), _windows(spark, sf_dir, near), features.prior_workload(near, _series(spark, sf_dir)), features.prior_bests(near, perf), perf)
+
+
+@query(
+    EFFORTS
+    + """, n AS (SELECT activity_id, count(*) AS distance_samples FROM trackpoints GROUP BY 1),
+steps AS (SELECT *, lag(d) OVER w AS pd, lag(t1) OVER w AS pt FROM pts WINDOW w AS (PARTITION BY activity_id ORDER BY d)),
+cross_at AS (SELECT activity_id, target, round((CASE WHEN d = m THEN t0 ELSE pt + CAST(m - pd AS DOUBLE) / CAST(d - pd AS DOUBLE) * (t0 - pt) END) / 1000, 6) AS from_start_s FROM steps, standard WHERE pd < m AND d >= m OR pd IS NULL AND d = m)
+SELECT a.activity_id, CAST(a.distance_m AS DOUBLE) AS distance_m, a.elapsed_ms, n.distance_samples, e.target, from_start_s, round(r.elapsed_s, 6) AS rolling_s
+FROM (SELECT activity_id, target FROM cross_at UNION SELECT activity_id, target FROM rolling) e JOIN activities a USING (activity_id) LEFT JOIN n USING (activity_id) LEFT JOIN cross_at USING (activity_id, target) LEFT JOIN rolling r USING (activity_id, target)"""
+)
+def distance_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = efforts.distance_evidence(views.activities(spark, sf_dir), views.trackpoints(spark, sf_dir), efforts.targets(spark))
+    return found.withColumn("distance_m", F.col("distance_m").cast("double"))
+
+
+@query(
+    PROVIDERS
+    + """, r AS (SELECT a.id AS a_id, met.b_id FROM a LEFT JOIN met ON met.a_id = a.id WHERE a.kind = 'running' UNION ALL SELECT NULL, id FROM b WHERE kind = 'running' AND id NOT IN (SELECT b_id FROM met)),
+k AS (SELECT coalesce(a_id, b_id) AS key, * FROM r),
+s AS (SELECT key, 'a' AS provider, CAST(a_id AS VARCHAR) AS external_id FROM k WHERE a_id IS NOT NULL UNION ALL SELECT key, 'b', CAST(b_id AS VARCHAR) FROM k WHERE b_id IS NOT NULL),
+known AS (SELECT 'a' AS provider, CAST(id AS VARCHAR) AS external_id, id AS activity_id FROM a WHERE id % 2 = 0 UNION ALL SELECT 'b', CAST(id AS VARCHAR), CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN id ELSE id - 1000000000 END FROM b WHERE id % 3 <> 0),
+g AS (SELECT key, count(DISTINCT activity_id) AS links, min(activity_id) AS linked, count(*) FILTER (n.external_id IS NULL) AS new_sources FROM s LEFT JOIN known n USING (provider, external_id) GROUP BY 1)
+SELECT key, CASE WHEN links = 1 THEN linked END AS activity_id, CASE WHEN links > 1 THEN 'conflict' WHEN links = 1 THEN 'updated' ELSE 'created' END AS action, new_sources FROM g"""
+)
+def canonical_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reconciled activities against a table that holds part of their sources; ids of created ones are hashes and left out."""
+    a, b = _providers(spark, sf_dir)
+    both = reconcile.reconcile(a, b).select(F.coalesce("a_id", "b_id").alias("key"), "a_id", "b_id")
+    one = lambda p: both.where(f"{p}_id is not null").select("key", F.lit(p).alias("provider"), F.col(f"{p}_id").cast("string").alias("external_id"))
+    i = F.col("id")
+    known_a = a.where(i % 2 == 0).select(F.lit("a").alias("provider"), i.cast("string").alias("external_id"), i.alias("activity_id"))
+    known_b = b.where(i % 3 != 0).select(F.lit("b").alias("provider"), i.cast("string").alias("external_id"), F.when(i % 5 != 0, F.when(i % 7 == 0, i).otherwise(i - 1000000000)).alias("activity_id"))
+    found = reconcile.merge_canonical(both, one("a").unionByName(one("b")), known_a.unionByName(known_b))
+    return found.withColumn("activity_id", F.when(F.col("action") == "updated", F.col("activity_id")))

@@ -223,7 +223,86 @@ def test_session_classes_read_whole_texts(spark):
     for name in ("orders", "customer", "lineitem", "part", "documents", "events", "supplier", "nation", "region"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     con.execute("SET TimeZone = 'UTC'")
-    whole = queries.ORACLE_SQL["session_classes"].replace("substr(text, 1, 200)", "text")
+    whole = queries.ORACLE_SQL["session_classes"]
     found = [tuple(r) for r in queries.QUERIES["session_classes"](spark, sf).collect()]
     assert sorted(found, key=str) == sorted(con.execute(whole).fetchall(), key=str)
     assert max(len(r[0] or "") for r in found) > 200
+
+
+def test_rolling_efforts_of_a_long_trace(spark):
+    """50,000 samples of one activity; a frame read anew for each row would not end."""
+    rnd, t, d, trace = random.Random(3), 0, 0, []
+    for seq in range(50_000):
+        trace.append((1, seq, t, float(d)))
+        t += rnd.choice([500, 1000, 1500])
+        d += rnd.choice([2, 3, 4, 5])
+    samples = spark.createDataFrame(trace, "activity_id long, seq int, elapsed_ms long, distance_m double")
+    wanted = efforts.targets(spark).where("target in ('5k', 'marathon')")
+    found = {r.target: r.elapsed_s for r in efforts.rolling_efforts(samples, wanted).collect()}
+    plain = [(a, b) for _, _, a, b in trace]
+    assert found == {name: pytest.approx(direct_effort(plain, m), abs=1e-5) for name, m in (("5k", 5000.0), ("marathon", 42195.0))}
+
+
+def test_walk_forward_knows_only_strictly_earlier_results(spark):
+    at = lambda day: dt.datetime(2024, 1, day)
+    rows = [(1, 10, "5k", 1300.0, at(1)), (1, 11, "5k", 1200.0, at(1)), (1, 12, "5k", 1250.0, at(2)), (2, 13, "10k", 3000.0, at(1))]
+    df = spark.createDataFrame(rows, "athlete_id long, activity_id long, distance string, elapsed_s double, achieved_at timestamp")
+    found = {(r.activity_id, r.baseline): r.predicted_s for r in features.walk_forward(df).collect()}
+    assert found == {(12, "riegel_best_prior"): 1200.0, (12, "recent_same_distance"): 1200.0, (12, "historical_median_same_distance"): 1250.0}
+    gates = {r.athlete_id: (r.labels, r.chronological_targets, r.distances, r.status, r.reasons) for r in features.eligibility(df).collect()}
+    assert gates[1] == (3, 1, 1, "descriptive_only", ["labels", "chronological_targets", "distances"]) and gates[2][1] == 0
+    many = spark.createDataFrame([(1, i, ("5k", "10k")[i % 2], 1300.0, at(1 + i % 20)) for i in range(30)], df.schema)
+    assert features.eligibility(many).first().status == "eligible_for_candidate_model"
+
+
+def test_reply_audit(spark):
+    from paceforge.operators import replies
+
+    day, none = D(2024, 3, 1), []
+    rows = [
+        (1, "How was my week?", "Fine.", ["e1"], ["e1"], day, none),
+        (2, "How was my week?", "Fine.", ["e2"], ["e1"], day, none),
+        (3, "Can I race?", "You definitely can.", none, none, day, none),
+        (4, "What about Tomorrow?", "Run easy.", none, none, day, none),
+        (5, "What about tomorrow?", "Nothing is scheduled on 2024-03-02: no run.", none, none, day, none),
+        (6, "What about tomorrow?", "Run easy.", none, none, day, [D(2024, 3, 2)]),
+        (7, "What about tomorrow?", "Run easy.", none, none, None, none),
+        (8, "I feel sick", "Take 200 mg of it.", none, none, day, none),
+        (9, None, None, none, none, day, none),
+    ]
+    df = spark.createDataFrame(rows, "reply_id long, question string, answer string, cited array<string>, allowed array<string>, as_of date, scheduled array<date>")
+    found = {r.reply_id: r.outcome for r in replies.audit(df).collect()}
+    assert found == {1: "approved", 2: "fallback", 3: "fallback", 4: "fallback", 5: "approved", 6: "approved", 7: "fallback", 8: "medical", 9: "approved"}
+
+
+def test_plan_progress(spark):
+    week = [
+        (1, 0, D(2024, 1, 1), "easy", 8.0, "completed", 8.5, D(2024, 1, 1)),
+        (1, 1, D(2024, 1, 3), "quality", 10.0, "partial", 6.0, D(2024, 1, 3)),
+        (1, 2, D(2024, 1, 6), "long", 20.0, "upcoming", None, None),
+        (2, 0, D(2024, 1, 1), "long", 20.0, "missed", None, None),
+        (3, 0, D(2024, 1, 8), "easy", 8.0, "upcoming", None, None),
+        (4, 0, D(2024, 1, 1), "easy", 8.0, "completed", 14.0, D(2024, 1, 2)),
+        (4, 1, D(2024, 1, 6), "easy", 8.0, "due", None, None),
+        (5, 0, D(2024, 1, 1), "easy", 8.0, "completed", 8.0, D(2024, 1, 1)),
+    ]
+    df = spark.createDataFrame(week, "plan_id long, session int, scheduled date, kind string, target_km double, status string, actual_km double, activity_date date")
+    df = df.withColumn("as_of", F.lit(D(2024, 1, 4)))
+    found = {r.plan_id: (r.recommendation, r.planned_km, r.actual_km) for r in tracking.recommendations(df).collect()}
+    assert found == {1: ("accept_partial_quality", 18.0, 14.5), 2: ("avoid_makeup_quality", 20.0, 0.0), 3: ("plan_not_started", 0.0, 0.0), 4: ("reduce_optional_volume", 8.0, 14.0), 5: ("week_complete", 8.0, 8.0)}
+    assert {(r.plan_id, r.session, r.n) for r in tracking.pending_sessions(df).collect()} == {(1, 1, 1), (1, 2, 2), (3, 0, 1), (4, 1, 1)}
+    assert {(r.plan_id, r.session) for r in tracking.latest_completed(df).collect()} == {(1, 1), (4, 0), (5, 0)}
+    paces = spark.createDataFrame([("easy", 300.0, 330.0, 290.0), ("easy", 300.0, 330.0, 331.0), ("easy", 300.0, 330.0, 300.0), ("race", 1.0, 2.0, 3.0), ("long", None, 330.0, 310.0)], "k string, f double, s double, a double")
+    assert [r[0] for r in paces.select(tracking.pace_status(F.col("k"), F.col("f"), F.col("s"), F.col("a"))).collect()] == ["faster_than_planned", "easier_than_planned", "within_range", "not_applicable", "unavailable"]
+
+
+def test_canonical_merge(spark):
+    done = spark.createDataFrame([(1,), (2,), (3,), (4,)], "key long")
+    sources = spark.createDataFrame([(1, "a", "x1"), (1, "b", "y1"), (2, "a", "x2"), (3, "a", "x3"), (3, "b", "y3"), (4, "a", "x4")], "key long, provider string, external_id string")
+    known = spark.createDataFrame([("a", "x1", 71), ("a", "x3", 73), ("b", "y3", 74), ("a", "x4", None)], "provider string, external_id string, activity_id long")
+    found = {r.key: r for r in reconcile.merge_canonical(done, sources, known).collect()}
+    assert {k: (r.action, r.new_sources) for k, r in found.items()} == {1: ("updated", 1), 2: ("created", 1), 3: ("conflict", 0), 4: ("created", 0)}
+    assert found[1].activity_id == 71 and found[2].activity_id is not None and found[3].activity_id is None
+    stored = sources.join(spark.createDataFrame([(k, r.activity_id) for k, r in found.items() if r.activity_id], "key long, activity_id long"), "key").select("provider", "external_id", "activity_id")
+    again = {r.key: (r.action, r.activity_id, r.new_sources) for r in reconcile.merge_canonical(done.where("key <> 3"), sources, stored).collect()}
+    assert again == {k: ("updated", found[k].activity_id, 0) for k in (1, 2, 4)}
