@@ -86,6 +86,17 @@ def clock(seconds: Column) -> Column:
     return F.when(s.isNotNull(), F.when(s < 3600, short).otherwise(long))
 
 
+def pace_display(seconds_per_km: Column) -> Column:
+    """``M:SS /km`` with whole seconds, half to even; ``Unavailable`` for null."""
+    s = F.bround(seconds_per_km).cast("bigint")
+    return F.when(s.isNull(), "Unavailable").otherwise(F.format_string("%d:%02d /km", F.floor(s / 60), s % 60))
+
+
+def duration_range(distance_km: Column, faster: Column, slower: Column) -> Column:
+    """The planned time of a session from the faster to the slower pace (s/km), as clock times; null if anything is."""
+    return F.concat(clock(distance_km * faster), F.lit("-"), clock(distance_km * slower))
+
+
 def clock_to_ms(text: Column) -> Column:
     """Milliseconds of ``M:SS`` or ``H:MM:SS`` (seconds may have decimals); null where it is neither."""
     parts = F.split(F.trim(text), ":")

@@ -51,3 +51,21 @@ def split(checked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(valid rows, findings): bad rows go to the findings, one row per broken rule, and never stop the others."""
     findings = checked.where(F.size("errors") > 0).select(key, F.explode("errors").alias("e")).select(key, F.lit("error").alias("severity"), "e.code", "e.field")
     return checked.where(F.size("errors") == 0).drop("errors"), findings
+
+
+def required_measurements(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``moving_s`` set to ``elapsed_s`` where it is null, and ``reject``: why a row cannot be stored, else null.
+
+    A stored activity needs a distance and an elapsed time; without both, the distance is named.
+    """
+    reject = F.when(F.col("distance_m").isNull(), "DISTANCE_MISSING").when(F.col("elapsed_s").isNull(), "ELAPSED_TIME_MISSING")
+    return rows.withColumns({"moving_s": F.coalesce("moving_s", "elapsed_s"), "reject": reject})
+
+
+def all_findings(**found: DataFrame) -> DataFrame:
+    """(stage, id, code) of the findings of several steps, named by the keywords; each step gives (id, code, ...)."""
+    parts = [df.select(F.lit(stage).alias("stage"), F.col("id").cast("string").alias("id"), "code") for stage, df in found.items()]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union

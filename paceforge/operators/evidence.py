@@ -35,3 +35,49 @@ def select_evidence(candidates: DataFrame, verified: DataFrame) -> DataFrame:
     kept = ranked.where("evidence_kind <> 'strong_training' or by_pace = 1 or by_date = 1")
     target = F.when(F.col("evidence_kind") != "strong_training", F.col("target"))
     return kept.select("athlete_id", "activity_id", "achieved_on", "evidence_kind", target.alias("target"), F.round("km", 6).alias("distance_km"), F.round("elapsed_s", 3).alias("elapsed_s"), F.round(F.col("elapsed_s") / F.col("km"), 6).alias("pace"))
+
+
+def evidence_union(verified: DataFrame, selected: DataFrame, observed: DataFrame) -> DataFrame:
+    """All evidence of each athlete, ``position`` 1 the newest.
+
+    Each is (athlete_id, activity_id, target, achieved_on, evidence_kind,
+    elapsed_s). Verified performances that were also observed (same activity and
+    target, where neither is null) are named once, as observed. Of one day the
+    greater kind comes first, then the greater id as text.
+    """
+    columns = ("athlete_id", "activity_id", "target", "achieved_on", "evidence_kind", "elapsed_s")
+    own = verified.join(observed.select("activity_id", "target").distinct(), ["activity_id", "target"], "left_anti")
+    union = own.select(*columns).unionByName(selected.select(*columns)).unionByName(observed.select(*columns))
+    order = Window.partitionBy("athlete_id").orderBy(F.desc("achieved_on"), F.desc("evidence_kind"), F.desc(F.col("activity_id").cast("string")), "target")
+    return union.withColumn("position", F.row_number().over(order))
+
+
+def latest_dates(athletes: DataFrame, loads: DataFrame, runs: DataFrame) -> DataFrame:
+    """(athlete_id, evidence_on, run_on): the last date with a load, without any the last run; and the last run that counts.
+
+    ``loads`` is (athlete_id, local_date), ``runs`` (athlete_id, local_date,
+    status) with excluded ones. Null where there is nothing.
+    """
+    last_load = loads.groupBy("athlete_id").agg(F.max("local_date").alias("load_on"))
+    last_run = runs.groupBy("athlete_id").agg(F.max("local_date").alias("any_on"), F.max(F.when(F.col("status") != "excluded", F.col("local_date"))).alias("run_on"))
+    joined = athletes.select("athlete_id").distinct().join(last_load, "athlete_id", "left").join(last_run, "athlete_id", "left")
+    return joined.select("athlete_id", F.coalesce("load_on", "any_on").alias("evidence_on"), "run_on")
+
+
+#: A benchmark run may be this much shorter than its distance (fixed value).
+BENCHMARK_SHARE = 0.95
+
+
+def benchmark_activities(declared: DataFrame, runs: DataFrame) -> DataFrame:
+    """(athlete_id, distance, declared_on, activity_id, code) of declared benchmarks.
+
+    ``declared`` is (athlete_id, distance, declared_on). Exactly one run of that
+    day must be long enough; else ``activity_id`` is null and ``code`` says so.
+    """
+    key = ["athlete_id", "distance", "declared_on"]
+    long_enough = F.col("distance_m").cast("double") >= official_metres(F.col("distance")) * BENCHMARK_SHARE
+    met = declared.join(runs.select("athlete_id", F.col("local_date").alias("declared_on"), "activity_id", "distance_m"), ["athlete_id", "declared_on"]).where(long_enough)
+    counted = met.groupBy(*key).agg(F.count("*").alias("n"), F.min("activity_id").alias("only"))
+    unique = F.col("n") == 1
+    joined = declared.join(counted, key, "left")
+    return joined.select(*key, F.when(unique, F.col("only")).alias("activity_id"), F.when(unique, None).otherwise("BENCHMARK_ACTIVITY_NOT_UNIQUE").alias("code"))

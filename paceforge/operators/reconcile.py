@@ -11,12 +11,23 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.scalars import is_running
 
 START_S, DURATION_S, DISTANCE_M, DISTANCE_SHARE = 2.0, 30.0, 50.0, 0.005
-#: Fields that the first provider gives unless it has none.
-MERGED = ("name", "moving_s", "distance_m", "elevation_m")
+#: Fields that the first provider gives unless it has none; a frame may lack any of them.
+MERGED = (
+    "timezone", "name", "moving_s", "distance_m", "elevation_m", "elevation_loss_m",
+    "average_speed", "maximum_speed",
+    "average_heart_rate", "maximum_heart_rate", "minimum_heart_rate",
+    "average_cadence", "maximum_cadence",
+    "calories", "steps",
+    "vo2max", "aerobic_effect", "anaerobic_effect", "effect_label",
+    "laps", "samples",
+)
+#: Fields of the first provider wherever it takes part.
+CORE = ("kind", "start_s", "elapsed_s")
 
 
 def compatible_distance(a: Column, b: Column) -> Column:
@@ -62,27 +73,42 @@ def assign(edges: DataFrame) -> DataFrame:
 def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
     """Canonical activities: (a_id, b_id, method, athlete_id, kind, start_s, elapsed_s, *merged fields, provenance).
 
-    Core fields are those of ``a`` where it takes part; each merged field is
-    that of ``a`` unless it is null or empty. ``provenance`` lists the provider
-    of each field that is not null. Rows that are no runs are left out.
+    Core fields are those of ``a`` where it takes part; each merged field that
+    either frame has is that of ``a`` unless it is null or empty (a text or an
+    array). ``provenance`` lists the provider of each field that has a value;
+    pairs also name that of the provider's own type. Rows that are no runs are
+    left out.
     """
     decided = assign(strong_matches(a, b))
+    fields = [f for f in MERGED if f in a.columns or f in b.columns]
     runs_a, b_all = a.where(is_running(F.col("kind"))), b
     left = runs_a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]).join(decided.where("outcome = 'merged'").select("a_id", F.col("b_id").alias("m_b")), "a_id", "left")
     right = b_all.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     both = left.join(right, F.col("m_b") == F.col("b_id"), "full").where(F.col("a_id").isNotNull() | is_running(F.col("b_kind")))
 
-    def value(field: str) -> Column:
-        own = F.col(f"a_{field}")
-        return F.coalesce(F.when(own.cast("string") != "", own), F.col(f"b_{field}"))
-
-    def source(field: str) -> Column:
-        own = F.col(f"a_{field}")
-        return F.when(own.isNotNull() & (own.cast("string") != ""), "a").when(F.col(f"b_{field}").isNotNull(), "b")
-
-    sources = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), source(f).alias("provider")) for f in MERGED]), lambda s: s["provider"].isNotNull())
-    method = F.when(F.col("a_id").isNotNull() & F.col("b_id").isNotNull(), "cross_source_strong").otherwise("single_source")
-    return both.select("a_id", "b_id", method.alias("method"), *[F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in ("athlete_id", "kind", "start_s", "elapsed_s")], *[value(f).alias(f) for f in MERGED], sources.alias("provenance"))
+    def given(side: str, frame: DataFrame, field: str) -> Column:
+        """A provider's value where it is one, else null."""
+        if field not in frame.columns:
+            return F.lit(None)
+        c, kind = F.col(f"{side}_{field}"), frame.schema[field].dataType
+        return F.when(F.size(c) > 0, c) if isinstance(kind, ArrayType) else F.when(c != "", c) if isinstance(kind, StringType) else c
+
+    values = {f: (given("a", a, f), given("b", b, f)) for f in fields}
+    first = F.when(F.col("a_id").isNotNull(), "a").otherwise("b")
+    paired = F.col("a_id").isNotNull() & F.col("b_id").isNotNull()
+    named = [(f, first) for f in CORE] + [("provider_type", F.when(paired, "a"))]
+    named += [(f, F.when(x.isNotNull(), "a").when(y.isNotNull(), "b")) for f, (x, y) in values.items()]
+    sources = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), p.alias("provider")) for f, p in named]), lambda s: s["provider"].isNotNull())
+    method = F.when(paired, "cross_source_strong").otherwise("single_source")
+    core = [F.when(F.col("a_id").isNotNull(), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c) for c in ("athlete_id", *CORE)]
+    return both.select("a_id", "b_id", method.alias("method"), *core, *[F.coalesce(x, y).alias(f) for f, (x, y) in values.items()], sources.alias("provenance"))
+
+
+def canonical_order(reconciled: DataFrame) -> DataFrame:
+    """``reconciled`` with ``position``: each athlete's activities from 1 by start, provider and the provider's id as text."""
+    provider = F.when(F.col("a_id").isNotNull(), "a").otherwise("b")
+    order = Window.partitionBy("athlete_id").orderBy("start_s", provider, F.coalesce("a_id", "b_id").cast("string"))
+    return reconciled.withColumn("position", F.row_number().over(order))
 
 
 def merge_canonical(reconciled: DataFrame, sources: DataFrame, known: DataFrame) -> DataFrame:

@@ -129,6 +129,70 @@ def recommendations(statuses: DataFrame) -> DataFrame:
     return sums.select("plan_id", F.round("planned_km", 3).alias("planned_km"), F.round("actual_km", 3).alias("actual_km"), F.round(share, 4).alias("adherence_pct"), code.alias("recommendation"))
 
 
+#: How far a file may be from an activity: seconds or share of its duration, metres or share of its distance (fixed values).
+FILE_S, FILE_S_SHARE, FILE_M, FILE_M_SHARE = 60.0, 0.02, 50.0, 0.005
+
+
+def compatible_activities(files: DataFrame, activities: DataFrame) -> DataFrame:
+    """(file_id, provider, activity_id): activities of the athlete with near start, duration and distance; an equi-join on athlete and bucket of seconds."""
+    width = 2 * START_S
+    bucket = F.floor(F.col("start_s") / width)
+    left = files.select("file_id", "athlete_id", "provider", F.col("start_s").alias("f_start"), F.col("elapsed_s").alias("f_elapsed"), F.col("distance_m").alias("f_m"), bucket.alias("bucket"))
+    right = activities.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    near = left.join(right, ["athlete_id", "bucket"]).where(
+        (F.abs(F.col("f_start") - F.col("start_s")) <= START_S)
+        & (F.abs(F.col("f_elapsed") - F.col("elapsed_s")) <= F.greatest(F.lit(FILE_S), F.col("elapsed_s") * FILE_S_SHARE))
+        & (F.abs(F.col("f_m") - F.col("distance_m")) <= F.greatest(F.lit(FILE_M), F.col("distance_m") * FILE_M_SHARE))
+    )
+    return near.select("file_id", "provider", "activity_id")
+
+
+def _create(files: pd.DataFrame) -> pd.DataFrame:
+    """Files of near starts in the order of their ids: one that fits what an earlier one made is attached to it."""
+    made, out = [], []
+    for f in files.sort_values("file_id").itertuples():
+        near = [
+            m for m in made
+            if abs(f.start_s - m.start_s) <= START_S
+            and abs(f.elapsed_s - m.elapsed_s) <= max(FILE_S, m.elapsed_s * FILE_S_SHARE)
+            and abs(f.distance_m - m.distance_m) <= max(FILE_M, m.distance_m * FILE_M_SHARE)
+        ]
+        if f.n + len(near) > 1:
+            out.append((f.file_id, None, None, "ambiguous"))
+        elif f.n or near:
+            out.append((f.file_id, None if near else int(f.only), near[0].file_id if near else None, "matched"))
+        elif pd.isna(f.distance_m) or pd.isna(f.elapsed_s):
+            out.append((f.file_id, None, None, "unmatched"))
+        else:
+            made.append(f)
+            out.append((f.file_id, None, f.file_id, "created"))
+    return pd.DataFrame(out, columns=["file_id", "activity_id", "new_of", "action"])
+
+
+def create_missing(files: DataFrame, resolved: DataFrame, activities: DataFrame) -> DataFrame:
+    """What becomes of files that stayed unmatched: (file_id, activity_id, new_of, action).
+
+    A file with one compatible activity is attached to it (``matched``), with
+    several it is ``ambiguous``; with none an activity is ``created`` from it,
+    named by the file in ``new_of``, to which later files of the batch can be
+    attached. Without a distance or an elapsed time nothing can be made
+    (``unmatched``). Only files whose starts lie near each other are decided in
+    turn; all others by expressions.
+    """
+    near = compatible_activities(files, activities).groupBy("file_id").agg(F.count("*").alias("n"), F.min("activity_id").alias("only"))
+    open_files = files.join(resolved.where("status = 'unmatched'").select("file_id"), "file_id", "left_semi").join(near, "file_id", "left")
+    order = Window.partitionBy("athlete_id").orderBy("start_s", "file_id")
+    gap = (F.col("start_s") - F.lag("start_s").over(order) > START_S).cast("int")
+    placed = open_files.select("file_id", "athlete_id", "start_s", "elapsed_s", "distance_m", F.coalesce("n", F.lit(0)).alias("n"), "only", F.coalesce(gap, F.lit(0)).alias("gap"))
+    placed = placed.withColumn("cluster", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.withColumn("size", F.count("*").over(Window.partitionBy("athlete_id", "cluster")))
+    action = F.when(F.col("n") > 1, "ambiguous").when(F.col("n") == 1, "matched").when(F.col("distance_m").isNull() | F.col("elapsed_s").isNull(), "unmatched").otherwise("created")
+    alone = placed.where("size = 1").withColumn("action", action)
+    alone = alone.select("file_id", F.when(F.col("action") == "matched", F.col("only")).alias("activity_id"), F.when(F.col("action") == "created", F.col("file_id")).alias("new_of"), "action")
+    kinds = "file_id long, activity_id long, new_of long, action string"
+    return alone.unionByName(placed.where("size > 1").groupBy("athlete_id", "cluster").applyInPandas(lambda pdf: _create(pdf), kinds))
+
+
 def resolve_files(files: DataFrame, sources: DataFrame, activities: DataFrame) -> DataFrame:
     """(file_id, activity_id, status): sensor files by provider id, else by near start, duration and distance.
 
@@ -139,15 +203,7 @@ def resolve_files(files: DataFrame, sources: DataFrame, activities: DataFrame) -
     one source of the provider on that activity.
     """
     by_id = files.join(sources, ["provider", "external_id"]).groupBy("file_id").agg(F.count("*").alias("id_n"), F.min("activity_id").alias("id_activity"))
-    width = 2 * START_S
-    bucket = F.floor(F.col("start_s") / width)
-    left = files.select("file_id", "athlete_id", "provider", F.col("start_s").alias("f_start"), F.col("elapsed_s").alias("f_elapsed"), F.col("distance_m").alias("f_m"), bucket.alias("bucket"))
-    right = activities.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    near = left.join(right, ["athlete_id", "bucket"]).where(
-        (F.abs(F.col("f_start") - F.col("start_s")) <= START_S)
-        & (F.abs(F.col("f_elapsed") - F.col("elapsed_s")) <= F.greatest(F.lit(60.0), F.col("elapsed_s") * 0.02))
-        & (F.abs(F.col("f_m") - F.col("distance_m")) <= F.greatest(F.lit(50.0), F.col("distance_m") * 0.005))
-    )
+    near = compatible_activities(files, activities)
     by_time = near.groupBy("file_id", "provider").agg(F.count("*").alias("time_n"), F.min("activity_id").alias("time_activity"))
     of_provider = sources.where("activity_id is not null").groupBy("provider", F.col("activity_id").alias("time_activity")).agg(F.count("*").alias("source_n"))
     timed = by_time.join(of_provider, ["provider", "time_activity"], "left").select("file_id", "time_n", "time_activity", F.coalesce("source_n", F.lit(0)).alias("source_n"))

@@ -13,6 +13,15 @@ MIN_DAYS, MAX_DAYS = 14, 364
 PLAN = {"5k": (0.22, 18.0, 30.0, 65.0), "10k": (0.24, 22.0, 35.0, 75.0), "half_marathon": (0.28, 30.0, 45.0, 90.0), "marathon": (0.32, 35.0, 60.0, 105.0)}
 MARATHON_SHARE = {"base": 0.32, "build": 0.35, "specific": 0.38, "taper": 0.32, "race": 0.0}
 
+#: Least quality, easy and long run (km) by distance (fixed values).
+LEAST_KM = {"5k": (7.0, 4.0, 8.0), "10k": (9.0, 4.5, 10.0), "half_marathon": (12.0, 5.0, 12.0), "marathon": (15.0, 5.0, 12.0)}
+#: Days after Monday by the number of running days (fixed values).
+SLOTS = {3: (1, 3, 6), 4: (1, 3, 5, 6), 5: (0, 1, 3, 5, 6), 6: (0, 1, 2, 3, 5, 6), 7: (0, 1, 2, 3, 4, 5, 6)}
+#: Seconds per kilometre beside the potential 5 km pace (fixed values).
+PACES = {"easy": (90, 130), "recovery": (115, 150), "long": (75, 115)}
+#: Seconds per kilometre of hard sessions beside the potential 5 km pace (5k) or the target pace (fixed values).
+QUALITY_PACES = {"5k": (-3, 5), "10k": (-5, 5), "half_marathon": (-8, 4), "marathon": (-5, 5)}
+
 
 def plan_start(as_of: Column) -> Column:
     """The Monday of the week; from a Sunday the next day."""
@@ -75,3 +84,41 @@ def week_progress(outline: DataFrame, goals: DataFrame, runs: DataFrame, as_of:
     sums = done.groupBy("goal_id", "week", "start_date", "end_date", "target_km").agg(F.count("distance_m").alias("runs"), F.round(F.coalesce(F.sum("distance_m"), F.lit(0)).cast("double") / 1000, 3).alias("actual_km"), F.round(F.max("distance_m").cast("double") / 1000, 3).alias("longest_km"))
     status = F.when(as_of < F.col("start_date"), "upcoming").when(as_of > F.col("end_date"), "completed").otherwise("in_progress")
     return sums.select("goal_id", "week", "runs", "actual_km", "longest_km", F.when(F.col("target_km") > 0, F.round(F.col("actual_km") / F.col("target_km") * 100, 2)).alias("completion_pct"), status.alias("status"))
+
+
+def detailed_sessions(weeks: DataFrame) -> DataFrame:
+    """(goal_id, week, scheduled, kind, distance_km, faster, slower): the sessions of each week.
+
+    ``weeks`` is (goal_id, distance, week, start_date, phase, target_km,
+    long_run_km, days_per_week, five_k_pace, target_pace), 3 to 7 days a week,
+    paces in s/km. What long, hard and least easy runs have above the week's
+    distance is taken from the hard run first, then from the long one, down to
+    their least; easy runs that would get too short are left out, but for one.
+    Other numbers of days and null values give no sessions.
+    """
+    least = lambda i: by_distance(F.col("distance"), {d: v[i] for d, v in LEAST_KM.items()})
+    strides = (F.col("distance") == "marathon") & (F.col("phase") == "base")
+    least_hard = F.when(strides, 8.0).otherwise(least(0))
+    w = weeks.where(F.col("days_per_week").between(min(SLOTS), max(SLOTS))).withColumns({"least_hard": least_hard, "hard": F.round(F.greatest(least_hard, F.col("target_km") * F.when(strides, 0.14).otherwise(0.16)), 1), "easy_n": F.col("days_per_week") - 2})
+    w = w.withColumn("over", F.greatest(F.col("long_run_km") + F.col("hard") + F.col("easy_n") * least(1) - F.col("target_km"), F.lit(0.0)))
+    w = w.withColumn("cut", F.least(F.col("over"), F.greatest(F.col("hard") - F.col("least_hard"), F.lit(0.0))))
+    cut_long = F.least(F.col("over") - F.col("cut"), F.greatest(F.col("long_run_km") - least(2), F.lit(0.0)))
+    w = w.withColumns({"hard": F.round(F.col("hard") - F.col("cut"), 1), "long": F.round(F.col("long_run_km") - cut_long, 1)})
+    w = w.withColumn("rest", F.greatest(F.col("target_km") - F.col("long") - F.col("hard"), F.lit(0.0)))
+    fewer = F.greatest(F.least(F.floor(F.col("rest") / least(1)), F.col("easy_n")), F.lit(1))
+    w = w.withColumn("easy_n", F.when(F.col("rest") / F.col("easy_n") < least(1), fewer).otherwise(F.col("easy_n")).cast("int"))
+    w = w.withColumn("easy", F.round(F.col("rest") / F.col("easy_n"), 1))
+    slots = F.create_map(*[x for n, days in SLOTS.items() for x in (F.lit(n), F.array(*map(F.lit, days)))])[F.col("easy_n") + 2]
+    w = w.withColumn("slots", slots).select("*", F.explode_outer("slots").alias("offset")).where("offset is not null")  # a plain explode pushes its null check through all of the above
+    n, at = F.size("slots"), F.col("offset")
+    kind = (
+        F.when(at == F.element_at("slots", -1), "long")
+        .when(at == F.when(n >= 4, F.element_at("slots", 2)).otherwise(F.element_at("slots", 1)), "quality")
+        .when((n >= 4) & (at == F.element_at("slots", -2)), "recovery")
+        .otherwise("easy")
+    )
+    w = w.withColumn("kind", kind)
+    hard_base = F.when(F.col("distance") == "5k", F.col("five_k_pace")).otherwise(F.col("target_pace"))
+    bound = lambda i: F.round(F.when(F.col("kind") == "quality", hard_base + by_distance(F.col("distance"), {d: v[i] for d, v in QUALITY_PACES.items()})).otherwise(F.col("five_k_pace") + by_distance(F.col("kind"), {k: v[i] for k, v in PACES.items()})), 3)
+    km = F.when(F.col("kind") == "long", F.col("long")).when(F.col("kind") == "quality", F.col("hard")).otherwise(F.col("easy"))
+    return w.select("goal_id", "week", F.expr("date_add(start_date, offset)").alias("scheduled"), "kind", km.alias("distance_km"), bound(0).alias("faster"), bound(1).alias("slower"))

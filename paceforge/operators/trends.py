@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import effective_ms, week_start
+from ..functions.scalars import effective_ms, pace_display, week_start
 
 
 def overview(activities: DataFrame) -> DataFrame:
@@ -76,3 +76,13 @@ def weekly(activities: DataFrame, as_of: DataFrame, weeks: int = 52) -> DataFram
         "trimp_runs",
         F.round(F.col("trimp").cast("double"), 3).alias("edwards_trimp"),
     )
+
+
+def weekly_frame(weeks: DataFrame) -> DataFrame:
+    """The weekly rows as a report shows them: pace in minutes and as text beside the sums."""
+    return weeks.withColumns({"pace_min_per_km": F.col("weighted_pace") / 60, "pace_display": pace_display(F.col("weighted_pace"))}).drop("weighted_pace")
+
+
+def workload_frame(series: DataFrame) -> DataFrame:
+    """The workload series as a report shows it, oldest day first."""
+    return series.select("athlete_id", "local_date", "daily_load", "acute_load", "chronic_load", "form_index", "coverage_pct").orderBy("athlete_id", "local_date")

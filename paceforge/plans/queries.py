@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, titles
-from ..operators import activity, bests, efforts, evidence, features, fitness, reconcile, replies, state, tracking, training_plan, trends, workload
+from ..operators import activity, bests, contracts, efforts, evidence, features, fitness, reconcile, replies, state, tracking, training_plan, trends, workload
 from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,6 +426,18 @@ def performance_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.select_evidence(c, acts.where("status = 'verified'"))
 
 
+def _goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    names = F.array(*[F.lit(d) for d in scalars.STANDARD_DISTANCES])
+    return views.table(spark, sf_dir, "customer").select(
+        k.alias("goal_id"),
+        names[(k % 4).cast("int")].alias("distance"),
+        F.date_add(F.lit("1998-01-01").cast("date"), (k % 7).cast("int")).alias("as_of"),
+        F.date_add(F.lit("1998-01-10").cast("date"), (k % 380).cast("int")).alias("race_date"),
+        (10 + k % 60).cast("double").alias("recent_weekly_km"),
+    )
+
+
 @query(
     """, g AS (SELECT c_custkey AS goal_id, ['5k', '10k', 'half_marathon', 'marathon'][c_custkey % 4 + 1] AS distance, DATE '1998-01-01' + CAST(c_custkey % 7 AS INT) AS as_of, DATE '1998-01-10' + CAST(c_custkey % 380 AS INT) AS race_date, CAST(10 + c_custkey % 60 AS DOUBLE) AS recent FROM customer),
 k(distance, share, cap, least_peak, most_peak, race_km) AS (VALUES ('5k', 0.22::DOUBLE, 18.0::DOUBLE, 30.0::DOUBLE, 65.0::DOUBLE, 5.0::DOUBLE), ('10k', 0.24, 22.0, 35.0, 75.0, 10.0), ('half_marathon', 0.28, 30.0, 45.0, 90.0, 21.0975), ('marathon', 0.32, 35.0, 60.0, 105.0, 42.195)),
@@ -439,16 +451,7 @@ SELECT goal_id, distance, weeks, CAST(week AS INT) AS week, s + CAST((week - 1)
   CASE WHEN phase = 'race' THEN 0.0::DOUBLE ELSE CAST(round(CAST(CAST(least(target_km * CASE WHEN distance = 'marathon' THEN CASE phase WHEN 'build' THEN 0.35::DOUBLE WHEN 'specific' THEN 0.38::DOUBLE ELSE 0.32::DOUBLE END ELSE share END, cap) * CASE WHEN phase = 'taper' THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS VARCHAR) AS DECIMAL(30,18)), 1) AS DOUBLE) END AS long_run_km FROM t"""
 )
 def plan_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    names = F.array(*[F.lit(d) for d in scalars.STANDARD_DISTANCES])
-    goals = views.table(spark, sf_dir, "customer").select(
-        k.alias("goal_id"),
-        names[(k % 4).cast("int")].alias("distance"),
-        F.date_add(F.lit("1998-01-01").cast("date"), (k % 7).cast("int")).alias("as_of"),
-        F.date_add(F.lit("1998-01-10").cast("date"), (k % 380).cast("int")).alias("race_date"),
-        (10 + k % 60).cast("double").alias("recent_weekly_km"),
-    )
-    return training_plan.weekly_outline(goals)
+    return training_plan.weekly_outline(_goals(spark, sf_dir))
 
 
 @query(SERIES + """, old AS (SELECT athlete_id, local_date, CAST(round(CAST(daily_load AS DECIMAL(18,6)), 4) AS DOUBLE) + CASE WHEN day(local_date) = 1 THEN 1 ELSE 0 END AS v FROM series WHERE athlete_id % 3 <> 0 UNION ALL SELECT athlete_id, local_date + 100000, 0 FROM series WHERE day(local_date) = 2)
@@ -602,3 +605,155 @@ def canonical_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     known_b = b.where(i % 3 != 0).select(F.lit("b").alias("provider"), i.cast("string").alias("external_id"), F.when(i % 5 != 0, F.when(i % 7 == 0, i).otherwise(i - 1000000000)).alias("activity_id"))
     found = reconcile.merge_canonical(both, one("a").unionByName(one("b")), known_a.unionByName(known_b))
     return found.withColumn("activity_id", F.when(F.col("action") == "updated", F.col("activity_id")))
+
+
+def _detailed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The providers' rows with more of the fields that are merged."""
+    a, b = (df.drop("moving_s", "elevation_m") for df in _providers(spark, sf_dir))
+    i, j = F.col("id"), F.col("id") - 1000000000
+    none = F.array().cast("array<long>")
+    a = a.withColumns({"moving_s": F.when(i % 4 != 0, F.col("elapsed_s")), "steps": F.when(i % 5 == 0, i % 10000), "laps": F.when(i % 2 == 0, F.array(i)).otherwise(none)})
+    b = b.withColumns({"moving_s": F.when(j % 3 != 0, F.col("elapsed_s")), "calories": F.when(j % 2 == 0, j % 900), "laps": F.when(j % 7 != 0, F.array(j)).otherwise(none)})
+    return a, b
+
+
+PAIRS = PROVIDERS + """, pairs AS (SELECT a.id AS a_id, met.b_id FROM a LEFT JOIN met ON met.a_id = a.id WHERE a.kind = 'running' UNION ALL SELECT NULL, id FROM b WHERE kind = 'running' AND id NOT IN (SELECT b_id FROM met))
+"""
+
+
+@query(
+    PAIRS
+    + """, j AS (SELECT a_id, b_id, b_id - 1000000000 AS k, a.name AS a_name, b.name AS b_name FROM pairs LEFT JOIN a ON a.id = a_id LEFT JOIN b ON b.id = b_id),
+s AS (SELECT a_id, b_id, unnest(['kind', 'start_s', 'elapsed_s', 'distance_m', 'provider_type', 'name', 'moving_s', 'steps', 'calories', 'laps']) AS field,
+  unnest([CASE WHEN a_id IS NULL THEN 'b' ELSE 'a' END, CASE WHEN a_id IS NULL THEN 'b' ELSE 'a' END, CASE WHEN a_id IS NULL THEN 'b' ELSE 'a' END, CASE WHEN a_id IS NULL THEN 'b' ELSE 'a' END,
+    CASE WHEN a_id IS NOT NULL AND b_id IS NOT NULL THEN 'a' END, CASE WHEN a_name IS NOT NULL THEN 'a' WHEN b_name IS NOT NULL THEN 'b' END, CASE WHEN a_id % 4 <> 0 THEN 'a' WHEN k % 3 <> 0 THEN 'b' END,
+    CASE WHEN a_id % 5 = 0 THEN 'a' END, CASE WHEN k % 2 = 0 THEN 'b' END, CASE WHEN a_id % 2 = 0 THEN 'a' WHEN k % 7 <> 0 THEN 'b' END]) AS provider FROM j)
+SELECT * FROM s WHERE provider IS NOT NULL"""
+)
+def field_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.field_sources(reconcile.reconcile(*_detailed(spark, sf_dir)))
+
+
+@query(PAIRS + """, r AS (SELECT a_id, b_id, coalesce(a.athlete_id, b.athlete_id) AS athlete_id, coalesce(a.start_s, b.start_s) AS start_s FROM pairs LEFT JOIN a ON a.id = a_id LEFT JOIN b ON b.id = b_id)
+SELECT *, CAST(row_number() OVER (PARTITION BY athlete_id ORDER BY start_s, CASE WHEN a_id IS NULL THEN 'b' ELSE 'a' END, CAST(coalesce(a_id, b_id) AS VARCHAR)) AS INT) AS position FROM r""")
+def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.canonical_order(reconcile.reconcile(*_providers(spark, sf_dir))).select("a_id", "b_id", "athlete_id", "start_s", "position")
+
+
+MEASURED = PROVIDERS + """, given AS (SELECT id, CASE WHEN id % 19 <> 0 THEN distance_m END AS distance_m, CASE WHEN id % 3 <> 0 THEN elapsed_s - 5 END AS moving_s, CASE WHEN id % 23 <> 0 THEN elapsed_s END AS elapsed_s FROM b),
+measured AS (SELECT id, distance_m, coalesce(moving_s, elapsed_s) AS moving_s, elapsed_s, CASE WHEN distance_m IS NULL THEN 'DISTANCE_MISSING' WHEN elapsed_s IS NULL THEN 'ELAPSED_TIME_MISSING' END AS reject FROM given)
+"""
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, i = _providers(spark, sf_dir)[1], F.col("id")
+    given = b.select("id", F.when(i % 19 != 0, F.col("distance_m")).alias("distance_m"), F.when(i % 3 != 0, F.col("elapsed_s") - 5).alias("moving_s"), F.when(i % 23 != 0, F.col("elapsed_s")).alias("elapsed_s"))
+    return contracts.required_measurements(given)
+
+
+@query(MEASURED + "SELECT id, round(distance_m, 3) AS distance_m, round(moving_s, 3) AS moving_s, round(elapsed_s, 3) AS elapsed_s, reject FROM measured")
+def required_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir).select("id", *[F.round(c, 3).alias(c) for c in ("distance_m", "moving_s", "elapsed_s")], "reject")
+
+
+BENCHMARKS = STANDARD + """, declared AS (SELECT DISTINCT athlete_id, ['5k', '10k', 'half_marathon', 'marathon'][athlete_id % 4 + 1] AS distance, local_date AS declared_on FROM all_activities),
+hits AS (SELECT d.athlete_id, d.distance, declared_on, count(activity_id) AS n, min(activity_id) AS one FROM declared d JOIN standard s USING (distance) LEFT JOIN activities a ON a.athlete_id = d.athlete_id AND a.local_date = declared_on AND CAST(distance_m AS DOUBLE) >= m * 0.95::DOUBLE GROUP BY 1, 2, 3),
+benchmarks AS (SELECT athlete_id, distance, declared_on, CASE WHEN n = 1 THEN one END AS activity_id, CASE WHEN n <> 1 THEN 'BENCHMARK_ACTIVITY_NOT_UNIQUE' END AS code FROM hits)
+"""
+
+
+@query(BENCHMARKS + "SELECT * FROM benchmarks")
+def benchmark_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day with a run, declared as a benchmark over the athlete's distance."""
+    names = F.array(*[F.lit(d) for d in scalars.STANDARD_DISTANCES])
+    declared = views.all_activities(spark, sf_dir).select("athlete_id", names[(F.col("athlete_id") % 4).cast("int")].alias("distance"), F.col("local_date").alias("declared_on")).distinct()
+    return evidence.benchmark_activities(declared, views.activities(spark, sf_dir))
+
+
+@query(
+    MEASURED + BENCHMARKS.lstrip()
+    + """, f AS (SELECT 'measurements' AS stage, CAST(id AS VARCHAR) AS id, reject AS code FROM measured UNION ALL SELECT 'benchmarks', CAST(athlete_id AS VARCHAR), code FROM benchmarks)
+SELECT * FROM f WHERE code IS NOT NULL"""
+)
+def import_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of measurements, matching and benchmarks in one table; the providers' rows leave no match open."""
+    rejected = _measured(spark, sf_dir).where("reject is not null").select("id", F.col("reject").alias("code"))
+    open_matches = reconcile.findings(*_providers(spark, sf_dir)).withColumnRenamed("a_id", "id")
+    unclear = benchmark_activities(spark, sf_dir).where("code is not null").select(F.col("athlete_id").alias("id"), "code")
+    return contracts.all_findings(measurements=rejected, matching=open_matches, benchmarks=unclear)
+
+
+@query(
+    """, ids AS (SELECT DISTINCT athlete_id FROM all_activities),
+l AS (SELECT athlete_id, max(local_date) AS load_on FROM all_activities WHERE status = 'verified' AND athlete_id % 3 <> 0 GROUP BY 1),
+r AS (SELECT athlete_id, max(local_date) AS any_on, max(local_date) FILTER (status <> 'excluded') AS run_on FROM all_activities GROUP BY 1)
+SELECT athlete_id, coalesce(load_on, any_on) AS evidence_on, run_on FROM ids LEFT JOIN l USING (athlete_id) LEFT JOIN r USING (athlete_id)"""
+)
+def latest_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads are there for verified runs of two thirds of the athletes."""
+    acts = views.all_activities(spark, sf_dir)
+    return evidence.latest_dates(acts, acts.where((F.col("status") == "verified") & (F.col("athlete_id") % 3 != 0)), acts)
+
+
+@query(
+    BESTS
+    + f""", chosen AS ({ORACLE_SQL["performance_evidence"]}),
+observed AS (SELECT athlete_id, activity_id, distance AS target, CAST(achieved_at AS DATE) AS achieved_on, 'observed_best' AS evidence_kind, elapsed_s FROM prog QUALIFY lead(achieved_at) OVER (PARTITION BY athlete_id, distance ORDER BY achieved_at, elapsed_s DESC) IS NULL),
+u AS (SELECT athlete_id, activity_id, distance AS target, local_date AS achieved_on, 'verified_performance' AS evidence_kind, elapsed_ms / 1000 AS elapsed_s FROM near n WHERE status = 'verified' AND NOT EXISTS (SELECT 1 FROM observed o WHERE o.activity_id = n.activity_id AND o.target = n.distance)
+  UNION ALL SELECT athlete_id, activity_id, target, achieved_on, evidence_kind, elapsed_s FROM chosen UNION ALL SELECT * FROM observed)
+SELECT athlete_id, activity_id, target, achieved_on, evidence_kind, round(elapsed_s, 3) AS elapsed_s, CAST(row_number() OVER (PARTITION BY athlete_id ORDER BY achieved_on DESC, evidence_kind DESC, CAST(activity_id AS VARCHAR) DESC, target NULLS FIRST) AS INT) AS position FROM u"""
+)
+def evidence_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    perf = _performances(spark, sf_dir)
+    verified = perf.where("status = 'verified'").select("athlete_id", "activity_id", F.col("distance").alias("target"), F.col("local_date").alias("achieved_on"), F.lit("verified_performance").alias("evidence_kind"), "elapsed_s")
+    observed = bests.supersessions(perf).where("superseded_at is null").select("athlete_id", "activity_id", F.col("distance").alias("target"), F.to_date("achieved_at").alias("achieved_on"), F.lit("observed_best").alias("evidence_kind"), "elapsed_s")
+    return evidence.evidence_union(verified, performance_evidence(spark, sf_dir), observed).withColumn("elapsed_s", F.round("elapsed_s", 3))
+
+
+@query(f""", wk AS ({ORACLE_SQL["weekly_summary"]}), p AS (SELECT *, CAST(round_even(weighted_pace, 0) AS BIGINT) AS s FROM wk)
+SELECT * EXCLUDE (weighted_pace, s), weighted_pace / 60 AS pace_min_per_km, CASE WHEN s IS NULL THEN 'Unavailable' ELSE printf('%d:%02d /km', s // 60, s % 60) END AS pace_display FROM p""")
+def weekly_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trends.weekly_frame(weekly_summary(spark, sf_dir))
+
+
+def _tenth(x: str) -> str:
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30,18)), 1) AS DOUBLE)"
+
+
+@query(
+    f""", o AS ({ORACLE_SQL["plan_outlines"]}),
+lk(distance, l0, l1, l2, lo, hi) AS (VALUES ('5k', 7.0::DOUBLE, 4.0::DOUBLE, 8.0::DOUBLE, -3, 5), ('10k', 9.0, 4.5, 10.0, -5, 5), ('half_marathon', 12.0, 5.0, 12.0, -8, 4), ('marathon', 15.0, 5.0, 12.0, -5, 5)),
+w0 AS (SELECT o.*, lk.* EXCLUDE (distance), CAST(3 + goal_id % 5 AS INT) - 2 AS n0, CAST(240 + goal_id % 120 AS DOUBLE) AS p5, CAST(250 + goal_id % 150 AS DOUBLE) AS pt, distance = 'marathon' AND phase = 'base' AS st FROM o JOIN lk USING (distance) WHERE phase <> 'race'),
+w1 AS (SELECT *, CASE WHEN st THEN 8.0::DOUBLE ELSE l0 END AS lh, {_tenth("greatest(CASE WHEN st THEN 8.0::DOUBLE ELSE l0 END, target_km * CASE WHEN st THEN 0.14::DOUBLE ELSE 0.16::DOUBLE END)")} AS h0 FROM w0),
+w2 AS (SELECT *, greatest(long_run_km + h0 + n0 * l1 - target_km, 0) AS ov FROM w1),
+w3 AS (SELECT *, least(ov, greatest(h0 - lh, 0)) AS cut FROM w2),
+w4 AS (SELECT *, {_tenth("h0 - cut")} AS hard, {_tenth("long_run_km - least(ov - cut, greatest(long_run_km - l2, 0))")} AS long_km FROM w3),
+w5 AS (SELECT *, greatest(target_km - long_km - hard, 0) AS rest FROM w4),
+w6 AS (SELECT *, CAST(CASE WHEN rest / n0 < l1 THEN greatest(least(floor(rest / l1), n0), 1) ELSE n0 END AS INT) AS n FROM w5),
+w7 AS (SELECT *, {_tenth("rest / n")} AS easy, CASE n WHEN 1 THEN [1, 3, 6] WHEN 2 THEN [1, 3, 5, 6] WHEN 3 THEN [0, 1, 3, 5, 6] WHEN 4 THEN [0, 1, 2, 3, 5, 6] ELSE [0, 1, 2, 3, 4, 5, 6] END AS slots FROM w6),
+w8 AS (SELECT *, unnest(slots) AS d FROM w7),
+w9 AS (SELECT *, CASE WHEN d = 6 THEN 'long' WHEN d = slots[CASE WHEN n >= 2 THEN 2 ELSE 1 END] THEN 'quality' WHEN n >= 2 AND d = 5 THEN 'recovery' ELSE 'easy' END AS kind FROM w8),
+z AS (SELECT *, CASE kind WHEN 'long' THEN long_km WHEN 'quality' THEN hard ELSE easy END AS distance_km,
+  CASE kind WHEN 'quality' THEN CASE WHEN distance = '5k' THEN p5 ELSE pt END + lo WHEN 'easy' THEN p5 + 90 WHEN 'recovery' THEN p5 + 115 ELSE p5 + 75 END AS faster,
+  CASE kind WHEN 'quality' THEN CASE WHEN distance = '5k' THEN p5 ELSE pt END + hi WHEN 'easy' THEN p5 + 130 WHEN 'recovery' THEN p5 + 150 ELSE p5 + 115 END AS slower FROM w9),
+c AS (SELECT *, CAST(round(CAST(CAST(distance_km * faster AS VARCHAR) AS DECIMAL(30,18)), 0) AS BIGINT) AS f, CAST(round(CAST(CAST(distance_km * slower AS VARCHAR) AS DECIMAL(30,18)), 0) AS BIGINT) AS s FROM z)
+SELECT goal_id, week, start_date + d AS scheduled, kind, distance_km, faster, slower,
+  CASE WHEN f < 3600 THEN printf('%d:%02d', f // 60, f % 60) ELSE printf('%d:%02d:%02d', f // 3600, f % 3600 // 60, f % 60) END || '-' || CASE WHEN s < 3600 THEN printf('%d:%02d', s // 60, s % 60) ELSE printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) END AS planned_time FROM c"""
+)
+def detailed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions of every week before the race week, for 3 to 7 days a week, with their planned times."""
+    k = F.col("goal_id")
+    weeks = training_plan.weekly_outline(_goals(spark, sf_dir)).where("phase <> 'race'")
+    weeks = weeks.withColumns({"days_per_week": (3 + k % 5).cast("int"), "five_k_pace": (240 + k % 120).cast("double"), "target_pace": (250 + k % 150).cast("double")})
+    found = training_plan.detailed_sessions(weeks)
+    return found.withColumn("planned_time", scalars.duration_range(F.col("distance_km"), F.col("faster"), F.col("slower")))
+
+
+@query()
+def created_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensor files that stay unmatched against verified activities alone: attached or made into activities."""
+    acts, b = views.activities(spark, sf_dir).where("status = 'verified'"), _providers(spark, sf_dir)[1]
+    files = b.select(F.col("id").alias("file_id"), "athlete_id", F.lit("p").alias("provider"), F.lit(None).cast("string").alias("external_id"), "start_s", F.when(F.col("id") % 23 != 0, F.col("elapsed_s")).alias("elapsed_s"), F.when(F.col("id") % 19 != 0, F.col("distance_m")).alias("distance_m"))
+    canonical = acts.select("activity_id", "athlete_id", F.unix_timestamp("start_utc").cast("double").alias("start_s"), (F.col("elapsed_ms") / 1000).alias("elapsed_s"), F.col("distance_m").cast("double").alias("distance_m"))
+    sources = acts.select(F.lit("p").alias("provider"), F.lit(None).cast("string").alias("external_id"), F.when(F.col("activity_id") % 2 == 0, F.col("activity_id")).alias("activity_id"))
+    return tracking.create_missing(files, tracking.resolve_files(files, sources, canonical), canonical)
