@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .frames import settle
 
+#: Pairs for each task of a round: a short list is not dealt over all partitions of the session.
+PAIRS_PER_TASK = 100_000
+
 
 def first_of_repeats(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with one of the rows that repeat both an id and a text; ``marked`` has (doc_id, doc_key) of every row. Rows without an id stay."""
@@ -36,20 +39,23 @@ def connected_components(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     # invariants: hi > lo; every hi points at some smaller node of its component
     edges = settle(nodes.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     all_nodes = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    few = lambda df: df.coalesce(tasks)
     for _ in range(max_rounds):
+        tasks = 1 + edges.count() // PAIRS_PER_TASK
+        edges = few(edges)
         # large star: each node hands its larger neighbours to the smallest node among itself and its neighbours
-        least = edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(edges.select(F.col("lo").alias("n"), F.col("lo").alias("m"))).groupBy("n").agg(F.min("m").alias("m"))
+        least = few(edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(edges.select(F.col("lo").alias("n"), F.col("lo").alias("m")))).groupBy("n").agg(F.min("m").alias("m"))
         large = edges.join(least, edges["lo"] == least["n"]).select("hi", F.col("m").alias("lo"))
         own = least.where("n <> m").select(F.col("n").alias("hi"), F.col("m").alias("lo"))
-        stars = large.unionByName(own).distinct()
+        stars = few(large.unionByName(own)).distinct()
         # small star: each node sends all its smaller neighbours, and itself, to the smallest of them
-        lowest = stars.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = stars.join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = settle(small.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct())
-        centres = edges.select(F.col("lo").alias("hi")).distinct()
+        lowest = few(stars).groupBy("hi").agg(F.min("lo").alias("m"))
+        small = few(stars).join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        edges = settle(few(few(small.unionByName(lowest.select("hi", F.col("m").alias("lo")))).distinct()))
+        centres = few(edges.select(F.col("lo").alias("hi")).distinct())
         chained = edges.join(centres, "hi", "left_semi").select("hi")
-        if not chained.unionByName(edges.groupBy("hi").count().where("count > 1").select("hi")).limit(1).count():
+        if not few(chained.unionByName(edges.groupBy("hi").count().where("count > 1").select("hi"))).limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
-    return all_nodes.join(edges.groupBy("hi").agg(F.min("lo").alias("component")), F.col("node") == F.col("hi"), "left").select("node", F.coalesce("component", "node").alias("component"))
+    return all_nodes.join(few(edges.groupBy("hi").agg(F.min("lo").alias("component"))), F.col("node") == F.col("hi"), "left").select("node", F.coalesce("component", "node").alias("component"))
