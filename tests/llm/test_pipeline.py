@@ -73,3 +73,21 @@ def test_near_dedup_finds_all_pairs_of_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str) == expected
     assert corpus_pipeline.near_dedup(spark, docs.where("false"), SF).count() == 0
+
+
+def test_parities_never_part_alike_sets():
+    import numpy as np
+    from paceforge.llm.nearcopies import PARITIES, alike, parities
+
+    rnd = np.random.default_rng(3)
+    assert parities(np.empty(0, np.uint64)).tolist() == [0] * len(PARITIES)
+    kept = parted = 0
+    for _ in range(3000):
+        base = np.unique(rnd.integers(0, 1 << 63, rnd.integers(1, 400), dtype=np.uint64))
+        new = np.unique(rnd.integers(0, 1 << 63, rnd.integers(0, 1 + len(base) // 3), dtype=np.uint64))
+        other = np.unique(np.concatenate([base[rnd.integers(0, 1 + len(base) // 4) :], new]))
+        differing = int(np.bitwise_count((parities(base) ^ parities(other)).view(np.uint64)).sum())
+        passes = 9 * differing <= len(base) + len(other)
+        assert passes or not alike(base, other)
+        kept, parted = kept + passes, parted + (not passes)
+    assert kept and parted
