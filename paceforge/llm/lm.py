@@ -292,6 +292,7 @@ def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, tabl
         mean = a * -np.expm1(discount * np.log(np.maximum(rest, 1e-300))) / discount
         second = c * (1 + (1 - discount) * z / np.maximum(rest, 1e-300))
         spread = np.sqrt(np.maximum(mean - c * c / second, 0))
+        mean = mean + z * (1 - discount) / (2 * (1 - discount * z) ** 2)  # the saddle point's own width counts for about one table
         out[large] = np.clip(np.rint(mean + spread * rng.standard_normal(len(c))), 1, customers[large])
     return out
 
