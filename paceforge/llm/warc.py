@@ -100,25 +100,66 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 6000, mi
     records.select(F.col("record").cast("string").alias("value")).write.options(lineSep=END.decode(), compression="gzip", maxRecordsPerFile=records_per_file).mode("overwrite").text(path)
 
 
+class _Archive:
+    """The bytes of an archive in turn; what was read can be put back."""
+
+    def __init__(self, data: bytes):
+        self.stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+        self.held = io.BytesIO()
+
+    def line(self) -> bytes:
+        head = self.held.readline()
+        return head if head.endswith(b"\n") else head + self.stream.readline()
+
+    def read(self, size: int) -> bytes:
+        head = self.held.read(size)
+        return head + self.stream.read(size - len(head)) if len(head) < size else head
+
+    def put_back(self, data: bytes) -> None:
+        self.held = io.BytesIO(data + self.held.read())
+
+
 def parse_archive(data: bytes):
-    """Yield (headers, block) of each record of an archive, compressed whole, by record or not at all; one record is held at a time."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError("a WARC record has no version line")
-        headers = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.partition(b":")
-            headers[name.decode("utf-8").strip().lower()] = value.decode("utf-8").strip()
-        size = int(headers.get("content-length", "-1"))
-        if size < 0:
-            raise ValueError("a WARC record has no length")
-        block = stream.read(size)
-        if len(block) < size:
-            raise ValueError("a WARC block ends early")
-        yield headers, block
+    """Yield (headers, block) of each record of an archive, compressed whole, by record or not at all; one record is held at a time.
+
+    What is no record gives one (None, error), and reading goes on at the next
+    version line. A record ends with two line ends or the archive; where its
+    block does not, its length is wrong, and version lines are looked for from
+    the block's first byte on. A compressed stream that breaks ends with an
+    error, too.
+    """
+    archive, lost = _Archive(data), False
+    try:
+        while line := archive.line():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                if not lost:
+                    yield None, "a WARC record has no version line"
+                lost = True
+                continue
+            headers, read = {}, []
+            while (line := archive.line()).strip():
+                read.append(line)
+                name, _, value = line.partition(b":")
+                headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+            size = _number(headers.get("content-length"))
+            if size is None or size < 0:
+                archive.put_back(b"".join(read) + line)
+                yield None, "a WARC record has no length"
+                lost = True
+                continue
+            block = archive.read(size)
+            after = archive.read(len(END)) if len(block) == size else b""
+            if len(block) < size or after.strip():
+                archive.put_back(block + after)
+                yield None, "a WARC block does not end where its length says"
+                lost = True
+                continue
+            lost = False
+            yield headers, block
+    except (EOFError, OSError, zlib.error) as error:
+        yield None, str(error)
 
 
 def _number(value: str | bytes | None) -> int | None:
@@ -130,9 +171,9 @@ def _number(value: str | bytes | None) -> int | None:
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per record of the archives under ``path``; without ``payloads`` their bytes are left out, not their digests.
 
-    Where an archive breaks off or breaks the format, its records up to there
-    are followed by a row of which only ``error`` is set. A page id or length
-    that is no number is null. An empty file has no records.
+    A part of an archive that is no record gives a row of which only ``error``
+    is set, and the records after it are read (``parse_archive``). A page id or
+    length that is no number is null. An empty file has no records.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 
@@ -150,14 +191,11 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
         def run(batch):
             rows = []
             for data in batch.column(0):
-                try:
-                    for headers, block in parse_archive(data.as_py()):
-                        rows.append(parsed(headers, block))
-                        if len(rows) >= 500:
-                            yield [list(c) for c in zip(*rows)]
-                            rows = []
-                except (ValueError, EOFError, OSError, zlib.error) as error:
-                    rows.append((*[None] * 11, str(error)))
+                for headers, block in parse_archive(data.as_py()):
+                    rows.append((*[None] * 11, block) if headers is None else parsed(headers, block))
+                    if len(rows) >= 500:
+                        yield [list(c) for c in zip(*rows)]
+                        rows = []
             if rows:
                 yield [list(c) for c in zip(*rows)]
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paceforge.llm import bpe, components, decontam, langid, linedup, quality, secrets, simhash, tiff, toxicity, warc
+from paceforge.llm import bpe, components, decontam, langid, linedup, nearcopies, quality, secrets, simhash, tiff, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, n_tokens int"
 
@@ -147,6 +147,16 @@ def test_warc_broken_archives_give_error_rows(spark, tmp_path):
     assert warc.assemble(warc.read_records(spark, str(tmp_path))).count() >= 1
 
 
+@pytest.mark.parametrize("spoil", [(b"WARC/1", b"XARC/1"), (b"Content-Length: ", b"Content-Length: 9"), (b"Content-Length: ", b"Content-Length: -"), (b"Content-Length", b"Content-Size")])
+def test_warc_reads_on_after_a_broken_record(spark, tmp_path, spoil):
+    records = [r for i in range(10) for r in warc.capture_records(i, f"http://a/{i}", b"line\r\n" * i, None)]
+    records[11] = records[11].replace(*spoil, 1)
+    (tmp_path / "x.warc").write_bytes(b"".join(r + warc.END for r in records))
+    rows = warc.read_records(spark, str(tmp_path)).collect()
+    assert sum(r.error is None for r in rows) == 29 and sum(r.error is not None for r in rows) == 1
+    assert warc.assemble(warc.read_records(spark, str(tmp_path))).where("metadata is not null").count() >= 9
+
+
 def test_toxicity_finds_marked_words(spark):
     rnd = random.Random(4)
     names = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
@@ -309,9 +319,9 @@ def test_decontamination(spark, block):
     windows = defaultdict(set)
     for i, t in items:
         w = plain_words(t)
-        if w and i is not None:
+        if w:
             for k in range(max(1, len(w) - 9)):
-                windows[tuple(w[k : k + 10])].add(str(i))
+                windows[tuple(w[k : k + 10])].update([] if i is None else [str(i)])
     expected = Counter()
     for i, t in rows:
         w, hit, named = plain_words(t), set(), set()
@@ -357,11 +367,22 @@ def test_simhash(spark):
     expected = Counter((i, f"{f:016x}", least[p]) for (i, _), f, p in zip(rows, prints, place))
     docs = documents(spark, rows)
     assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == expected
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.where("doc_id is not null").select("doc_id").distinct().count() == len({e[2] for e in expected} - {None})
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_tally_decides_which_fingerprints_are_verified(spark):
+    base = 0x0102030405060708
+    differing = lambda *at: base ^ sum(0xFF << (8 * p) for p in at)
+    prints = [base, differing(0), differing(1, 2), differing(3, 4, 5), differing(0, 6, 7), base ^ 1, base ^ 1 << 63]
+    table = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    unsigned = lambda v: v & (1 << 64) - 1
+    shared = lambda a, b: sum((a ^ b) >> 8 * p & 0xFF == 0 for p in range(8))
+    pairs = {tuple(sorted((a, b))) for i, a in enumerate(prints) for b in prints[:i]}
+    met = {tuple(sorted(map(unsigned, r))) for r in simhash.tallied_pairs(table).collect()}
+    assert met == {p for p in pairs if shared(*p) >= 6} and any(shared(*p) == 5 for p in pairs)
+    assert {tuple(sorted(map(unsigned, r))) for r in simhash.linked_pairs(table).collect()} == {p for p in pairs if (p[0] ^ p[1]).bit_count() <= 2}
+
+
 def test_components(spark):
     rnd = random.Random(11)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1070)] + [(7, 7), (7, 7)]
@@ -398,8 +419,8 @@ def test_tiff_codecs_and_floating_point_predictor():
     rnd = random.Random(12)
     for k in range(60):
         data = bytes(rnd.choices(range(256) if k % 2 else b"ab", k=rnd.randint(0, 12_000)))
-        assert tiff.lzw_decode(tiff.lzw_encode(data)) == data and tiff.unpack_bits(tiff.pack_bits(data)) == data
-    assert tiff.lzw_decode(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01])) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+        assert tiff.lzw_decode(tiff.lzw_encode(data), len(data)) == data and tiff.unpack_bits(tiff.pack_bits(data), len(data)) == data
+    assert tiff.lzw_decode(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01]), 99) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
     values = np.array([[[1.5], [-2.0], [3e9]], [[0.0], [7.25], [1e-9]]], ">f4")
     raw = values.view(np.uint8).reshape(2, 3, 4).transpose(0, 2, 1).reshape(2, 12)
     coded = np.diff(raw, axis=1, prepend=np.zeros((2, 1), np.uint8)).astype(np.uint8)
@@ -434,6 +455,7 @@ def test_tiff_crafted_files_give_error_rows(spark):
     assert list(rows[5].pixels) == [int(b) for b in "101001011111"]
     assert tiff.read_pages(spark.createDataFrame([], "doc_id long, media binary")).count() == 0
     assert tiff.inflate(zlib.compress(bytes(1 << 20)), 100) == bytes(100)
+    assert len(tiff.lzw_decode(tiff.lzw_encode(bytes(1 << 20)), 100)) == len(tiff.unpack_bits(tiff.pack_bits(bytes(1 << 20)), 100)) == 100
 
 
 CLASHING = "doc_id long, text string, items string, spans int, n_words float, day date, at timestamp, small short, price decimal(10,2), tags map<string,int>, __n_words long, c0 string"
@@ -457,14 +479,11 @@ def test_filters_carry_columns_of_any_name_and_type(spark):
     kept = langid.keep_identified(docs, model)
     assert kept.schema == docs.schema and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
     assert {tuple(map(str, r[2:])) for r in kept.collect()} == {tuple(map(str, r[2:])) for r in docs.collect()}
-    assert linedup.remove_repeated(docs).schema == docs.schema and simhash.keep_one(docs).schema == docs.schema
-
+    assert linedup.remove_repeated(docs).schema == docs.schema and nearcopies.keep_one(docs).schema == docs.schema
 
-@pytest.mark.parametrize("module", ["simhash", "nearcopies"])
-def test_near_dedup_removes_rows_not_ids(spark, module):
-    from paceforge.llm import nearcopies
 
-    keep_one = {"simhash": simhash, "nearcopies": nearcopies}[module].keep_one
+def test_near_dedup_removes_rows_not_ids(spark):
+    keep_one = nearcopies.keep_one
     same, other = "alpha beta gamma delta epsilon zeta eta", "quite another text of several plain words indeed"
     rows = [(1, same), (5, same), (5, other), (8, other), (9, "again " * 9), (9, "again " * 9), (None, same), (10, None), (11, "")]
     kept = keep_one(documents(spark, rows))
@@ -482,6 +501,10 @@ def test_tiff_digests_and_broken_files(spark):
         padded = raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
         r = found[i][0]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    many = spark.createDataFrame([(i, f"text {i} " * (i % 40)) for i in range(400)], "doc_id long, text string")
+    stored = tiff.read_pages(tiff.store_texts(many), keep=("n_bytes",)).collect()
+    assert {r.compression for r in stored} == {tiff.NONE, tiff.LZW, tiff.PACKBITS, tiff.DEFLATE, tiff.OLD_DEFLATE} and {(r.predictor, r.tiled) for r in stored} == {(a, b) for a in (1, 2) for b in (False, True)}
+    assert all(bytes(r.pixels)[: r.n_bytes] == (f"text {r.doc_id} " * (r.doc_id % 40)).encode() and r.error is None for r in stored)
     good = tiff.write_tiff([np.zeros((3, 4, 1), np.uint8), np.ones((2, 2, 1), np.uint8)])
     files = spark.createDataFrame([(1, good), (2, None), (3, b"II*\0"), (4, good[:-40]), (5, b"II*\0\x08\0\0\0\0\0\x08\0\0\0")], "doc_id long, media binary")
     pages = tiff.read_pages(files).collect()
