@@ -79,8 +79,7 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
 
         return run
 
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), "text")
-    return map_batches(items, "width int, hash long, words binary, item string", make).distinct()
+    return map_batches(benchmark.select(F.col("item_id").cast("string"), "text"), "width int, hash long, words binary, item string", make).distinct()
 
 
 def benchmark_blocks(windows: DataFrame, block_windows: int):
@@ -120,9 +119,9 @@ class Matcher:
             for i in np.nonzero(keys[at] == rolled)[0].tolist():
                 doc = int(np.searchsorted(starts, i, "right")) - 1
                 named = found[int(rolled[i])].get(b" ".join(flat[i : i + width])) if i + width <= starts[doc + 1] else None
-                if named:
+                if named is not None:
                     hits[doc].append((i - int(starts[doc]), i - int(starts[doc]) + width))
-                    items[doc] |= named
+                    items[doc] |= named - {None}
         return [(int(n), merge(h), i) for n, h, i in zip(sizes, hits, items)]
 
 
@@ -152,7 +151,8 @@ def scan(
     ``spans`` are the hit words as merged [first, end) word numbers; ``items``
     are the sorted ids (text) of the items with an occurring window. An item
     of fewer than ``window`` words is one window; one without words has none.
-    A null text has no words. Items may repeat; null item ids are ignored.
+    A null text has no words. Items may repeat; the windows of an item without
+    an id are hit like any other, but nothing is named for them.
     Columns other than ``keep`` are not carried.
     """
     rows = docs.select(docs[id_col].cast("long").alias("c0"), *[docs[c].alias(f"c{k}") for k, c in enumerate(keep, 1)], docs[text_col].alias("__text"))
