@@ -11,10 +11,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .frames import map_batches
 
@@ -26,8 +29,10 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q"}
 
 
-#: A page may hold as many samples as this; more is an error.
-MAX_SAMPLES = 1 << 28
+#: A page, and a block of it, may hold as many bytes of samples as this; more is an error.
+MAX_BYTES = 1 << 28
+#: Pages leave a task once so many bytes of them are read.
+HELD_BYTES = 16 << 20
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
@@ -35,9 +40,10 @@ class TiffError(ValueError):
     """The file breaks the format, or uses a part of it that is not read here."""
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, need: int) -> bytes:
+    """The first ``need`` bytes, or all there are."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < need:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -46,7 +52,7 @@ def unpack_bits(data: bytes) -> bytes:
             if n > 128:
                 out += data[i + 1 : i + 2] * (257 - n)
             i += 2 if n > 128 else 1
-    return bytes(out)
+    return bytes(out[:need])
 
 
 def pack_bits(data: bytes) -> bytes:
@@ -67,13 +73,15 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """TIFF's LZW: most significant bit first, 9 to 12 bits, the width grows one code early."""
-    out, table, previous = [], [], b""
+def lzw_decode(data: bytes, need: int) -> bytes:
+    """TIFF's LZW: most significant bit first, 9 to 12 bits, the width grows one code early. The first ``need`` bytes, or all there are."""
+    out, table, previous, made = [], [], b"", 0
     width, held, bits = 9, 0, 0
     base = [bytes([i]) for i in range(256)] + [b"", b""]
     table = list(base)
     for byte in data:
+        if made >= need:
+            break
         held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
         if bits < width:
             continue
@@ -91,12 +99,13 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise TiffError("LZW code out of range")
         out.append(entry)
+        made += len(entry)
         if previous and len(table) < 4096:
             table.append(previous + entry[:1])
         previous = entry
         width = min(12, (len(table) + 1).bit_length())
         width = max(9, width)
-    return b"".join(out)
+    return b"".join(out)[:need]
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -136,16 +145,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def inflate(data: bytes, most: int = 0) -> bytes:
-    """At most so many bytes of the stream; 0: all."""
+def inflate(data: bytes, need: int) -> bytes:
+    """The first ``need`` bytes of the stream, or all there are."""
     try:
-        return zlib.decompressobj().decompress(data, most)
+        return zlib.decompressobj().decompress(data, max(1, need))
     except zlib.error as error:
         raise TiffError(f"deflate: {error}") from error
 
 
-#: Compression: (packed, bytes needed) -> bytes. LZW and PackBits cannot grow by more than their code lengths allow.
-DECODERS = {NONE: lambda x, n: x[:n], LZW: lambda x, n: lzw_decode(x), DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: lambda x, n: unpack_bits(x)}
+#: Compression: (packed, bytes needed) -> bytes; what a page does not need is not unpacked.
+DECODERS = {NONE: lambda x, n: x[:n], LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 6), OLD_DEFLATE: lambda x: zlib.compress(x, 6), PACKBITS: pack_bits}
 
 
@@ -223,14 +232,15 @@ def read_page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
         raise TiffError(f"compression {compression}")
     if bits not in (1, 2, 4, 8, 16, 32, 64) or (bits < 8 and predictor != 1):
         raise TiffError(f"{bits} bits per sample, predictor {predictor}")
-    if min(width, height) < 0 or width * height * samples > MAX_SAMPLES:
-        raise TiffError(f"{width} x {height} x {samples} samples")
-    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
+    size = max(1, bits // 8)
+    if min(width, height) < 0 or width * height * samples * size > MAX_BYTES:
+        raise TiffError(f"{width} x {height} x {samples} samples of {bits} bits")
+    kind = np.dtype(f"{order}u{size}")
     tiled = TILE_OFFSETS in tags
     across, down = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ())
     planes, depth = (samples, 1) if planar == 2 else (1, samples)
-    if not across or not down or min(across, down) < 0 or across * down * depth > MAX_SAMPLES:
+    if not across or not down or min(across, down) < 0 or across * down * depth * size > MAX_BYTES:
         raise TiffError("a block has no size, or too large a one")
     columns, rows = -(-width // across), -(-height // down)
     if len(offsets) != len(counts) or len(offsets) < columns * rows * planes:
@@ -291,37 +301,59 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
     return bytes(out)
 
 
-def read_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per page: (id, page, width, height, samples, bits, compression, predictor, tiled, pixels, error).
+PAGE = "page int, width long, height long, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
+
+
+def read_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = (), describe: Callable[[dict], str] | None = None) -> DataFrame:
+    """One row per page: (id, *keep, page, width, height, samples, bits, compression, predictor, tiled, pixels, error).
 
     Pages count from 0. A null file, a file without a header or with a broken
     directory gives one row with page null and ``error`` set; a page that
-    cannot be read gives its row with ``error`` and null pixels, and the other
-    pages are still read. Ids may be null or repeat; other columns are not carried.
+    cannot be read, or of more than ``MAX_BYTES`` bytes of samples, gives its
+    row with ``error`` and null pixels, and the other pages are still read.
+    ``describe`` adds a column ``feature`` of each page that is read. A task
+    holds the pages of one batch only up to ``HELD_BYTES`` and one page. Ids
+    may be null or repeat; columns other than ``keep`` are not carried.
     """
     names = ("width", "height", "samples", "bits", "compression", "predictor", "tiled", "pixels")
+    blank = (None,) * len(names)
 
     def make():
-        def run(batch):
-            rows = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        def pages(data):
+            try:
+                found = directories(data or b"")
+            except TiffError as error:
+                yield (None, *blank, str(error), None)
+                return
+            for k, (order, tags) in enumerate(found):
                 try:
-                    found = directories(data or b"")
-                except TiffError as error:
-                    rows.append((key, None, *[None] * len(names), str(error)))
-                    continue
-                for k, (order, tags) in enumerate(found):
-                    try:
-                        page = read_page(data, order, tags)
-                        rows.append((key, k, *[page[n] for n in names], None))
-                    except (TiffError, ValueError, OverflowError, MemoryError) as error:
-                        rows.append((key, k, *[None] * len(names), str(error)))
-            return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(len(names) + 3)]
+                    page = read_page(data, order, tags)
+                    yield (k, *[page[n] for n in names], None, describe(page) if describe else None)
+                except (TiffError, ValueError, OverflowError, MemoryError) as error:
+                    yield (k, *blank, str(error), None)
+
+        def columns(batch, at, rows):
+            kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
+            return [*kept, *(list(c) for c in zip(*rows))][: None if describe else -1]
+
+        def run(batch):
+            at, rows, held = [], [], 0
+            for i, data in enumerate(batch.column(batch.num_columns - 1)):
+                for row in pages(data.as_py()):
+                    at.append(i)
+                    rows.append(row)
+                    held += len(row[8] or b"")
+                    if held >= HELD_BYTES:
+                        yield columns(batch, at, rows)
+                        at, rows, held = [], [], 0
+            if rows:
+                yield columns(batch, at, rows)
 
         return run
 
-    schema = f"`{id_col}` long, page int, width long, height long, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
-    return map_batches(files.select(files[id_col].cast("long"), files[media_col]), schema, make)
+    read = files.select(files[id_col].cast("long").alias(id_col), *[files[c] for c in keep], files[media_col])
+    fields = T._parse_datatype_string(PAGE + (", feature string" if describe else "")).fields
+    return map_batches(read, T.StructType([*read.schema.fields[:-1], *fields]), make)
 
 
 def payload_of(text: str | None, multiple: int = 64) -> tuple[bytes, int]:
@@ -330,8 +362,19 @@ def payload_of(text: str | None, multiple: int = 64) -> tuple[bytes, int]:
     return raw.ljust(max(1, -(-len(raw) // multiple)) * multiple, b"\0"), len(raw)
 
 
+#: By the first byte of a text's SHA-256: codecs in turn (the slow ones seldom), differences or not, strips of some heights or tiles.
+CODECS = (LZW, PACKBITS, NONE, OLD_DEFLATE, DEFLATE, DEFLATE, DEFLATE, DEFLATE)
+STRIP_ROWS, TILES = (128, 7), (None, None, None, (32, 16))
+
+
+def layout_of(raw: bytes) -> dict:
+    """How a text is stored; equal texts in the same way."""
+    a, b = hashlib.sha256(raw).digest()[:2]
+    return {"compression": CODECS[a % len(CODECS)], "predictor": 1 + b % 2, "rows_per_strip": STRIP_ROWS[b // 2 % 2], "tile": TILES[b // 4 % 4]}
+
+
 def store_texts(docs: DataFrame, width: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): each whole text as a one-page TIFF of ``width`` 8-bit samples a row; null is empty."""
+    """(id, n_bytes, media): each whole text as a one-page TIFF of ``width`` 8-bit samples a row, stored as ``layout_of`` says; null is empty."""
 
     def make():
         def run(batch):
@@ -339,7 +382,7 @@ def store_texts(docs: DataFrame, width: int = 64, id_col: str = "doc_id", text_c
             for text in batch.column(1).to_pylist():
                 payload, n = payload_of(text, width)
                 sizes.append(n)
-                media.append(write_tiff([np.frombuffer(payload, np.uint8).reshape(-1, width, 1)], DEFLATE, 2))
+                media.append(write_tiff([np.frombuffer(payload, np.uint8).reshape(-1, width, 1)], **layout_of(payload[:n])))
             return [batch.column(0), sizes, pa.array(media, pa.binary())]
 
         return run
@@ -347,10 +390,11 @@ def store_texts(docs: DataFrame, width: int = 64, id_col: str = "doc_id", text_c
     return map_batches(docs.select(docs[id_col].cast("long"), docs[text_col]), f"`{id_col}` long, n_bytes long, media binary", make)
 
 
-def page_features(pixels: bytes, width: int, height: int) -> str:
+def page_features(page: dict) -> str:
     """Size, value range, sum, and how often a sample differs from its right neighbour."""
-    page = np.frombuffer(pixels, np.uint8).reshape(height, width)
-    return f"{width}x{height};min={page.min()};max={page.max()};sum={int(page.sum(dtype=np.int64))};edges={int(np.count_nonzero(page[:, 1:] != page[:, :-1]))}"
+    width, height = page["width"], page["height"]
+    pixels = np.frombuffer(page["pixels"], np.uint8).reshape(height, width)
+    return f"{width}x{height};min={pixels.min()};max={pixels.max()};sum={int(pixels.sum(dtype=np.int64))};edges={int(np.count_nonzero(pixels[:, 1:] != pixels[:, :-1]))}"
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -360,17 +404,8 @@ def digests(docs: DataFrame) -> DataFrame:
     media_sha256, feature); the rules are those of ``store_texts`` and
     ``read_pages``.
     """
-
-    def make():
-        def run(batch):
-            n, out = batch.column(1), []
-            for media in batch.column(2).to_pylist():
-                ((order, tags),) = directories(media)
-                page = read_page(media, order, tags)
-                raw = page["pixels"]
-                out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(media), hashlib.sha256(media).hexdigest(), page_features(raw, page["width"], page["height"])))
-            return [batch.column(0), n, *(list(c) for c in zip(*out))]
-
-        return run
-
-    return map_batches(store_texts(docs), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", make)
+    stored = store_texts(docs).withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    pages = read_pages(stored, keep=("n_bytes", "media_bytes", "media_sha256"), describe=page_features)
+    n = F.length("pixels")
+    tail = F.substring(F.col("pixels"), n - 63, F.lit(64))
+    return pages.select("doc_id", "n_bytes", n.cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
