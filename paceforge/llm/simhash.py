@@ -1,27 +1,29 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-A fingerprint of 64 bits has 8 positional bytes. Two that differ in at most k
-bits share at least 8 - k of them, and so at least m - k of any m positions.
-Lists of one byte would hold 1/256 of all fingerprints each, and their tallies
-would grow with the square of the input; the postings are therefore keyed by
-every group of m - k bytes out of the first m positions (count filtering over a
-prefix: each pair that can qualify meets in some list). The pairs that meet are
-tallied over all 8 positions, those that share fewer than 8 - k bytes go, and
-the rest are verified on their bits. Equal fingerprints are one entry.
+A fingerprint of 64 bits has 8 positional bytes. Two that differ in at most two
+bits share at least six of them. Lists of one byte would hold 1/256 of all
+fingerprints each, and their tallies would grow with the square of the input;
+the lists are therefore those of groups of five positional bytes. A pair that
+shares six bytes meets in six lists, one that shares five in a single one. Hits
+are counted per pair, pairs with the guaranteed number of hits are kept, and
+these are verified on their bits. Equal fingerprints are one entry.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, first_of_repeats
+from .components import connected_components
 from .frames import map_batches, settle, store
 
-SEED, SHINGLE_WORDS, MAX_BITS = 42, 3, 2
+SEED, SHINGLE_WORDS, MAX_BITS, GROUP_BYTES = 42, 3, 2, 5
+#: Keys of lists with several entries are broadcast up to so many (8 bytes each).
+BROADCAST_KEYS = 200_000
 #: Shingles of one text that are counted at a time.
 CHUNK = 1 << 16
 
@@ -59,28 +61,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(docs[id_col].cast("long"), docs[text_col]), "doc_id long, fp long", make)
 
 
-def byte_at(fp: Column, position: int) -> Column:
-    return F.shiftright(fp, 8 * position).bitwiseAND(255)
+def postings(distinct: DataFrame, group: int = GROUP_BYTES) -> DataFrame:
+    """(key, fp): an entry of every fingerprint in the list of each group of ``group`` positional bytes that it has.
+
+    A key is a hash of the positions and the bytes; lists that share a key can only add hits.
+    """
+    lists = []
+    for positions in combinations(range(8), group):
+        mask = sum(0xFF << (8 * p) for p in positions)
+        mask -= (mask >> 63) << 64
+        lists.append(F.xxhash64(F.lit(mask), F.col("fp").bitwiseAND(F.lit(mask))))
+    return distinct.select("fp", F.explode(F.array(*lists)).alias("key"))
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the 8 positional bytes two fingerprints share."""
-    differ = a.bitwiseXOR(b)
-    return sum((F.when(byte_at(differ, p) == 0, 1).otherwise(0) for p in range(1, 8)), F.when(byte_at(differ, 0) == 0, 1).otherwise(0))
+def tallied_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP_BYTES) -> DataFrame:
+    """(fa, fb), fa < fb, of the distinct ``fp`` values with at least as many common list entries as ``max_bits`` differing bits guarantee.
+
+    Two that share s bytes meet in as many lists as there are groups of
+    ``group`` among s; ``max_bits`` bits leave at least 8 - ``max_bits`` bytes.
+    """
+    listed = postings(distinct, group)
+    # a list with one entry makes no pair; partial least and greatest entries tell, no list is gathered
+    shared = store(listed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key"))
+    few = shared.count() <= BROADCAST_KEYS
+    entries = store(listed.join(F.broadcast(shared) if few else shared, "key", "left_semi"))
+    met = entries.select("key", F.col("fp").alias("fa")).join(entries.select("key", F.col("fp").alias("fb")), "key").where("fa < fb")
+    return met.groupBy("fa", "fb").agg(F.count("*").alias("hits")).where(F.col("hits") >= comb(8 - max_bits, group)).select("fa", "fb")
 
 
-def linked_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, prefix: int = 7) -> DataFrame:
-    """(fa, fb), fa < fb: all pairs of the distinct ``fp`` values that differ in at most ``max_bits`` bits."""
-    masks = []
-    for group in combinations(range(prefix), prefix - max_bits):
-        mask = sum(0xFF << (8 * p) for p in group)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    postings = distinct.select("fp", F.posexplode(F.array([F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("lst", "key"))
-    # a list with one entry makes no pair; the sizes are partial counts, not gathered lists
-    a, b = postings.select("lst", "key", F.col("fp").alias("fa")), postings.select("lst", "key", F.col("fp").alias("fb"))
-    met = a.join(b, ["lst", "key"]).where("fa < fb")
-    tallied = met.where(shared_bytes(F.col("fa"), F.col("fb")) >= 8 - max_bits)
-    return tallied.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits).select("fa", "fb").distinct()
+def linked_pairs(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fa, fb), fa < fb: all pairs of the distinct ``fp`` values that differ in at most ``max_bits`` bits, verified after the tally."""
+    return tallied_pairs(distinct, max_bits).where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,21 +114,3 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     ids = own.join(named, "fp", "left").where("n > 1 or smallest is not null").select("fp", F.coalesce("smallest", "least").alias("component"))
     found = marked.join(ids, "fp", "left")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first document of each component, in their own columns.
-
-    The first is that with the smallest id, then with the smallest text hash;
-    of rows that repeat id and text one stays. Rows without an id stay.
-    """
-    texts = store(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("doc_key")).where("doc_id is not null"))
-    marked = texts.select("doc_id", "doc_key")
-    # every text is a document of its own here, whatever its id
-    numbered = store(texts.groupBy("doc_id", "doc_key").agg(F.first("text").alias("text")).withColumn("number", F.monotonically_increasing_id()))
-    found = near_duplicates(numbered, max_bits, "number").select(F.col("doc_id").alias("number"), "component_id")
-    placed = store(numbered.select("number", "doc_id", "doc_key").join(found, "number"))
-    least = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "doc_key")).alias("least"))
-    gone = placed.join(least, "component_id").where(F.struct("doc_id", "doc_key") > F.col("least")).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"))
-    docs = first_of_repeats(docs, marked, id_col, text_col)
-    return docs.join(gone, (docs[id_col].cast("long") == F.col("__id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("__key")), "left_anti").select(*docs.columns)
