@@ -35,7 +35,7 @@ def connected_components(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     in either order; a pair of a node with itself only names the node. Rows
     with a null end are ignored. An empty table gives an empty table.
     """
-    nodes = pairs.where("a is not null and b is not null")
+    nodes = settle(pairs.where("a is not null and b is not null").select("a", "b").distinct())  # how they came about may be long, and is not done twice
     # invariants: hi > lo; every hi points at some smaller node of its component
     edges = settle(nodes.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     all_nodes = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,27 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     }[type(kind)]
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one value: their bytes by place, each compressed."""
+    parts = []
+    for a in arrays:
+        raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+        body = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+        parts.append(struct.pack("<QQ", len(a), len(body)) + body)
+    return b"".join(parts)
+
+
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    at, out = 0, []
+    for kind in map(np.dtype, kinds):
+        n, size = struct.unpack_from("<QQ", data, at)
+        at += 16
+        raw = pa.decompress(data[at : at + size], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += size
+    return out
+
+
 def fold_remainder(id_col: str, mod: int) -> Column:
     """``crc32(doc_id as text) mod m``: the fold of a document; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod, F.lit(0))

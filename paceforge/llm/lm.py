@@ -26,7 +26,6 @@ probabilities are averaged over the samples. Words are known by 64-bit hashes.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .frames import fold_remainder, map_batches, store
+from .frames import fold_remainder, map_batches, pack, store, unpack
 
 #: Contexts of their own for so many words, and classes of endings for all others.
 CONTEXT_WORDS, ENDINGS, ENDING_BYTES = 12_288, 4096, 3
@@ -53,27 +52,6 @@ END = np.uint64(0xEF46DB3751D8E999)
 CHUNK_PARTS = ("<u8", "<u4", "<u2", "<u4", "<u4", "<u2", "<u4")
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one value: their bytes by place, each compressed."""
-    parts = []
-    for a in arrays:
-        raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
-        body = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
-        parts.append(struct.pack("<QQ", len(a), len(body)) + body)
-    return b"".join(parts)
-
-
-def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    at, out = 0, []
-    for kind in map(np.dtype, kinds):
-        n, size = struct.unpack_from("<QQ", data, at)
-        at += 16
-        raw = pa.decompress(data[at : at + size], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True) if n else b""
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel())
-        at += size
-    return out
-
-
 def words_of(text: bytes) -> list[bytes]:
     """Runs between blanks (bytes 9 to 13 and 32), A-Z lower-cased."""
     return text.lower().split()
