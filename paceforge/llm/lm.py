@@ -42,7 +42,7 @@ CONTEXTS = CONTEXT_WORDS + ENDINGS
 #: A word with a larger share of all tokens than this is dealt by (word, context); there are fewer than its inverse.
 HOT_SHARE = 1 / 2000
 #: Tokens and documents of a chunk that a task sorts at once, and bytes of text for each shard.
-CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES = 4_000_000, 65_000, 24 << 20
+CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES = 2_000_000, 65_000, 24 << 20
 #: Concentrations of the parent and of the context restaurants; sweeps before sums are first taken, and before and of the samples.
 PARENT_STRENGTH, STRENGTH, FIRST_SWEEPS, BURN_IN, SAMPLES, SEED = 10.0, 5.0, 3, 2, 3, 13
 #: Dishes with up to so many customers are drawn from exact weights.
