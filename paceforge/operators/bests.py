@@ -28,11 +28,22 @@ def rejected(performances: DataFrame) -> DataFrame:
     return performances.join(progression(performances).select("athlete_id", "distance", "activity_id"), ["athlete_id", "distance", "activity_id"], "left_anti")
 
 
+MARK = ("athlete_id", "distance", "activity_id", "elapsed_s", "achieved_on", "effort_type")
+
+
 def best_marks(verified: DataFrame, observed: DataFrame) -> DataFrame:
-    """The fastest mark per athlete and distance from both; equal times go to the verified one."""
-    both = verified.select("athlete_id", "distance", "elapsed_s", F.lit("verified_result").alias("source")).unionByName(observed.select("athlete_id", "distance", "elapsed_s", F.lit("training_activity").alias("source")))
+    """The fastest mark per athlete and distance, with its source; equal times go to the verified one.
+
+    Both are (athlete_id, distance, activity_id, elapsed_s, achieved_on,
+    effort_type), at most one row per athlete and distance. The source is
+    verified_result, training_split (a segment of an activity) or
+    training_activity.
+    """
+    split = F.when(F.col("effort_type") == "rolling_segment", "training_split").otherwise("training_activity")
+    both = verified.select(*MARK, F.lit("verified_result").alias("source")).unionByName(observed.select(*MARK, split.alias("source")))
     rank = F.struct(F.col("elapsed_s"), (F.col("source") != "verified_result").cast("int"))
-    return both.groupBy("athlete_id", "distance").agg(F.min_by(F.struct("elapsed_s", "source"), rank).alias("m")).select("athlete_id", "distance", "m.*")
+    fields = F.struct("activity_id", "elapsed_s", "achieved_on", "effort_type", "source")
+    return both.groupBy("athlete_id", "distance").agg(F.min_by(fields, rank).alias("m")).select("athlete_id", "distance", "m.*")
 
 
 def new_efforts(observed: DataFrame, verified: DataFrame, tolerance_s: float = 2.0) -> DataFrame:

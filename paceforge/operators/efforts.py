@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import STANDARD_DISTANCES
+from .bests import new_efforts
 
 
 def targets(spark) -> DataFrame:
@@ -86,12 +87,14 @@ def distance_evidence(activities: DataFrame, samples: DataFrame, wanted: DataFra
     return activities.select("activity_id", "distance_m", "elapsed_ms").join(n, "activity_id", "left").join(both, "activity_id")
 
 
-def best_observed(activities: DataFrame, samples: DataFrame, wanted: DataFrame, tolerance: float = 0.03) -> DataFrame:
-    """(athlete_id, target, elapsed_s, local_date, activity_id): the athlete's best per distance.
+def best_observed(activities: DataFrame, samples: DataFrame, wanted: DataFrame, tolerance: float = 0.03, known: DataFrame | None = None) -> DataFrame:
+    """(athlete_id, target, elapsed_s, local_date, activity_id, effort_type): the athlete's best per distance.
 
     A rolling effort where the samples give one, else the whole activity scaled
     to the distance if it is within the tolerance. Only activities that are
     long enough have their samples read. Equal times go to the later date.
+    Efforts that ``known`` (activity_id, distance, elapsed_s) has within two
+    seconds are left out.
     """
     t = wanted.withColumn("m", F.col("target_m").cast("double"))
     long_enough = activities.where("elapsed_ms > 0").join(F.broadcast(t), activities["distance_m"] >= t["m"] * (1 - tolerance))
@@ -99,6 +102,9 @@ def best_observed(activities: DataFrame, samples: DataFrame, wanted: DataFrame,
     rolled = rolling_efforts(few, wanted).select("activity_id", "target", F.col("elapsed_s").alias("rolling_s"))
     joined = long_enough.join(rolled, ["activity_id", "target"], "left")
     whole = F.when(F.abs(F.col("distance_m").cast("double") - F.col("m")) <= F.col("m") * tolerance, F.col("elapsed_ms") / 1000 * F.col("m") / F.col("distance_m").cast("double"))
-    found = joined.withColumn("elapsed_s", F.round(F.coalesce("rolling_s", whole), 3)).where("elapsed_s is not null")
+    kind = F.when(F.col("rolling_s").isNotNull(), "rolling_segment").otherwise("whole_activity")
+    found = joined.withColumn("elapsed_s", F.round(F.coalesce("rolling_s", whole), 3)).where("elapsed_s is not null").withColumn("effort_type", kind)
+    if known is not None:
+        found = new_efforts(found.withColumn("distance", F.col("target")), known)
     order = Window.partitionBy("athlete_id", "target").orderBy("elapsed_s", F.col("local_date").desc(), "activity_id")
-    return found.withColumn("n", F.row_number().over(order)).where("n = 1").select("athlete_id", "target", "elapsed_s", "local_date", "activity_id")
+    return found.withColumn("n", F.row_number().over(order)).where("n = 1").select("athlete_id", "target", "elapsed_s", "local_date", "activity_id", "effort_type")

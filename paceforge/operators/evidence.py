@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import distance_band, official_metres, reliable_timing, standard_distance, strong_training
 
+#: Why an activity was kept (fixed values).
+REASONS = {
+    "race_performance": "Explicit race metadata or title identifies this as a race effort.",
+    "standard_distance_performance": ("Whole activity is within 3% of ", " and its distance-normalized elapsed time is faster than "),
+    "strong_training": (" sub-4:30/km training activity in the ", " evidence band, with at least 3 km, 12 minutes, and no material stopped-time distortion."),
+}
+
 
 def select_evidence(candidates: DataFrame, verified: DataFrame) -> DataFrame:
-    """(athlete_id, activity_id, achieved_on, evidence_kind, target, distance_km, elapsed_s, pace).
+    """(athlete_id, activity_id, achieved_on, evidence_kind, target, distance_km, elapsed_s, pace, reason).
 
     ``candidates`` is (athlete_id, activity_id, achieved_on, distance_m,
     moving_s, elapsed_s, activity_type, session_kind); activities in
     ``verified`` (activity_id) are left out. Reliable races are kept, then fast
     10 km and half marathons, then of the other strong runs the fastest and the
-    most recent of each distance band.
+    most recent of each distance band. Training is paced by moving time.
     """
     rows = candidates.join(verified.select("activity_id").distinct(), "activity_id", "left_anti").where("distance_m > 0 and moving_s > 0 and elapsed_s > 0")
     km = F.col("distance_m").cast("double") / 1000
@@ -33,8 +40,15 @@ def select_evidence(candidates: DataFrame, verified: DataFrame) -> DataFrame:
         "by_date": F.row_number().over(band.orderBy(F.col("achieved_on").desc(), pace, "activity_id")),
     })
     kept = ranked.where("evidence_kind <> 'strong_training' or by_pace = 1 or by_date = 1")
-    target = F.when(F.col("evidence_kind") != "strong_training", F.col("target"))
-    return kept.select("athlete_id", "activity_id", "achieved_on", "evidence_kind", target.alias("target"), F.round("km", 6).alias("distance_km"), F.round("elapsed_s", 3).alias("elapsed_s"), F.round(F.col("elapsed_s") / F.col("km"), 6).alias("pace"))
+    training = F.col("evidence_kind") == "strong_training"
+    target = F.when(~training, F.col("target"))
+    limit = F.when(F.col("target") == "10k", "42:00").otherwise("1:45:00")
+    reason = (
+        F.when(training, F.concat(F.lit("Representative "), F.when(F.col("by_pace") == 1, "fastest").otherwise("most recent"), F.lit(REASONS["strong_training"][0]), distance_band(F.col("km")), F.lit(REASONS["strong_training"][1])))
+        .when(F.col("evidence_kind") == "standard_distance_performance", F.concat(F.lit(REASONS["standard_distance_performance"][0]), F.col("target"), F.lit(REASONS["standard_distance_performance"][1]), limit, F.lit(".")))
+        .otherwise(REASONS["race_performance"])
+    )
+    return kept.select("athlete_id", "activity_id", "achieved_on", "evidence_kind", target.alias("target"), F.round("km", 6).alias("distance_km"), F.round("elapsed_s", 3).alias("elapsed_s"), F.round(F.when(training, F.col("moving_s")).otherwise(F.col("elapsed_s")) / F.col("km"), 6).alias("pace"), reason.alias("reason"))
 
 
 def evidence_union(verified: DataFrame, selected: DataFrame, observed: DataFrame) -> DataFrame:

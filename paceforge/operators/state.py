@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A table that is used several times, written once to the folder that driver and executors share.
+
+    The folder is that of ``spark.checkpoint.dir``; one of our own is taken
+    only by a local session that has none.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(shared)
+    return df.checkpoint()
+
+
 def input_hash(header: list[str], samples: DataFrame | None, rows: DataFrame, key: str = "activity_id") -> DataFrame:
     """Add ``input_hash``: SHA-256 over the header fields and, if given, the ordered samples of each row.
 

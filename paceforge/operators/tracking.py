@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 
 from .reconcile import START_S
 
+#: What each recommendation says (fixed values); titles, distances and days are put in.
+ADVICE = {
+    "avoid_makeup_quality": " was missed. Do not stack it onto the next day; continue with the next scheduled session and preserve recovery.",
+    "accept_partial_quality": " was partially completed. Count the work already done and do not repeat the unfinished portion on the next day.",
+    "reduce_optional_volume": "Completed volume is both more than 15 percent and at least 5 km above the plan-to-date target. Keep the next hard session unchanged only if recovered, and trim optional easy volume.",
+    "plan_not_started": "The plan begins with ",
+    "continue_as_planned": "Continue with ",
+    "first_week_complete": "The detailed week is complete. Update the active plan after recalculating analytics to generate the next dated schedule.",
+}
 #: Score parts of a candidate run (fixed values): same day, adjacent day, fitting kind, most for distance.
 SAME_DAY, ADJACENT, FITTING, DISTANCE = 100.0, 35.0, 50.0, 25.0
 
@@ -29,10 +38,13 @@ def session_candidates(sessions: DataFrame, runs: DataFrame) -> DataFrame:
 
     ``sessions`` is (plan_id, athlete_id, session, scheduled, kind, target_km,
     as_of), ``runs`` (athlete_id, activity_id, start_utc, local_date,
-    distance_m, tags, primary, activity_type).
+    distance_m, tags, primary, activity_type). With ``plan_start`` and
+    ``plan_end`` in ``sessions`` only runs of that time are candidates.
     """
     days = sessions.withColumn("day", F.explode(F.sequence(F.date_sub("scheduled", 1), F.date_add("scheduled", 1))))
     met = days.join(runs.withColumnRenamed("local_date", "day"), ["athlete_id", "day"]).where("day <= as_of")
+    if {"plan_start", "plan_end"} <= set(sessions.columns):
+        met = met.where("day between plan_start and plan_end")
     km = F.col("distance_m").cast("double") / 1000
     off = F.when(F.col("target_km") > 0, F.abs(km - F.col("target_km")) / F.col("target_km")).otherwise(0.0)
     fits = kind_fits(F.col("kind"), F.col("tags"), F.col("primary"), F.col("activity_type"), km, F.col("target_km"))
@@ -62,14 +74,30 @@ def match_sessions(sessions: DataFrame, runs: DataFrame) -> DataFrame:
     return found.groupBy("plan_id").applyInPandas(_take, "plan_id long, session int, activity_id long")
 
 
-def session_status(sessions: DataFrame, matches: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each session with upcoming, due, missed, substituted, partial (under three quarters) or completed, and its run."""
-    chosen = matches.join(candidates.select("plan_id", "session", "activity_id", "fits", "same_day", "actual_km", "activity_date"), ["plan_id", "session", "activity_id"])
+def session_status(sessions: DataFrame, matches: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each session with its run and upcoming, due, missed, substituted, partial (under three quarters) or completed.
+
+    Adds (activity_id, activity_date, activity_name, actual_km, actual_pace,
+    classified_as, completion_pct, status, pace_status) to the sessions'
+    columns, which hold the planned paces ``faster`` and ``slower``; ``runs`` as
+    in ``session_candidates`` with moving_ms and name.
+    """
+    km = F.col("distance_m").cast("double") / 1000
+    run = F.struct(km.alias("km"), (F.col("moving_ms") / 1000).alias("s"), "local_date", "name", "tags", "primary", "activity_type").alias("run")
+    chosen = matches.join(runs.select("activity_id", run), "activity_id")
     joined = sessions.join(chosen, ["plan_id", "session"], "left")
+    km, target = F.col("run.km"), F.col("target_km")
+    fits = kind_fits(F.col("kind"), F.col("run.tags"), F.col("run.primary"), F.col("run.activity_type"), km, target)
+    share = F.when(target != 0, km / target * 100).otherwise(0.0)
     open_status = F.when(F.col("scheduled") > F.col("as_of"), "upcoming").when(F.col("scheduled") == F.col("as_of"), "due").otherwise("missed")
-    done = F.when(~F.col("fits"), "substituted").when(F.col("actual_km") < 0.75 * F.col("target_km"), "partial").otherwise("completed")
-    status = F.when(F.col("activity_id").isNull(), open_status)
-    return joined.withColumn("status", status.otherwise(done))
+    status = F.when(F.col("activity_id").isNull(), open_status).when(~fits, "substituted").when(share < 75, "partial").otherwise("completed")
+    pace = F.when(km > 0, F.col("run.s") / km)
+    judged = F.when(F.col("activity_id").isNull(), "unavailable").otherwise(pace_status(F.col("kind"), F.col("faster"), F.col("slower"), pace))
+    return joined.select(
+        *sessions.columns, "activity_id", F.col("run.local_date").alias("activity_date"), F.col("run.name").alias("activity_name"),
+        F.round(km, 3).alias("actual_km"), F.round(pace, 3).alias("actual_pace"), F.col("run.primary").alias("classified_as"),
+        F.when(F.col("activity_id").isNotNull(), F.round(share, 1)).alias("completion_pct"), status.alias("status"), judged.alias("pace_status"),
+    )
 
 
 def pace_status(planned_kind: Column, faster: Column, slower: Column, actual: Column) -> Column:
@@ -100,33 +128,53 @@ def latest_completed(statuses: DataFrame) -> DataFrame:
 OVER_PCT, OVER_KM = 115.0, 5.0
 
 
-def recommendations(statuses: DataFrame) -> DataFrame:
-    """(plan_id, planned_km, actual_km, adherence_pct, recommendation): one code per plan.
+def plan_tracking(progress: DataFrame, statuses: DataFrame) -> DataFrame:
+    """One row per plan: where it stands and what to do next.
 
-    Planned distance counts sessions up to the as-of date. A missed hard session
-    comes first, then a partial one, then volume far above the plan, then a plan
-    that has not begun, then the next session; else the week is complete.
+    (plan_id, as_of, status, current_week, completed_weeks, total_weeks,
+    planned_km, actual_km, adherence_pct, code, recommendation).
+    ``progress`` are the weeks of ``training_plan.week_progress``,
+    ``statuses`` (plan_id, session, scheduled, kind, title, target_km, status)
+    the sessions of the detailed week. A missed hard session comes first, then
+    a partial one, then volume far above the plan, then a plan whose first day
+    is still ahead, then the next session; else the detailed week is complete.
     """
+    weeks = progress.groupBy("plan_id", "as_of", "plan_start", "plan_end").agg(
+        F.max(F.when(F.col("status") == "in_progress", F.col("week"))).alias("current_week"),
+        F.count(F.when(F.col("status") == "completed", 1)).alias("completed_weeks"),
+        F.count("*").alias("total_weeks"),
+        F.round(F.sum("planned_km"), 3).alias("planned_km"),
+        F.round(F.sum("actual_km"), 3).alias("actual_km"),
+    )
     hard = F.col("kind").isin("quality", "long", "race")
-    due = F.col("scheduled") <= F.col("as_of")
-    sums = statuses.groupBy("plan_id").agg(
-        F.sum(F.when(due, F.col("target_km")).otherwise(0.0)).alias("planned_km"),
-        F.coalesce(F.sum("actual_km"), F.lit(0.0)).alias("actual_km"),
-        F.bool_or(hard & (F.col("status") == "missed")).alias("missed"),
-        F.bool_or(hard & (F.col("status") == "partial")).alias("half"),
-        F.bool_or(F.col("status").isin("due", "upcoming")).alias("next"),
-        F.bool_or(due).alias("begun"),
+    first = lambda keep: F.min(F.when(keep, F.struct("scheduled", "session", F.lower("title").alias("title"), F.format_string("%.1f km", "target_km").alias("km"))))
+    ahead = statuses.groupBy("plan_id").agg(
+        first(hard & (F.col("status") == "missed")).alias("missed"),
+        first(hard & (F.col("status") == "partial")).alias("half"),
+        first(F.col("status").isin("due", "upcoming")).alias("next"),
     )
-    share = F.when(F.col("planned_km") > 0, F.col("actual_km") / F.col("planned_km") * 100)
+    rows = weeks.join(ahead, "plan_id", "left").withColumn("adherence_pct", F.when(F.col("planned_km") > 0, F.round(F.col("actual_km") / F.col("planned_km") * 100, 1)))
+    status = F.when(F.col("as_of") < F.col("plan_start"), "not_started").when(F.col("as_of") > F.col("plan_end"), "completed").otherwise("in_progress")
+    over = (F.col("adherence_pct") > OVER_PCT) & (F.col("actual_km") - F.col("planned_km") >= OVER_KM)
     code = (
-        F.when(F.col("missed"), "avoid_makeup_quality")
-        .when(F.col("half"), "accept_partial_quality")
-        .when((share > OVER_PCT) & (F.col("actual_km") - F.col("planned_km") >= OVER_KM), "reduce_optional_volume")
-        .when(~F.col("begun") & F.col("next"), "plan_not_started")
-        .when(F.col("next"), "continue_as_planned")
-        .otherwise("week_complete")
+        F.when(F.col("missed").isNotNull(), "avoid_makeup_quality")
+        .when(F.col("half").isNotNull(), "accept_partial_quality")
+        .when(over, "reduce_optional_volume")
+        .when((status == "not_started") & F.col("next").isNotNull(), "plan_not_started")
+        .when(F.col("next").isNotNull(), "continue_as_planned")
+        .otherwise("first_week_complete")
+    )
+    rows = rows.withColumns({"status": status, "code": code})
+    upcoming = F.concat("next.km", F.lit(" of "), "next.title", F.lit(" on "), F.col("next.scheduled").cast("string"), F.lit("."))
+    text = (
+        F.when(F.col("code") == "avoid_makeup_quality", F.concat(F.lit("The "), "missed.title", F.lit(ADVICE["avoid_makeup_quality"])))
+        .when(F.col("code") == "accept_partial_quality", F.concat(F.lit("The "), "half.title", F.lit(ADVICE["accept_partial_quality"])))
+        .when(F.col("code") == "plan_not_started", F.concat(F.lit(ADVICE["plan_not_started"]), upcoming))
+        .when(F.col("code") == "continue_as_planned", F.concat(F.lit(ADVICE["continue_as_planned"]), upcoming))
+        .when(F.col("code") == "reduce_optional_volume", ADVICE["reduce_optional_volume"])
+        .otherwise(ADVICE["first_week_complete"])
     )
-    return sums.select("plan_id", F.round("planned_km", 3).alias("planned_km"), F.round("actual_km", 3).alias("actual_km"), F.round(share, 4).alias("adherence_pct"), code.alias("recommendation"))
+    return rows.select("plan_id", "as_of", "status", "current_week", "completed_weeks", "total_weeks", "planned_km", "actual_km", "adherence_pct", "code", text.alias("recommendation"))
 
 
 #: How far a file may be from an activity: seconds or share of its duration, metres or share of its distance (fixed values).

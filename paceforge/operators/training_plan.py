@@ -21,6 +21,20 @@ SLOTS = {3: (1, 3, 6), 4: (1, 3, 5, 6), 5: (0, 1, 3, 5, 6), 6: (0, 1, 2, 3, 5, 6
 PACES = {"easy": (90, 130), "recovery": (115, 150), "long": (75, 115)}
 #: Seconds per kilometre of hard sessions beside the potential 5 km pace (5k) or the target pace (fixed values).
 QUALITY_PACES = {"5k": (-3, 5), "10k": (-5, 5), "half_marathon": (-8, 4), "marathon": (-5, 5)}
+#: Titles and purposes of sessions (fixed values).
+TEXTS = {
+    "easy": ("Easy aerobic run", "Maintain aerobic frequency while absorbing harder sessions."),
+    "recovery": ("Recovery run", "Add low-cost aerobic volume before the long run."),
+    "long": ("Long aerobic run", "Build distance-specific aerobic durability without racing training."),
+}
+HARD_TITLES = {
+    "5k": "6 x 800 m at controlled 5K effort",
+    "10k": "4 x 2 km at controlled 10K effort",
+    "half_marathon": "3 x 3 km at threshold to half-marathon effort",
+    "marathon": "3 x 4 km at controlled marathon effort",
+}
+MARATHON_TITLES = {"base": "Aerobic run with 6 x 20 second relaxed strides", "build": "2 x 3 km at controlled marathon effort"}
+FOCUS = {"5k": "5K speed endurance", "10k": "10K pace and threshold durability", "half_marathon": "threshold and half-marathon pace", "marathon": "marathon pace and fueling durability"}
 
 
 def plan_start(as_of: Column) -> Column:
@@ -37,6 +51,11 @@ def goal_status(target_s: Column, readiness_s: Column, potential_s: Column, week
     return F.when(target_s.isNull(), "fitness_based").when(target_s >= readiness_s * 0.99, "achievable").when((target_s >= potential_s * 0.98) & (weeks >= 8), "challenging").otherwise("aggressive")
 
 
+def target_gap(target_s: Column, readiness_s: Column) -> Column:
+    """Seconds by which a target is slower than race readiness; null without a target."""
+    return F.round(target_s - readiness_s, 3)
+
+
 def valid_goals(goals: DataFrame) -> DataFrame:
     """Goals with 14 to 364 days from plan start to race."""
     start = plan_start(F.col("as_of"))
@@ -77,17 +96,49 @@ def outline_summary(outline: DataFrame) -> DataFrame:
     return outline.groupBy("goal_id").agg(F.min_by("target_km", "week").alias("first_week_km"), F.max("target_km").alias("peak_week_km"), F.max("long_run_km").alias("peak_long_run_km"), F.count("*").alias("weeks"))
 
 
-def week_progress(outline: DataFrame, goals: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
-    """Planned against run per week: (goal_id, week, runs, actual_km, longest_km, completion_pct, status)."""
-    weeks = outline.join(goals.select("goal_id", "athlete_id"), "goal_id").withColumn("day", F.explode(F.sequence("start_date", "end_date")))
-    done = weeks.join(runs.select("athlete_id", F.col("local_date").alias("day"), "distance_m"), ["athlete_id", "day"], "left")
-    sums = done.groupBy("goal_id", "week", "start_date", "end_date", "target_km").agg(F.count("distance_m").alias("runs"), F.round(F.coalesce(F.sum("distance_m"), F.lit(0)).cast("double") / 1000, 3).alias("actual_km"), F.round(F.max("distance_m").cast("double") / 1000, 3).alias("longest_km"))
+def week_progress(plans: DataFrame, weeks: DataFrame, sessions: DataFrame, runs: DataFrame) -> DataFrame:
+    """Planned against run, per week of each plan, up to the plan's ``as_of``.
+
+    (plan_id, week, start_date, end_date, phase, status, target_km,
+    long_run_km, runs, actual_km, longest_km, completion_pct,
+    long_run_completion_pct, planned_km, as_of, plan_start, plan_end).
+    ``plans`` is (plan_id, athlete_id, as_of), ``weeks`` (plan_id, week,
+    start_date, end_date, phase, target_km, long_run_km) with weeks of seven
+    days from the first, ``sessions`` (plan_id, scheduled, target_km) the
+    detailed week. ``planned_km`` is what should be run by now: all of a
+    finished week; of the current one the sessions that are due if it is the
+    detailed week, else sevenths by day. All runs of the plan's time count,
+    whether they fulfil a session or not. Runs meet plans by athlete and block
+    of a year.
+    """
+    span = weeks.groupBy("plan_id").agg(F.min("start_date").alias("plan_start"), F.max_by("end_date", "week").alias("plan_end"))
+    asked = plans.select("plan_id", "athlete_id", "as_of").join(span, "plan_id")
+    block = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / 365)
+    last = F.least("as_of", "plan_end")
+    open_plans = asked.withColumn("last", last).where("plan_start <= last").withColumn("block", F.explode(F.sequence(block(F.col("plan_start")), block(F.col("last")))))
+    met = open_plans.join(runs.select("athlete_id", "local_date", "distance_m", block(F.col("local_date")).alias("block")), ["athlete_id", "block"]).where("local_date between plan_start and last")
+    km = lambda x: F.round(x.cast("double") / 1000, 3)
+    done = met.groupBy("plan_id", (F.floor(F.datediff("local_date", "plan_start") / 7) + 1).cast("int").alias("week")).agg(F.count("*").alias("runs"), km(F.sum("distance_m")).alias("actual_km"), km(F.max("distance_m")).alias("longest_km"))
+    due = sessions.join(plans.select("plan_id", "as_of"), "plan_id").groupBy("plan_id").agg(F.min("scheduled").alias("detailed_from"), F.coalesce(F.sum(F.when(F.col("scheduled") <= F.col("as_of"), F.col("target_km"))), F.lit(0.0)).alias("due_km"))
+    rows = weeks.join(asked, "plan_id").join(done, ["plan_id", "week"], "left").join(due, "plan_id", "left").na.fill(0, ["runs"]).na.fill(0.0, ["actual_km", "longest_km"])
+    as_of = F.col("as_of")
     status = F.when(as_of < F.col("start_date"), "upcoming").when(as_of > F.col("end_date"), "completed").otherwise("in_progress")
-    return sums.select("goal_id", "week", "runs", "actual_km", "longest_km", F.when(F.col("target_km") > 0, F.round(F.col("actual_km") / F.col("target_km") * 100, 2)).alias("completion_pct"), status.alias("status"))
+    sevenths = F.least(F.datediff(as_of, "start_date") + 1, F.lit(7)) / 7
+    planned = (
+        F.when(F.col("status") == "upcoming", 0.0)
+        .when(F.col("status") == "completed", F.col("target_km"))
+        .when(F.col("detailed_from").between(F.col("start_date"), F.col("end_date")), F.col("due_km"))
+        .otherwise(F.col("target_km") * sevenths)
+    )
+    pct = lambda x, y: F.round(F.when(F.col(y) != 0, F.col(x) / F.col(y) * 100).otherwise(0.0), 1)
+    return rows.withColumn("status", status).select(
+        "plan_id", "week", "start_date", "end_date", "phase", "status", "target_km", "long_run_km", "runs", "actual_km", "longest_km",
+        pct("actual_km", "target_km").alias("completion_pct"), pct("longest_km", "long_run_km").alias("long_run_completion_pct"), planned.alias("planned_km"), "as_of", "plan_start", "plan_end",
+    )
 
 
 def detailed_sessions(weeks: DataFrame) -> DataFrame:
-    """(goal_id, week, scheduled, kind, distance_km, faster, slower): the sessions of each week.
+    """(goal_id, week, scheduled, kind, title, purpose, distance_km, faster, slower): the sessions of each week.
 
     ``weeks`` is (goal_id, distance, week, start_date, phase, target_km,
     long_run_km, days_per_week, five_k_pace, target_pace), 3 to 7 days a week,
@@ -121,4 +172,8 @@ def detailed_sessions(weeks: DataFrame) -> DataFrame:
     hard_base = F.when(F.col("distance") == "5k", F.col("five_k_pace")).otherwise(F.col("target_pace"))
     bound = lambda i: F.round(F.when(F.col("kind") == "quality", hard_base + by_distance(F.col("distance"), {d: v[i] for d, v in QUALITY_PACES.items()})).otherwise(F.col("five_k_pace") + by_distance(F.col("kind"), {k: v[i] for k, v in PACES.items()})), 3)
     km = F.when(F.col("kind") == "long", F.col("long")).when(F.col("kind") == "quality", F.col("hard")).otherwise(F.col("easy"))
-    return w.select("goal_id", "week", F.expr("date_add(start_date, offset)").alias("scheduled"), "kind", km.alias("distance_km"), bound(0).alias("faster"), bound(1).alias("slower"))
+    hard_title = by_distance(F.col("distance"), HARD_TITLES)
+    hard_title = F.when(F.col("distance") == "marathon", F.coalesce(by_distance(F.col("phase"), MARATHON_TITLES), hard_title)).otherwise(hard_title)
+    hard_purpose = F.concat(F.lit("Develop "), by_distance(F.col("distance"), FOCUS), F.lit("; distance includes warm-up and cool-down."))
+    text = lambda i, hard: F.when(F.col("kind") == "quality", hard).otherwise(by_distance(F.col("kind"), {k: v[i] for k, v in TEXTS.items()}))
+    return w.select("goal_id", "week", F.expr("date_add(start_date, offset)").alias("scheduled"), "kind", text(0, hard_title).alias("title"), text(1, hard_purpose).alias("purpose"), km.alias("distance_km"), bound(0).alias("faster"), bound(1).alias("slower"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, titles
-from ..operators import activity, bests, contracts, efforts, evidence, features, fitness, reconcile, replies, state, tracking, training_plan, trends, workload
+from ..operators import activity, bests, coaching, contracts, efforts, evidence, features, fitness, reconcile, replies, state, tracking, training_plan, trends, workload
 from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -418,7 +418,9 @@ def goal_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, el >= mv AND el <= mv * 1.10::DOUBLE AS ok, coalesce(target = '10k' AND el * m / (km * 1000) < 2520 OR target = 'half_marathon' AND el * m / (km * 1000) < 6300, false) AS fast FROM c),
 k AS (SELECT *, CASE WHEN name = 'City Race' AND ok THEN 'race_performance' WHEN ok AND fast THEN 'standard_distance_performance' WHEN ok AND km >= 3 AND mv >= 720 AND mv / km < 270 THEN 'strong_training' END AS evidence_kind, CASE WHEN km < 5 THEN 1 WHEN km < 10 THEN 2 WHEN km < 21.0975::DOUBLE THEN 3 ELSE 4 END AS band FROM r),
 q AS (SELECT *, row_number() OVER (PARTITION BY athlete_id, evidence_kind, band ORDER BY mv / km, local_date DESC, activity_id) AS p1, row_number() OVER (PARTITION BY athlete_id, evidence_kind, band ORDER BY local_date DESC, mv / km, activity_id) AS p2 FROM k WHERE evidence_kind IS NOT NULL)
-SELECT athlete_id, activity_id, local_date AS achieved_on, evidence_kind, CASE WHEN evidence_kind <> 'strong_training' THEN target END AS target, round(km, 6) AS distance_km, round(el, 3) AS elapsed_s, round(el / km, 6) AS pace FROM q WHERE evidence_kind <> 'strong_training' OR p1 = 1 OR p2 = 1"""
+SELECT athlete_id, activity_id, local_date AS achieved_on, evidence_kind, CASE WHEN evidence_kind <> 'strong_training' THEN target END AS target, round(km, 6) AS distance_km, round(el, 3) AS elapsed_s, round(CASE WHEN evidence_kind = 'strong_training' THEN mv ELSE el END / km, 6) AS pace,
+  CASE evidence_kind WHEN 'race_performance' THEN 'Explicit race metadata or title identifies this as a race effort.' WHEN 'standard_distance_performance' THEN 'Whole activity is within 3% of ' || target || ' and its distance-normalized elapsed time is faster than ' || CASE target WHEN '10k' THEN '42:00' ELSE '1:45:00' END || '.'
+  ELSE 'Representative ' || CASE WHEN p1 = 1 THEN 'fastest' ELSE 'most recent' END || ' sub-4:30/km training activity in the ' || CASE WHEN km < 5 THEN '5k' WHEN km < 10 THEN '10k' WHEN km < 21.0975 THEN 'half_marathon' ELSE 'marathon' END || ' evidence band, with at least 3 km, 12 minutes, and no material stopped-time distortion.' END AS reason FROM q WHERE evidence_kind <> 'strong_training' OR p1 = 1 OR p2 = 1"""
 )
 def performance_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = _tagged(views.activities(spark, sf_dir))
@@ -535,7 +537,42 @@ def resolved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.resolve_files(files, sources, canonical)
 
 
-@query()
+def _turns(candidates: str) -> str:
+    """SQL of (plan_id, session, activity_id), decided turn by turn, from the table ``candidates`` (plan_id, session, activity_id, start_utc, same_day, fits, score)."""
+    best = "list(activity_id ORDER BY score DESC, start_utc, activity_id) AS ids"
+    return f"""lists AS (SELECT plan_id, 0 AS pass, session, {best} FROM {candidates} WHERE same_day GROUP BY ALL UNION ALL SELECT plan_id, 1, session, {best} FROM {candidates} WHERE fits GROUP BY ALL),
+turns AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY pass, session) AS n FROM lists),
+taken AS (SELECT DISTINCT plan_id, 0::BIGINT AS n, []::INT[] AS done, []::BIGINT[] AS used FROM turns
+  UNION ALL SELECT plan_id, m, CASE WHEN pick IS NULL THEN done ELSE list_append(done, session) END, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END
+  FROM (SELECT k.*, u.session, u.n AS m, CASE WHEN NOT list_contains(k.done, u.session) THEN list_filter(u.ids, lambda x: NOT list_contains(k.used, x))[1] END AS pick FROM taken k JOIN turns u ON u.plan_id = k.plan_id AND u.n = k.n + 1)),
+matched AS (SELECT plan_id, unnest(done) AS session, unnest(used) AS activity_id FROM (SELECT * FROM taken QUALIFY n = max(n) OVER (PARTITION BY plan_id)))
+"""
+
+
+def _fits(kind: str, target: str) -> str:
+    return f"""CASE {kind} WHEN 'easy' THEN tags[1] IN ('easy', 'unclassified') WHEN 'recovery' THEN tags[1] IN ('easy', 'unclassified') WHEN 'quality' THEN tags[1] IN ('race', 'intervals', 'progressive')
+  WHEN 'long' THEN tags[1] = 'progressive' OR km >= {target} * 0.9::DOUBLE WHEN 'race' THEN tags[1] = 'race' ELSE false END"""
+
+
+def _candidates(sessions: str) -> str:
+    """SQL of ``cand``: the runs of ``tagged_km`` (tagged runs with km) on the days of a session and beside it."""
+    score = f"CASE WHEN local_date = scheduled THEN 100.0::DOUBLE ELSE 35.0::DOUBLE END + CASE WHEN {_fits('kind', 'target_km')} THEN 50.0::DOUBLE ELSE 0.0::DOUBLE END + greatest(0.0::DOUBLE, 25.0::DOUBLE - CASE WHEN target_km > 0 THEN abs(km - target_km) / target_km ELSE 0.0::DOUBLE END * 25.0::DOUBLE)"
+    return f"cand AS (SELECT plan_id, session, activity_id, start_utc, local_date = scheduled AS same_day, {_fits('kind', 'target_km')} AS fits, {score} AS score FROM {sessions} s JOIN tagged_km r ON r.athlete_id = s.athlete_id AND r.local_date BETWEEN s.scheduled - 1 AND s.scheduled + 1 AND r.local_date <= s.as_of AND r.local_date BETWEEN s.plan_start AND s.plan_end)"
+
+
+TAGGED_KM = """tagged_km AS (SELECT *, CAST(distance_m AS DOUBLE) / 1000 AS km, CASE name WHEN 'City Race' THEN ['race'] WHEN '6 x 1K intervals' THEN ['intervals'] WHEN 'Progressive long run' THEN ['progressive', 'long'] WHEN 'Easy aerobic' THEN ['easy'] ELSE ['unclassified'] END AS tags FROM """
+
+
+@query(
+    f""", {TAGGED_KM} activities),
+months AS (SELECT DISTINCT athlete_id, CAST(date_trunc('month', local_date) AS DATE) AS month FROM activities),
+mondays AS (SELECT *, month + CAST(8 - isodow(month) AS INT) AS monday FROM months),
+slots(session, off, kind, target_km) AS (VALUES (0, 0, 'easy', 8.0::DOUBLE), (1, 2, 'quality', 10.0), (2, 4, 'recovery', 6.0), (3, 6, 'long', 20.0)),
+ses AS (SELECT athlete_id * 1000000 + year(month) * 100 + month(month) AS plan_id, athlete_id, session, monday + off AS scheduled, kind, target_km, monday + 40 AS as_of, DATE '1900-01-01' AS plan_start, DATE '2100-01-01' AS plan_end FROM mondays, slots),
+{_candidates("ses")},
+{_turns("cand")}
+SELECT * FROM matched"""
+)
 def session_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One week of four sessions per athlete in each month with runs, against the athlete's runs."""
     acts = _tagged(views.activities(spark, sf_dir))
@@ -716,8 +753,13 @@ def weekly_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.weekly_frame(weekly_summary(spark, sf_dir))
 
 
+def _places(x: str, n: int) -> str:
+    """Round half up on the decimal form, as Spark does."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30,18)), {n}) AS DOUBLE)"
+
+
 def _tenth(x: str) -> str:
-    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30,18)), 1) AS DOUBLE)"
+    return _places(x, 1)
 
 
 @query(
@@ -735,9 +777,11 @@ w8 AS (SELECT *, unnest(slots) AS d FROM w7),
 w9 AS (SELECT *, CASE WHEN d = 6 THEN 'long' WHEN d = slots[CASE WHEN n >= 2 THEN 2 ELSE 1 END] THEN 'quality' WHEN n >= 2 AND d = 5 THEN 'recovery' ELSE 'easy' END AS kind FROM w8),
 z AS (SELECT *, CASE kind WHEN 'long' THEN long_km WHEN 'quality' THEN hard ELSE easy END AS distance_km,
   CASE kind WHEN 'quality' THEN CASE WHEN distance = '5k' THEN p5 ELSE pt END + lo WHEN 'easy' THEN p5 + 90 WHEN 'recovery' THEN p5 + 115 ELSE p5 + 75 END AS faster,
-  CASE kind WHEN 'quality' THEN CASE WHEN distance = '5k' THEN p5 ELSE pt END + hi WHEN 'easy' THEN p5 + 130 WHEN 'recovery' THEN p5 + 150 ELSE p5 + 115 END AS slower FROM w9),
+  CASE kind WHEN 'quality' THEN CASE WHEN distance = '5k' THEN p5 ELSE pt END + hi WHEN 'easy' THEN p5 + 130 WHEN 'recovery' THEN p5 + 150 ELSE p5 + 115 END AS slower,
+  CASE kind WHEN 'quality' THEN CASE distance || ':' || phase {" ".join(f"WHEN 'marathon:{k}' THEN '{v}'" for k, v in training_plan.MARATHON_TITLES.items())} ELSE CASE distance {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in training_plan.HARD_TITLES.items())} END END {" ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in training_plan.TEXTS.items())} END AS title,
+  CASE kind WHEN 'quality' THEN 'Develop ' || CASE distance {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in training_plan.FOCUS.items())} END || '; distance includes warm-up and cool-down.' {" ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in training_plan.TEXTS.items())} END AS purpose FROM w9),
 c AS (SELECT *, CAST(round(CAST(CAST(distance_km * faster AS VARCHAR) AS DECIMAL(30,18)), 0) AS BIGINT) AS f, CAST(round(CAST(CAST(distance_km * slower AS VARCHAR) AS DECIMAL(30,18)), 0) AS BIGINT) AS s FROM z)
-SELECT goal_id, week, start_date + d AS scheduled, kind, distance_km, faster, slower,
+SELECT goal_id, week, start_date + d AS scheduled, kind, title, purpose, distance_km, faster, slower,
   CASE WHEN f < 3600 THEN printf('%d:%02d', f // 60, f % 60) ELSE printf('%d:%02d:%02d', f // 3600, f % 3600 // 60, f % 60) END || '-' || CASE WHEN s < 3600 THEN printf('%d:%02d', s // 60, s % 60) ELSE printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) END AS planned_time FROM c"""
 )
 def detailed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -757,3 +801,250 @@ def created_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = acts.select("activity_id", "athlete_id", F.unix_timestamp("start_utc").cast("double").alias("start_s"), (F.col("elapsed_ms") / 1000).alias("elapsed_s"), F.col("distance_m").cast("double").alias("distance_m"))
     sources = acts.select(F.lit("p").alias("provider"), F.lit(None).cast("string").alias("external_id"), F.when(F.col("activity_id") % 2 == 0, F.col("activity_id")).alias("activity_id"))
     return tracking.create_missing(files, tracking.resolve_files(files, sources, canonical), canonical)
+
+
+TRACKED = (
+    f""", o AS ({ORACLE_SQL["plan_outlines"]}),
+plan AS (SELECT goal_id AS plan_id, goal_id // 20 AS athlete_id, min(start_date) AS plan_start, arg_max(end_date, week) AS plan_end, min(start_date) + CAST(goal_id % 90 - 5 AS INT) AS as_of FROM o GROUP BY goal_id),
+ses AS (SELECT p.*, CAST(row_number() OVER (PARTITION BY p.plan_id ORDER BY scheduled) - 1 AS INT) AS session, scheduled, kind, title, purpose, distance_km AS target_km, faster, slower FROM ({ORACLE_SQL["detailed_sessions"]}) d JOIN plan p ON p.plan_id = d.goal_id WHERE d.week = 1),
+{TAGGED_KM} all_activities),
+done AS (SELECT plan_id, date_diff('day', plan_start, local_date) // 7 + 1 AS week, count(*) AS runs, {_places("CAST(sum(distance_m) AS DOUBLE) / 1000", 3)} AS actual_km, {_places("CAST(max(distance_m) AS DOUBLE) / 1000", 3)} AS longest_km
+  FROM plan JOIN all_activities USING (athlete_id) WHERE local_date BETWEEN plan_start AND least(as_of, plan_end) GROUP BY 1, 2),
+due AS (SELECT plan_id, min(scheduled) AS detailed_from, coalesce(sum(target_km) FILTER (scheduled <= as_of), 0) AS due_km FROM ses GROUP BY 1),
+prog0 AS (SELECT p.plan_id, o.week, o.start_date, o.end_date, o.phase, CASE WHEN as_of < start_date THEN 'upcoming' WHEN as_of > end_date THEN 'completed' ELSE 'in_progress' END AS status, target_km, long_run_km, coalesce(runs, 0) AS runs, coalesce(actual_km, 0) AS actual_km, coalesce(longest_km, 0) AS longest_km, as_of, plan_start, plan_end, detailed_from, due_km
+  FROM o JOIN plan p ON p.plan_id = o.goal_id LEFT JOIN done d ON d.plan_id = p.plan_id AND d.week = o.week LEFT JOIN due ON due.plan_id = p.plan_id),
+weeks AS (SELECT * EXCLUDE (detailed_from, due_km), {_tenth("CASE WHEN target_km <> 0 THEN actual_km / target_km * 100 ELSE 0 END")} AS completion_pct, {_tenth("CASE WHEN long_run_km <> 0 THEN longest_km / long_run_km * 100 ELSE 0 END")} AS long_run_completion_pct,
+  CASE status WHEN 'upcoming' THEN 0 WHEN 'completed' THEN target_km ELSE CASE WHEN detailed_from BETWEEN start_date AND end_date THEN due_km ELSE target_km * (least(date_diff('day', start_date, as_of) + 1, 7) / 7) END END AS planned_km FROM prog0),
+{_candidates("ses")},
+{_turns("cand")},
+st0 AS (SELECT s.*, m.activity_id, r.local_date AS activity_date, r.name AS activity_name, km, r.tags, moving_ms / 1000 AS sec, CASE WHEN target_km <> 0 THEN km / target_km * 100 ELSE 0 END AS share, {_fits("kind", "target_km")} AS fits FROM ses s LEFT JOIN matched m USING (plan_id, session) LEFT JOIN tagged_km r ON r.activity_id = m.activity_id),
+st AS (SELECT *, {_places("km", 3)} AS actual_km, {_places("CASE WHEN km > 0 THEN sec / km END", 3)} AS actual_pace, tags[1] AS classified_as, CASE WHEN activity_id IS NOT NULL THEN {_tenth("share")} END AS completion_pct,
+  CASE WHEN activity_id IS NULL THEN CASE WHEN scheduled > as_of THEN 'upcoming' WHEN scheduled = as_of THEN 'due' ELSE 'missed' END WHEN NOT fits THEN 'substituted' WHEN share < 75 THEN 'partial' ELSE 'completed' END AS status FROM st0),
+told AS (SELECT *, CASE WHEN activity_id IS NULL THEN 'unavailable' WHEN kind IN ('quality', 'race') THEN 'not_applicable' WHEN faster IS NULL OR slower IS NULL OR sec IS NULL OR NOT km > 0 THEN 'unavailable' WHEN sec / km < faster THEN 'faster_than_planned' WHEN sec / km > slower THEN 'easier_than_planned' ELSE 'within_range' END AS pace_status FROM st),
+sums AS (SELECT plan_id, as_of, plan_start, plan_end, max(week) FILTER (status = 'in_progress') AS current_week, count(*) FILTER (status = 'completed') AS completed_weeks, count(*) AS total_weeks, {_places("sum(planned_km)", 3)} AS planned_km, {_places("sum(actual_km)", 3)} AS actual_km FROM weeks GROUP BY ALL),
+ahead AS (SELECT plan_id, arg_min(lower(title), scheduled) FILTER (kind IN ('quality', 'long', 'race') AND status = 'missed') AS missed, arg_min(lower(title), scheduled) FILTER (kind IN ('quality', 'long', 'race') AND status = 'partial') AS half,
+  arg_min(printf('%.1f km of %s on %s.', target_km, lower(title), CAST(scheduled AS VARCHAR)), scheduled) FILTER (status IN ('due', 'upcoming')) AS next FROM st GROUP BY 1),
+tr0 AS (SELECT *, CASE WHEN planned_km > 0 THEN {_tenth("actual_km / planned_km * 100")} END AS adherence_pct, CASE WHEN as_of < plan_start THEN 'not_started' WHEN as_of > plan_end THEN 'completed' ELSE 'in_progress' END AS status FROM sums JOIN ahead USING (plan_id)),
+tr1 AS (SELECT *, CASE WHEN missed IS NOT NULL THEN 'avoid_makeup_quality' WHEN half IS NOT NULL THEN 'accept_partial_quality' WHEN adherence_pct > 115 AND actual_km - planned_km >= 5 THEN 'reduce_optional_volume'
+  WHEN status = 'not_started' AND next IS NOT NULL THEN 'plan_not_started' WHEN next IS NOT NULL THEN 'continue_as_planned' ELSE 'first_week_complete' END AS code FROM tr0),
+tracked AS (SELECT plan_id, as_of, status, current_week, completed_weeks, total_weeks, planned_km, actual_km, adherence_pct, code,
+  CASE code """
+    + " ".join(
+        f"WHEN '{code}' THEN {dict(avoid_makeup_quality=chr(39) + 'The ' + chr(39) + ' || missed || ', accept_partial_quality=chr(39) + 'The ' + chr(39) + ' || half || ').get(code, '')}'{text}'{' || next' if code in ('plan_not_started', 'continue_as_planned') else ''}"
+        for code, text in tracking.ADVICE.items()
+    )
+    + """ END AS recommendation FROM tr1)
+"""
+)
+
+
+def _plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plans of the valid goals, asked from five days before to 84 days after they begin, their weeks, and the sessions of the first week."""
+    from pyspark.sql import Window
+
+    outline = training_plan.weekly_outline(_goals(spark, sf_dir))
+    k = F.col("goal_id")
+    plans = outline.groupBy("goal_id").agg(F.min("start_date").alias("plan_start"), F.max_by("end_date", "week").alias("plan_end"))
+    plans = plans.select(k.alias("plan_id"), F.floor(k / 20).cast("bigint").alias("athlete_id"), "plan_start", "plan_end", F.expr("date_add(plan_start, cast(goal_id % 90 as int) - 5)").alias("as_of"))
+    first = outline.where("week = 1").withColumns({"days_per_week": (3 + k % 5).cast("int"), "five_k_pace": (240 + k % 120).cast("double"), "target_pace": (250 + k % 150).cast("double")})
+    number = F.row_number().over(Window.partitionBy("goal_id").orderBy("scheduled")) - 1
+    sessions = training_plan.detailed_sessions(first).withColumn("session", number).withColumnsRenamed({"goal_id": "plan_id", "distance_km": "target_km"}).drop("week")
+    return plans, outline.withColumnRenamed("goal_id", "plan_id"), sessions.join(plans, "plan_id")
+
+
+def _plan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acts = _tagged(views.all_activities(spark, sf_dir))
+    return acts.select("athlete_id", "activity_id", "start_utc", "local_date", "distance_m", "moving_ms", "name", "tags", F.col("session_kind").alias("primary"), F.lit("unknown").alias("activity_type"))
+
+
+@query(TRACKED + "SELECT * FROM weeks")
+def plan_week_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans, weeks, sessions = _plans(spark, sf_dir)
+    found = training_plan.week_progress(plans, weeks, sessions.select("plan_id", "scheduled", "target_km"), _plan_runs(spark, sf_dir))
+    return found
+
+
+def _plan_sessions(spark: SparkSession, sf_dir: str, sessions: DataFrame) -> DataFrame:
+    runs = _plan_runs(spark, sf_dir)
+    return tracking.session_status(sessions, tracking.match_sessions(sessions, runs), runs)
+
+
+TOLD = "plan_id, athlete_id, session, scheduled, kind, title, purpose, target_km, faster, slower, as_of, activity_id, activity_date, activity_name, actual_km, actual_pace, classified_as, completion_pct, status, pace_status"
+
+
+@query(TRACKED + f"SELECT {TOLD} FROM told")
+def plan_session_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_sessions(spark, sf_dir, _plans(spark, sf_dir)[2]).select(*TOLD.split(", "))
+
+
+@query(TRACKED + "SELECT * FROM tracked")
+def plan_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans, weeks, sessions = _plans(spark, sf_dir)
+    progress = training_plan.week_progress(plans, weeks, sessions.select("plan_id", "scheduled", "target_km"), _plan_runs(spark, sf_dir))
+    return tracking.plan_tracking(progress, _plan_sessions(spark, sf_dir, sessions))
+
+
+FITNESS = (
+    EFFORTS
+    + f""", {TAGGED_KM} activities),
+vperf AS (SELECT r.athlete_id, s.target AS distance, r.activity_id, start_utc AS achieved_at, local_date AS achieved_on, elapsed_ms / 1000 AS elapsed_s FROM tagged_km r JOIN standard s ON abs(km * 1000 - CAST(m AS DOUBLE)) / CAST(m AS DOUBLE) * 100 <= 3 AND distance_m > 0 AND elapsed_ms > 0 WHERE status = 'verified'),
+vprog AS (SELECT * FROM (SELECT *, min(elapsed_s) OVER (PARTITION BY athlete_id, distance ORDER BY achieved_at, elapsed_s, activity_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM vperf) WHERE prev IS NULL OR elapsed_s < prev),
+vcur AS (SELECT * FROM vprog QUALIFY lead(achieved_at) OVER (PARTITION BY athlete_id, distance ORDER BY achieved_at, elapsed_s DESC) IS NULL),
+ocand AS (SELECT c.*, s.target, CAST(s.m AS DOUBLE) AS m FROM tagged_km c JOIN standard s ON CAST(c.distance_m AS DOUBLE) >= CAST(s.m AS DOUBLE) * (1 - 0.03::DOUBLE) AND elapsed_ms > 0),
+omark AS (SELECT c.athlete_id, c.target AS distance, c.activity_id, c.local_date, CASE WHEN r.elapsed_s IS NULL THEN 'whole_activity' ELSE 'rolling_segment' END AS effort_type,
+  {_places("coalesce(round(r.elapsed_s, 6), CASE WHEN abs(CAST(c.distance_m AS DOUBLE) - m) <= m * 0.03::DOUBLE THEN elapsed_ms / 1000 * m / CAST(c.distance_m AS DOUBLE) END)", 3)} AS elapsed_s FROM ocand c LEFT JOIN rolling r USING (activity_id, target)),
+obs AS (SELECT * FROM omark o WHERE elapsed_s IS NOT NULL AND NOT EXISTS (SELECT 1 FROM vcur v WHERE v.activity_id = o.activity_id AND v.distance = o.distance AND abs(v.elapsed_s - o.elapsed_s) <= 2)
+  QUALIFY row_number() OVER (PARTITION BY athlete_id, distance ORDER BY elapsed_s, local_date DESC, activity_id) = 1),
+mark AS (SELECT * FROM (SELECT athlete_id, distance, activity_id, elapsed_s, achieved_on, 'whole_activity' AS effort_type, 'verified_result' AS source FROM vcur
+  UNION ALL SELECT athlete_id, distance, activity_id, elapsed_s, local_date, effort_type, CASE effort_type WHEN 'rolling_segment' THEN 'training_split' ELSE 'training_activity' END FROM obs)
+  QUALIFY row_number() OVER (PARTITION BY athlete_id, distance ORDER BY elapsed_s, source <> 'verified_result') = 1),
+kc(distance, metres, width, vs, ls, runs_f, km_f, long_f, pen) AS (VALUES {", ".join(f"('{d}', {scalars.STANDARD_DISTANCES[d]}::DOUBLE, " + ", ".join(f"{float(x)}::DOUBLE" for x in v) + ")" for d, v in fitness.FITNESS.items())}),
+anc AS (SELECT m.*, k.metres AS anchor_m, r.km, r.tags[1] AS kind FROM mark m JOIN kc k USING (distance) JOIN tagged_km r ON r.activity_id = m.activity_id QUALIFY row_number() OVER (PARTITION BY m.athlete_id ORDER BY m.achieved_on DESC, m.elapsed_s) = 1),
+cap AS (SELECT a.*, CASE WHEN km >= anchor_m / 1000 * 1.5 AND effort_type <> 'whole_activity' AND kind IN ('intervals', 'progressive') THEN 0.96::DOUBLE WHEN source = 'verified_result' AND activity_id % 2 = 0 THEN 0.985::DOUBLE ELSE 1.0::DOUBLE END AS factor,
+  (SELECT min(p.elapsed_s) FROM vprog p WHERE p.athlete_id = a.athlete_id AND p.distance = a.distance AND p.achieved_on < a.achieved_on) AS prior_s FROM anc a),
+days AS (SELECT athlete_id, 'now' AS ask, max(local_date) AS as_of FROM activities GROUP BY 1 UNION ALL SELECT athlete_id, distance, achieved_on - 1 FROM mark),
+prof AS (SELECT q.athlete_id, ask, as_of, count(t.activity_id) AS runs, round(CAST(coalesce(sum(t.distance_m), 0) AS DOUBLE) / 1000, 6) AS km84, round(CAST(max(t.distance_m) AS DOUBLE) / 1000, 6) AS long84
+  FROM days q LEFT JOIN activities t ON t.athlete_id = q.athlete_id AND t.local_date BETWEEN q.as_of - 83 AND q.as_of GROUP BY ALL),
+grid AS (SELECT c.athlete_id, k.*, c.distance AS anchor, c.anchor_m, c.elapsed_s * factor AS capacity, coalesce(least(c.elapsed_s * factor / prior_s, 1), factor) AS improvement, prior_s, c.kind, n.as_of, n.runs, n.km84, n.long84, b.km84 AS b_km, b.long84 AS b_long, m.elapsed_s AS mark_s, m.achieved_on, m.source
+  FROM cap c JOIN prof n ON n.athlete_id = c.athlete_id AND n.ask = 'now', kc k LEFT JOIN mark m ON m.athlete_id = c.athlete_id AND m.distance = k.distance LEFT JOIN prof b ON b.athlete_id = c.athlete_id AND b.ask = k.distance),
+pot AS (SELECT *, least(mark_s, (CASE WHEN mark_s IS NULL THEN capacity * pow(metres / anchor_m, 1.06) WHEN distance = anchor THEN capacity ELSE mark_s * improvement END)
+  * CASE WHEN distance = '5k' OR b_km IS NULL THEN 1 ELSE least(greatest(CASE WHEN b_km > 0 THEN pow(least(greatest(km84 / b_km, 0.75), 4), -vs) ELSE 1 END * CASE WHEN b_long > 0 THEN pow(least(greatest(coalesce(long84, 0) / b_long, 0.75), 4), -ls) ELSE 1 END, 0.9), 1.03) END) AS potential,
+  round(0.15::DOUBLE * least(runs / runs_f, 1) + 0.45::DOUBLE * least(km84 / km_f, 1) + 0.40::DOUBLE * least(coalesce(long84, 0) / long_f, 1), 6) AS preparation FROM grid),
+ready AS (SELECT *, least(mark_s, potential * (1 + pen * (1 - preparation))) AS readiness, width * (1 + 0.5 * (1 - preparation)) AS w FROM pot),
+estimates AS (SELECT athlete_id, distance, round(potential, 3) AS potential_s, round(readiness, 3) AS readiness_s, round(readiness * (1 - w), 3) AS optimistic_s, round(readiness * (1 + w), 3) AS conservative_s, preparation,
+  CASE WHEN source = 'verified_result' AND runs >= 20 AND distance = anchor AND kind <> 'unclassified' THEN 'high' WHEN source = 'verified_result' AND runs >= 20 AND prior_s IS NOT NULL AND date_diff('day', achieved_on, as_of) <= 180 AND preparation >= 0.85 THEN 'medium' ELSE 'low' END AS confidence,
+  mark_s AS current_best_s, round(mark_s - readiness, 3) AS improvement_s FROM ready)
+"""
+)
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Best marks of verified results and observed efforts, and the verified progression."""
+    acts = views.activities(spark, sf_dir)
+    progress = bests.supersessions(_performances(spark, sf_dir).where("status = 'verified'")).withColumns({"achieved_on": F.to_date("achieved_at"), "effort_type": F.lit("whole_activity")})
+    current = progress.where("is_current")
+    observed = efforts.best_observed(acts, views.trackpoints(spark, sf_dir), efforts.targets(spark), known=current).withColumnsRenamed({"target": "distance", "local_date": "achieved_on"})
+    return state.settled(bests.best_marks(current, observed)), progress
+
+
+def _estimates(spark: SparkSession, sf_dir: str, marks: DataFrame, progress: DataFrame) -> DataFrame:
+    """Verified results with an even id count as full efforts."""
+    acts = _tagged(views.activities(spark, sf_dir))
+    about = acts.select("activity_id", (F.col("distance_m").cast("double") / 1000).alias("activity_km"), "session_kind")
+    sure = F.col("source") == "verified_result"
+    marks = marks.join(about, "activity_id").withColumns({"is_verified": sure, "max_effort": sure & (F.col("activity_id") % 2 == 0)})
+    now = fitness.training_profiles(_as_of(acts).withColumn("ask", F.lit("now")), acts)
+    before = fitness.training_profiles(marks.select("athlete_id", F.col("distance").alias("ask"), F.date_sub("achieved_on", 1).alias("as_of")), acts).withColumnRenamed("ask", "distance")
+    return fitness.current_fitness(marks, progress, now, before)
+
+
+@query(FITNESS + "SELECT * FROM estimates")
+def current_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _estimates(spark, sf_dir, *_marks(spark, sf_dir))
+
+
+@query(FITNESS + "SELECT athlete_id, distance, activity_id, elapsed_s, achieved_on, source FROM mark")
+def best_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marks(spark, sf_dir)[0].drop("effort_type")
+
+
+def _facts(values: dict[str, str]) -> str:
+    """SQL of a row's facts, by name, as the query renders them."""
+    return " || ';' || ".join(f"'{k}=' || coalesce(CAST({v} AS VARCHAR), '')" for k, v in sorted(values.items()))
+
+
+def _told(x: str) -> str:
+    s = f"CAST(round_even({x}, 0) AS BIGINT)"
+    return f"coalesce(CASE WHEN {s} < 3600 THEN printf('%d:%02d', {s} // 60, {s} % 60) ELSE printf('%d:%02d:%02d', {s} // 3600, {s} % 3600 // 60, {s} % 60) END, 'unavailable')"
+
+
+def _told_pace(x: str) -> str:
+    s = f"CAST(round_even({x}, 0) AS BIGINT)"
+    return f"coalesce(printf('%d:%02d/km', {s} // 60, {s} % 60), 'unavailable')"
+
+
+def _tenths(x: str) -> str:
+    return f"printf('%.1f', {_tenth(x)})"
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
+READY_PACE = "round(readiness_s / (metres / 1000), 6)"
+PACES = f"CASE WHEN faster IS NULL OR slower IS NULL THEN 'unavailable' ELSE {_told_pace('faster')} || ' to ' || {_told_pace('slower')} END"
+COACHING = (
+    f""", e1 AS ({ORACLE_SQL["training_overview"]}), e2 AS ({ORACLE_SQL["trailing_summary"]}), e3 AS ({ORACLE_SQL["training_profiles"]}),
+e4 AS (WITH RECURSIVE {views.SQL}{SERIES} SELECT athlete_id, local_date, round(daily_load, 6) AS daily_load, round(acute_load, 4) AS acute_load, round(chronic_load, 4) AS chronic_load, round(form_index, 4) AS form_index FROM series QUALIFY row_number() OVER (PARTITION BY athlete_id ORDER BY local_date DESC) = 1),
+e5 AS ({ORACLE_SQL["best_marks"]}), e6 AS ({ORACLE_SQL["performance_evidence"]}), e7 AS ({ORACLE_SQL["current_fitness"]}),
+std(distance, metres) AS (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in scalars.STANDARD_DISTANCES.items())}),
+p1 AS ({ORACLE_SQL["plan_session_progress"]}), p2 AS ({ORACLE_SQL["plan_tracking"]}),
+act AS (SELECT plan_id // 20 AS athlete_id, min(plan_id) AS plan_id FROM p2 GROUP BY 1),
+g AS (SELECT athlete_id, plan_id, ['5k', '10k', 'half_marathon', 'marathon'][plan_id % 4 + 1] AS distance, DATE '1998-01-10' + CAST(plan_id % 380 AS INT) AS race_date, CASE WHEN plan_id % 3 <> 0 THEN CAST(1200 + plan_id % 200 * 30 AS DOUBLE) END AS target_s, 3 + plan_id % 5 AS days_per_week, 1 + plan_id % 3 AS version FROM act),
+ps AS (SELECT p1.* FROM p1 JOIN act USING (plan_id)),
+u AS (
+  SELECT athlete_id, 1 AS section, '' AS ord, 'training:history' AS evidence_id, 'training' AS category, runs || ' recorded runs through ' || last_date || ', including ' || {_tenths("distance_28d_km")} || ' km in the latest 28 days.' AS summary,
+    {_facts({"as_of_date": "e2.as_of", "data_start_date": "first_date", "data_end_date": "last_date", "total_runs": "runs", "total_distance_km": "distance_km", "longest_run_84d_km": "longest_84d_km", "quality_sessions_84d": "quality_84d", **{k: f"e2.{k}" for k in ("runs_7d", "distance_7d_km", "runs_28d", "distance_28d_km")}, **_same("distance_84d_km", "distance_365d_km")})} AS facts
+  FROM e1 JOIN e2 USING (athlete_id) JOIN (SELECT athlete_id, distance_84d_km, longest_84d_km, distance_365d_km, quality_84d FROM e3 WHERE ask = 0) USING (athlete_id)
+  UNION ALL SELECT athlete_id, 2, '', 'workload:' || local_date, 'workload', 'Latest form index is ' || coalesce(CAST(form_index AS VARCHAR), 'None') || '; acute load is ' || coalesce(CAST(acute_load AS VARCHAR), 'None') || ' and chronic load is ' || coalesce(CAST(chronic_load AS VARCHAR), 'None') || '.',
+    {_facts({"date": "local_date", "coverage_pct": "'100.0'", "load_method": "'duration_minutes_v1'", "algorithm_version": "'daily_load_v1'", **_same("daily_load", "acute_load", "chronic_load", "form_index")})} FROM e4
+  UNION ALL SELECT athlete_id, 3, distance, 'pb:' || distance, 'performance', 'Current ' || distance || ' personal best is ' || {_told("elapsed_s")} || ', achieved ' || achieved_on || ' as a ' || replace(source, '_', ' ') || '.',
+    {_facts({"time": _told("elapsed_s"), "elapsed_time_seconds": "elapsed_s", "pace_seconds_per_km": "round(elapsed_s / (metres / 1000), 6)", **_same("distance", "achieved_on", "source")})} FROM e5 JOIN std USING (distance)
+  UNION ALL SELECT athlete_id, 4, CAST(achieved_on AS VARCHAR) || activity_id, 'performance:' || activity_id, 'performance', achieved_on || ' ' || name || ' covered ' || {_tenths("distance_km")} || ' km at ' || {_told_pace("pace")} || '; selected as ' || replace(evidence_kind, '_', ' ') || '.',
+    {_facts({"activity_name": "name", "activity_distance_km": "distance_km", "pace_seconds_per_km": "pace", "target_distance": "target", "selection_reason": "reason", **_same("achieved_on", "evidence_kind")})}
+  FROM e6 JOIN (SELECT activity_id, name FROM activities) USING (activity_id) WHERE NOT EXISTS (SELECT 1 FROM e5 WHERE e5.athlete_id = e6.athlete_id AND e5.activity_id = e6.activity_id)
+  UNION ALL SELECT athlete_id, 5, CAST(CAST(metres AS DECIMAL(9,1)) AS VARCHAR), 'fitness:' || distance, 'prediction', 'Experimental ' || distance || ' race-readiness estimate is ' || {_told("readiness_s")} || ' at ' || {_told_pace(READY_PACE)} || ', with ' || confidence || ' confidence.',
+    {_facts({"fitness_potential_time": _told("potential_s"), "race_readiness_time": _told("readiness_s"), "race_readiness_time_seconds": "readiness_s", "optimistic_time": _told("optimistic_s"), "conservative_time": _told("conservative_s"), "race_readiness_pace_seconds_per_km": READY_PACE, "preparation_pct": _tenth("preparation * 100"), "algorithm_version": "'training_context_fitness_v3'", **_same("distance", "confidence")})} FROM e7 JOIN std USING (distance)
+  UNION ALL SELECT athlete_id, 6, '', 'goal:active', 'goal', 'Active ' || distance || ' goal is scheduled for ' || race_date || '; the saved target is ' || {_told("target_s")} || '.',
+    {_facts({"target_time": _told("target_s"), "target_time_seconds": "target_s", "recommended_target_time": _told("readiness_s"), "recommended_target_time_seconds": "readiness_s", "plan_version": "version", **_same("distance", "race_date", "days_per_week")})} FROM g LEFT JOIN e7 USING (athlete_id, distance)
+  UNION ALL SELECT athlete_id, 7, '', 'plan:tracking', 'plan', recommendation,
+    {_facts({"as_of_date": "as_of", "current_week_number": "current_week", "planned_distance_to_date_km": "planned_km", "actual_distance_to_date_km": "actual_km", "recommendation_code": "code", **_same("status", "completed_weeks", "total_weeks", "adherence_pct", "recommendation")})} FROM p2 JOIN act USING (plan_id)
+  UNION ALL SELECT athlete_id, 8, '', 'plan:latest-session', 'session_review', 'Latest matched run on ' || activity_date || ': ' || {_tenths("actual_km")} || ' km at ' || {_told_pace("actual_pace")} || ' against ' || {_tenths("target_km")} || ' km of ' || lower(title) || '; pace was ' || replace(pace_status, '_', ' ') || '.',
+    {_facts({"scheduled_date": "scheduled", "planned_kind": "kind", "planned_title": "title", "target_distance_km": "target_km", "actual_distance_km": "actual_km", "actual_pace_seconds_per_km": "actual_pace", "actual_pace": _told_pace("actual_pace"), "distance_completion_pct": "completion_pct", "session_status": "status", **_same("activity_date", "activity_name", "classified_as", "pace_status", "purpose")})}
+  FROM (SELECT * FROM ps WHERE status IN ('completed', 'partial', 'substituted') QUALIFY row_number() OVER (PARTITION BY athlete_id ORDER BY activity_date DESC, scheduled, session) = 1)
+  UNION ALL SELECT athlete_id, 9, CAST(n AS VARCHAR), 'plan:next-session:' || n, 'session', scheduled || ': ' || title || ', ' || {_tenths("target_km")} || ' km' || CASE WHEN {PACES} = 'unavailable' THEN '' ELSE ' at ' || {PACES} END || ' (' || status || ').',
+    {_facts({"scheduled_date": "scheduled", "target_distance_km": "target_km", "faster_seconds_per_km": "faster", "slower_seconds_per_km": "slower", "pace_range": PACES, **_same("kind", "title", "status", "pace_status", "purpose")})}
+  FROM (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY scheduled, session) AS n FROM ps WHERE status IN ('upcoming', 'due', 'partial')) WHERE n <= 3)
+SELECT athlete_id, CAST(row_number() OVER (PARTITION BY athlete_id ORDER BY section, ord, evidence_id) AS INT) AS position, evidence_id, category, summary, facts FROM u
+"""
+)
+
+
+@query(COACHING)
+def coaching_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be cited for each athlete; the plan of the smallest goal id is the active one. Facts are rendered as text, by name."""
+    acts = _tagged(views.activities(spark, sf_dir))
+    marks, progress = _marks(spark, sf_dir)
+    now = _as_of(acts)
+    metres = scalars.official_metres(F.col("distance"))
+    profile = fitness.training_profiles(now.withColumn("ask", F.lit(0)), acts).select("athlete_id", "distance_84d_km", "longest_84d_km", "distance_365d_km", "quality_84d")
+    history = trends.overview(acts).join(trends.trailing(acts, now), "athlete_id").join(profile, "athlete_id")
+    snapshot = workload.latest_snapshot(_series(spark, sf_dir)).withColumns({"load_method": F.lit("duration_minutes_v1"), "algorithm_version": F.lit("daily_load_v1")})
+    named = acts.select("activity_id", F.col("name").alias("activity_name"))
+    chosen = performance_evidence(spark, sf_dir).join(named, "activity_id")
+    estimates = state.settled(_estimates(spark, sf_dir, marks, progress)).withColumns({"metres": metres, "algorithm_version": F.lit("training_context_fitness_v3")})
+
+    plans, weeks, sessions = _plans(spark, sf_dir)
+    active = plans.groupBy("athlete_id").agg(F.min("plan_id").alias("plan_id"))
+    plans, sessions = plans.join(active.select("plan_id"), "plan_id"), sessions.join(active.select("plan_id"), "plan_id")
+    told = state.settled(_plan_sessions(spark, sf_dir, sessions))
+    progressed = training_plan.week_progress(plans, weeks.join(active.select("plan_id"), "plan_id"), sessions.select("plan_id", "scheduled", "target_km"), _plan_runs(spark, sf_dir))
+    k = F.col("plan_id")
+    target = F.when(k % 3 != 0, (1200 + k % 200 * 30).cast("double"))
+    goals = _goals(spark, sf_dir).withColumnRenamed("goal_id", "plan_id").join(active, "plan_id")
+    goals = goals.select("athlete_id", "distance", "race_date", target.alias("target_s"), (3 + k % 5).alias("days_per_week"), (1 + k % 3).alias("version"))
+    goals = goals.join(estimates.select("athlete_id", "distance", F.col("readiness_s").alias("recommended_s")), ["athlete_id", "distance"], "left")
+
+    found = coaching.evidence_table(
+        coaching.training_rows(history),
+        coaching.workload_rows(snapshot),
+        coaching.best_rows(marks.withColumn("pace", F.round(F.col("elapsed_s") / (metres / 1000), 6))),
+        coaching.performance_rows(chosen, marks),
+        coaching.fitness_rows(estimates),
+        coaching.goal_rows(goals),
+        coaching.tracking_rows(tracking.plan_tracking(progressed, told).join(active, "plan_id")),
+        coaching.latest_session_rows(told),
+        coaching.next_session_rows(told),
+    )
+    text = lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))
+    return found.withColumn("facts", F.array_join(F.transform(F.array_sort(F.map_entries("facts")), text), ";"))

@@ -53,9 +53,9 @@ def test_workload_golden_and_long_history(spark):
     [
         ("Easy Aerobic Run", "easy", ["easy"], "high"),
         ("Progressive long run", "progressive", ["progressive", "long"], "high"),
-        ("Hill Session 3K WU 12 200m Hills", "hills", ["hills"], "high"),
-        ("3K WU 25 tempo 1 5K CD", "tempo", ["tempo"], "high"),
-        ("Bab en bab race", "race", ["race"], "high"),
+        ("Two hills by the mill", "hills", ["hills"], "high"),
+        ("Lake, tempo blocks", "tempo", ["tempo"], "high"),
+        ("Harbour race 2019", "race", ["race"], "high"),
         ("6 × 1K", "intervals", ["intervals"], "medium"),
         ("Côte ﬁnale", "unclassified", ["unclassified"], "low"),
         ("Morning Run", "unclassified", ["unclassified"], "low"),
@@ -195,8 +195,12 @@ def test_session_matching(spark):
     r = spark.createDataFrame(runs, "athlete_id long, activity_id long, start_utc timestamp, local_date date, distance_m double, tags array<string>, primary string, activity_type string")
     found = tracking.match_sessions(s, r)
     assert {(x.session, x.activity_id) for x in found.collect()} == {(0, 10), (1, 12)}
-    status = tracking.session_status(s, found, tracking.session_candidates(s, r))
-    assert {x.session: x.status for x in status.collect()} == {0: "completed", 1: "completed", 2: "missed"}
+    planned = s.withColumns({"faster": F.lit(300.0), "slower": F.lit(400.0)})
+    timed = r.withColumns({"moving_ms": (F.col("distance_m") * 299).cast("long"), "name": F.lit("x")})
+    status = tracking.session_status(planned, found, timed)
+    assert {x.session: (x.status, x.pace_status, x.completion_pct) for x in status.collect()} == {0: ("completed", "faster_than_planned", 100.0), 1: ("completed", "not_applicable", 90.0), 2: ("missed", "unavailable", None)}
+    inside = s.withColumns({"plan_start": F.lit(D(2024, 1, 2)), "plan_end": F.lit(D(2024, 1, 7))})
+    assert {(x.session, x.activity_id) for x in tracking.match_sessions(inside, r).collect()} == {(1, 12)}
 
 
 def test_plan_versions(spark):
@@ -288,14 +292,76 @@ def test_plan_progress(spark):
     ]
     df = spark.createDataFrame(week, "plan_id long, session int, scheduled date, kind string, target_km double, status string, actual_km double, activity_date date")
     df = df.withColumn("as_of", F.lit(D(2024, 1, 4)))
-    found = {r.plan_id: (r.recommendation, r.planned_km, r.actual_km) for r in tracking.recommendations(df).collect()}
-    assert found == {1: ("accept_partial_quality", 18.0, 14.5), 2: ("avoid_makeup_quality", 20.0, 0.0), 3: ("plan_not_started", 0.0, 0.0), 4: ("reduce_optional_volume", 8.0, 14.0), 5: ("week_complete", 8.0, 8.0)}
     assert {(r.plan_id, r.session, r.n) for r in tracking.pending_sessions(df).collect()} == {(1, 1, 1), (1, 2, 2), (3, 0, 1), (4, 1, 1)}
     assert {(r.plan_id, r.session) for r in tracking.latest_completed(df).collect()} == {(1, 1), (4, 0), (5, 0)}
     paces = spark.createDataFrame([("easy", 300.0, 330.0, 290.0), ("easy", 300.0, 330.0, 331.0), ("easy", 300.0, 330.0, 300.0), ("race", 1.0, 2.0, 3.0), ("long", None, 330.0, 310.0)], "k string, f double, s double, a double")
     assert [r[0] for r in paces.select(tracking.pace_status(F.col("k"), F.col("f"), F.col("s"), F.col("a"))).collect()] == ["faster_than_planned", "easier_than_planned", "within_range", "not_applicable", "unavailable"]
 
 
+WEEK = "plan_id long, week int, start_date date, end_date date, phase string, target_km double, long_run_km double"
+
+
+def plan_answer(spark, as_of, runs, sessions):
+    """The one row of a plan of three weeks from Monday, 1 January 2024, and its weeks."""
+    from paceforge.operators import training_plan
+
+    weeks = spark.createDataFrame([(1, 1, D(2024, 1, 1), D(2024, 1, 7), "base", 30.0, 10.0), (1, 2, D(2024, 1, 8), D(2024, 1, 14), "build", 35.0, 12.0), (1, 3, D(2024, 1, 15), D(2024, 1, 18), "race", 14.0, 0.0)], WEEK)
+    plans = spark.createDataFrame([(1, 5, as_of)], "plan_id long, athlete_id long, as_of date")
+    ran = spark.createDataFrame([(5, d, m) for d, m in runs], "athlete_id long, local_date date, distance_m double")
+    planned = spark.createDataFrame([(1, i, d, kind, title, km, status) for i, (d, kind, title, km, status) in enumerate(sessions)], "plan_id long, session int, scheduled date, kind string, title string, target_km double, status string")
+    progress = training_plan.week_progress(plans, weeks, planned, ran)
+    return tracking.plan_tracking(progress, planned).first(), progress.orderBy("week").collect()
+
+
+def test_plan_tracking_counts_all_runs_and_finished_weeks(spark):
+    easy = (D(2024, 1, 2), "easy", "Easy aerobic run", 6.0, "upcoming")
+    long = (D(2024, 1, 7), "long", "Long aerobic run", 12.0, "upcoming")
+    # the plan has begun on Monday, its first session is on Tuesday
+    row, weeks = plan_answer(spark, D(2024, 1, 1), [], [easy, long])
+    assert (row.status, row.code, row.current_week, row.planned_km, row.adherence_pct) == ("in_progress", "continue_as_planned", 1, 0.0, None)
+    assert row.recommendation == "Continue with 6.0 km of easy aerobic run on 2024-01-02."
+    row, _ = plan_answer(spark, D(2023, 12, 31), [(D(2023, 12, 31), 9000.0)], [easy, long])
+    assert (row.status, row.code, row.actual_km) == ("not_started", "plan_not_started", 0.0)
+    # a run that fulfils no session counts; due sessions are what is planned in the detailed week
+    done = (*easy[:4], "completed")
+    row, weeks = plan_answer(spark, D(2024, 1, 3), [(D(2024, 1, 2), 6000.0), (D(2024, 1, 3), 5500.0)], [done, long])
+    assert (row.code, row.planned_km, row.actual_km, row.adherence_pct) == ("reduce_optional_volume", 6.0, 11.5, 191.7) and weeks[0].runs == 2
+    # a finished week counts whole, the current one by sevenths if it has no dated sessions
+    row, weeks = plan_answer(spark, D(2024, 1, 10), [(D(2024, 1, 6), 30000.0), (D(2024, 1, 9), 12000.0), (D(2024, 1, 11), 5000.0)], [done, (*long[:4], "completed")])
+    assert (row.completed_weeks, row.total_weeks, row.current_week, row.planned_km, row.actual_km, row.code) == (1, 3, 2, 45.0, 42.0, "first_week_complete")
+    assert [(w.status, w.completion_pct, w.long_run_completion_pct) for w in weeks] == [("completed", 100.0, 300.0), ("in_progress", 34.3, 100.0), ("upcoming", 0.0, 0.0)]
+    row, _ = plan_answer(spark, D(2024, 2, 1), [], [(*long[:4], "missed"), (D(2024, 1, 9), "quality", "Hard Run", 9.0, "partial")])
+    assert (row.status, row.code, row.current_week, row.planned_km) == ("completed", "avoid_makeup_quality", None, 79.0) and row.recommendation.startswith("The long aerobic run was missed.")
+    row, _ = plan_answer(spark, D(2024, 1, 9), [], [(D(2024, 1, 9), "quality", "Hard Run", 9.0, "partial"), done])
+    assert row.code == "accept_partial_quality" and row.recommendation.startswith("The hard run was partially completed.")
+
+
+def test_coaching_evidence_of_an_athlete_without_a_plan(spark):
+    from paceforge.operators import coaching
+
+    marks = spark.createDataFrame([(1, "5k", 10, 1234.5, 246.9, D(2024, 1, 2), "training_split"), (2, "10k", 20, 2400.0, 240.0, D(2024, 1, 3), "verified_result")], "athlete_id long, distance string, activity_id long, elapsed_s double, pace double, achieved_on date, source string")
+    chosen = spark.createDataFrame([(1, 10, D(2024, 1, 2), "Race", 5.0, 246.9, "race_performance", "5k", "r"), (1, 11, D(2024, 1, 1), None, 7.25, 260.0, "strong_training", None, "s")], "athlete_id long, activity_id long, achieved_on date, activity_name string, distance_km double, pace double, evidence_kind string, target string, reason string")
+    goals = spark.createDataFrame([(2, "10k", D(2024, 5, 5), None, 2390.0, 4, 2)], "athlete_id long, distance string, race_date date, target_s double, recommended_s double, days_per_week int, version int")
+    sessions = spark.createDataFrame([(2, i, D(2024, 1, 1 + i), "easy", "Easy aerobic run", "p", 8.0, 300.0 if i else None, 330.0, s, "unavailable") for i, s in enumerate(["missed", "due", "upcoming", "partial", "upcoming"])], "athlete_id long, session int, scheduled date, kind string, title string, purpose string, target_km double, faster double, slower double, status string, pace_status string")
+    sessions = sessions.withColumns({"activity_date": F.when(F.col("session") == 3, F.col("scheduled")), "activity_name": F.lit("run"), "actual_km": F.lit(4.04), "actual_pace": F.lit(305.5), "classified_as": F.lit("easy"), "completion_pct": F.lit(50.5)})
+    rows = coaching.evidence_table(coaching.best_rows(marks), coaching.performance_rows(chosen, marks), coaching.goal_rows(goals), coaching.latest_session_rows(sessions), coaching.next_session_rows(sessions)).orderBy("athlete_id", "position").collect()
+    assert [(r.athlete_id, r.evidence_id) for r in rows] == [(1, "pb:5k"), (1, "performance:11"), (2, "pb:10k"), (2, "goal:active"), (2, "plan:latest-session"), (2, "plan:next-session:1"), (2, "plan:next-session:2"), (2, "plan:next-session:3")]
+    by_id = {r.evidence_id: r for r in rows}
+    assert by_id["pb:5k"].summary == "Current 5k personal best is 20:34, achieved 2024-01-02 as a training split."
+    assert by_id["performance:11"].summary == "2024-01-01 run covered 7.3 km at 4:20/km; selected as strong training." and by_id["performance:11"].facts["target_distance"] is None
+    assert by_id["goal:active"].summary == "Active 10k goal is scheduled for 2024-05-05; the saved target is unavailable." and by_id["goal:active"].facts["recommended_target_time"] == "39:50"
+    assert by_id["plan:next-session:1"].summary == "2024-01-02: Easy aerobic run, 8.0 km at 5:00/km to 5:30/km (due)." and by_id["plan:next-session:3"].facts["scheduled_date"] == "2024-01-04"
+    assert by_id["plan:latest-session"].summary == "Latest matched run on 2024-01-04: 4.0 km at 5:06/km against 8.0 km of easy aerobic run; pace was unavailable."
+
+
+def test_best_mark_sources(spark):
+    mark = "athlete_id long, distance string, activity_id long, elapsed_s double, achieved_on date, effort_type string"
+    verified = spark.createDataFrame([(1, "5k", 1, 1200.0, D(2024, 1, 1), "whole_activity"), (1, "10k", 2, 2500.0, D(2024, 1, 1), "whole_activity")], mark)
+    observed = spark.createDataFrame([(1, "5k", 3, 1200.0, D(2024, 2, 1), "rolling_segment"), (1, "10k", 4, 2400.0, D(2024, 2, 1), "rolling_segment"), (1, "marathon", 5, 9000.0, D(2024, 2, 1), "whole_activity")], mark)
+    found = {r.distance: (r.activity_id, r.source) for r in bests.best_marks(verified, observed).collect()}
+    assert found == {"5k": (1, "verified_result"), "10k": (4, "training_split"), "marathon": (5, "training_activity")}
+
+
 def test_canonical_merge(spark):
     done = spark.createDataFrame([(1,), (2,), (3,), (4,)], "key long")
     sources = spark.createDataFrame([(1, "a", "x1"), (1, "b", "y1"), (2, "a", "x2"), (3, "a", "x3"), (3, "b", "y3"), (4, "a", "x4")], "key long, provider string, external_id string")
