@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import RIEGEL_EXPONENT, deviation_pct, official_metres, standard_distance
+from .running_median import earlier_medians
 
 HORIZONS = (7, 28, 42, 84, 180, 365)
 TAGS = ("easy", "long", "progressive", "tempo", "hills", "intervals", "race", "unclassified")
@@ -96,14 +97,16 @@ def walk_forward(observations: DataFrame) -> DataFrame:
     recent result over the distance, and their median. ``observations`` is
     (athlete_id, activity_id, distance, elapsed_s, achieved_at). Results at one
     instant do not know each other; of equally recent ones the last by id
-    counts. Everything is a running window: the best Riegel source for a
-    distance is the one with the least seconds / metres ** 1.06.
+    counts. The first two are running windows: the best Riegel source for a
+    distance is the one with the least seconds / metres ** 1.06. Medians are
+    ``running_median.earlier_medians``.
     """
     metres = official_metres(F.col("distance"))
     scaled = observations.withColumn("ratio", F.col("elapsed_s") / F.pow(metres, F.lit(RIEGEL_EXPONENT)))
     earlier, same = (Window.partitionBy(*keys).orderBy(F.unix_micros("achieved_at")).rangeBetween(Window.unboundedPreceding, -1) for keys in (["athlete_id"], ["athlete_id", "distance"]))
     recent = F.max(F.struct("achieved_at", "activity_id", "elapsed_s")).over(same)["elapsed_s"]
-    seen = scaled.withColumns({"best": F.min("ratio").over(earlier), "recent": recent, "median": F.expr("percentile(elapsed_s, 0.5)").over(same)})
+    seen = earlier_medians(scaled, ["athlete_id", "distance"], "achieved_at", "elapsed_s", "activity_id")
+    seen = seen.withColumns({"best": F.min("ratio").over(earlier), "recent": recent})
     long = seen.select(
         "athlete_id",
         "activity_id",

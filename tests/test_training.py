@@ -259,6 +259,44 @@ def test_walk_forward_knows_only_strictly_earlier_results(spark):
     assert features.eligibility(many).first().status == "eligible_for_candidate_model"
 
 
+def test_medians_of_long_histories(spark, monkeypatch):
+    import bisect
+    import time
+
+    from paceforge.operators import running_median
+
+    def plain(rows):
+        out, seen, held = {}, [], []
+        for k, (key, at, value, i) in enumerate(sorted(rows)):
+            if k and (key, at) != last:
+                for v in held if key == last[0] else []:
+                    bisect.insort(seen, v)
+                seen, held = (seen if key == last[0] else []), []
+            out[i] = None if not seen else (seen[(len(seen) - 1) // 2] + seen[len(seen) // 2]) / 2
+            held.append(value)
+            last = key, at
+        return out
+
+    rnd = random.Random(4)
+    day = dt.datetime(2000, 1, 1)
+    kinds = "athlete_id long, at timestamp, v double, id long"
+    monkeypatch.setattr(running_median, "BLOCK", 7)
+    rows = [(rnd.choice([1, 1, 1, 2, 3]), day + dt.timedelta(hours=rnd.randrange(60)), float(rnd.randrange(40)), i) for i in range(300)] + [(4, day, 1.0, 900)]
+    found = running_median.earlier_medians(spark.createDataFrame(rows, kinds), ["athlete_id"], "at", "v", "id").collect()
+    assert {r.id: r["median"] for r in found} == plain(rows)
+    assert running_median.earlier_medians(spark.createDataFrame([], kinds), ["athlete_id"], "at", "v", "id").count() == 0
+    monkeypatch.undo()
+    many = spark.range(100_000).selectExpr("1L AS athlete_id", "timestamp_seconds(id * 60) AS at", "cast(pmod(xxhash64(id), 100000) AS double) AS v", "id").cache()
+    many.count()
+    began = time.time()
+    last = running_median.earlier_medians(many, ["athlete_id"], "at", "v", "id").orderBy(F.desc("id")).limit(3).collect()
+    assert time.time() - began < 90
+    values = [r.v for r in many.orderBy("id").select("v").collect()]
+    for r in last:
+        s = sorted(values[: r.id])
+        assert r["median"] == (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
+
+
 def test_reply_audit(spark):
     from paceforge.operators import replies
 
