@@ -30,32 +30,47 @@ def calendar(daily: DataFrame, end_date: Column | None = None) -> DataFrame:
     return filled.withColumn("day", F.datediff("local_date", "first")).drop("first")
 
 
-def _states(days: DataFrame, taus: dict[str, int], block_days: int) -> DataFrame:
+def _cut(days: DataFrame, block_days: int) -> DataFrame:
+    return days.withColumns({"block": F.floor(F.col("day") / block_days), "k": F.col("day") % block_days})
+
+
+def _carries(cut: DataFrame, taus: dict[str, int], starts: DataFrame | None = None) -> DataFrame:
+    """(athlete_id, block, {name}_carry, {name}_end): each state before a block and after its last day.
+
+    A block's share in its end is a plain weighted sum. ``starts``
+    (athlete_id, from_block, {name}) has the states before the first block at
+    hand; without it they are 0 before block 0.
+    """
+    d = {name: 1 - 1 / tau for name, tau in taus.items()}
+    shares = {n: (F.sum(F.col("daily_load") * F.pow(F.lit(1 / d[n]), F.col("k"))) * F.pow(F.lit(d[n]), F.max("k")) / taus[n]).alias(n) for n in taus}
+    ends = cut.groupBy("athlete_id", "block").agg(F.max("k").alias("k"), *shares.values())
+    blocks = ends.groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct("block", "k", *taus))).alias("blocks"))
+    if starts is None:
+        blocks = blocks.withColumns({"from_block": F.lit(0).cast("long"), **{f"{n}_start": F.lit(0.0) for n in taus}})
+    else:
+        blocks = blocks.join(starts.select("athlete_id", "from_block", *[F.col(n).alias(f"{n}_start") for n in taus]), "athlete_id")
+
+    def carried(name: str, n: Column) -> Column:
+        return F.aggregate(F.slice("blocks", F.lit(1), n.cast("int")), F.col(f"{name}_start"), lambda acc, b: acc * F.pow(F.lit(d[name]), b["k"] + 1) + b[name])
+
+    each = blocks.withColumn("block", F.explode(F.sequence("from_block", F.col("from_block") + F.size("blocks") - 1)))
+    place = F.col("block") - F.col("from_block")
+    return each.select("athlete_id", "block", *[carried(n, place).alias(f"{n}_carry") for n in taus], *[carried(n, place + 1).alias(f"{n}_end") for n in taus])
+
+
+def _states(cut: DataFrame, taus: dict[str, int], carries: DataFrame) -> DataFrame:
     """Add one column per name in ``taus`` with the state after each day."""
     d = {name: 1 - 1 / tau for name, tau in taus.items()}
-    cut = days.withColumns({"block": F.floor(F.col("day") / block_days), "k": F.col("day") % block_days})
     within = Window.partitionBy("athlete_id", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumns({f"{n}_in": F.sum(F.col("daily_load") * F.pow(F.lit(1 / d[n]), F.col("k"))).over(within) * F.pow(F.lit(d[n]), F.col("k")) / taus[n] for n in taus})
-    # a block's end, carried through all earlier blocks; there is one row per athlete and block
-    ends = local.groupBy("athlete_id", "block").agg(F.max(F.struct("k", *[f"{n}_in" for n in taus])).alias("e"))
-    blocks = ends.groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct("block", "e"))).alias("blocks"))
-
-    def carried(name: str) -> Column:
-        return F.aggregate(F.slice("blocks", F.lit(1), F.col("block").cast("int")), F.lit(0.0), lambda acc, b: acc * F.pow(F.lit(d[name]), b["e"]["k"] + 1) + b["e"][f"{name}_in"])
+    joined = cut.join(carries.select("athlete_id", "block", *[f"{n}_carry" for n in taus]), ["athlete_id", "block"])
+    local = {n: F.sum(F.col("daily_load") * F.pow(F.lit(1 / d[n]), F.col("k"))).over(within) * F.pow(F.lit(d[n]), F.col("k")) / taus[n] for n in taus}
+    return joined.withColumns({n: local[n] + F.col(f"{n}_carry") * F.pow(F.lit(d[n]), F.col("k") + 1) for n in taus}).drop("block", "k", *[f"{n}_carry" for n in taus])
 
-    starts = blocks.select("athlete_id", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.size("blocks").cast("long") - 1)).alias("block"))
-    starts = starts.select("athlete_id", "block", *[carried(n).alias(f"{n}_carry") for n in taus])
-    joined = local.join(starts, ["athlete_id", "block"])
-    return joined.withColumns({n: F.col(f"{n}_in") + F.col(f"{n}_carry") * F.pow(F.lit(d[n]), F.col("k") + 1) for n in taus}).drop("block", "k", *[f"{n}_{x}" for n in taus for x in ("in", "carry")])
 
+TAUS = {"acute": ACUTE_DAYS, "chronic": CHRONIC_DAYS}
 
-def workload_series(daily: DataFrame, end_date: Column | None = None, block_days: int = BLOCK_DAYS, places: int = 6) -> DataFrame:
-    """(athlete_id, local_date, daily_load, acute_load, chronic_load, form_index, coverage_pct, history_days).
 
-    Acute load is null before the 7th day, chronic load and form before the
-    42nd. An empty input gives an empty series.
-    """
-    states = _states(calendar(daily, end_date), {"acute": ACUTE_DAYS, "chronic": CHRONIC_DAYS}, block_days)
+def _series(states: DataFrame, places: int) -> DataFrame:
     history = F.col("day") + 1
     return states.select(
         "athlete_id",
@@ -69,6 +84,57 @@ def workload_series(daily: DataFrame, end_date: Column | None = None, block_days
     )
 
 
+def resume_points(stored: DataFrame, changed: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """(athlete_id, first, from_block, acute, chronic): where a series is taken up again after its loads changed.
+
+    ``stored`` is (athlete_id, first, block, acute, chronic), the first day of
+    each athlete's series and the states after each block; ``changed``
+    (athlete_id, local_date) the days with new loads. A series goes on at the
+    earliest block that holds such a day; one whose first day moves, or that is
+    new, begins anew.
+    """
+    early = changed.groupBy("athlete_id").agg(F.min("local_date").alias("since"))
+    firsts = stored.groupBy("athlete_id").agg(F.min("first").alias("was"), F.max("block").alias("last"))
+    at = early.join(firsts, "athlete_id", "left")
+    whole = F.col("was").isNull() | (F.col("since") < F.col("was"))
+    block = F.when(whole, 0).otherwise(F.least(F.floor(F.datediff("since", "was") / block_days), F.col("last"))).cast("long")
+    at = at.select("athlete_id", F.when(whole, F.col("since")).otherwise(F.col("was")).alias("first"), block.alias("from_block"))
+    before = stored.select("athlete_id", (F.col("block") + 1).alias("from_block"), "acute", "chronic")
+    return at.join(before, ["athlete_id", "from_block"], "left").select("athlete_id", "first", "from_block", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in TAUS])
+
+
+def resumed_series(daily: DataFrame, points: DataFrame, block_days: int = BLOCK_DAYS, places: int = 6) -> tuple[DataFrame, DataFrame]:
+    """The series of ``points`` (``resume_points``) from the first day of their block on, and the block states (athlete_id, first, block, acute, chronic).
+
+    ``daily`` are the athletes' loads from that day on; earlier ones are not
+    used and need not be read. Both equal what a run over the whole history
+    gives.
+    """
+    begin = F.expr(f"date_add(first, cast(from_block * {block_days} as int))")
+    known = daily.join(points.select("athlete_id", begin.alias("begin")), "athlete_id").where(F.col("local_date") >= F.col("begin")).drop("begin")
+    last = known.groupBy("athlete_id").agg(F.max("local_date").alias("last"))
+    # a series that lost its last days ends earlier; one whose block lost all days has no row here
+    span = points.join(last, "athlete_id").withColumn("begin", begin)
+    days = span.select("athlete_id", "first", F.explode(F.sequence("begin", "last")).alias("local_date"))
+    coverage = F.col("coverage_pct") if "coverage_pct" in daily.columns else F.lit(None).cast("double")
+    filled = days.join(known.select("athlete_id", "local_date", F.col("daily_load").cast("double").alias("daily_load"), coverage.alias("coverage_pct")), ["athlete_id", "local_date"], "left")
+    filled = filled.na.fill(0.0, ["daily_load"]).na.fill(100.0, ["coverage_pct"]).withColumn("day", F.datediff("local_date", "first")).drop("first")
+    cut = _cut(filled, block_days)
+    carries = _carries(cut, TAUS, points)
+    ends = carries.join(points.select("athlete_id", "first"), "athlete_id").select("athlete_id", "first", "block", *[F.col(f"{n}_end").alias(n) for n in TAUS])
+    return _series(_states(cut, TAUS, carries), places), ends
+
+
+def workload_series(daily: DataFrame, end_date: Column | None = None, block_days: int = BLOCK_DAYS, places: int = 6) -> DataFrame:
+    """(athlete_id, local_date, daily_load, acute_load, chronic_load, form_index, coverage_pct, history_days).
+
+    Acute load is null before the 7th day, chronic load and form before the
+    42nd. An empty input gives an empty series.
+    """
+    cut = _cut(calendar(daily, end_date), block_days)
+    return _series(_states(cut, TAUS, _carries(cut, TAUS)), places)
+
+
 def latest_snapshot(series: DataFrame) -> DataFrame:
     """The last day of each athlete's series."""
     return series.groupBy("athlete_id").agg(F.max_by(F.struct(*[c for c in series.columns if c != "athlete_id"]), "local_date").alias("s")).select("athlete_id", "s.*")

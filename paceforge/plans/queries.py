@@ -81,7 +81,7 @@ states AS (
   SELECT d.athlete_id, d.local_date, d.day, d.load, s.acute + (d.load - s.acute) / 7, s.chronic + (d.load - s.chronic) / 42
   FROM states s JOIN days d ON d.athlete_id = s.athlete_id AND d.day = s.day + 1),
 series AS (SELECT athlete_id, local_date, load AS daily_load, CASE WHEN day >= 6 THEN acute END AS acute_load, CASE WHEN day >= 41 THEN chronic END AS chronic_load,
-  CASE WHEN day >= 41 THEN chronic - acute END AS form_index, day + 1 AS history_days FROM states)
+  CASE WHEN day >= 41 THEN CASE WHEN abs(chronic - acute) < 1e-9 THEN 0 ELSE chronic - acute END END AS form_index, day + 1 AS history_days FROM states)
 """
 
 

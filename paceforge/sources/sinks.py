@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .buckets import bucket_of, read_buckets, write_buckets
+
 
 def write_features(features: DataFrame, path: str) -> None:
     """A feature set as CSV with a header, nulls as empty fields."""
@@ -16,14 +18,27 @@ def write_report(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
 
-def replace_detail(detail: DataFrame, changed: DataFrame, path: str, buckets: int = 256) -> None:
-    """Rewrite the buckets of activities whose selected source or hash changed; the other buckets are not touched.
+DETAIL_BUCKETS = 256
+
+
+def replace_detail(detail: DataFrame, changed: DataFrame, path: str, commit: int, buckets: int = DETAIL_BUCKETS) -> None:
+    """Put the whole new detail of the ``changed`` activities in place of what is stored of them.
 
-    ``detail`` holds the whole new state of the changed buckets' activities.
+    ``detail`` has the new rows of the changed activities; one without rows
+    there has none afterwards. Other activities keep theirs. Only the changed
+    buckets are read and written (``buckets.write_buckets``); a write that
+    fails leaves the old state, a repeated commit replaces itself.
     """
-    bucket = F.pmod(F.xxhash64("activity_id"), F.lit(buckets)).cast("int")
-    touched = changed.select(bucket.alias("bucket")).distinct()
-    detail.withColumn("bucket", bucket).join(touched, "bucket", "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    spark, key = detail.sparkSession, bucket_of("activity_id", buckets)
+    ids = changed.select("activity_id").distinct()
+    touched = ids.select(key.alias("bucket")).distinct()
+    old = read_buckets(spark, path, detail.schema, touched, before=commit).join(ids, "activity_id", "left_anti")
+    new = detail.join(ids, "activity_id", "left_semi").withColumn("bucket", key).select(*old.columns)
+    write_buckets(old.unionByName(new), touched, path, commit)
+
+
+def read_detail(spark: SparkSession, path: str, schema) -> DataFrame:
+    return read_buckets(spark, path, schema).drop("bucket")
 
 
 def changed_sources(selected: DataFrame, stored: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ import gzip
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from paceforge.sources import registry, summary_csv, summary_json, tracks
+from paceforge.sources import buckets, registry, sinks, summary_csv, summary_json, tracks
 from paceforge.streaming import ingest
 
 HEADER = "Activity ID,Activity Date,Activity Name,Activity Type,Elapsed Time,Distance,Filename,Elapsed Time,Moving Time,Distance,Elevation Gain,Elevation Loss"
@@ -80,16 +81,77 @@ def test_streaming_ingest_is_exactly_once(spark, tmp_path):
     drops, table, results, checkpoint = (str(tmp_path / n) for n in ("drops", "table", "results", "checkpoint"))
     (tmp_path / "drops").mkdir()
     record = {"provider": "p", "athlete_id": 1, "load": 5.0}
-    schema = "provider string, athlete_id long, load double"
+    schema, out = "provider string, athlete_id long, load double", "athlete_id long, load double"
     compute = lambda h: h.groupBy("athlete_id").agg(F.sum("load").alias("load"))
 
     def run(name, rows):
         (tmp_path / "drops" / name).write_text("\n".join(map(json.dumps, rows)))
-        ingest.run_ingest(ingest.read_drops(spark, drops, schema), table, results, checkpoint, compute, 4).awaitTermination(120)
-        return {r.athlete_id: r.load for r in spark.read.parquet(results).collect()}
+        query = ingest.run_ingest(ingest.read_drops(spark, drops, schema), table, results, checkpoint, compute, out, 4)
+        query.awaitTermination(120)
+        states = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+        assert not states  # what was seen is looked up, not kept
+        return {r.athlete_id: r.load for r in buckets.read_buckets(spark, results, out).collect()}
 
-    assert run("1.json", [record, {**record, "athlete_id": 2}]) == {1: 5.0, 2: 5.0}
+    assert run("1.json", [record, record, {**record, "athlete_id": 2}]) == {1: 5.0, 2: 5.0}
     assert run("2.json", [record, {**record, "load": 7.0}]) == {1: 12.0, 2: 5.0}
+    assert run("3.json", [record, {**record, "athlete_id": 2}]) == {1: 12.0, 2: 5.0}
+    # a batch that is run again replaces itself
+    again = spark.createDataFrame([("p", 1, 7.0)], schema)
+    again = again.withColumn(ingest.CONTENT, F.sha2(F.to_json(F.struct(*again.columns)), 256))
+    assert ingest.append_new(again, 1, table, 4).count() == 1 and ingest.stored_records(spark, table, again.schema).count() == 3
+
+
+def test_resumed_workload_equals_a_whole_run(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    from paceforge.operators import workload
+
+    drops, root, checkpoint = (str(tmp_path / n) for n in ("drops", "root", "checkpoint"))
+    (tmp_path / "drops").mkdir()
+    schema = "provider string, athlete_id long, local_date date, load double"
+    rnd, seen = random.Random(5), []
+
+    def drop(name, rows):
+        (tmp_path / "drops" / name).write_text("\n".join(json.dumps({"provider": "p", "athlete_id": a, "local_date": str(dt.date(2020, 1, 1) + dt.timedelta(days=d)), "load": x}) for a, d, x in rows))
+        seen.extend(rows)
+        ingest.run_workload(ingest.read_drops(spark, drops, schema), root, checkpoint, 8, 10).awaitTermination(180)
+        daily = spark.createDataFrame([(a, dt.date(2020, 1, 1) + dt.timedelta(days=d), x) for a, d, x in set(seen)], "athlete_id long, local_date date, x double").groupBy("athlete_id", "local_date").agg(F.sum("x").alias("daily_load"))
+        whole = {(r.athlete_id, r.local_date): r for r in workload.workload_series(daily).collect()}
+        stored = {(r.athlete_id, r.local_date): r for r in ingest.read_workload(spark, root).collect()}
+        assert stored.keys() == whole.keys()
+        for k, r in whole.items():
+            assert (r.history_days, r.daily_load) == (stored[k].history_days, stored[k].daily_load)
+            for c in ("acute_load", "chronic_load", "form_index"):
+                assert r[c] == stored[k][c] or abs(r[c] - stored[k][c]) < 2e-6
+
+    drop("1.json", [(a, rnd.randrange(10, 60), float(rnd.randrange(1, 90))) for a in (1, 2, 3) for _ in range(15)])
+    other = {p.name for p in (tmp_path / "root" / "series" / "data" / "version=0").iterdir()}
+    drop("2.json", [(1, 75, 30.0), (1, 58, 12.0)])
+    mine = {p.name for p in (tmp_path / "root" / "series" / "data" / "version=1").iterdir() if p.name.startswith("bucket")}
+    assert len(mine) == 1 and mine < other  # a batch of one athlete writes that bucket only
+    drop("3.json", [(2, 11, 5.0), (3, 2, 40.0), (4, 0, 1.0)])  # late, before the first day, new
+    drop("4.json", [(1, 75, 30.0)])
+
+
+def test_buckets_are_emptied_and_failed_writes_change_nothing(spark, tmp_path):
+    path, kinds = str(tmp_path / "t"), "activity_id long, v string"
+    make = lambda rows: spark.createDataFrame(rows, kinds)
+    read = lambda: sorted(tuple(r) for r in sinks.read_detail(spark, path, kinds).collect())
+    assert read() == []
+    sinks.replace_detail(make([(1, "a"), (1, "b"), (2, "c"), (3, "d")]), make([(1, ""), (2, ""), (3, "")]), path, 1, 2)
+    assert read() == [(1, "a"), (1, "b"), (2, "c"), (3, "d")]
+    broken = make([(1, "x")]).withColumn("v", F.raise_error("fails"))
+    with pytest.raises(Exception):
+        sinks.replace_detail(broken.select("activity_id", F.col("v").cast("string").alias("v")), make([(1, "")]), path, 2, 2)
+    assert read() == [(1, "a"), (1, "b"), (2, "c"), (3, "d")]
+    for _ in range(2):  # a repeated commit replaces itself
+        sinks.replace_detail(make([(2, "e")]), make([(1, ""), (2, "")]), path, 2, 2)
+        assert read() == [(2, "e"), (3, "d")]
+    sinks.replace_detail(make([]), make([(2, ""), (3, "")]), path, 3, 2)
+    assert read() == []
+    changed = sinks.changed_sources(spark.createDataFrame([(1, "f", "h1"), (2, "f", "h2"), (3, "g", "h3")], "activity_id long, source_id string, sha256 string"), spark.createDataFrame([(1, "f", "h1"), (2, "f", "old")], "activity_id long, source_id string, sha256 string"))
+    assert {r.activity_id for r in changed.collect()} == {2, 3}
 
 
 def test_contracts(spark):
