@@ -241,6 +241,21 @@ def create_missing(files: DataFrame, resolved: DataFrame, activities: DataFrame)
     return alone.unionByName(placed.where("size > 1").groupBy("athlete_id", "cluster").applyInPandas(lambda pdf: _create(pdf), kinds))
 
 
+def created_rows(files: DataFrame, decided: DataFrame, new_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The activities and sources that ``create_missing`` decided on.
+
+    Activities are (activity_id, athlete_id, start_s, elapsed_s, distance_m),
+    one for each file that made one, under ``new_id`` (over ``new_of``);
+    sources (file_id, provider, external_id, activity_id) link every file that
+    made an activity or was attached to one.
+    """
+    made = F.xxhash64(F.lit("file"), "new_of") if new_id is None else new_id
+    own = decided.where("action = 'created'").select("file_id", made.alias("activity_id")).join(files, "file_id")
+    activities = own.select("activity_id", "athlete_id", "start_s", "elapsed_s", "distance_m")
+    linked = decided.where("action in ('created', 'matched')").select("file_id", F.when(F.col("new_of").isNotNull(), made).otherwise(F.col("activity_id")).alias("activity_id"))
+    return activities, linked.join(files.select("file_id", "provider", "external_id"), "file_id").select("file_id", "provider", "external_id", "activity_id")
+
+
 def resolve_files(files: DataFrame, sources: DataFrame, activities: DataFrame) -> DataFrame:
     """(file_id, activity_id, status): sensor files by provider id, else by near start, duration and distance.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, titles
-from ..operators import activity, bests, coaching, contracts, efforts, evidence, features, fitness, reconcile, replies, state, tracking, training_plan, trends, workload
+from ..operators import activity, bests, canonical, coaching, contracts, efforts, evidence, features, fitness, reconcile, replies, state, tracking, training_plan, trends, workload
 from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,11 +81,11 @@ states AS (
   SELECT d.athlete_id, d.local_date, d.day, d.load, s.acute + (d.load - s.acute) / 7, s.chronic + (d.load - s.chronic) / 42
   FROM states s JOIN days d ON d.athlete_id = s.athlete_id AND d.day = s.day + 1),
 series AS (SELECT athlete_id, local_date, load AS daily_load, CASE WHEN day >= 6 THEN acute END AS acute_load, CASE WHEN day >= 41 THEN chronic END AS chronic_load,
-  CASE WHEN day >= 41 THEN CASE WHEN abs(chronic - acute) < 1e-9 THEN 0 ELSE chronic - acute END END AS form_index, day + 1 AS history_days FROM states)
+  CASE WHEN day >= 41 THEN chronic - acute END AS form_index, day + 1 AS history_days FROM states)
 """
 
 
-@query(SERIES + "SELECT athlete_id, local_date, round(daily_load, 6) AS daily_load, round(acute_load, 4) AS acute_load, round(chronic_load, 4) AS chronic_load, round(form_index, 4) AS form_index, CAST(history_days AS INT) AS history_days FROM series")
+@query(SERIES + "SELECT athlete_id, local_date, round(daily_load, 6) AS daily_load, round(acute_load, 4) AS acute_load, round(chronic_load, 4) AS chronic_load, round(form_index, 4) + 0 AS form_index, CAST(history_days AS INT) AS history_days FROM series")
 def daily_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _series(spark, sf_dir).drop("coverage_pct")
 
@@ -466,7 +466,7 @@ def daily_load_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("daily_load", F.col("daily_load").cast("double"))
 
 
-@query(SERIES + ", ".join(["", STANDARD.strip().lstrip(",").strip()]) + " SELECT n.activity_id, round(s.acute_load, 4) AS prior_acute_load, round(s.chronic_load, 4) AS prior_chronic_load, round(s.form_index, 4) AS prior_form_index FROM near n LEFT JOIN series s ON s.athlete_id = n.athlete_id AND s.local_date = n.local_date - 1")
+@query(SERIES + ", ".join(["", STANDARD.strip().lstrip(",").strip()]) + " SELECT n.activity_id, round(s.acute_load, 4) AS prior_acute_load, round(s.chronic_load, 4) AS prior_chronic_load, round(s.form_index, 4) + 0 AS prior_form_index FROM near n LEFT JOIN series s ON s.athlete_id = n.athlete_id AND s.local_date = n.local_date - 1")
 def prior_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = features.distance_candidates(views.activities(spark, sf_dir))
     return features.prior_workload(near, _series(spark, sf_dir))
@@ -602,7 +602,7 @@ def model_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     + SERIES.strip().lstrip(",").strip()
     + """, pb AS (SELECT c.activity_id, min(v.elapsed_s) FILTER (v.distance = '5k') AS prior_5k_s, min(v.elapsed_s) FILTER (v.distance = '10k') AS prior_10k_s, min(v.elapsed_s) FILTER (v.distance = 'half_marathon') AS prior_half_marathon_s, min(v.elapsed_s) FILTER (v.distance = 'marathon') AS prior_marathon_s
 FROM near c LEFT JOIN (SELECT n.athlete_id AS i, n.distance, elapsed_ms / 1000 AS elapsed_s, start_utc AS at FROM near n WHERE status = 'verified') v ON v.i = c.athlete_id AND v.at < c.start_utc GROUP BY 1)
-SELECT n.athlete_id, n.distance, CASE WHEN n.status = 'verified' THEN n.elapsed_ms / 1000 END AS label_s, agg.*, pb.* EXCLUDE (activity_id), round(s.acute_load, 4) AS prior_acute_load, round(s.chronic_load, 4) AS prior_chronic_load, round(s.form_index, 4) AS prior_form_index
+SELECT n.athlete_id, n.distance, CASE WHEN n.status = 'verified' THEN n.elapsed_ms / 1000 END AS label_s, agg.*, pb.* EXCLUDE (activity_id), round(s.acute_load, 4) AS prior_acute_load, round(s.chronic_load, 4) AS prior_chronic_load, round(s.form_index, 4) + 0 AS prior_form_index
 FROM near n JOIN agg USING (activity_id) JOIN pb USING (activity_id) LEFT JOIN series s ON s.athlete_id = n.athlete_id AND s.local_date = n.local_date - 1"""
 )
 def feature_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -793,14 +793,154 @@ def detailed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("planned_time", scalars.duration_range(F.col("distance_km"), F.col("faster"), F.col("slower")))
 
 
-@query()
-def created_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensor files that stay unmatched against verified activities alone: attached or made into activities."""
-    acts, b = views.activities(spark, sf_dir).where("status = 'verified'"), _providers(spark, sf_dir)[1]
-    files = b.select(F.col("id").alias("file_id"), "athlete_id", F.lit("p").alias("provider"), F.lit(None).cast("string").alias("external_id"), "start_s", F.when(F.col("id") % 23 != 0, F.col("elapsed_s")).alias("elapsed_s"), F.when(F.col("id") % 19 != 0, F.col("distance_m")).alias("distance_m"))
+CROWD = 3_000_000_000
+CROWDED = PROVIDERS + f""", ca AS (SELECT id, row, athlete_id, kind, start_s, elapsed_s, distance_m, name FROM a UNION ALL SELECT id + {CROWD}, row + {CROWD}, athlete_id, kind, start_s + 1, elapsed_s, distance_m, name FROM a WHERE id % 5 = 0),
+cb AS (SELECT id, athlete_id, kind, start_s, elapsed_s, distance_m, name FROM b UNION ALL SELECT id + {CROWD}, athlete_id, kind, start_s + 1, elapsed_s, distance_m, name FROM b WHERE id % 3 = 0),
+edge AS (SELECT x.athlete_id, x.id AS a_id, x.row AS a_row, y.id AS b_id FROM ca x JOIN cb y ON x.athlete_id = y.athlete_id AND x.kind = 'running' AND abs(x.start_s - y.start_s) <= 2 AND abs(x.elapsed_s - y.elapsed_s) <= 30 AND abs(x.distance_m - y.distance_m) <= greatest(50, greatest(x.distance_m, y.distance_m) * 0.005::DOUBLE)),
+queue AS (SELECT athlete_id, a_id, list(b_id) AS bs, row_number() OVER (PARTITION BY athlete_id ORDER BY a_row, a_id) AS n FROM edge GROUP BY athlete_id, a_id, a_row),
+turn AS (SELECT DISTINCT athlete_id, 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS a_id, NULL::BIGINT AS b_id, NULL::VARCHAR AS outcome FROM queue
+  UNION ALL SELECT athlete_id, m, CASE WHEN len(free) = 1 THEN list_append(used, free[1]) ELSE used END, a, CASE WHEN len(free) = 1 THEN free[1] END, CASE len(free) WHEN 0 THEN 'alone' WHEN 1 THEN 'merged' ELSE 'ambiguous' END
+  FROM (SELECT k.athlete_id, k.used, q.n AS m, q.a_id AS a, list_filter(q.bs, lambda x: NOT list_contains(k.used, x)) AS free FROM turn k JOIN queue q ON q.athlete_id = k.athlete_id AND q.n = k.n + 1)),
+outcome AS (SELECT a_id, b_id, outcome FROM turn WHERE n > 0)
+"""
+
+
+def _crowded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The providers' rows with near copies of some, so that several rows fit each other."""
+    a, b = _providers(spark, sf_dir)
+    copies = lambda df, keep: df.where(keep).withColumns({"id": F.col("id") + CROWD, "row": F.col("row") + CROWD, "start_s": F.col("start_s") + 1})
+    return a.unionByName(copies(a, F.col("id") % 5 == 0)), b.unionByName(copies(b, F.col("id") % 3 == 0))
+
+
+@query(CROWDED + "SELECT * FROM outcome")
+def match_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each row that fits others, in turn."""
+    return reconcile.assign(reconcile.strong_matches(*_crowded(spark, sf_dir))).select("a_id", "b_id", "outcome")
+
+
+@query(
+    CROWDED
+    + """, won AS (SELECT a_id, b_id FROM outcome WHERE outcome = 'merged')
+SELECT r.id AS a_id, b.id AS b_id, CASE WHEN b.id IS NULL THEN 'single_source' ELSE 'cross_source_strong' END AS method, r.athlete_id, round(r.distance_m, 3) AS distance_m, coalesce(r.name, b.name) AS name, o.outcome = 'ambiguous' AS ambiguous
+FROM ca r LEFT JOIN won ON won.a_id = r.id LEFT JOIN cb b ON b.id = won.b_id LEFT JOIN outcome o ON o.a_id = r.id WHERE r.kind = 'running'
+UNION ALL SELECT NULL, id, 'single_source', athlete_id, round(distance_m, 3), name, NULL FROM cb WHERE kind = 'running' AND id NOT IN (SELECT b_id FROM won)"""
+)
+def reconciled_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical activities where matches conflict; ``ambiguous`` tells which rows had several partners left, null where there was none at all."""
+    a, b = _crowded(spark, sf_dir)
+    decided = reconcile.assign(reconcile.strong_matches(a, b)).select("a_id", (F.col("outcome") == "ambiguous").alias("ambiguous"))
+    found = reconcile.reconcile(a, b).select("a_id", "b_id", "method", "athlete_id", F.round("distance_m", 3).alias("distance_m"), "name")
+    return found.join(decided, "a_id", "left")
+
+
+NEW_FILE = 7_000_000_000
+CREATED = CROWDED + f""", verified AS (SELECT activity_id, athlete_id, CAST(epoch(start_utc) AS DOUBLE) AS start_s, elapsed_ms / 1000 AS elapsed_s, CAST(distance_m AS DOUBLE) AS distance_m FROM activities WHERE status = 'verified'),
+files AS (SELECT id AS file_id, athlete_id, CASE WHEN id % 4 = 0 THEN 'y' || id END AS external_id, start_s, CASE WHEN id % 23 <> 0 THEN elapsed_s END AS elapsed_s, CASE WHEN id % 19 <> 0 THEN distance_m END AS distance_m FROM cb),
+fits AS (SELECT f.file_id, count(*) AS n, min(activity_id) AS one FROM files f JOIN verified c ON f.athlete_id = c.athlete_id AND abs(f.start_s - c.start_s) <= 2 AND abs(f.elapsed_s - c.elapsed_s) <= greatest(60, c.elapsed_s * 0.02::DOUBLE) AND abs(f.distance_m - c.distance_m) <= greatest(50, c.distance_m * 0.005::DOUBLE) GROUP BY 1),
+open_files AS (SELECT f.*, coalesce(n, 0) AS fit, one, row_number() OVER (PARTITION BY athlete_id ORDER BY f.file_id) AS place FROM files f LEFT JOIN fits USING (file_id) WHERE NOT coalesce(n = 1 AND one % 2 = 0, false) AND coalesce(n, 0) <= 1),
+made AS (SELECT DISTINCT athlete_id, 0::BIGINT AS place, []::STRUCT(file_id BIGINT, start_s DOUBLE, elapsed_s DOUBLE, distance_m DOUBLE)[] AS have, NULL::BIGINT AS file_id, NULL::BIGINT AS activity_id, NULL::BIGINT AS new_of, NULL::VARCHAR AS action FROM open_files
+  UNION ALL SELECT athlete_id, nth, CASE WHEN act = 'created' THEN list_append(have, {{'file_id': f, 'start_s': start_s, 'elapsed_s': elapsed_s, 'distance_m': distance_m}}) ELSE have END, f, CASE WHEN act = 'matched' AND fit = 1 THEN one END, CASE WHEN act = 'created' THEN f WHEN act = 'matched' AND fit = 0 THEN near[1].file_id END, act
+  FROM (SELECT *, CASE WHEN fit + len(near) > 1 THEN 'ambiguous' WHEN fit + len(near) = 1 THEN 'matched' WHEN distance_m IS NULL OR elapsed_s IS NULL THEN 'unmatched' ELSE 'created' END AS act
+    FROM (SELECT k.athlete_id, k.have, o.place AS nth, o.file_id AS f, o.start_s, o.elapsed_s, o.distance_m, o.fit, o.one,
+        list_filter(k.have, lambda m: coalesce(abs(o.start_s - m.start_s) <= 2 AND abs(o.elapsed_s - m.elapsed_s) <= greatest(60, m.elapsed_s * 0.02::DOUBLE) AND abs(o.distance_m - m.distance_m) <= greatest(50, m.distance_m * 0.005::DOUBLE), false)) AS near
+      FROM made k JOIN open_files o ON o.athlete_id = k.athlete_id AND o.place = k.place + 1))),
+decided AS (SELECT file_id, activity_id, new_of, action FROM made WHERE place > 0)
+"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files of the crowded second provider, and what becomes of those that stay unmatched against verified activities."""
+    acts, b = views.activities(spark, sf_dir).where("status = 'verified'"), _crowded(spark, sf_dir)[1]
+    external = F.when(F.col("id") % 4 == 0, F.concat(F.lit("y"), F.col("id").cast("string")))
+    files = b.select(F.col("id").alias("file_id"), "athlete_id", F.lit("p").alias("provider"), external.alias("external_id"), "start_s", F.when(F.col("id") % 23 != 0, F.col("elapsed_s")).alias("elapsed_s"), F.when(F.col("id") % 19 != 0, F.col("distance_m")).alias("distance_m"))
     canonical = acts.select("activity_id", "athlete_id", F.unix_timestamp("start_utc").cast("double").alias("start_s"), (F.col("elapsed_ms") / 1000).alias("elapsed_s"), F.col("distance_m").cast("double").alias("distance_m"))
     sources = acts.select(F.lit("p").alias("provider"), F.lit(None).cast("string").alias("external_id"), F.when(F.col("activity_id") % 2 == 0, F.col("activity_id")).alias("activity_id"))
-    return tracking.create_missing(files, tracking.resolve_files(files, sources, canonical), canonical)
+    return files, tracking.create_missing(files, tracking.resolve_files(files, sources, canonical), canonical)
+
+
+@query(CREATED + "SELECT * FROM decided")
+def created_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensor files that stay unmatched against verified activities: attached or made into activities."""
+    return _files(spark, sf_dir)[1]
+
+
+@query(CREATED + f"SELECT file_id + {NEW_FILE} AS activity_id, athlete_id, start_s, elapsed_s, distance_m FROM decided JOIN files USING (file_id) WHERE action = 'created'")
+def created_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.created_rows(*_files(spark, sf_dir), new_id=F.col("new_of") + NEW_FILE)[0]
+
+
+@query(CREATED + f"SELECT file_id, 'p' AS provider, external_id, coalesce(new_of + {NEW_FILE}, activity_id) AS activity_id FROM decided JOIN files USING (file_id) WHERE action IN ('created', 'matched')")
+def created_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.created_rows(*_files(spark, sf_dir), new_id=F.col("new_of") + NEW_FILE)[1]
+
+
+NEW_KEY = 9_000_000_000
+
+
+def _mark(provider: str) -> str:
+    """SQL of a record's fingerprint."""
+    return f"sha256(concat_ws('|', CAST(athlete_id AS VARCHAR), '{provider}', strftime(make_timestamp(CAST(start_s * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ'), kind, CAST(CAST(distance_m AS DECIMAL(12,3)) AS VARCHAR), CAST(CAST(round(elapsed_s * 1000) AS BIGINT) AS VARCHAR)))"
+
+
+STORED = PAIRS + f""", rec AS (SELECT coalesce(a_id, b_id) AS key, a_id, b_id, coalesce(a.athlete_id, b.athlete_id) AS athlete_id, coalesce(a.name, b.name) AS name, coalesce(a.start_s, b.start_s) AS start_s, coalesce(a.elapsed_s, b.elapsed_s) AS elapsed_s, coalesce(a.distance_m, b.distance_m) AS distance_m FROM pairs LEFT JOIN a ON a.id = a_id LEFT JOIN b ON b.id = b_id),
+src AS (SELECT key, 'a' AS provider, CASE WHEN a_id % 10 <> 0 THEN CAST(a_id AS VARCHAR) END AS external_id, f AS fingerprint FROM rec JOIN (SELECT id, {_mark("a")} AS f FROM a) a ON a.id = a_id
+  UNION ALL SELECT key, 'b', CAST(b_id AS VARCHAR), f FROM rec JOIN (SELECT id, {_mark("b")} AS f FROM b) b ON b.id = b_id),
+old_src AS (SELECT id AS source_id, 'a' AS provider, CASE WHEN id % 20 <> 0 THEN CAST(id AS VARCHAR) END AS external_id, {_mark("a")} AS fingerprint, id AS activity_id FROM a WHERE id % 2 = 0
+  UNION ALL SELECT id, 'b', CASE WHEN id % 4 <> 0 THEN CAST(id AS VARCHAR) END, {_mark("b")}, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN id ELSE id - 1000000000 END FROM b WHERE id % 3 <> 0),
+old_act AS (SELECT DISTINCT activity_id, activity_id % 97 AS athlete_id, 'before' AS name, 0.0::DOUBLE AS start_s, 1.0::DOUBLE AS elapsed_s, 2.0::DOUBLE AS distance_m FROM old_src WHERE activity_id IS NOT NULL),
+old_field AS (SELECT activity_id, 'name' AS field, 'b' AS provider FROM old_act UNION ALL SELECT activity_id, 'calories', 'b' FROM old_act),
+hit AS (SELECT s.*, coalesce(x.source_id, y.source_id) AS source_id, CASE WHEN x.source_id IS NOT NULL THEN x.activity_id ELSE y.activity_id END AS linked FROM src s LEFT JOIN old_src x ON x.provider = s.provider AND x.external_id = s.external_id LEFT JOIN old_src y ON y.provider = s.provider AND y.fingerprint = s.fingerprint),
+fate AS (SELECT key, CASE WHEN count(DISTINCT linked) > 1 THEN NULL WHEN count(DISTINCT linked) = 1 THEN min(linked) ELSE key + {NEW_KEY} END AS activity_id, CASE WHEN count(DISTINCT linked) > 1 THEN 'conflict' WHEN count(DISTINCT linked) = 1 THEN 'updated' ELSE 'created' END AS action, count(*) FILTER (source_id IS NULL) AS new_sources FROM hit GROUP BY 1),
+last AS (SELECT f.activity_id, r.* FROM fate f JOIN rec r USING (key) WHERE f.activity_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY f.activity_id ORDER BY key DESC) = 1)
+"""
+
+
+def _import(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The providers' rows imported over tables that hold part of them, some known by their fingerprint alone."""
+    a, b = _providers(spark, sf_dir)
+    found = reconcile.reconcile(a, b)
+    key = F.coalesce("a_id", "b_id")
+    values = ("athlete_id", "name", "start_s", "elapsed_s", "distance_m")
+    i = F.col("id")
+
+    def told(df: DataFrame, p: str) -> DataFrame:
+        mark = scalars.fingerprint(F.col("athlete_id"), F.lit(p), F.timestamp_seconds("start_s"), F.col("kind"), F.col("distance_m"), F.round(F.col("elapsed_s") * 1000).cast("bigint"))
+        return df.select("id", mark.alias("fingerprint"), i.cast("string").alias("external_id"), F.lit(p).alias("provider"))
+
+    marks = {"a": told(a, "a").withColumn("external_id", F.when(i % 10 != 0, F.col("external_id"))), "b": told(b, "b")}
+    of = lambda p: found.where(f"{p}_id is not null").select(key.alias("key"), F.col(f"{p}_id").alias("id")).join(marks[p], "id").select("key", "provider", "external_id", "fingerprint")
+    old_a = told(a, "a").where(i % 2 == 0).withColumns({"external_id": F.when(i % 20 != 0, F.col("external_id")), "activity_id": i})
+    old_b = marks["b"].where(i % 3 != 0).withColumns({"external_id": F.when(i % 4 != 0, F.col("external_id")), "activity_id": F.when(i % 5 != 0, F.when(i % 7 == 0, i).otherwise(i - 1000000000))})
+    stored_sources = old_a.unionByName(old_b).withColumnRenamed("id", "source_id").select("source_id", "provider", "external_id", "fingerprint", "activity_id")
+    stored = stored_sources.where("activity_id is not null").select("activity_id").distinct()
+    stored_activities = stored.select("activity_id", (F.col("activity_id") % 97).alias("athlete_id"), F.lit("before").alias("name"), F.lit(0.0).alias("start_s"), F.lit(1.0).alias("elapsed_s"), F.lit(2.0).alias("distance_m"))
+    stored_fields = stored.select("activity_id", F.explode(F.array(F.lit("name"), F.lit("calories"))).alias("field"), F.lit("b").alias("provider"))
+    return canonical.merge(found.select(key.alias("key"), *values, "provenance"), of("a").unionByName(of("b")), stored_activities, stored_sources, stored_fields, new_id=F.col("key") + NEW_KEY)
+
+
+@query(STORED + "SELECT coalesce(l.activity_id, o.activity_id) AS activity_id, " + ", ".join(f"CASE WHEN l.key IS NOT NULL THEN l.{c} ELSE o.{c} END AS {c}" for c in ("athlete_id", "name", "start_s", "elapsed_s", "distance_m")) + " FROM old_act o FULL JOIN last l ON l.activity_id = o.activity_id")
+def merged_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _import(spark, sf_dir)["activities"]
+
+
+@query(
+    STORED
+    + """, moved AS (SELECT source_id, max(f.activity_id) AS activity_id FROM hit JOIN fate f USING (key) WHERE source_id IS NOT NULL AND f.activity_id IS NOT NULL GROUP BY 1)
+SELECT source_id, provider, external_id, fingerprint, coalesce(m.activity_id, o.activity_id) AS activity_id FROM old_src o LEFT JOIN moved m USING (source_id)
+UNION ALL SELECT NULL, provider, external_id, fingerprint, f.activity_id FROM hit JOIN fate f USING (key) WHERE source_id IS NULL AND f.activity_id IS NOT NULL"""
+)
+def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _import(spark, sf_dir)["sources"]
+
+
+@query(
+    STORED
+    + """, given AS (SELECT activity_id, unnest(['kind', 'start_s', 'elapsed_s', 'provider_type', 'distance_m', 'name']) AS field, unnest([CASE WHEN a_id IS NULL THEN 'b' ELSE 'a' END, CASE WHEN a_id IS NULL THEN 'b' ELSE 'a' END, CASE WHEN a_id IS NULL THEN 'b' ELSE 'a' END, CASE WHEN a_id IS NOT NULL AND b_id IS NOT NULL THEN 'a' END, CASE WHEN a_id IS NULL THEN 'b' ELSE 'a' END,
+    CASE WHEN a_name IS NOT NULL THEN 'a' WHEN b_name IS NOT NULL THEN 'b' END]) AS now FROM (SELECT l.*, a.name AS a_name, b.name AS b_name FROM last l LEFT JOIN a ON a.id = a_id LEFT JOIN b ON b.id = b_id))
+SELECT coalesce(g.activity_id, o.activity_id) AS activity_id, coalesce(g.field, o.field) AS field, coalesce(now, provider) AS provider FROM old_field o FULL JOIN (SELECT * FROM given WHERE now IS NOT NULL) g ON g.activity_id = o.activity_id AND g.field = o.field"""
+)
+def merged_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _import(spark, sf_dir)["fields"]
 
 
 TRACKED = (
@@ -975,7 +1115,7 @@ READY_PACE = "round(readiness_s / (metres / 1000), 6)"
 PACES = f"CASE WHEN faster IS NULL OR slower IS NULL THEN 'unavailable' ELSE {_told_pace('faster')} || ' to ' || {_told_pace('slower')} END"
 COACHING = (
     f""", e1 AS ({ORACLE_SQL["training_overview"]}), e2 AS ({ORACLE_SQL["trailing_summary"]}), e3 AS ({ORACLE_SQL["training_profiles"]}),
-e4 AS (WITH RECURSIVE {views.SQL}{SERIES} SELECT athlete_id, local_date, round(daily_load, 6) AS daily_load, round(acute_load, 4) AS acute_load, round(chronic_load, 4) AS chronic_load, round(form_index, 4) AS form_index FROM series QUALIFY row_number() OVER (PARTITION BY athlete_id ORDER BY local_date DESC) = 1),
+e4 AS (WITH RECURSIVE {views.SQL}{SERIES} SELECT athlete_id, local_date, round(daily_load, 6) AS daily_load, round(acute_load, 4) AS acute_load, round(chronic_load, 4) AS chronic_load, round(form_index, 4) + 0 AS form_index FROM series QUALIFY row_number() OVER (PARTITION BY athlete_id ORDER BY local_date DESC) = 1),
 e5 AS ({ORACLE_SQL["best_marks"]}), e6 AS ({ORACLE_SQL["performance_evidence"]}), e7 AS ({ORACLE_SQL["current_fitness"]}),
 std(distance, metres) AS (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in scalars.STANDARD_DISTANCES.items())}),
 p1 AS ({ORACLE_SQL["plan_session_progress"]}), p2 AS ({ORACLE_SQL["plan_tracking"]}),

@@ -400,6 +400,27 @@ def test_best_mark_sources(spark):
     assert found == {"5k": (1, "verified_result"), "10k": (4, "training_split"), "marathon": (5, "training_activity")}
 
 
+def test_import_merges_whole_tables(spark):
+    from paceforge.operators import canonical
+
+    src = "key long, provider string, external_id string, fingerprint string"
+    rec = spark.createDataFrame([(1, "new 1", 10.0, [("name", "a"), ("steps", "b")]), (2, "new 2", 20.0, [("name", "a")]), (3, "new 3", 30.0, [("name", "a")]), (4, "new 4", 40.0, [("name", "b")])], "key long, name string, distance_m double, provenance array<struct<field:string,provider:string>>")
+    sources = spark.createDataFrame([(1, "a", "x1", "f1"), (1, "b", "y1", "g1"), (2, "a", None, "f2"), (3, "a", "x3", "f3"), (3, "b", "y3", "g3"), (4, "b", "y4", "g4")], src)
+    stored_sources = spark.createDataFrame([(11, "a", "x1", "old", 71), (12, "a", "other", "f2", 72), (13, "a", "x3", "f3", 73), (14, "b", "y3", "g3", 74), (15, "b", "far", "far", 75)], "source_id long, provider string, external_id string, fingerprint string, activity_id long")
+    stored = spark.createDataFrame([(i, f"old {i}", float(i)) for i in (71, 72, 73, 74, 75)], "activity_id long, name string, distance_m double")
+    fields = spark.createDataFrame([(71, "name", "b"), (71, "calories", "b"), (75, "name", "a")], "activity_id long, field string, provider string")
+    done = canonical.merge(rec, sources, stored, stored_sources, fields, new_id=F.col("key") + 900)
+    assert {r.key: (r.action, r.activity_id, r.new_sources) for r in done["outcomes"].collect()} == {1: ("updated", 71, 1), 2: ("updated", 72, 0), 3: ("conflict", None, 0), 4: ("created", 904, 1)}
+    assert {tuple(r) for r in done["activities"].collect()} == {(71, "new 1", 10.0), (72, "new 2", 20.0), (73, "old 73", 73.0), (74, "old 74", 74.0), (75, "old 75", 75.0), (904, "new 4", 40.0)}
+    assert {tuple(r) for r in done["sources"].collect()} == {(11, "a", "x1", "old", 71), (12, "a", "other", "f2", 72), (13, "a", "x3", "f3", 73), (14, "b", "y3", "g3", 74), (15, "b", "far", "far", 75), (None, "b", "y1", "g1", 71), (None, "b", "y4", "g4", 904)}
+    assert {tuple(r) for r in done["fields"].collect()} == {(71, "name", "a"), (71, "steps", "b"), (71, "calories", "b"), (72, "name", "a"), (75, "name", "a"), (904, "name", "b")}
+    numbered = done["sources"].withColumn("source_id", F.coalesce("source_id", F.col("activity_id") + 1000))
+    again = canonical.merge(rec, sources, done["activities"], numbered, done["fields"], new_id=F.col("key") + 900)
+    assert again["outcomes"].where("action = 'created' or new_sources > 0").count() == 0
+    for name, before in (("activities", done["activities"]), ("sources", numbered), ("fields", done["fields"])):
+        assert {tuple(r) for r in again[name].collect()} == {tuple(r) for r in before.collect()}
+
+
 def test_canonical_merge(spark):
     done = spark.createDataFrame([(1,), (2,), (3,), (4,)], "key long")
     sources = spark.createDataFrame([(1, "a", "x1"), (1, "b", "y1"), (2, "a", "x2"), (3, "a", "x3"), (3, "b", "y3"), (4, "a", "x4")], "key long, provider string, external_id string")
