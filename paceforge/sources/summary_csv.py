@@ -7,6 +7,7 @@ import io
 import unicodedata
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,37 +90,66 @@ def blank(text: Column) -> Column:
     return text.isNull() | (F.trim(text) == "")
 
 
-def read_summary_csv(spark: SparkSession, path: str, athlete_id: str) -> tuple[DataFrame, DataFrame]:
-    """(activities, findings) of one export.
-
-    Fields are taken by position, as names repeat. A row of another width or
-    with an unreadable required value becomes a finding; the others go on. A
-    header without the needed columns gives a single finding and no rows.
-    ``row`` counts records from 2.
+RECORDS = "file string, row long, cells array<string>, at array<int>, width int"
+
+
+def _records(batches):
+    """Each file's records as arrays of cells, with the places of ``FIELDS`` that its own header tells; the header itself has null cells."""
+    csv.field_size_limit(1 << 30)
+    schema = pa.schema([("file", pa.string()), ("row", pa.int64()), ("cells", pa.list_(pa.string())), ("at", pa.list_(pa.int32())), ("width", pa.int32())])
+    out: list[tuple] = []
+    batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+    for batch in batches:
+        for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            reader = csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
+            header = next(reader, [])
+            at = header_positions(header)
+            places = None if at is None else [at[f] for f in FIELDS]
+            out.append((file, 1, None, places, len(header)))
+            for row, cells in enumerate(reader if at is not None else (), 2):
+                out.append((file, row, cells, places, len(header)))
+                if len(out) >= 5000:
+                    yield batch_of()
+                    out = []
+    if out:
+        yield batch_of()
+
+
+def with_athlete(rows: DataFrame, athlete: str | Column | DataFrame) -> DataFrame:
+    """Add ``athlete_id``: a literal, an expression over ``file``, or a table (file, athlete_id)."""
+    if isinstance(athlete, DataFrame):
+        return rows.join(athlete.select("file", F.col("athlete_id").cast("string").alias("athlete_id")), "file", "left")
+    return rows.withColumn("athlete_id", F.lit(athlete).cast("string"))
+
+
+def read_summary_csv(spark: SparkSession, path: str | list[str], athlete: str | Column | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(activities, findings) of all exports under ``path``, in one scan.
+
+    Every file's header is resolved in the task that reads it, so languages and
+    column orders may differ. Fields are taken by position, as names repeat. A
+    row of another width or with an unreadable required value becomes a
+    finding; the others go on. A header without the needed columns gives a
+    single finding for its file and no rows. ``row`` counts records from 2.
+    ``athlete`` tells whose export a file is (``with_athlete``).
     """
-    first = spark.read.text(path, wholetext=False).limit(1).collect()
-    header = next(csv.reader(io.StringIO(first[0]["value"])), []) if first else []
-    at = header_positions(header)
-    if at is None:
-        empty = "athlete_id string, row long, activity_id string, kind string, provider_type string, name string, start_utc timestamp, elapsed_s double, moving_s double, distance_m double, elevation_gain_m double, elevation_loss_m double, file_name string"
-        finding = [("error", "STRAVA_HEADER_INVALID", "The export does not have the needed columns.", None)]
-        return spark.createDataFrame([], empty), spark.createDataFrame(finding, "severity string, code string, message string, row long")
-    schema = ", ".join([*(f"c{i} string" for i in range(len(header))), "_corrupt string"])
-    rows = spark.read.csv(path, schema=schema, header=False, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
-    # one multi-line file is one partition in file order, so ids count its records
-    numbered = rows.withColumn("row", F.monotonically_increasing_id() + 1).where("row > 1")
-    col = {f: F.col(f"c{i}") for f, i in at.items()}
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    records = with_athlete(files.mapInArrow(_records, RECORDS), athlete)
+    col = {f: F.get("cells", F.get("at", F.lit(i))) for i, f in enumerate(FIELDS)}
     optional = ("moving_s", "distance_m", "elevation_gain_m", "elevation_loss_m")
-    parsed = numbered.withColumns({"start_utc": timestamp(col["activity_date"]), "elapsed": number(col["elapsed_s"])})
+    parsed = records.withColumns({"start_utc": timestamp(col["activity_date"]), "elapsed": number(col["elapsed_s"])})
     unreadable = reduce(lambda a, b: a | b, [~blank(col[f]) & number(col[f]).isNull() for f in optional])
     negative = reduce(lambda a, b: a | b, [F.coalesce(number(col[f]) < 0, F.lit(False)) for f in optional]) | F.coalesce(F.col("elapsed") < 0, F.lit(False))
-    code = F.when(F.col("_corrupt").isNotNull(), "STRAVA_ROW_WIDTH_INVALID").when(F.col("start_utc").isNull() | F.col("elapsed").isNull() | unreadable | negative | blank(col["activity_id"]), "STRAVA_ROW_INVALID")
-    marked = parsed.withColumn("code", code)
+    code = (
+        F.when(F.col("row") == 1, F.when(F.col("at").isNull(), "STRAVA_HEADER_INVALID").otherwise("header"))
+        .when(F.size("cells") != F.col("width"), "STRAVA_ROW_WIDTH_INVALID")
+        .when(F.col("start_utc").isNull() | F.col("elapsed").isNull() | unreadable | negative | blank(col["activity_id"]), "STRAVA_ROW_INVALID")
+    )
+    marked = parsed.withColumn("code", code).where("code is null or code <> 'header'")
     text = lambda f: F.nullif(F.trim(col[f]), F.lit(""))
     kind = F.coalesce(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[label(col["provider_type"])], F.lit("other"))
     good = marked.where("code is null").select(
-        F.lit(athlete_id).alias("athlete_id"), "row", text("activity_id").alias("activity_id"), kind.alias("kind"), F.trim(col["provider_type"]).alias("provider_type"), text("name").alias("name"),
-        "start_utc", F.col("elapsed").alias("elapsed_s"), *[number(col[f]).alias(f) for f in optional], text("file_name").alias("file_name"),
+        "athlete_id", "row", text("activity_id").alias("activity_id"), kind.alias("kind"), F.trim(col["provider_type"]).alias("provider_type"), text("name").alias("name"),
+        "start_utc", F.col("elapsed").alias("elapsed_s"), *[number(col[f]).alias(f) for f in optional], text("file_name").alias("file_name"), F.col("file").alias("export"),
     )
-    message = F.when(F.col("code") == "STRAVA_ROW_WIDTH_INVALID", "The row is not as wide as the header.").otherwise("The row could not be read.")
-    return good, marked.where("code is not null").select(F.lit("error").alias("severity"), "code", message.alias("message"), "row")
+    message = F.when(F.col("code") == "STRAVA_HEADER_INVALID", "The export does not have the needed columns.").when(F.col("code") == "STRAVA_ROW_WIDTH_INVALID", "The row is not as wide as the header.").otherwise("The row could not be read.")
+    return good, marked.where("code is not null").select(F.lit("error").alias("severity"), "code", message.alias("message"), F.when(F.col("row") > 1, F.col("row")).alias("row"), "athlete_id", F.col("file").alias("export"))

@@ -43,6 +43,28 @@ def test_summary_csv_french_and_bad_header(spark, tmp_path):
     assert good.count() == 0 and [r.code for r in findings.collect()] == ["STRAVA_HEADER_INVALID"]
 
 
+def test_many_summary_exports_in_one_scan(spark, tmp_path):
+    french = "ID de l’activité,Nom de l’activité,Date de l’activité,Type d’activité,Temps écoulé,Distance,Nom du fichier,Temps écoulé,Durée de déplacement,Distance,Dénivelé positif,Dénivelé négatif"
+    for name, header, row in [("7", HEADER, '1,"Jan 5, 2024, 7:08:09 PM",A,Run,1,1,,60,60,100,,'), ("8", french, '2,B,"5 févr. 2024, 19:08:09",Course à pied,1,1,,60,60,100,,\n3,short'), ("9", HEADER.replace(",Filename", ""), "4,x,y,z")]:
+        (tmp_path / f"athlete={name}").mkdir()
+        (tmp_path / f"athlete={name}" / "a.csv").write_text("\ufeff" + header + "\n" + row + "\n")
+    whose = F.regexp_extract("file", r"athlete=(\d+)", 1)
+    good, findings = summary_csv.read_summary_csv(spark, str(tmp_path / "*"), whose)
+    assert {(r.athlete_id, r.activity_id, r.name, r.kind) for r in good.collect()} == {("7", "1", "A", "running"), ("8", "2", "B", "running")}
+    assert {(r.athlete_id, r.code, r.row) for r in findings.collect()} == {("8", "STRAVA_ROW_WIDTH_INVALID", 3), ("9", "STRAVA_HEADER_INVALID", None)}
+    table = good.select(F.col("export").alias("file")).distinct().withColumn("athlete_id", F.lit(5))
+    assert {r.athlete_id for r in summary_csv.read_summary_csv(spark, str(tmp_path / "*"), table)[0].collect()} == {"5"}
+    record = {"activityId": 1, "activityType": "running", "startTimeGmt": 1704481689000, "duration": 3610000, "distance": {"odd": 1}}
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "1.json").write_text(json.dumps({"x": [{"summarizedActivitiesExport": [record, 5]}]}))
+    (tmp_path / "json" / "2.json").write_text(json.dumps([[{"summarizedActivitiesExport": [{**record, "activityId": "2", "distance": 100.5}]}]]))
+    (tmp_path / "json" / "3.json").write_text("{broken")
+    (tmp_path / "json" / "4.json").write_text("[1, {}]")
+    good, findings = summary_json.read_summary_json(spark, str(tmp_path / "json"), F.regexp_extract("file", r"(\d)\.json", 1))
+    assert {(r.athlete_id, r.activity_id, r.elapsed_s, r.distance_m) for r in good.collect()} == {("1", "1", 3610.0, None), ("2", "2", 3610.0, 1.005)}
+    assert {(r.athlete_id, r.code) for r in findings.collect()} == {("3", "GARMIN_JSON_INVALID"), ("4", "GARMIN_SUMMARY_CONTAINER_MISSING")}
+
+
 def test_summary_json(spark, tmp_path):
     record = {"activityId": 1, "name": "R", "activityType": "running", "startTimeGmt": 1704481689000, "duration": 3610000, "distance": 1000000, "elevationGain": 21713, "avgRunCadence": 87.0, "avgHr": 150}
     path = tmp_path / "a.json"
