@@ -67,17 +67,57 @@ def activity_metrics(activities: DataFrame, samples: DataFrame, profiles: DataFr
     )
 
 
-def profile_on(activities: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Each activity with the values of the athlete's profile of its date (valid_from <= date < valid_to), if any."""
-    p = profiles.select(F.col("athlete_id").alias("p_athlete"), "valid_from", "valid_to", "max_hr")
+FOREVER = "date'9999-12-31'"
+
+
+def profile_segments(profiles: DataFrame) -> DataFrame:
+    """(athlete_id, valid_from, valid_to, max_hr, n): time cut where a period begins or ends, with the number of periods there.
+
+    ``profiles`` are half-open periods (athlete_id, valid_from, valid_to,
+    max_hr); equal rows are one. A sweep over begins and ends keeps running
+    sums of how many and which periods are open; ``max_hr`` is that of the only
+    one, null where there are several.
+    """
+    rows = profiles.select("athlete_id", "valid_from", "valid_to", "max_hr").distinct()
+    rows = rows.withColumn("p", F.row_number().over(Window.partitionBy("athlete_id").orderBy("valid_from", "valid_to", "max_hr")).cast("long"))
+    ends = F.array(F.struct(F.col("valid_from").alias("at"), F.lit(1).alias("step")), F.struct(F.coalesce("valid_to", F.expr(FOREVER)).alias("at"), F.lit(-1).alias("step")))
+    steps = rows.select("athlete_id", "p", F.explode(ends).alias("e")).groupBy("athlete_id", F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step"), F.sum(F.col("e.step") * F.col("p")).alias("moved"))
+    by = Window.partitionBy("athlete_id").orderBy("at")
+    run = by.rowsBetween(Window.unboundedPreceding, 0)
+    open_ = steps.select("athlete_id", F.col("at").alias("begin"), F.lead("at").over(by).alias("end"), F.sum("step").over(run).alias("n"), F.sum("moved").over(run).alias("p")).where("n > 0")
+    one = open_.withColumn("p", F.when(F.col("n") == 1, F.col("p")))
+    found = one.join(rows.select("athlete_id", "p", "max_hr"), ["athlete_id", "p"], "left")
+    return found.select("athlete_id", F.col("begin").alias("valid_from"), F.when(F.col("end") < F.expr(FOREVER), F.col("end")).alias("valid_to"), "max_hr", F.col("n").cast("int").alias("n"))
+
+
+def _on(activities: DataFrame, segments: DataFrame, how: str) -> DataFrame:
+    p = segments.select(F.col("athlete_id").alias("p_athlete"), "valid_from", "valid_to", "max_hr")
     on = (activities["athlete_id"] == p["p_athlete"]) & (p["valid_from"] <= activities["local_date"]) & (p["valid_to"].isNull() | (activities["local_date"] < p["valid_to"]))
-    return activities.join(p, on, "left").drop("p_athlete", "valid_from", "valid_to")
+    return activities.join(p, on, how).drop("p_athlete", "valid_from", "valid_to")
+
+
+def profile_on(activities: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Each activity with the values of the athlete's profile of its date (valid_from <= date < valid_to), if there is exactly one."""
+    return _on(activities, profile_segments(profiles).where("n = 1"), "left")
+
+
+def profile_findings(activities: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(activity_id, code): activities on a day with several profiles; they get none."""
+    return _on(activities, profile_segments(profiles).where("n > 1"), "left_semi").select("activity_id", F.lit("PROFILE_AMBIGUOUS").alias("code"))
 
 
 def profile_overlaps(profiles: DataFrame) -> DataFrame:
-    """Periods that reach into the next one of the same athlete: (athlete_id, valid_from, valid_to, next_from)."""
-    following = F.lead("valid_from").over(Window.partitionBy("athlete_id").orderBy("valid_from", F.col("valid_to").asc_nulls_last()))
-    return profiles.withColumn("next_from", following).where("next_from < coalesce(valid_to, date'9999-12-31')").select("athlete_id", "valid_from", "valid_to", "next_from")
+    """(athlete_id, valid_from, valid_to, max_hr, same): every period that shares a day with another one, or is there ``same`` times.
+
+    One sweep: a period overlaps an earlier one that ends last of all earlier
+    ones, or the next one that begins.
+    """
+    until = F.coalesce("valid_to", F.expr(FOREVER))
+    rows = profiles.groupBy("athlete_id", "valid_from", "valid_to", "max_hr").agg(F.count("*").alias("same"))
+    by = Window.partitionBy("athlete_id").orderBy("valid_from", until, "max_hr")
+    seen = rows.withColumns({"reached": F.max(until).over(by.rowsBetween(Window.unboundedPreceding, -1)), "next_from": F.lead("valid_from").over(by)})
+    overlaps = (F.col("reached") > F.col("valid_from")) | (F.col("next_from") < until)
+    return seen.where(overlaps | (F.col("same") > 1)).select("athlete_id", "valid_from", "valid_to", "max_hr", "same")
 
 
 def daily_load(metrics: DataFrame) -> DataFrame:

@@ -38,6 +38,38 @@ def trackpoint_rules() -> Rules:
     }
 
 
+def message_rules() -> Rules:
+    """Domains of device records (fixed values), wider than the analytic ones."""
+    rules = {f"{f}_NEGATIVE": (f, between(f, 0, None)) for f in ("distance_m", "speed_mps", "power_watts")}
+    rules |= {f"{f}_RANGE": (f, between(f, *r)) for f, r in {"latitude": (-90, 90), "longitude": (-180, 180), "heart_rate": (1, 300), "cadence": (0, 500)}.items()}
+    return rules
+
+
+def lap_rules() -> Rules:
+    """Domains of laps (fixed values)."""
+    rules = {f"{f}_NEGATIVE": (f, between(f, 0, None)) for f in ("elapsed_s", "moving_s", "distance_m", "elevation_gain_m", "elevation_loss_m")}
+    rules |= {f"{f}_RANGE": (f, between(f, 1, 300)) for f in ("average_heart_rate", "maximum_heart_rate")}
+    return rules | {f"{f}_RANGE": (f, between(f, 0, 500)) for f in ("average_cadence", "maximum_cadence")}
+
+
+def session_rules() -> Rules:
+    """Domains of device sessions (fixed values)."""
+    rules = lap_rules() | {f"{f}_NEGATIVE": (f, between(f, 0, None)) for f in ("average_speed", "maximum_speed", "calories")}
+    return rules | {"minimum_heart_rate_RANGE": ("minimum_heart_rate", between("minimum_heart_rate", 1, 300))}
+
+
+def source_rules() -> Rules:
+    """Where a record comes from (fixed values): names and ids within length, a SHA-256, row numbers from 1."""
+    long = lambda f, n: F.coalesce(~F.length(f).between(1, n), F.lit(False))
+    return {
+        "SOURCE_FILE_NAME": ("source_file_name", F.col("source_file_name").isNull() | long("source_file_name", 1024)),
+        "REFERENCED_FILE_NAME": ("referenced_file_name", long("referenced_file_name", 1024)),
+        "SOURCE_ACTIVITY_ID": ("source_activity_id", long("source_activity_id", 255)),
+        "CONTENT_SHA256": ("content_sha256", ~F.coalesce(F.col("content_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False))),
+        "SOURCE_ROW_NUMBER": ("source_row_number", between("source_row_number", 1, None)),
+    }
+
+
 def check(df: DataFrame, rules: Rules) -> DataFrame:
     """Add ``errors``: the (code, field) of each broken rule. Rules about columns that are not there do not apply."""
     own = {code: (field, bad) for code, (field, bad) in rules.items() if field in df.columns}

@@ -165,15 +165,39 @@ def eligibility(observations: DataFrame) -> DataFrame:
     return counted.withColumn("reasons", reasons).withColumn("status", F.when(F.size("reasons") == 0, "eligible_for_candidate_model").otherwise("descriptive_only"))
 
 
-def feature_dataset(candidates: DataFrame, windows: DataFrame, workload: DataFrame, bests: DataFrame, verified: DataFrame) -> DataFrame:
-    """One row per candidate with its features of before the event and, if it was verified, its result (``label_s``).
+def with_verified(candidates: DataFrame, verified: DataFrame, activities: DataFrame) -> DataFrame:
+    """(activity_id, athlete_id, distance, start_utc, local_date): candidates, and verified results over a distance that their activity was no candidate for."""
+    columns = ("activity_id", "athlete_id", "distance", "start_utc", "local_date")
+    missing = verified.select("activity_id", "distance").distinct().join(candidates.select("activity_id", "distance"), ["activity_id", "distance"], "left_anti")
+    return candidates.select(*columns).unionByName(missing.join(activities.select("activity_id", "athlete_id", "start_utc", "local_date"), "activity_id").select(*columns))
 
-    The parts are those of ``pre_event_windows``, ``prior_workload`` and
-    ``prior_bests``; ``verified`` is (activity_id, distance, elapsed_s). A
-    candidate whose result was verified over another distance has no label.
+
+def prior_history(activities: DataFrame) -> DataFrame:
+    """(activity_id, prior_history_runs, prior_history_days): strictly earlier runs of the athlete, and days since the first of them."""
+    by = Window.partitionBy("athlete_id").orderBy("start_utc")
+    first = F.first("local_date").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    n = F.rank().over(by) - 1
+    return activities.select("activity_id", n.alias("prior_history_runs"), F.when(n > 0, F.datediff("local_date", first)).otherwise(0).alias("prior_history_days"))
+
+
+def feature_dataset(candidates: DataFrame, windows: DataFrame, workload: DataFrame, bests: DataFrame, verified: DataFrame, history: DataFrame) -> DataFrame:
+    """One row per candidate (``with_verified``) with its features of before the event and, if it was verified, its result (``label_s``).
+
+    The parts are those of ``pre_event_windows``, ``prior_workload``,
+    ``prior_bests`` and ``prior_history``; ``verified`` is (activity_id,
+    distance, elapsed_s). A candidate whose result was verified over another
+    distance has no label and is ``unreviewed``.
     """
     labels = verified.select("activity_id", "distance", F.col("elapsed_s").alias("label_s"))
     joined = candidates.join(labels, ["activity_id", "distance"], "left")
-    for part in (windows, workload, bests):
+    joined = joined.withColumn("review_status", F.when(F.col("label_s").isNotNull(), "verified").otherwise("unreviewed"))
+    for part in (history, windows, workload, bests):
         joined = joined.join(part, "activity_id", "left")
     return joined
+
+
+def dataset_status(dataset: DataFrame) -> DataFrame:
+    """(athlete_id, candidate_rows, verified_rows, unreviewed_rows, model_status)."""
+    counts = dataset.groupBy("athlete_id").agg(F.count("*").alias("candidate_rows"), F.count_if(F.col("review_status") == "verified").alias("verified_rows"))
+    open_rows = F.col("candidate_rows") - F.col("verified_rows")
+    return counts.withColumn("unreviewed_rows", open_rows).withColumn("model_status", F.when(open_rows > 0, "label_audit_required").otherwise("evaluation_required"))

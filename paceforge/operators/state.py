@@ -25,17 +25,24 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Sequence numbers of a block of samples that is digested at once.
+HASH_BLOCK = 1024
+
+
 def input_hash(header: list[str], samples: DataFrame | None, rows: DataFrame, key: str = "activity_id") -> DataFrame:
     """Add ``input_hash``: SHA-256 over the header fields and, if given, the ordered samples of each row.
 
-    Samples are digested one by one and their digests, in order, once more, so
-    no long text is built from a long trace.
+    Samples are digested one by one, their digests in order by blocks of
+    ``HASH_BLOCK`` sequence numbers, and those of the blocks once more: what is
+    gathered of a long trace is a digest a block.
     """
     head = F.to_json(F.struct(*header))
     if samples is None:
         return rows.withColumn("input_hash", F.sha2(head, 256))
     each = F.struct("seq", F.sha2(F.to_json(F.struct(*[c for c in samples.columns if c != key])), 256).alias("h"))
-    traces = samples.groupBy(key).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["h"]), ""), 256).alias("trace"))
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["h"]), ""), 256)
+    blocks = samples.groupBy(key, F.floor(F.col("seq") / HASH_BLOCK).alias("seq")).agg(joined(each).alias("h"))
+    traces = blocks.groupBy(key).agg(joined(F.struct("seq", "h")).alias("trace"))
     return rows.join(traces, key, "left").withColumn("input_hash", F.sha2(F.concat_ws("|", head, F.coalesce("trace", F.lit(""))), 256)).drop("trace")
 
 

@@ -594,20 +594,53 @@ def model_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query(
+DATASET = (
     METRICS
-    + NEAR
+    + NEAR.replace("near AS (", "measured AS (")
+    + """, near AS (SELECT * FROM measured UNION ALL SELECT a.*, s.distance, s.m FROM activities a JOIN standard s ON a.status = 'verified' AND activity_id % 7 = 0 AND elapsed_ms > 0 AND abs(CAST(distance_m AS DOUBLE) - m) / m * 100 > 3 AND abs(CAST(distance_m AS DOUBLE) - m) / m * 100 <= 10)
+"""
     + WINDOWS
     + ", "
     + SERIES.strip().lstrip(",").strip()
     + """, pb AS (SELECT c.activity_id, min(v.elapsed_s) FILTER (v.distance = '5k') AS prior_5k_s, min(v.elapsed_s) FILTER (v.distance = '10k') AS prior_10k_s, min(v.elapsed_s) FILTER (v.distance = 'half_marathon') AS prior_half_marathon_s, min(v.elapsed_s) FILTER (v.distance = 'marathon') AS prior_marathon_s
-FROM near c LEFT JOIN (SELECT n.athlete_id AS i, n.distance, elapsed_ms / 1000 AS elapsed_s, start_utc AS at FROM near n WHERE status = 'verified') v ON v.i = c.athlete_id AND v.at < c.start_utc GROUP BY 1)
-SELECT n.athlete_id, n.distance, CASE WHEN n.status = 'verified' THEN n.elapsed_ms / 1000 END AS label_s, agg.*, pb.* EXCLUDE (activity_id), round(s.acute_load, 4) AS prior_acute_load, round(s.chronic_load, 4) AS prior_chronic_load, round(s.form_index, 4) + 0 AS prior_form_index
-FROM near n JOIN agg USING (activity_id) JOIN pb USING (activity_id) LEFT JOIN series s ON s.athlete_id = n.athlete_id AND s.local_date = n.local_date - 1"""
+FROM near c LEFT JOIN (SELECT n.athlete_id AS i, n.distance, elapsed_ms / 1000 AS elapsed_s, start_utc AS at FROM near n WHERE status = 'verified') v ON v.i = c.athlete_id AND v.at < c.start_utc GROUP BY 1),
+past AS (SELECT activity_id, rank() OVER w - 1 AS prior_history_runs, date_diff('day', first(local_date) OVER w, local_date) AS days FROM activities WINDOW w AS (PARTITION BY athlete_id ORDER BY start_utc)),
+dataset AS (SELECT n.athlete_id, n.distance, n.start_utc, n.local_date, CASE WHEN n.status = 'verified' THEN n.elapsed_ms / 1000 END AS label_s, CASE WHEN n.status = 'verified' THEN 'verified' ELSE 'unreviewed' END AS review_status, prior_history_runs, CASE WHEN prior_history_runs > 0 THEN days ELSE 0 END AS prior_history_days,
+  agg.*, pb.* EXCLUDE (activity_id), round(s.acute_load, 4) AS prior_acute_load, round(s.chronic_load, 4) AS prior_chronic_load, round(s.form_index, 4) + 0 AS prior_form_index
+  FROM near n JOIN agg USING (activity_id) JOIN pb USING (activity_id) JOIN past USING (activity_id) LEFT JOIN series s ON s.athlete_id = n.athlete_id AND s.local_date = n.local_date - 1)
+"""
 )
+
+
+@query(DATASET + "SELECT * FROM dataset")
 def feature_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near, perf = features.distance_candidates(views.activities(spark, sf_dir)), _performances(spark, sf_dir).where("status = 'verified'")
-    return features.feature_dataset(near.select("activity_id", "athlete_id", "distance"), _windows(spark, sf_dir, near), features.prior_workload(near, _series(spark, sf_dir)), features.prior_bests(near, perf), perf)
+    """Candidates and, as results over an official distance, verified runs that measure up to a tenth more or less."""
+    acts = views.activities(spark, sf_dir)
+    near = features.distance_candidates(acts)
+    off = features.distance_candidates(acts, 10.0).where("abs(deviation_pct) > 3 and status = 'verified' and activity_id % 7 = 0")
+    results = near.where("status = 'verified'").unionByName(off).select("athlete_id", "distance", "activity_id", F.col("start_utc").alias("achieved_at"), (F.col("elapsed_ms") / 1000).alias("elapsed_s"))
+    rows = features.with_verified(near, results, acts)
+    return features.feature_dataset(rows, _windows(spark, sf_dir, rows), features.prior_workload(rows, _series(spark, sf_dir)), features.prior_bests(rows, results), results, features.prior_history(acts))
+
+
+@query(DATASET + "SELECT athlete_id, count(*) AS candidate_rows, count(label_s) AS verified_rows, count(*) - count(label_s) AS unreviewed_rows, CASE WHEN count(*) > count(label_s) THEN 'label_audit_required' ELSE 'evaluation_required' END AS model_status FROM dataset GROUP BY 1")
+def feature_dataset_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.dataset_status(feature_dataset(spark, sf_dir))
+
+
+@query(
+    """, doubled AS (SELECT athlete_id, valid_from, valid_to, max_hr FROM profiles UNION ALL SELECT * FROM profiles WHERE athlete_id % 4 = 0 UNION ALL SELECT athlete_id, valid_from + 100, valid_from + 160, 171 FROM profiles WHERE athlete_id % 5 = 0 UNION ALL SELECT athlete_id, valid_from - 400, NULL, 172 FROM profiles WHERE athlete_id % 6 = 0),
+d AS (SELECT athlete_id, valid_from, valid_to, max_hr, count(*) AS same FROM doubled GROUP BY ALL),
+n AS (SELECT *, row_number() OVER () AS i, coalesce(valid_to, DATE '9999-12-31') AS until FROM d)
+SELECT athlete_id, valid_from, valid_to, max_hr, same FROM n x WHERE same > 1 OR EXISTS (SELECT 1 FROM n y WHERE y.athlete_id = x.athlete_id AND y.i <> x.i AND y.valid_from < x.until AND x.valid_from < y.until)"""
+)
+def profile_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles with repeated rows, short periods inside long ones and periods without end."""
+    p = views.profiles(views.activities(spark, sf_dir))
+    k = F.col("athlete_id")
+    inner = p.where(k % 5 == 0).select("athlete_id", F.date_add("valid_from", 100).alias("valid_from"), F.date_add("valid_from", 160).alias("valid_to"), F.lit(171).alias("max_hr"))
+    endless = p.where(k % 6 == 0).select("athlete_id", F.date_sub("valid_from", 400).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.lit(172).alias("max_hr"))
+    return activity.profile_overlaps(p.unionByName(p.where(k % 4 == 0)).unionByName(inner).unionByName(endless))
 
 
 @query(

@@ -1,4 +1,4 @@
-"""GPX tracks and decoded device messages as trackpoints."""
+"""GPX tracks as trackpoints, and which sensor source of an activity counts."""
 
 from __future__ import annotations
 
@@ -38,40 +38,6 @@ def read_gpx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return out.drop("at"), dropped.unionByName(none)
 
 
-SEMICIRCLE = 180.0 / 2**31
-
-
-def normalize_messages(records: DataFrame) -> DataFrame:
-    """Trackpoints of decoded record messages (file_id, n, timestamp, distance, enhanced_speed, enhanced_altitude, heart_rate, cadence, fractional_cadence, position_lat, position_long).
-
-    Semicircles become degrees, cadence of one leg is doubled, points without
-    a time or before an earlier one are dropped.
-    """
-    kept = accept_in_order(records.where("timestamp is not null"), "file_id", "timestamp", "n")
-    first = F.min("timestamp").over(Window.partitionBy("file_id"))
-    pair = F.col("position_lat").isNotNull() & F.col("position_long").isNotNull()
-    return kept.select(
-        F.col("file_id").alias("activity_id"),
-        "seq",
-        F.col("timestamp").alias("recorded_at"),
-        (F.unix_millis("timestamp") - F.unix_millis(first)).alias("elapsed_ms"),
-        F.col("distance").cast("decimal(14,3)").alias("distance_m"),
-        F.when(pair, F.col("position_lat") * SEMICIRCLE).cast("decimal(9,6)").alias("latitude"),
-        F.when(pair, F.col("position_long") * SEMICIRCLE).cast("decimal(9,6)").alias("longitude"),
-        F.col("enhanced_altitude").cast("decimal(10,3)").alias("altitude_m"),
-        F.when(F.col("heart_rate").between(1, 300), F.col("heart_rate")).alias("heart_rate"),
-        ((F.col("cadence") + F.coalesce("fractional_cadence", F.lit(0.0))) * 2).cast("decimal(8,3)").alias("cadence"),
-        F.col("enhanced_speed").cast("decimal(10,4)").alias("speed_mps"),
-    )
-
-
-def first_sessions(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first session of each file, and findings for files with several."""
-    order = Window.partitionBy("file_id").orderBy("n")
-    ranked = sessions.withColumns({"rank": F.row_number().over(order), "of": F.count("*").over(Window.partitionBy("file_id"))})
-    return ranked.where("rank = 1").drop("rank", "of"), ranked.where("rank = 1 and of > 1").select("file_id", F.lit("FIT_MULTIPLE_SESSIONS").alias("code"))
-
-
 def choose_source(sources: DataFrame) -> DataFrame:
     """The sensor source of each activity: device file before track file, first provider before second, then most points, laps, smallest hash.
 

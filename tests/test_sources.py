@@ -202,3 +202,49 @@ def test_label_queue(spark, tmp_path):
     assert {r.activity_id: r.review_status for r in done.collect()} == {"a": "verified", "b": "verified"} and labels.verified_observations(done).where("label = 'race'").first().elapsed_s == 1195.0
     token = queue.where("activity_id = 'a'").select(review_token(F.col("dataset_version"), F.col("activity_id"))).first()[0]
     assert [r.activity_id for r in labels.by_token(queue, token).collect()] == ["a"] and labels.page(queue, "unreviewed").count() == 1
+
+
+def test_device_messages(spark):
+    import datetime as dt
+
+    from paceforge.sources import device
+
+    at = lambda s: dt.datetime(2024, 1, 1, 8, 0, s)
+    sessions = spark.createDataFrame([(1, 0, at(0), 60.0, 55.0, 200.0, "Running", "trail", 150), (1, 1, at(30), 9.0, 9.0, 9.0, "cycling", None, None), (2, 0, None, None, None, None, "running", "generic", None), (3, 0, None, None, None, None, None, None, None), (4, 0, at(0), -5.0, None, None, "running", None, 150), (5, 0, at(0), None, None, None, "running", None, None)], "file_id long, n int, start_time timestamp, total_elapsed_time double, total_timer_time double, total_distance double, sport string, sub_sport string, avg_heart_rate int")
+    half = 2**30
+    records = [(1, 0, at(1), 0.0, half, half, 100, 80, 0.5, 250.0), (1, 1, None, 1.0, None, None, None, None, None, None), (1, 2, at(5), 5.0, half, None, 400, None, None, None), (1, 3, at(4), 4.0, None, None, None, None, None, -1.0), (1, 4, at(3), 4.0, None, None, None, None, None, None), (1, 5, at(3), 4.0, None, None, None, None, None, None), (1, 6, at(2), 3.0, None, None, 300, None, None, None), (1, 7, at(20), 30.0, None, None, 300, None, None, None)]
+    records += [(2, 0, at(10), 0.0, None, None, 1, None, None, None), (2, 1, at(9), 1.0, None, None, None, None, None, None), (2, 2, at(18), 2.0, None, None, None, None, None, None), (3, 0, None, None, None, None, None, None, None, None)]
+    r = spark.createDataFrame(records, "file_id long, n int, timestamp timestamp, distance double, position_lat long, position_long long, heart_rate int, cadence int, fractional_cadence double, power double").withColumn("altitude", F.lit(5.0)).withColumn("enhanced_altitude", F.when(F.col("n") == 0, 7.0))
+    laps = spark.createDataFrame([(1, 0, at(0), 10.0, 80), (1, 1, at(2), -1.0, 80), (1, 2, at(3), 10.0, 81), (4, 0, at(0), 1.0, 80)], "file_id long, n int, start_time timestamp, total_elapsed_time double, avg_cadence int")
+    out = device.normalize(sessions, r, laps)
+    assert {a.file_id: (a.kind, a.provider_type, a.elapsed_s, a.moving_s, a.average_heart_rate) for a in out["activities"].collect()} == {1: ("trail_running", "running:trail", 60.0, 55.0, 150), 2: ("running", "running", 8.0, None, None)}
+    points = {(p.file_id, p.seq): p for p in out["trackpoints"].collect()}
+    assert {k: (p.elapsed_ms, p.lap) for k, p in points.items()} == {(1, 0): (1000, 0), (1, 1): (3000, 1), (1, 2): (3000, 1), (1, 3): (20000, 1), (2, 0): (0, None), (2, 1): (8000, None)}
+    assert (float(points[1, 0].latitude), float(points[1, 0].cadence), float(points[1, 0].altitude_m), float(points[1, 1].altitude_m), points[1, 1].latitude) == (90.0, 161.0, 7.0, 5.0, None)
+    assert [(x.file_id, x.seq, float(x.average_cadence)) for x in out["laps"].orderBy("seq").collect()] == [(1, 0, 160.0), (1, 1, 162.0)]
+    assert sorted((f.file_id, f.code, f.n) for f in out["findings"].collect()) == [
+        (1, "FIT_LAP_INVALID", 1), (1, "FIT_MULTIPLE_SESSIONS", 0), (1, "FIT_RECORD_INVALID", 2), (1, "FIT_RECORD_INVALID", 3), (1, "FIT_RECORD_TIMESTAMP_MISSING", 1), (1, "FIT_RECORD_TIME_INVALID", 6),
+        (2, "FIT_RECORD_TIME_INVALID", 1), (3, "FIT_START_TIME_MISSING", 0), (4, "FIT_ACTIVITY_INVALID", 0), (5, "FIT_DURATION_MISSING", 0),
+    ]
+    assert device.normalize(sessions.limit(0), r, laps)["activities"].count() == 0
+
+
+def test_counters_of_one_pass(spark):
+    from paceforge.sources import counters
+
+    files = spark.createDataFrame([("accepted", "matched", None), ("accepted", "unmatched", "created"), ("accepted", "unmatched", "unmatched"), ("accepted", "ambiguous", None), ("duplicate", None, None)], "outcome string, status string, action string")
+    seen, counts = counters.counted(files, counters.file_counters())
+    seen.write.format("noop").mode("overwrite").save()
+    assert counts.get == {"total_files": 5, "accepted_files": 4, "duplicate_files": 1, "matched_files": 2, "unmatched_files": 1, "ambiguous_files": 1, "activities_created": 1}
+    loads, counts = counters.counted(spark.createDataFrame([("created",), ("reused",), ("reused",), ("kept",)], "action string"), counters.load_counters())
+    assert loads.count() == 4 and counts.get == {"daily_loads_created": 1, "daily_loads_updated": 0, "daily_loads_reused": 2}
+    metrics, counts = counters.counted(spark.createDataFrame([("created", [1], 2.0), ("reused", None, None)], "action string, zones array<int>, edwards_trimp double"), counters.metric_counters())
+    assert metrics.count() == 2 and counts.get == {"activities_processed": 2, "activities_with_profile": 1, "activities_with_heart_rate_load": 1, "activity_metrics_created": 1, "activity_metrics_reused": 1}
+
+
+def test_source_rules(spark):
+    from paceforge.operators import contracts
+
+    rows = spark.createDataFrame([(1, "a.fit", "0" * 64, 1), (2, "", "xyz", 0), (3, None, None, None)], "activity_id long, source_file_name string, content_sha256 string, source_row_number int")
+    _, findings = contracts.split(contracts.check(rows, contracts.source_rules()), "activity_id")
+    assert sorted((r.activity_id, r.code) for r in findings.collect()) == [(2, "CONTENT_SHA256"), (2, "SOURCE_FILE_NAME"), (2, "SOURCE_ROW_NUMBER"), (3, "CONTENT_SHA256"), (3, "SOURCE_FILE_NAME")]

@@ -400,6 +400,46 @@ def test_best_mark_sources(spark):
     assert found == {"5k": (1, "verified_result"), "10k": (4, "training_split"), "marathon": (5, "training_activity")}
 
 
+def test_periods_against_all_pairs(spark):
+    rnd, day = random.Random(6), D(2024, 1, 1)
+    rows = [(rnd.randrange(4), day + dt.timedelta(days=(a := rnd.randrange(80))), None if rnd.random() < 0.1 else day + dt.timedelta(days=a + rnd.randrange(1, 25)), rnd.randrange(180, 184)) for _ in range(40)]
+    rows += [(9, day, day + dt.timedelta(days=90), 180), (9, day + dt.timedelta(days=5), day + dt.timedelta(days=9), 181), (9, day + dt.timedelta(days=20), day + dt.timedelta(days=30), 182), rows[0], (8, day, day + dt.timedelta(days=5), 180), (8, day + dt.timedelta(days=5), None, 181)]
+    kinds = "athlete_id long, valid_from date, valid_to date, max_hr int"
+    far, one = D(9999, 12, 31), sorted(set(rows), key=str)
+    meets = lambda x, y: x[0] == y[0] and x[1] < (y[2] or far) and y[1] < (x[2] or far)
+    expected = {(*x, rows.count(x)) for x in one if rows.count(x) > 1 or any(meets(x, y) for y in one if y != x)}
+    profiles = spark.createDataFrame(rows, kinds)
+    assert {tuple(r) for r in activity.profile_overlaps(profiles).collect()} == expected and len([e for e in expected if e[0] == 9]) == 3
+    runs = [(k * 200 + d, k, day + dt.timedelta(days=d)) for k in (*range(4), 8, 9) for d in range(-1, 120)]
+    acts = spark.createDataFrame(runs, "activity_id long, athlete_id long, local_date date")
+    on = {i: [x[3] for x in one if x[0] == k and x[1] <= d < (x[2] or far)] for i, k, d in runs}
+    assert {r.activity_id: r.max_hr for r in activity.profile_on(acts, profiles).collect()} == {i: v[0] if len(v) == 1 else None for i, v in on.items()}
+    assert {r.activity_id for r in activity.profile_findings(acts, profiles).collect()} == {i for i, v in on.items() if len(v) > 1}
+
+
+def test_input_hash_of_long_traces(spark):
+    samples = spark.range(1_000_000).selectExpr("1L AS activity_id", "cast(id AS int) AS seq", "id * 1000 AS elapsed_ms")
+    head = spark.createDataFrame([(1, 5000.0), (2, 1.0)], "activity_id long, distance_m double")
+    of = lambda s: {r.activity_id: r.input_hash for r in state.input_hash(["activity_id", "distance_m"], s, head).collect()}
+    whole = of(samples)
+    assert whole == of(samples.orderBy(F.desc("seq")).repartition(7))
+    changed = of(samples.withColumn("elapsed_ms", F.when(F.col("seq") == 777_777, 0).otherwise(F.col("elapsed_ms"))))
+    assert changed[1] != whole[1] and changed[2] == whole[2]
+
+
+def test_dataset_holds_verified_results_without_candidates(spark):
+    at = lambda d: dt.datetime(2024, 1, d, 8)
+    acts = spark.createDataFrame([(i, 1, at(i), D(2024, 1, i)) for i in (1, 2, 3)], "activity_id long, athlete_id long, start_utc timestamp, local_date date")
+    near = acts.where("activity_id = 2").withColumn("distance", F.lit("5k"))
+    verified = spark.createDataFrame([(2, "5k", 1200.0), (3, "10k", 2500.0)], "activity_id long, distance string, elapsed_s double")
+    rows = features.with_verified(near, verified, acts)
+    assert {(r.activity_id, r.distance) for r in rows.collect()} == {(2, "5k"), (3, "10k")}
+    blank = acts.select("activity_id")
+    full = features.feature_dataset(rows, blank, blank, blank, verified.where("activity_id = 3"), features.prior_history(acts))
+    assert {r.activity_id: (r.review_status, r.label_s, r.prior_history_runs, r.prior_history_days) for r in full.collect()} == {2: ("unreviewed", None, 1, 1), 3: ("verified", 2500.0, 2, 2)}
+    assert features.dataset_status(full).first().model_status == "label_audit_required"
+
+
 def test_import_merges_whole_tables(spark):
     from paceforge.operators import canonical
 
