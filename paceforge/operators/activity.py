@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import effective_ms, half_up, heart_rate_zone, pace
@@ -120,6 +120,19 @@ def profile_overlaps(profiles: DataFrame) -> DataFrame:
     return seen.where(overlaps | (F.col("same") > 1)).select("athlete_id", "valid_from", "valid_to", "max_hr", "same")
 
 
+def eligible(activities: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """The activities that analytics read: not excluded, and of no later day than ``as_of``."""
+    kept = activities.where(F.coalesce(F.col("status") != "excluded", F.lit(True)))
+    return kept if as_of is None else kept.where(F.col("local_date") <= as_of)
+
+
+def documents(metrics: DataFrame) -> DataFrame:
+    """(activity_id, zone_distribution, additional_metrics) as JSON: seconds and share by zone, paces and coverages; the first is null without a profile."""
+    zones = F.to_json(F.struct(F.transform("zones", lambda z: F.struct(z["zone"].alias("zone"), z["seconds"].alias("seconds"), z["pct"].alias("percent"))).alias("zones")))
+    more = F.to_json(F.struct("moving_pace", "elapsed_pace", "gps_coverage", "cadence_coverage"), {"ignoreNullFields": "false"})
+    return metrics.select("activity_id", F.when(F.col("zones").isNotNull(), zones).alias("zone_distribution"), more.alias("additional_metrics"))
+
+
 def daily_load(metrics: DataFrame) -> DataFrame:
     """(athlete_id, local_date, daily_load): loads summed as decimals, so the order of rows does not matter."""
     return metrics.groupBy("athlete_id", "local_date").agg(F.sum("training_load").alias("daily_load"))

@@ -32,23 +32,24 @@ def pre_event_windows(candidates: DataFrame, history: DataFrame, horizons: tuple
     longest = max(horizons)
     block = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / longest)
     c = candidates.select("activity_id", "athlete_id", F.col("start_utc").alias("c_start"), F.col("local_date").alias("c_date"), block(F.col("local_date")).alias("block"))
-    fields = ["distance_m", "moving_ms", "elevation_m", "hr_coverage", "training_load", "tags", "is_quality"]
-    h = history.select("athlete_id", "start_utc", "local_date", *fields, F.explode(F.array(block(F.col("local_date")), block(F.col("local_date")) + 1)).alias("block"))
+    # what is counted travels as one number, a bit for each condition
+    conditions = {"hr_runs": F.col("hr_coverage") > 0, "classified": ~F.array_contains("tags", "unclassified"), "quality": F.col("is_quality")} | {t: F.array_contains("tags", t) for t in TAGS}
+    bits = {name: 1 << i for i, name in enumerate(conditions)}
+    flags = sum((F.when(c, bits[name]).otherwise(0) for name, c in conditions.items()), F.lit(0)).alias("flags")
+    fields = ["distance_m", "moving_ms", "elevation_m", "training_load"]
+    h = history.select("athlete_id", "start_utc", "local_date", *fields, flags, F.explode(F.array(block(F.col("local_date")), block(F.col("local_date")) + 1)).alias("block"))
     near = c.join(h, ["athlete_id", "block"]).where((F.col("start_utc") < F.col("c_start")) & (F.col("local_date") >= F.date_sub("c_date", longest)))
     # sums by the smallest horizon that holds a run, then running sums over at most six horizons of a candidate
     back = F.datediff("c_date", "local_date")
     horizon = F.coalesce(*[F.when(back <= n, n) for n in sorted(horizons)])
-    count = lambda keep: F.sum(keep.cast("bigint"))
+    count = lambda name: F.sum((F.col("flags").bitwiseAND(bits[name]) != 0).cast("bigint"))
     sums = {
         "runs": F.count("*"),
         "m": F.sum("distance_m"),
         "ms": F.sum("moving_ms"),
         "elevation": F.sum("elevation_m"),
-        "hr_runs": count(F.col("hr_coverage") > 0),
         "load": F.sum("training_load"),
-        "classified": count(~F.array_contains("tags", "unclassified")),
-        "quality": count(F.col("is_quality")),
-    } | {t: count(F.array_contains("tags", t)) for t in TAGS}
+    } | {name: count(name) for name in conditions}
     order = Window.partitionBy("activity_id").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
     steps = near.withColumn("horizon", horizon).groupBy("activity_id", "horizon").agg(*[v.alias(k) for k, v in sums.items()], F.max("distance_m").alias("longest"))
     running = steps.select("activity_id", "horizon", *[F.sum(k).over(order).alias(k) for k in sums], F.max("longest").over(order).alias("longest"))

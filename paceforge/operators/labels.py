@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import review_token
@@ -53,6 +53,15 @@ def by_token(queue: DataFrame, token: str) -> DataFrame:
     return queue.where(review_token(F.col("dataset_version"), F.col("activity_id")) == token)
 
 
+def resolve_tokens(queue: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``token``, findings): each token of ``tokens`` that exactly one row recomputes; the others are findings."""
+    own = queue.withColumn("token", review_token(F.col("dataset_version"), F.col("activity_id")))
+    met = tokens.select("token").distinct().join(own, "token", "left")
+    counted = met.withColumn("n", F.count("activity_id").over(Window.partitionBy("token")))
+    code = F.when(F.col("n") == 0, "TOKEN_UNKNOWN").otherwise("TOKEN_NOT_UNIQUE")
+    return counted.where("n = 1").drop("n"), counted.where("n <> 1").select("token", code.alias("code")).distinct()
+
+
 def apply_reviews(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     """The queue with the decisions (key, review_status, review_label, verified_elapsed_time_seconds, review_notes) of known rows.
 

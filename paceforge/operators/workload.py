@@ -140,6 +140,13 @@ def latest_snapshot(series: DataFrame) -> DataFrame:
     return series.groupBy("athlete_id").agg(F.max_by(F.struct(*[c for c in series.columns if c != "athlete_id"]), "local_date").alias("s")).select("athlete_id", "s.*")
 
 
+def snapshots_on(series: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The series rows of exactly the asked (athlete_id, local_date), and findings for dates without one."""
+    keys = ["athlete_id", "local_date"]
+    wanted = asked.select(*keys).distinct()
+    return series.join(wanted, keys, "left_semi"), wanted.join(series.select(*keys), keys, "left_anti").withColumn("code", F.lit("WORKLOAD_DATE_MISSING"))
+
+
 def series_findings(daily: DataFrame) -> DataFrame:
     """Dates that occur more than once: (athlete_id, local_date, code)."""
     return daily.groupBy("athlete_id", "local_date").count().where("count > 1").select("athlete_id", "local_date", F.lit("DAILY_LOAD_DATE_REPEATED").alias("code"))

@@ -72,3 +72,13 @@ def outcome_counts(files: DataFrame) -> DataFrame:
 def logical_name(path):
     """A path as exports name it: forward slashes, no leading dot, lower case."""
     return F.lower(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^(\./)+", ""))
+
+
+def referenced_files(files: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, missing): sensor files (path) with the summary rows (file_name, ...) that name them, and rows whose file is not there.
+
+    Names meet in their logical form; rows without a file name are in neither.
+    """
+    have = files.select(logical_name(F.col("path")).alias("__name"), *files.columns)
+    named = rows.where("file_name is not null").withColumn("__name", logical_name(F.col("file_name")))
+    return named.join(have, "__name").drop("__name"), named.join(have.select("__name"), "__name", "left_anti").drop("__name")
