@@ -201,3 +201,73 @@ def test_probabilities_of_a_context_come_to_one(spark):
             unseen = 1 - sum(parent[np.flatnonzero(fresh.words == w)[0]] for w in set(fresh.words[fresh.group[fresh.k == k]].tolist()))
             rest += (lm.STRENGTH + after.discount * t[k]) / (lm.STRENGTH + seen[k]) * unseen / len(samples)
     assert per_context[k] + rest == pytest.approx(1)
+
+
+def test_ftrl_is_that_of_a_plain_loop():
+    from paceforge.llm import toxicity
+
+    rnd = random.Random(3)
+    rows = [(np.array(sorted({0, *rnd.sample(range(1, 40), 5)})), rnd.randrange(2)) for _ in range(60)]
+    alpha, beta, l1, l2 = 0.7, 1.3, 0.4, 0.1
+    z, n = [0.0] * 40, [0.0] * 40
+
+    def weight(i):
+        rate = (beta + math.sqrt(n[i])) / alpha + l2
+        if i == 0:
+            return -z[i] / rate
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / rate
+
+    for _ in range(3):
+        for features, y in rows:
+            w = {i: weight(i) for i in features.tolist()}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in w:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    assert np.allclose(toxicity.ftrl(rows, 40, 3, alpha, beta, l1, l2), [weight(i) for i in range(40)])
+    assert 0 < np.count_nonzero(toxicity.ftrl(rows, 40, 3, alpha, beta, 2.0, l2)) < 40
+
+
+def test_ordinal_steps_follow_the_likelihood():
+    from paceforge.llm import quality
+
+    def loss(w, raw, share, grade):
+        t = np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))])
+        above = 1 / (1 + np.exp(-(w @ share - t)))
+        return -math.log(np.concatenate([[1.0], above])[grade] - np.concatenate([above, [0.0]])[grade])
+
+    share, start = np.array([0.5, -1.0, 2.0]), np.array([-1.0, math.log(0.5)])
+    for grade in range(3):
+        w, t = quality.ordinal_fit([(np.arange(3), share, grade)], 3, 3, 1, 0.5, 0.0)
+        slope = np.array([(loss(e, start, share, grade) - loss(-e, start, share, grade)) / 2e-6 for e in np.eye(3) * 1e-6])
+        assert np.allclose(w, -0.5 * slope / np.sqrt(1e-8 + slope**2), atol=1e-6)
+        gap = np.array([(loss(np.zeros(3), start + e, share, grade) - loss(np.zeros(3), start - e, share, grade)) / 2e-6 for e in np.eye(2) * 1e-6])
+        raw = start - 0.05 * gap / np.sqrt(1e-8 + gap**2)
+        assert np.allclose(t, [raw[0], raw[0] + math.exp(raw[1])], atol=1e-6)
+
+
+def test_secret_links_against_all_pairs(spark):
+    from paceforge.llm import secrets
+
+    rnd, scope = random.Random(8), 50
+    rank = {k.name: i for i, k in enumerate(secrets.KINDS)}
+    rows = []
+    for key in range(12):
+        spans = set()
+        for _ in range(rnd.randrange(1, 14)):
+            kind, start = rnd.choice(secrets.KINDS), rnd.randrange(0, 900)
+            spans.add((start, rank[kind.name], kind.name, start + rnd.randrange(1, 120)))
+        rows.append((f"k{key}", sorted(s for s in spans if not secrets.KINDS[s[1]].weak), sorted(s for s in spans if secrets.KINDS[s[1]].weak)))
+    span = "array<struct<start:int,rank:int,kind:string,end:int>>"
+    found = {r.key: [tuple(s) for s in r.linked] for r in secrets.link(spark.createDataFrame(rows, f"key string, base {span}, weak {span}"), scope).collect()}
+    expected = {}
+    for key, base, weak in rows:
+        kept = []
+        for s in weak:
+            near = {secrets.KINDS[p[1]].role for p in base + weak if p[0] - s[3] <= scope and s[0] - p[3] <= scope}
+            if set(secrets.PARTNERS[secrets.KINDS[s[1]].role]) <= near:
+                kept.append(s)
+        if kept:
+            expected[key] = kept
+    assert found == expected and expected
