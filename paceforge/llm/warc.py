@@ -69,6 +69,10 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, refers
     ]
 
 
+#: A file holds at most so many bytes of records, before compression, or one capture.
+FILE_BYTES = 1 << 30
+
+
 def write_archives(pages: DataFrame, path: str, records_per_file: int = 6000, min_revisit_bytes: int = 0) -> None:
     """Write one capture per ``pages`` row (page_id, url, html) as gzipped WARC files under ``path``.
 
@@ -76,9 +80,13 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 6000, mi
     with the largest page_id is the response, the others revisit it; smaller
     payloads are all responses. A null html is an empty payload. Null page_ids
     come before all others. Rows that repeat the page_id and html of the
-    response are the same capture, with the same record ids.
+    response are the same capture, with the same record ids. A file holds at
+    most ``records_per_file`` records, and fewer where the largest page would
+    take it beyond ``FILE_BYTES``.
     """
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"], F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    largest = rows.agg(F.max(F.octet_length("html") + 3 * F.octet_length(F.coalesce("url", F.lit(""))))).first()[0] or 0
+    records_per_file = max(3, min(records_per_file, 3 * (FILE_BYTES // (largest + 4096))))
     # only payloads that occur again need a decision; their digests and ids are all that is aggregated
     again = rows.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha1", "last")
     marked = rows.join(again, "sha1", "left")

@@ -147,6 +147,16 @@ def test_warc_broken_archives_give_error_rows(spark, tmp_path):
     assert warc.assemble(warc.read_records(spark, str(tmp_path))).count() >= 1
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * (5000 if i == 3 else 10) + str(i)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").glob("*.gz")]
+    assert len(sizes) > 10 and max(sizes) <= 20_000 and warc.assemble(warc.read_records(spark, str(tmp_path / "w"))).count() == 40
+
+
 @pytest.mark.parametrize("spoil", [(b"WARC/1", b"XARC/1"), (b"Content-Length: ", b"Content-Length: 9"), (b"Content-Length: ", b"Content-Length: -"), (b"Content-Length", b"Content-Size")])
 def test_warc_reads_on_after_a_broken_record(spark, tmp_path, spoil):
     records = [r for i in range(10) for r in warc.capture_records(i, f"http://a/{i}", b"line\r\n" * i, None)]
