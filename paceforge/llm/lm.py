@@ -31,7 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import fold_remainder, map_batches, pack, store, unpack
@@ -39,6 +39,8 @@ from .frames import fold_remainder, map_batches, pack, store, unpack
 #: Contexts of their own for so many words, and classes of endings for all others.
 CONTEXT_WORDS, ENDINGS, ENDING_BYTES = 12_288, 4096, 3
 CONTEXTS = CONTEXT_WORDS + ENDINGS
+#: A context of its own has at least this share of all tokens.
+CONTEXT_SHARE = 1e-6
 #: A word with a larger share of all tokens than this is dealt by (word, context); there are fewer than its inverse.
 HOT_SHARE = 1 / 2000
 #: Tokens and documents of a chunk that a task sorts at once, and bytes of text for each shard.
@@ -121,10 +123,10 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
 
         return run
 
-    counts = map_batches(docs.where("train").select("text"), "w long, n long", make).groupBy("w").agg(F.sum("n").alias("n"))
-    seen = Observation()
-    top = counts.observe(seen, F.count("*").alias("types"), F.sum("n").alias("tokens")).orderBy(F.desc("n"), "w").limit(CONTEXT_WORDS - 1).collect()
-    tokens, types = seen.get["tokens"] or 0, seen.get["types"]
+    counts = store(map_batches(docs.where("train").select("text"), "w long, n long", make).groupBy("w").agg(F.sum("n").alias("n")))
+    tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # every task sends its first words to the driver: all together there are at most 1 / CONTEXT_SHARE
+    top = counts.where(F.col("n") >= tokens * CONTEXT_SHARE).orderBy(F.desc("n"), "w").limit(CONTEXT_WORDS - 1).collect()
     hashed = np.array([r["w"] for r in top], np.int64).view(np.uint64)
     n = np.array([r["n"] for r in top], np.int64)
     hot = n > tokens * HOT_SHARE
@@ -470,8 +472,10 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 for i, (name, width) in enumerate(zip(names, widths)):
                     x, y = ends[at[i]], ends[at[i + 1]]
                     d, who, often = dish[x:y], doc[x:y], n[x:y]
-                    sums = [np.bincount(who, often * v[d], width) for v in (known, base, log_p)]
-                    yield [[name], [number], [pack(sums[0].astype("<u4"), *sums[1:])], None, None, None]
+                    # only documents with a token here: their sums grow with the tokens, not with documents times shards
+                    some = np.flatnonzero(np.bincount(who, minlength=width))
+                    sums = [np.bincount(who, often * v[d], width)[some] for v in (known, base, log_p)]
+                    yield [[name], [number], [pack(some.astype("<u2"), sums[0].astype("<u4"), *sums[1:])], None, None, None]
 
         return lambda batch: ([[None] if c is None else c for c in row] for row in run(batch))
 
@@ -484,8 +488,9 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         ids, held, lengths = (table[c][0].as_py() for c in ("ids", "held", "lengths"))
         sums = [np.zeros(len(ids), kind) for kind in (np.int64, float, float)]
         for part in table["part"][1:]:
-            for total, more in zip(sums, unpack(part.as_buffer().to_pybytes(), "<u4", "<f8", "<f8")):
-                total[: len(more)] += more.astype(total.dtype)
+            at, *found = unpack(part.as_buffer().to_pybytes(), "<u2", "<u4", "<f8", "<f8")
+            for total, more in zip(sums, found):
+                total[at] += more.astype(total.dtype)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(lengths, pa.int64()), "n_known": sums[0], "base_score": sums[1], "score": sums[2]})
 
     scored = parts.unionByName(named).groupBy("chunk").applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
