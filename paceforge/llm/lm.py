@@ -26,11 +26,13 @@ probabilities are averaged over the samples. Words are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -452,10 +454,11 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     tables, state = _after(state, sampled(model, vocab, state, 1)[:, 0], vocab, 0)
     state = _with_gammas(state, tables, BURN_IN + SAMPLES)
     samples = [_after(state, sums, vocab, i) for i, sums in enumerate(sampled(model, vocab, state, SAMPLES).T)]
-    sent = spark.sparkContext.broadcast((vocab, state, seen, samples))
+    # by value, as executors need not have this package
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps((vocab, state, seen, samples)))
 
     def make():
-        vocab, state, seen, samples = sent.value
+        vocab, state, seen, samples = pickle.loads(sent.value)
 
         def run(batch):
             for number, dishes, entries, names, sizes, widths in zip(*(c.to_pylist() for c in batch.columns)):
