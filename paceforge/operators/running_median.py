@@ -55,10 +55,12 @@ def earlier_medians(rows: DataFrame, keys: list[str], time: str, value: str, ide
     Values must not be null; ``ident`` tells rows of one time and value apart.
     """
     by = Window.partitionBy(*keys)
+    before = by.orderBy(F.unix_micros(time)).rangeBetween(Window.unboundedPreceding, -1)
+    quick = lambda some: some.withColumn("median", F.expr(f"percentile({value}, 0.5)").over(before))
+    if not rows.groupBy(*keys).count().where(F.col("count") > BLOCK).limit(1).count():
+        return quick(rows)
     sized = rows.withColumn("__n", F.count("*").over(by))
     short, long = sized.where(F.col("__n") <= BLOCK), sized.where(F.col("__n") > BLOCK)
-    before = by.orderBy(F.unix_micros(time)).rangeBetween(Window.unboundedPreceding, -1)
-    quick = short.withColumn("median", F.expr(f"percentile({value}, 0.5)").over(before)).drop("__n")
 
     in_time = by.orderBy(time, ident)
     placed = long.withColumns({
@@ -83,4 +85,4 @@ def earlier_medians(rows: DataFrame, keys: list[str], time: str, value: str, ide
     found = places.groupBy("key", "block", "bucket").cogroup(lists.groupBy("of", "at", "list")).applyInArrow(_values, "key string, earlier long, turn long, value double")
     medians = found.groupBy("key", "earlier").agg(F.avg("value").alias("median"))
     slow = placed.join(medians, ["key", "earlier"], "left").drop("key", "earlier", "t", "r", "__n")
-    return quick.unionByName(slow)
+    return quick(short.drop("__n")).unionByName(slow)
