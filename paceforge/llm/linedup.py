@@ -14,12 +14,13 @@ counts in 128 bits: an edit changes at most four of them, so the join itself
 drops pairs that differ in more.
 
 A large group of near copies is not compared pair by pair: each list is first
-linked to one of its lines, and then only lines meet that are not yet in one
+linked to a few of its lines, and then only lines meet that are not yet in one
 component. Pairs within a component would change nothing. A segment that very
-many lines share would still compare them all. Its lines are dealt by refined
-keys: an edit touches at most two classes of characters, so of 2 tau + 2
-classes near copies agree on the whole subsequence of at least two. All filters
-are exact, so where a list counts as long changes no result.
+many different lines share would still compare them all. If they are not in one
+component by then, they are dealt by refined keys: an edit touches at most two
+classes of characters, so of 2 tau + 2 classes near copies agree on the whole
+subsequence of at least two. All filters are exact, so where a list counts as
+long, and which lines it is linked to, changes no result.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ from .frames import map_batches, settle, store
 #: (edits allowed, from so many characters on), the longest lines first; shorter lines have only equals.
 EDITS = ((2, 40), (1, 20))
 MOST_EDITS = EDITS[0][0]
-#: A list with more index entries than this is dealt by refined keys.
+#: A list that holds several components and more different lines than this as index entries is dealt by refined keys.
 LONG_LIST = 64
+#: To how many of its lines each list is linked before what is left meets.
+HEADS = 4
 #: Sides of up to this many rows are broadcast (a few MB), and sorted arrays of up to so many keys (4 MB).
 BROADCAST_ROWS, BROADCAST_KEYS = 50_000, 500_000
 #: What is put before a line for the second half of its identity, which then does not follow from the first.
@@ -172,20 +175,20 @@ def _second_hash(lines: list[str]) -> np.ndarray:
 
 
 def _shared_keys(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, long) of the keys of several different lines, at least one of them as its own segment."""
+    """The keys of several different lines, at least one of them as its own segment."""
 
     def emit(keys_of, lines):
         number, keys, own = keys_of(lines)
         return [keys, _first_hash(lines)[number], own]
 
     keyed = _line_batches(docs, text_col, "key long, h1 long, own int", emit)
-    met = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.sum("own").alias("n")).where("low < high and n > 0")
-    return store(met.select("key", (F.col("n") > LONG_LIST).alias("long")))
+    met = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own")).where("low < high and own = 1")
+    return store(met.select("key"))
 
 
 def _lists(docs: DataFrame, text_col: str, shared: DataFrame) -> DataFrame:
-    """(key, own, h1, h2, line, long): the lines of each shared key, each once."""
-    once = [F.max("own").alias("own"), F.first("long").alias("long")]
+    """(key, own, h1, h2, line): the lines of each shared key, each once."""
+    once = F.max("own").alias("own")
     if shared.count() <= BROADCAST_KEYS:
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in shared.select("key").toLocalIterator()], np.int64)))
 
@@ -200,14 +203,14 @@ def _lists(docs: DataFrame, text_col: str, shared: DataFrame) -> DataFrame:
             return [keys, own, _first_hash(texts)[back], _second_hash(texts)[back], [texts[k] for k in back.tolist()]]
 
         rows = _line_batches(docs, text_col, "key long, own int, h1 long, h2 long, line string", emit)
-        return store(rows.join(_small(shared), "key").groupBy("key", "h1", "h2").agg(*once, F.first("line").alias("line")))
+        return store(rows.groupBy("key", "h1", "h2").agg(once, F.first("line").alias("line")))
 
     # the texts are shuffled once, not with each key of a line
     def emit_all(keys_of, lines):
         number, keys, own = keys_of(lines)
         return [keys, own, _first_hash(lines)[number], _second_hash(lines)[number]]
 
-    places = store(_line_batches(docs, text_col, "key long, own int, h1 long, h2 long", emit_all).join(shared, "key").groupBy("key", "h1", "h2").agg(*once))
+    places = store(_line_batches(docs, text_col, "key long, own int, h1 long, h2 long", emit_all).join(shared, "key").groupBy("key", "h1", "h2").agg(once))
     wanted = store(places.select("h1", "h2").distinct())
     lines = docs.select(F.explode(F.split(text_col, "\n", -1)).alias("line")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.concat(F.lit(SALT), "line"))})
     own = store(lines.join(_small(wanted), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")))
@@ -223,7 +226,7 @@ def bigram_parities(codes: np.ndarray) -> tuple[int, int]:
 
 
 def _entries(rows: DataFrame, refine: bool) -> DataFrame:
-    """(key, own, id, n, p1, p2) of list rows; refined, each key is joined with the subsequence of each pair of character classes."""
+    """(key, own, id, n, p1, p2) of (key, own, id, line); refined, each key is joined with the subsequence of each pair of character classes."""
 
     def make():
         from xxhash import xxh64_intdigest
@@ -246,7 +249,7 @@ def _entries(rows: DataFrame, refine: bool) -> DataFrame:
 
         return run
 
-    return map_batches(rows.select("key", "own", _line_id("h1", "h2").alias("id"), "line"), "key long, own int, id string, n int, p1 long, p2 long", make)
+    return map_batches(rows.select("key", "own", "id", "line"), "key long, own int, id string, n int, p1 long, p2 long", make)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -280,22 +283,45 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "a_line", "b_line"), "a string, b string", make)
 
 
+def _to_heads(entries: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of near copies of each line and one of the ``HEADS`` lines that its list draws."""
+    drawn = [F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("draw"), "id", "n", "p1", "p2")).alias(f"h{turn}") for turn in range(HEADS)]
+    heads = F.array_distinct(F.array(*[F.col(f"h{turn}").dropFields("draw") for turn in range(HEADS)]))
+    drawn_heads = entries.groupBy("key").agg(*drawn).select("key", F.explode(heads).alias("h")).select("key", "h.*")
+    near = entries.alias("x").join(drawn_heads.alias("y"), "key").where((F.col("x.id") != F.col("y.id")) & _can_be_near("x", "y"))
+    return _verified(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), texts)
+
+
+def _apart(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """``entries`` of the lists that hold several components, with their ``component``."""
+    placed = store(entries.join(_small(known.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return store(placed.join(mixed, "key", "left_semi"))
+
+
 def near_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, component): ids of the lines that a chain of near copies joins to another line."""
-    rows = _lists(docs, text_col, _shared_keys(docs, text_col))
-    entries = store(_entries(rows.where("not long"), False).unionByName(_entries(rows.where("long"), True)).groupBy("key", "id").agg(F.max("own").alias("own"), *[F.first(c).alias(c) for c in ("n", "p1", "p2")]))
-    texts = store(rows.groupBy("h1", "h2").agg(F.first("line").alias("line")).select(_line_id("h1", "h2").alias("id"), "line"))
-
-    heads = entries.groupBy("key").agg(F.min(F.struct("id", "n", "p1", "p2")).alias("h")).select("key", "h.*")
-    near = entries.alias("x").join(heads.alias("y"), "key").where((F.col("x.id") != F.col("y.id")) & _can_be_near("x", "y"))
-    links = store(_verified(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), texts))
-    known = connected_components(links)
-    placed = entries.join(_small(store(known.withColumnRenamed("node", "id"))), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    left = store(placed.join(mixed, "key", "left_semi"))
+    rows = _lists(docs, text_col, _shared_keys(docs, text_col)).withColumn("id", _line_id("h1", "h2"))
+    entries = store(_entries(rows, False))
+    texts = store(rows.groupBy("id").agg(F.first("line").alias("line")))
+
+    known = store(connected_components(_to_heads(entries, texts)))
+    left = _apart(entries, known)
+    long = store(left.groupBy("key").agg(F.sum("own").alias("owners")).where(F.col("owners") > LONG_LIST).select("key"))
+    if long.limit(1).count():
+        long = _small(long)
+        refined = _entries(left.join(long, "key", "left_semi").join(texts, "id"), True).groupBy("key", "id").agg(F.max("own").alias("own"), *[F.first(c).alias(c) for c in ("n", "p1", "p2")])
+        refined = store(refined)
+        known = store(connected_components(_stars(known).unionByName(_to_heads(refined, texts))))
+        left = _apart(left.join(long, "key", "left_anti").drop("component").unionByName(refined), known)
     cross = left.where("own = 1").alias("x").join(left.alias("y"), "key").where((F.col("x.component") != F.col("y.component")) & _can_be_near("x", "y"))
     more = _verified(cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), texts)
-    return settle(connected_components(links.unionByName(more)))
+    return settle(connected_components(_stars(known).unionByName(more)))
+
+
+def _stars(known: DataFrame) -> DataFrame:
+    """Components that are known, as pairs (a, b)."""
+    return known.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def _line_id(h1: str, h2: str) -> Column:

@@ -313,6 +313,28 @@ def test_line_dedup(spark, monkeypatch, long_list):
         assert linedup.report(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("tied", [True, False])
+def test_only_lists_of_many_lines_that_lie_apart_are_refined(spark, monkeypatch, tied):
+    monkeypatch.setattr(linedup, "LONG_LIST", 3)
+    refined, entries = [], linedup._entries
+
+    def counted(rows, refine):
+        if refine:
+            refined.append(rows.count())
+        return entries(rows, refine)
+
+    monkeypatch.setattr(linedup, "_entries", counted)
+    start = "one segment of each line, the first "
+    # tied: twelve lines that differ in a character; else three lines that only share a start, and each comes many times
+    lines = [start * 2 + chr(97 + k) for k in range(12)] if tied else [start + c * 60 for c in "xyz"]
+    docs = documents(spark, [(i, lines[i % len(lines)]) for i in range(240)]).repartition(8)
+    components = {}
+    for r in linedup.near_lines(docs).collect():
+        components.setdefault(r.component, set()).add(r.node)
+    assert sorted(map(len, components.values())) == ([12] if tied else [])
+    assert not sum(refined)
+
+
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
