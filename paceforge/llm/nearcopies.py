@@ -1,13 +1,19 @@
-"""Near copies by the exact Jaccard similarity of five-word shingles.
+"""Near copies by SimHash, verified and completed by the exact Jaccard similarity of five-word shingles.
 
-All pairs of at least 4/5 are found, whatever their fingerprints are. Under any
-total order of shingles, two such sets meet within the first n - ceil(4n/5) + 1
+Each shingle set has a SimHash fingerprint. Pairs whose fingerprints differ in at
+most ``MAX_BITS`` bits come from the byte-position inverted index of ``simhash``:
+entries meet the head of their list, and then hits are counted per pair of
+entries that are not yet in one component; pairs with the guaranteed number are
+verified on their bits. All candidates are verified on their shingles.
+
+Near copies of 4/5 may differ in more bits than an index can bound, so the pairs
+that fingerprints miss are found exactly, too. Under any total order of shingles, two such sets meet within the first n - ceil(4n/5) + 1
 shingles of each (prefix filter); only these are listed. Shingles of classes that
 few texts have come first, by counts over all texts in a table of fixed size:
 that keeps lists short and changes no result. Equal sets are one entry.
 
 A large group of near copies would be compared pair by pair. Each list is
-therefore first linked to one entry drawn from it, and then only entries that are
+therefore first linked to entries drawn from it, and then only entries that are
 not yet in one component meet: pairs within a component change nothing. Parities
 of 256 classes of shingles are compared inside the joins, signatures of about a
 bit per shingle after them, and texts if they pass; both filters are exact.
@@ -15,6 +21,8 @@ bit per shingle after them, and texts if they pass; both filters are exact.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,13 +30,16 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, first_of_repeats
 from .frames import map_batches, pack, settle, store, unpack
+from .simhash import majority, postings
 
 WORDS, SEED = 5, 42
 #: Shingles are counted by so many leading bits of their hashes; the counts travel in so many rows.
 CELL_BITS, COUNT_ROWS = 20, 64
 CELLS = 1 << CELL_BITS
+#: Fingerprints are candidates up to so many differing bits; the lists are those of groups of so many positional bytes.
+MAX_BITS, GROUP_BYTES = 3, 4
 #: To how many of its entries each list, then each longer one, is linked before all that is left meets; any numbers give the same components.
-HEADS = (1, 4, 16)
+HEADS = (1, 16)
 #: Columns of the parities that the joins compare, 64 classes of shingles in each.
 PARITIES = ("p1", "p2", "p3", "p4")
 #: Sides of up to this many rows are broadcast (a few MB).
@@ -101,7 +112,7 @@ def can_be_alike(a: bytes, b: bytes, size: int) -> bool:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, doc_key, node, second, n, keys, sig, p1 to p4, row): two digests, size, prefix, signature and parities of each text's shingle set; one row per input row."""
+    """(doc_id, doc_key, node, second, fp, n, keys, sig, p1 to p4, row): two digests, fingerprint, size, prefix, signature and parities of each text's shingle set; one row per input row."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def make():
@@ -110,23 +121,24 @@ def prefixes(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str) ->
         common = sent.value
 
         def run(batch):
-            nodes, second, sizes, keys, signs, odd = [], [], [], [], [], []
+            nodes, second, prints, sizes, keys, signs, odd = [], [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingles(text)
                 rare_first = np.lexsort((s, common[s >> np.uint64(64 - CELL_BITS)]))
                 n = len(s)
                 nodes.append(xxh64_intdigest(s.tobytes(), SEED))
                 second.append(xxh64_intdigest(s.tobytes(), SEED + 1))
+                prints.append(majority(s))
                 sizes.append(n)
                 keys.append(s[rare_first[: n - (4 * n + 4) // 5 + 1]].view(np.int64))
                 signs.append(signature(s))
                 odd.append(parities(s))
-            return [batch.column(0), batch.column(1), np.array(nodes, np.uint64).view(np.int64), np.array(second, np.uint64).view(np.int64), sizes, keys, signs, *map(list, zip(*odd))]
+            return [batch.column(0), batch.column(1), np.array(nodes, np.uint64).view(np.int64), np.array(second, np.uint64).view(np.int64), np.array(prints, np.uint64).view(np.int64), sizes, keys, signs, *map(list, zip(*odd))]
 
         return run
 
     rows = docs.select(docs[id_col].cast("long"), F.xxhash64(docs[text_col]), docs[text_col])
-    schema = "doc_id long, doc_key long, node long, second long, n int, keys array<long>, sig binary, " + ", ".join(f"{p} long" for p in PARITIES)
+    schema = "doc_id long, doc_key long, node long, second long, fp long, n int, keys array<long>, sig binary, " + ", ".join(f"{p} long" for p in PARITIES)
     return map_batches(rows, schema, make).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -195,27 +207,63 @@ def linked_sets(marked: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     again = store(marked.groupBy("node").agg(F.min("row").alias("only"), F.count("*").alias("n")).where("n > 1").select("node", "only"))
     once = marked.join(_small(again), "node", "left").where("only is null or only = row")  # one row per set
     entries = once.select("node", "n", *PARITIES, F.posexplode("keys").alias("pos", "key"))
-    shared = store(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"))
-    lists = store(entries.join(_small(shared), "key"))
-
-    left, links = lists.withColumn("component", F.col("node")), None
-    for n_heads in HEADS:
-        # a list draws its own heads, so that a group of near copies is tied together through many of its members; short lists meet below anyway
-        drawing = left
-        if n_heads > 1:
-            drawing = left.join(left.groupBy("key").agg(F.count("*").alias("entries")).where(F.col("entries") > 2 * n_heads).select("key"), "key", "left_semi")
-        drawn = [F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("draw"), "node", "n", "pos", "component", *PARITIES)).alias(f"h{turn}") for turn in range(n_heads)]
-        heads = drawing.groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.transform(F.array(*[f"h{turn}" for turn in range(n_heads)]), lambda h: h.dropFields("draw")))).alias("h")).select("key", "h.*")
-        near = left.alias("x").join(heads.alias("y"), "key").where((F.col("x.component") != F.col("y.component")) & _can_reach("x", "y"))
-        new = _verified(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), once, docs, text_col)
-        links = store(new if links is None else links.unionByName(new))
-        known = store(connected_components(links))
-        placed = left.drop("component").join(_small(known), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        left = store(placed.join(mixed, "key", "left_semi"))
+    left, prints = _shared(entries), _shared(postings(once.select("node", "fp"), GROUP_BYTES))
+
+    # fingerprints at the heads of their lists, and shingles at theirs
+    heads = prints.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("h")).select("key", "h.*")
+    close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MAX_BITS
+    near = prints.alias("x").join(heads.alias("y"), "key").where((F.col("x.node") > F.col("y.node")) & close).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
+    left = left.withColumn("component", F.col("node"))
+    known = store(connected_components(_verified(near.unionByName(_at_heads(left, HEADS[0])), once, docs, text_col)))
+    # fingerprints of different components, tallied, and shingles at more heads
+    left = _apart(left, known)
+    near = tallied_pairs(_apart(prints, known)).unionByName(_at_heads(left, HEADS[1]))
+    known = store(connected_components(_stars(known).unionByName(_verified(near, once, docs, text_col))))
+    # shingles of different components: what fingerprints have missed
+    left = _apart(left, known)
     cross = left.alias("x").join(left.alias("y"), "key").where((F.col("x.component") < F.col("y.component")) & _can_reach("x", "y"))
     more = _verified(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), once, docs, text_col)
-    return settle(connected_components(links.unionByName(more)))
+    return settle(connected_components(_stars(known).unionByName(more)))
+
+
+def tallied_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b) of the entries (key, node, fp, component) of different components whose fingerprints differ in at most ``MAX_BITS`` bits: by hits first, then by bits."""
+    met = prints.alias("x").join(prints.alias("y"), "key").where("x.component < y.component")
+    hits = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.fp").alias("fa"), F.col("y.fp").alias("fb")).agg(F.count("*").alias("hits"))
+    return hits.where(F.col("hits") >= comb(8 - MAX_BITS, GROUP_BYTES)).where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_BITS).select("a", "b")
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries (key, node, ...) of the lists that several sets are in."""
+    shared = store(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"))
+    return store(entries.join(_small(shared), "key"))
+
+
+def _apart(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """``entries`` of the lists that hold several components, with their ``component``."""
+    placed = entries.drop("component").join(_small(known), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return store(placed.join(mixed, "key", "left_semi"))
+
+
+def _at_heads(left: DataFrame, n_heads: int) -> DataFrame:
+    """(a, b): entries that are not yet in one component with one of the ``n_heads`` entries that their list draws.
+
+    A list draws its own heads, so that a group of near copies is tied together
+    through many of its members; short lists draw one only, they meet below anyway.
+    """
+    drawing = left
+    if n_heads > 1:
+        drawing = left.join(left.groupBy("key").agg(F.count("*").alias("entries")).where(F.col("entries") > 2 * n_heads).select("key"), "key", "left_semi")
+    drawn = [F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("draw"), "node", "n", "pos", "component", *PARITIES)).alias(f"h{turn}") for turn in range(n_heads)]
+    heads = drawing.groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.transform(F.array(*[f"h{turn}" for turn in range(n_heads)]), lambda h: h.dropFields("draw")))).alias("h")).select("key", "h.*")
+    near = left.alias("x").join(heads.alias("y"), "key").where((F.col("x.component") != F.col("y.component")) & _can_reach("x", "y"))
+    return near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def _stars(known: DataFrame) -> DataFrame:
+    """Components that are known, as pairs (a, b)."""
+    return known.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,6 +48,14 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: the bits that are set in over half of them; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for cut in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[cut : cut + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of each whole text, as a signed long; one row per input row."""
 
@@ -62,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def postings(distinct: DataFrame, group: int = GROUP_BYTES) -> DataFrame:
-    """(key, fp): an entry of every fingerprint in the list of each group of ``group`` positional bytes that it has.
+    """``distinct`` with ``key``: an entry of every ``fp`` in the list of each group of ``group`` positional bytes that it has.
 
     A key is a hash of the positions and the bytes; lists that share a key can only add hits.
     """
@@ -71,7 +79,7 @@ def postings(distinct: DataFrame, group: int = GROUP_BYTES) -> DataFrame:
         mask = sum(0xFF << (8 * p) for p in positions)
         mask -= (mask >> 63) << 64
         lists.append(F.xxhash64(F.lit(mask), F.col("fp").bitwiseAND(F.lit(mask))))
-    return distinct.select("fp", F.explode(F.array(*lists)).alias("key"))
+    return distinct.select(*distinct.columns, F.explode(F.array(*lists)).alias("key"))
 
 
 def tallied_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP_BYTES) -> DataFrame:

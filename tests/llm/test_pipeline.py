@@ -114,3 +114,32 @@ def test_parities_never_part_alike_sets():
         assert passes or not alike(base, other)
         kept, parted = kept + passes, parted + (not passes)
     assert kept and parted
+
+
+def test_near_dedup_links_by_fingerprints(spark, monkeypatch):
+    import random
+
+    from paceforge.llm import nearcopies
+    from paceforge.llm.simhash import majority
+
+    monkeypatch.setattr(nearcopies, "_can_reach", lambda x, y: F.lit(False))  # what remains are the pairs of the SimHash index
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdef") for _ in range(5)) for _ in range(500)]
+    rows = []
+    for k in range(3):
+        base = [rnd.choice(words) for _ in range(250)]
+        for c in range(20):
+            copy = list(base)
+            for at in rnd.sample(range(len(base)), rnd.randint(1, 4)):
+                copy[at] = rnd.choice(words)
+            rows.append((100 * k + c, " ".join(copy)))
+    sets = [nearcopies.shingles(t) for _, t in rows]
+    prints, place = [majority(s) for s in sets], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if place[a] != place[b] and (prints[a] ^ prints[b]).bit_count() <= 3 and nearcopies.alike(sets[a], sets[b]):
+                place = [place[b] if p == place[a] else p for p in list(place)]
+    expected = sorted(min(i for (i, _), q in zip(rows, place) if q == p) for p in set(place))
+    assert 3 < len(expected) < len(rows) - 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == expected
