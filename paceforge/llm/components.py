@@ -1,6 +1,9 @@
-"""Connected components of a pair list, by alternating star contraction.
+"""Connected components of a pair list: trees inside tasks, then alternating star contraction.
 
-Every round is two shuffles over the pairs; hot nodes are reduced by partial
+Each task first joins its own pairs to trees, with the smallest node as root. A
+list that one task holds is done then, which spares short lists the rounds and
+the driver their many plans. Longer ones go on with what the trees have left:
+every round is two shuffles over the pairs; hot nodes are reduced by partial
 aggregation (a smallest neighbour per node), never gathered into a group. The
 rounds end when each component is a star around its smallest node; only whether
 that is so reaches the driver. Each round is a reliable checkpoint.
@@ -8,12 +11,15 @@ that is so reaches the driver. Each round is a reliable checkpoint.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import settle
+from .frames import _arrow, settle
 
-#: Pairs for each task of a round: a short list is not dealt over all partitions of the session.
+#: Pairs for each task: a short list is not dealt over all partitions of the session. A task holds trees of up to twice as many nodes at a time.
 PAIRS_PER_TASK = 100_000
 
 
@@ -28,6 +34,39 @@ def first_of_repeats(docs: DataFrame, marked: DataFrame, id_col: str, text_col:
     return docs.join(repeated, same, "left_anti").unionByName(once)
 
 
+def _joined_in_tasks(pairs: DataFrame) -> DataFrame:
+    """(node, least): each node of ``pairs`` with the smallest one that the pairs of its task join it to, roots with themselves.
+
+    A task that meets more nodes than it may hold begins anew, so a node can have several rows.
+    """
+    kind, most = pairs.schema["a"].dataType, 2 * PAIRS_PER_TASK
+    schema = pa.schema([("node", _arrow(kind)), ("least", _arrow(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+
+        def root(n):
+            while above[n] != n:
+                above[n] = n = above[above[n]]
+            return n
+
+        def trees() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(above), schema.field(0).type), pa.array([root(n) for n in above], schema.field(1).type)], schema=schema)
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                low, high = sorted((root(above.setdefault(a, a)), root(above.setdefault(b, b))))
+                above[high] = low
+            if len(above) > most:
+                yield trees()
+                above.clear()
+        if above:
+            yield trees()
+
+    name = kind.simpleString()
+    return pairs.select("a", "b").mapInArrow(run, f"node {name}, least {name}")
+
+
 def connected_components(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of ``pairs`` (columns a, b, long).
 
@@ -36,9 +75,14 @@ def connected_components(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     with a null end are ignored. An empty table gives an empty table.
     """
     nodes = settle(pairs.where("a is not null and b is not null").select("a", "b").distinct())  # how they came about may be long, and is not done twice
+    tasks = 1 + nodes.count() // PAIRS_PER_TASK
+    trees = _joined_in_tasks(nodes.coalesce(tasks))
+    if tasks == 1:  # fewer pairs than a task may hold: no node has two rows
+        return trees.select("node", F.col("least").alias("component"))
+    trees = settle(trees)
     # invariants: hi > lo; every hi points at some smaller node of its component
-    edges = settle(nodes.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    all_nodes = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    edges = settle(trees.where("node <> least").select(F.col("node").alias("hi"), F.col("least").alias("lo")).distinct())
+    all_nodes = trees.select("node").distinct()
     few = lambda df: df.coalesce(tasks)
     for _ in range(max_rounds):
         tasks = 1 + edges.count() // PAIRS_PER_TASK

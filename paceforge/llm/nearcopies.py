@@ -183,6 +183,8 @@ def _verified(pairs: DataFrame, once: DataFrame, docs: DataFrame, text_col: str)
 
     signed = sides(pairs.distinct(), once, "sig", "n").select("a", "b", "a_sig", "b_sig", F.col("a_n") + F.col("b_n"))
     near = store(map_batches(signed, "a long, b long", make_filter))
+    if not near.limit(1).count():
+        return near
     wanted = store(once.select("node", "doc_key").join(_small(store(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())), "node", "left_semi"))
     found = docs.select(F.xxhash64(text_col).alias("doc_key"), F.col(text_col).alias("text")).join(_small(wanted.select("doc_key")), "doc_key", "left_semi").groupBy("doc_key").agg(F.first("text").alias("text"))
     texts = store(wanted.join(found, "doc_key").select("node", "text"))

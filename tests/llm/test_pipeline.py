@@ -143,3 +143,52 @@ def test_near_dedup_links_by_fingerprints(spark, monkeypatch):
     assert 3 < len(expected) < len(rows) - 5
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == expected
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_components_of_a_short_list_need_no_rounds(spark):
+    from paceforge.llm.components import connected_components
+
+    chain = spark.range(1, 2001).selectExpr("id a", "id - 1 b")
+    found, jobs = jobs_of(spark, "chain", lambda: {r.node: r.component for r in connected_components(chain).collect()})
+    assert found == dict.fromkeys(range(2001), 0)
+    assert jobs <= 10  # each round would bring its own
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_over_several_tasks(spark, monkeypatch, kind):
+    import random
+
+    from paceforge.llm import components
+
+    monkeypatch.setattr(components, "PAIRS_PER_TASK", 40)  # several tasks, and trees that begin anew
+    rnd = random.Random(5)
+    pairs = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(400)] + [(k, k + 1) for k in range(1000, 1300)] + [(2000, k) for k in range(2001, 2200)] + [(5000, 5000), (None, 3)]
+    if kind == "string":
+        pairs = [tuple(None if x is None else f"{x:06d}" for x in p) for p in pairs]
+    place = {x: x for p in pairs if None not in p for x in p}
+    for _ in range(400):
+        before = dict(place)
+        for a, b in pairs:
+            if None not in (a, b):
+                place[a] = place[b] = min(place[a], place[b])
+        if before == place:
+            break
+    found = components.connected_components(spark.createDataFrame(pairs, f"a {kind}, b {kind}").repartition(8)).collect()
+    assert len(found) == len(place) and {r.node: r.component for r in found} == place
+
+
+def test_near_dedup_of_a_small_table_takes_few_jobs(spark):
+    from paceforge.llm import nearcopies
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found, jobs = jobs_of(spark, "near", lambda: sorted(((r.doc_id, r.text) for r in nearcopies.keep_one(docs).select("doc_id", "text").collect()), key=str))
+    assert found == kept_by_all_pairs([(r.doc_id, r.text) for r in docs.collect()])
+    assert jobs <= 130  # the driver holds the plans and threads of each for a while
