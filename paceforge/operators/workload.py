@@ -4,7 +4,8 @@ The state s moves by (load - s) / tau every calendar day, from 0. Its closed
 form is a weighted sum, which overflows over long histories; it is therefore
 summed inside blocks of days, and the ends of the blocks are carried on.
 Blocks of one athlete are separate window partitions, so a long history is not
-one task.
+one task. Joins of days are by shuffle: days are made from a row per athlete, so
+Spark takes them for far fewer than they are and would broadcast them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def calendar(daily: DataFrame, end_date: Column | None = None) -> DataFrame:
     days = spans.select("athlete_id", "first", F.explode(F.sequence("first", last)).alias("local_date"))
     coverage = F.col("coverage_pct") if "coverage_pct" in daily.columns else F.lit(None).cast("double")
     known = daily.select("athlete_id", "local_date", F.col("daily_load").cast("double").alias("daily_load"), coverage.alias("coverage_pct"))
-    filled = days.join(known, ["athlete_id", "local_date"], "left").na.fill(0.0, ["daily_load"]).na.fill(100.0, ["coverage_pct"])
+    filled = days.join(known.hint("merge"), ["athlete_id", "local_date"], "left").na.fill(0.0, ["daily_load"]).na.fill(100.0, ["coverage_pct"])
     return filled.withColumn("day", F.datediff("local_date", "first")).drop("first")
 
 
@@ -62,7 +63,7 @@ def _states(cut: DataFrame, taus: dict[str, int], carries: DataFrame) -> DataFra
     """Add one column per name in ``taus`` with the state after each day."""
     d = {name: 1 - 1 / tau for name, tau in taus.items()}
     within = Window.partitionBy("athlete_id", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(carries.select("athlete_id", "block", *[f"{n}_carry" for n in taus]), ["athlete_id", "block"])
+    joined = cut.join(carries.select("athlete_id", "block", *[f"{n}_carry" for n in taus]).hint("shuffle_hash"), ["athlete_id", "block"])
     local = {n: F.sum(F.col("daily_load") * F.pow(F.lit(1 / d[n]), F.col("k"))).over(within) * F.pow(F.lit(d[n]), F.col("k")) / taus[n] for n in taus}
     return joined.withColumns({n: local[n] + F.col(f"{n}_carry") * F.pow(F.lit(d[n]), F.col("k") + 1) for n in taus}).drop("block", "k", *[f"{n}_carry" for n in taus])
 
@@ -117,7 +118,7 @@ def resumed_series(daily: DataFrame, points: DataFrame, block_days: int = BLOCK_
     span = points.join(last, "athlete_id").withColumn("begin", begin)
     days = span.select("athlete_id", "first", F.explode(F.sequence("begin", "last")).alias("local_date"))
     coverage = F.col("coverage_pct") if "coverage_pct" in daily.columns else F.lit(None).cast("double")
-    filled = days.join(known.select("athlete_id", "local_date", F.col("daily_load").cast("double").alias("daily_load"), coverage.alias("coverage_pct")), ["athlete_id", "local_date"], "left")
+    filled = days.join(known.select("athlete_id", "local_date", F.col("daily_load").cast("double").alias("daily_load"), coverage.alias("coverage_pct")).hint("merge"), ["athlete_id", "local_date"], "left")
     filled = filled.na.fill(0.0, ["daily_load"]).na.fill(100.0, ["coverage_pct"]).withColumn("day", F.datediff("local_date", "first")).drop("first")
     cut = _cut(filled, block_days)
     carries = _carries(cut, TAUS, points)
