@@ -39,10 +39,11 @@ def session_candidates(sessions: DataFrame, runs: DataFrame) -> DataFrame:
     ``sessions`` is (plan_id, athlete_id, session, scheduled, kind, target_km,
     as_of), ``runs`` (athlete_id, activity_id, start_utc, local_date,
     distance_m, tags, primary, activity_type). With ``plan_start`` and
-    ``plan_end`` in ``sessions`` only runs of that time are candidates.
+    ``plan_end`` in ``sessions`` only runs of that time are candidates. The
+    sessions' days are not broadcast: they are many more than Spark assumes.
     """
     days = sessions.withColumn("day", F.explode(F.sequence(F.date_sub("scheduled", 1), F.date_add("scheduled", 1))))
-    met = days.join(runs.withColumnRenamed("local_date", "day"), ["athlete_id", "day"]).where("day <= as_of")
+    met = days.hint("merge").join(runs.withColumnRenamed("local_date", "day"), ["athlete_id", "day"]).where("day <= as_of")
     if {"plan_start", "plan_end"} <= set(sessions.columns):
         met = met.where("day between plan_start and plan_end")
     km = F.col("distance_m").cast("double") / 1000
@@ -84,7 +85,7 @@ def session_status(sessions: DataFrame, matches: DataFrame, runs: DataFrame) ->
     """
     km = F.col("distance_m").cast("double") / 1000
     run = F.struct(km.alias("km"), (F.col("moving_ms") / 1000).alias("s"), "local_date", "name", "tags", "primary", "activity_type").alias("run")
-    chosen = matches.join(runs.select("activity_id", run), "activity_id")
+    chosen = matches.hint("merge").join(runs.select("activity_id", run), "activity_id")
     joined = sessions.join(chosen, ["plan_id", "session"], "left")
     km, target = F.col("run.km"), F.col("target_km")
     fits = kind_fits(F.col("kind"), F.col("run.tags"), F.col("run.primary"), F.col("run.activity_type"), km, target)
@@ -153,7 +154,7 @@ def plan_tracking(progress: DataFrame, statuses: DataFrame) -> DataFrame:
         first(hard & (F.col("status") == "partial")).alias("half"),
         first(F.col("status").isin("due", "upcoming")).alias("next"),
     )
-    rows = weeks.join(ahead, "plan_id", "left").withColumn("adherence_pct", F.when(F.col("planned_km") > 0, F.round(F.col("actual_km") / F.col("planned_km") * 100, 1)))
+    rows = weeks.join(ahead.hint("merge"), "plan_id", "left").withColumn("adherence_pct", F.when(F.col("planned_km") > 0, F.round(F.col("actual_km") / F.col("planned_km") * 100, 1)))
     status = F.when(F.col("as_of") < F.col("plan_start"), "not_started").when(F.col("as_of") > F.col("plan_end"), "completed").otherwise("in_progress")
     over = (F.col("adherence_pct") > OVER_PCT) & (F.col("actual_km") - F.col("planned_km") >= OVER_KM)
     code = (

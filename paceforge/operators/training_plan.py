@@ -109,18 +109,19 @@ def week_progress(plans: DataFrame, weeks: DataFrame, sessions: DataFrame, runs:
     finished week; of the current one the sessions that are due if it is the
     detailed week, else sevenths by day. All runs of the plan's time count,
     whether they fulfil a session or not. Runs meet plans by athlete and block
-    of a year.
+    of a year. Plans are never broadcast: what a plan is made into by weeks has
+    many times the size that Spark assumes.
     """
     span = weeks.groupBy("plan_id").agg(F.min("start_date").alias("plan_start"), F.max_by("end_date", "week").alias("plan_end"))
-    asked = plans.select("plan_id", "athlete_id", "as_of").join(span, "plan_id")
+    asked = plans.select("plan_id", "athlete_id", "as_of").join(span.hint("merge"), "plan_id")
     block = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / 365)
     last = F.least("as_of", "plan_end")
     open_plans = asked.withColumn("last", last).where("plan_start <= last").withColumn("block", F.explode(F.sequence(block(F.col("plan_start")), block(F.col("last")))))
-    met = open_plans.join(runs.select("athlete_id", "local_date", "distance_m", block(F.col("local_date")).alias("block")), ["athlete_id", "block"]).where("local_date between plan_start and last")
+    met = open_plans.hint("merge").join(runs.select("athlete_id", "local_date", "distance_m", block(F.col("local_date")).alias("block")), ["athlete_id", "block"]).where("local_date between plan_start and last")
     km = lambda x: F.round(x.cast("double") / 1000, 3)
     done = met.groupBy("plan_id", (F.floor(F.datediff("local_date", "plan_start") / 7) + 1).cast("int").alias("week")).agg(F.count("*").alias("runs"), km(F.sum("distance_m")).alias("actual_km"), km(F.max("distance_m")).alias("longest_km"))
-    due = sessions.join(plans.select("plan_id", "as_of"), "plan_id").groupBy("plan_id").agg(F.min("scheduled").alias("detailed_from"), F.coalesce(F.sum(F.when(F.col("scheduled") <= F.col("as_of"), F.col("target_km"))), F.lit(0.0)).alias("due_km"))
-    rows = weeks.join(asked, "plan_id").join(done, ["plan_id", "week"], "left").join(due, "plan_id", "left").na.fill(0, ["runs"]).na.fill(0.0, ["actual_km", "longest_km"])
+    due = sessions.join(plans.select("plan_id", "as_of").hint("merge"), "plan_id").groupBy("plan_id").agg(F.min("scheduled").alias("detailed_from"), F.coalesce(F.sum(F.when(F.col("scheduled") <= F.col("as_of"), F.col("target_km"))), F.lit(0.0)).alias("due_km"))
+    rows = weeks.join(asked.hint("merge"), "plan_id").join(done.hint("merge"), ["plan_id", "week"], "left").join(due.hint("merge"), "plan_id", "left").na.fill(0, ["runs"]).na.fill(0.0, ["actual_km", "longest_km"])
     as_of = F.col("as_of")
     status = F.when(as_of < F.col("start_date"), "upcoming").when(as_of > F.col("end_date"), "completed").otherwise("in_progress")
     sevenths = F.least(F.datediff(as_of, "start_date") + 1, F.lit(7)) / 7

@@ -20,3 +20,13 @@ def planned(df) -> str:
 def test_days_of_a_series_are_not_broadcast(spark):
     plan = planned(queries.daily_load_upsert(spark, SF))
     assert "BroadcastHashJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_plans_and_sessions_are_not_broadcast(spark):
+    """Only the few names of runs are."""
+    keys = re.findall(r"BroadcastHashJoin \[(\w+)#", planned(queries.plan_tracking(spark, SF)))
+    assert set(keys) <= {"name"}
+    few = spark.range(4).select(F.col("id").alias("plan_id"), F.lit(1).alias("n"))
+    weeks = few.select("plan_id", F.current_date().alias("as_of"), F.current_date().alias("plan_start"), F.current_date().alias("plan_end"), F.lit(1).alias("week"), F.lit("upcoming").alias("status"), F.lit(1.0).alias("planned_km"), F.lit(1.0).alias("actual_km"))
+    sessions = few.select("plan_id", F.current_date().alias("scheduled"), F.lit(0).alias("session"), F.lit("long").alias("kind"), F.lit("Long").alias("title"), F.lit(1.0).alias("target_km"), F.lit("due").alias("status"))
+    assert "Broadcast" not in planned(tracking.plan_tracking(weeks, sessions))
