@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .reconcile import START_S
+from .turns import in_turn
 
 #: What each recommendation says (fixed values); titles, distances and days are put in.
 ADVICE = {
@@ -54,25 +57,26 @@ def session_candidates(sessions: DataFrame, runs: DataFrame) -> DataFrame:
     return met.select("plan_id", "session", "activity_id", "start_utc", same.alias("same_day"), fits.alias("fits"), score.alias("score"), km.alias("actual_km"), F.col("day").alias("activity_date"))
 
 
-def _take(candidates: pd.DataFrame) -> pd.DataFrame:
-    """Same day first, then fitting runs of the days beside; sessions in plan order, a run once; best score, then earlier start, then id."""
-    matched, used = {}, set()
-    ordered = candidates.sort_values(["session", "score", "start_utc", "activity_id"], ascending=[True, False, True, True])
-    for adjacent in (False, True):
-        pool = ordered[ordered["fits"]] if adjacent else ordered[ordered["same_day"]]
-        for session, rows in pool.groupby("session", sort=True):
-            free = [a for a in rows["activity_id"] if a not in used]
-            if session not in matched and free:
-                matched[session] = free[0]
-                used.add(free[0])
-    plan = candidates["plan_id"].iloc[0]
-    return pd.DataFrame([(plan, s, a) for s, a in sorted(matched.items())], columns=["plan_id", "session", "activity_id"])
+def _take(candidates: Iterable[tuple]) -> Iterator[tuple]:
+    """Candidates in turn: each takes its session and its run if both are free."""
+    done, used = set(), set()
+    for plan, session, activity in candidates:
+        if session not in done and activity not in used:
+            done.add(session)
+            used.add(activity)
+            yield plan, session, activity
 
 
 def match_sessions(sessions: DataFrame, runs: DataFrame) -> DataFrame:
-    """(plan_id, session, activity_id): which run fulfils which session. A plan has a week of sessions, so a group is a few rows."""
-    found = session_candidates(sessions, runs)
-    return found.groupBy("plan_id").applyInPandas(_take, "plan_id long, session int, activity_id long")
+    """(plan_id, session, activity_id): which run fulfils which session.
+
+    Same day first, then fitting runs of the days beside; sessions in plan
+    order, a run once; best score, then earlier start, then id.
+    """
+    found = session_candidates(sessions, runs).withColumn("turn", F.when(F.col("same_day"), 0).when(F.col("fits"), 1)).where("turn is not null")
+    found = found.select(F.col("plan_id").cast("long").alias("plan_id"), F.col("session").cast("int").alias("session"), F.col("activity_id").cast("long").alias("activity_id"), "turn", "score", "start_utc")
+    order = ("turn", "session", F.desc("score"), F.asc_nulls_last("start_utc"), "activity_id")
+    return in_turn(found, ("plan_id",), order, ("session", "activity_id"), "plan_id long, session int, activity_id long", _take)
 
 
 def session_status(sessions: DataFrame, matches: DataFrame, runs: DataFrame) -> DataFrame:

@@ -30,3 +30,22 @@ def test_plans_and_sessions_are_not_broadcast(spark):
     weeks = few.select("plan_id", F.current_date().alias("as_of"), F.current_date().alias("plan_start"), F.current_date().alias("plan_end"), F.lit(1).alias("week"), F.lit("upcoming").alias("status"), F.lit(1.0).alias("planned_km"), F.lit(1.0).alias("actual_km"))
     sessions = few.select("plan_id", F.current_date().alias("scheduled"), F.lit(0).alias("session"), F.lit("long").alias("kind"), F.lit("Long").alias("title"), F.lit(1.0).alias("target_km"), F.lit("due").alias("status"))
     assert "Broadcast" not in planned(tracking.plan_tracking(weeks, sessions))
+
+
+def test_sessions_in_turn_against_a_plain_loop(spark, monkeypatch):
+    rnd, expected = random.Random(3), set()
+    rows = [(p, s, a, rnd.randrange(3), float(rnd.randrange(4)), rnd.choice([None, 1, 2]), rnd.choice([True, False, None])) for p in range(40) for s in range(4) for a in rnd.sample(range(p * 10, p * 10 + 8), 5)]
+    for plan in range(40):
+        own, taken = [r for r in rows if r[0] == plan], {}
+        for adjacent in (False, True):
+            for session in range(4):
+                pool = sorted((-r[4], r[5] is None, r[5] or 0, r[2]) for r in own if r[1] == session and (r[6] is True if adjacent else r[3] == 0))
+                free = [x[3] for x in pool if x[3] not in taken.values()]
+                if free and session not in taken:
+                    taken[session] = free[0]
+        expected |= {(plan, s, a) for s, a in taken.items()}
+    found = spark.createDataFrame(rows, "plan_id long, session int, activity_id long, off int, score double, at int, fits boolean").withColumns({"same_day": F.col("off") == 0, "start_utc": F.timestamp_seconds("at")})
+    monkeypatch.setattr(tracking, "session_candidates", lambda sessions, runs: found)
+    matched = tracking.match_sessions(None, None)
+    assert {tuple(r) for r in matched.collect()} == expected and len(expected) > 100
+    assert "FlatMapGroupsInPandas" not in planned(matched)
