@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,26 +200,28 @@ def compatible_activities(files: DataFrame, activities: DataFrame) -> DataFrame:
     return near.select("file_id", "provider", "activity_id")
 
 
-def _create(files: pd.DataFrame) -> pd.DataFrame:
-    """Files of near starts in the order of their ids: one that fits what an earlier one made is attached to it."""
-    made, out = [], []
-    for f in files.sort_values("file_id").itertuples():
+def _create(files: Iterable[tuple]) -> Iterator[tuple]:
+    """Files of near starts in turn: one that fits what an earlier one made is attached to it."""
+    made = defaultdict(list)
+    for _, _, file, start, elapsed, metres, n, only in files:
+        whole, at = elapsed is not None and metres is not None, None if start is None else start // (2 * START_S)
         near = [
-            m for m in made
-            if abs(f.start_s - m.start_s) <= START_S
-            and abs(f.elapsed_s - m.elapsed_s) <= max(FILE_S, m.elapsed_s * FILE_S_SHARE)
-            and abs(f.distance_m - m.distance_m) <= max(FILE_M, m.distance_m * FILE_M_SHARE)
+            m_file
+            for bucket in ((at - 1, at, at + 1) if whole and at is not None else ())
+            for m_file, m_start, m_elapsed, m_metres in made.get(bucket, ())
+            if abs(start - m_start) <= START_S
+            and abs(elapsed - m_elapsed) <= max(FILE_S, m_elapsed * FILE_S_SHARE)
+            and abs(metres - m_metres) <= max(FILE_M, m_metres * FILE_M_SHARE)
         ]
-        if f.n + len(near) > 1:
-            out.append((f.file_id, None, None, "ambiguous"))
-        elif f.n or near:
-            out.append((f.file_id, None if near else int(f.only), near[0].file_id if near else None, "matched"))
-        elif pd.isna(f.distance_m) or pd.isna(f.elapsed_s):
-            out.append((f.file_id, None, None, "unmatched"))
+        if n + len(near) > 1:
+            yield file, None, None, "ambiguous"
+        elif n or near:
+            yield file, None if near else only, near[0] if near else None, "matched"
+        elif not whole:
+            yield file, None, None, "unmatched"
         else:
-            made.append(f)
-            out.append((f.file_id, None, f.file_id, "created"))
-    return pd.DataFrame(out, columns=["file_id", "activity_id", "new_of", "action"])
+            made[at].append((file, start, elapsed, metres))
+            yield file, None, file, "created"
 
 
 def create_missing(files: DataFrame, resolved: DataFrame, activities: DataFrame) -> DataFrame:
@@ -243,7 +245,7 @@ def create_missing(files: DataFrame, resolved: DataFrame, activities: DataFrame)
     alone = placed.where("size = 1").withColumn("action", action)
     alone = alone.select("file_id", F.when(F.col("action") == "matched", F.col("only")).alias("activity_id"), F.when(F.col("action") == "created", F.col("file_id")).alias("new_of"), "action")
     kinds = "file_id long, activity_id long, new_of long, action string"
-    return alone.unionByName(placed.where("size > 1").groupBy("athlete_id", "cluster").applyInPandas(lambda pdf: _create(pdf), kinds))
+    return alone.unionByName(in_turn(placed.where("size > 1"), ("athlete_id", "cluster"), ("file_id",), ("file_id", "start_s", "elapsed_s", "distance_m", "n", "only"), kinds, _create))
 
 
 def created_rows(files: DataFrame, decided: DataFrame, new_id: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -49,3 +49,29 @@ def test_sessions_in_turn_against_a_plain_loop(spark, monkeypatch):
     matched = tracking.match_sessions(None, None)
     assert {tuple(r) for r in matched.collect()} == expected and len(expected) > 100
     assert "FlatMapGroupsInPandas" not in planned(matched)
+
+
+def test_files_in_turn_against_a_plain_loop(spark):
+    """Many small clusters and one of 400 files; a file is held against all that were made before."""
+    rnd = random.Random(4)
+    files = [(c * 4 + i, c, float(1000 * c + rnd.randrange(4)), rnd.choice([600.0, 605.0, 900.0, None]), rnd.choice([2000.0, 2010.0, 9000.0, None])) for c in range(1, 60) for i in range(4)]
+    files += [(1000 + i, 0, float(x), rnd.choice([600.0, 605.0, 900.0]), rnd.choice([2000.0, 9000.0])) for i, x in enumerate(rnd.sample(range(400), 400))]
+    kinds = "athlete_id long, start_s double, elapsed_s double, distance_m double"
+    acts = [(5000 + c, c, 1000.0 * c, 600.0, 2000.0) for c in range(1, 60, 3)]
+    fits = lambda f, m: None not in f[3:] and f[1] == m[1] and abs(f[2] - m[2]) <= 2 and abs(f[3] - m[3]) <= max(60, m[3] * 0.02) and abs(f[4] - m[4]) <= max(50, m[4] * 0.005)
+    made, expected = [], set()
+    for f in sorted(files):
+        stored, near = [a for a in acts if fits(f, a)], [m for m in made if fits(f, m)]
+        if len(stored) + len(near) > 1:
+            expected.add((f[0], None, None, "ambiguous"))
+        elif stored or near:
+            expected.add((f[0], stored[0][0] if stored else None, near[0][0] if near else None, "matched"))
+        elif None in f[3:]:
+            expected.add((f[0], None, None, "unmatched"))
+        else:
+            made.append(f)
+            expected.add((f[0], None, f[0], "created"))
+    given = spark.createDataFrame(files, "file_id long, " + kinds).withColumn("provider", F.lit("p"))
+    found = tracking.create_missing(given, given.select("file_id", F.lit("unmatched").alias("status")), spark.createDataFrame(acts, "activity_id long, " + kinds))
+    assert {tuple(r) for r in found.collect()} == expected and {x[3] for x in expected} == {"ambiguous", "matched", "unmatched", "created"}
+    assert "FlatMapGroupsInPandas" not in planned(found)
