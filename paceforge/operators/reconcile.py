@@ -8,12 +8,15 @@ of starts that are at most the tolerance apart.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.scalars import is_running
+from .turns import in_turn
 
 START_S, DURATION_S, DISTANCE_M, DISTANCE_SHARE = 2.0, 30.0, 50.0, 0.005
 #: Fields that the first provider gives unless it has none; a frame may lack any of them.
@@ -49,14 +52,14 @@ def strong_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     return near.where((F.abs(F.col("a_start") - F.col("b_start")) <= START_S) & (F.abs(F.col("a_elapsed") - F.col("b_elapsed")) <= DURATION_S) & compatible_distance(F.col("a_dist"), F.col("b_dist"))).select("athlete_id", "a_id", "a_row", "a_start", "b_id")
 
 
-def _greedy(edges: pd.DataFrame) -> pd.DataFrame:
-    used, out = set(), []
-    for (_, a), rows in edges.sort_values(["a_row", "a_id"]).groupby(["a_row", "a_id"], sort=False):
-        free = [b for b in rows["b_id"] if b not in used]
+def _greedy(edges: Iterable[tuple]) -> Iterator[tuple]:
+    """Rows of the first provider in turn: each takes its partner if just one is free."""
+    used = set()
+    for a, rows in groupby(edges, key=lambda edge: edge[2]):
+        free = [b for *_, b in rows if b not in used]
         if len(free) == 1:
             used.add(free[0])
-        out.append((a, free[0] if len(free) == 1 else None, "merged" if len(free) == 1 else "ambiguous" if free else "alone"))
-    return pd.DataFrame(out, columns=["a_id", "b_id", "outcome"])
+        yield a, free[0] if len(free) == 1 else None, "merged" if len(free) == 1 else "ambiguous" if free else "alone"
 
 
 def assign(edges: DataFrame) -> DataFrame:
@@ -67,7 +70,7 @@ def assign(edges: DataFrame) -> DataFrame:
     order = Window.partitionBy("athlete_id").orderBy("a_start", "a_id")
     # two rows that share a partner start at most twice the tolerance apart
     cluster = rest.withColumn("gap", (F.col("a_start") - F.lag("a_start").over(order) > 2 * START_S).cast("int")).withColumn("cluster", F.sum(F.coalesce("gap", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return final.unionByName(cluster.select("athlete_id", "cluster", "a_id", "a_row", "b_id").groupBy("athlete_id", "cluster").applyInPandas(lambda pdf: _greedy(pdf), "a_id long, b_id long, outcome string"))
+    return final.unionByName(in_turn(cluster, ("athlete_id", "cluster"), (F.asc_nulls_last("a_row"), "a_id"), ("a_id", "b_id"), "a_id long, b_id long, outcome string", _greedy))
 
 
 def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:

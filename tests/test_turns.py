@@ -75,3 +75,18 @@ def test_files_in_turn_against_a_plain_loop(spark):
     found = tracking.create_missing(given, given.select("file_id", F.lit("unmatched").alias("status")), spark.createDataFrame(acts, "activity_id long, " + kinds))
     assert {tuple(r) for r in found.collect()} == expected and {x[3] for x in expected} == {"ambiguous", "matched", "unmatched", "created"}
     assert "FlatMapGroupsInPandas" not in planned(found)
+
+
+def test_matches_in_turn_against_a_plain_loop(spark):
+    """Clusters of a few rows, and one chain of 300."""
+    rnd = random.Random(5)
+    edges = [(c, c * 10 + i, c * 10 + 9 - i, 100.0 * c + i, c * 10 + j) for c in range(1, 80) for i in range(4) for j in rnd.sample(range(5), rnd.randrange(1, 4))]
+    edges += [(0, 5000 + i, 5000 + i, float(i), 7000 + i + j) for i in range(300) for j in (0, 1)]
+    used, expected = set(), set()
+    for row, a in sorted({(e[2], e[1]) for e in edges}):
+        free = [e[4] for e in edges if e[1] == a and e[4] not in used]
+        used |= {*free} if len(free) == 1 else set()
+        expected.add((a, free[0] if len(free) == 1 else None, ["alone", "merged", "ambiguous"][min(len(free), 2)]))
+    found = reconcile.assign(spark.createDataFrame(edges, "athlete_id long, a_id long, a_row long, a_start double, b_id long"))
+    assert {tuple(r) for r in found.collect()} == expected and {x[2] for x in expected} == {"alone", "merged", "ambiguous"}
+    assert "FlatMapGroupsInPandas" not in planned(found)
