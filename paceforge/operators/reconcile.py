@@ -73,19 +73,20 @@ def assign(edges: DataFrame) -> DataFrame:
     return final.unionByName(in_turn(cluster, ("athlete_id", "cluster"), (F.asc_nulls_last("a_row"), "a_id"), ("a_id", "b_id"), "a_id long, b_id long, outcome string", _greedy))
 
 
-def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
+def reconcile(a: DataFrame, b: DataFrame, outcomes: bool = False) -> DataFrame:
     """Canonical activities: (a_id, b_id, method, athlete_id, kind, start_s, elapsed_s, *merged fields, provenance).
 
     Core fields are those of ``a`` where it takes part; each merged field that
     either frame has is that of ``a`` unless it is null or empty (a text or an
     array). ``provenance`` lists the provider of each field that has a value;
     pairs also name that of the provider's own type. Rows that are no runs are
-    left out.
+    left out. With ``outcomes`` there is a last column ``outcome``, what
+    ``assign`` made of a row of ``a``: null without any match.
     """
     decided = assign(strong_matches(a, b))
     fields = [f for f in MERGED if f in a.columns or f in b.columns]
     runs_a, b_all = a.where(is_running(F.col("kind"))), b
-    left = runs_a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]).join(decided.where("outcome = 'merged'").select("a_id", F.col("b_id").alias("m_b")), "a_id", "left")
+    left = runs_a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]).join(decided.select("a_id", F.col("b_id").alias("m_b"), "outcome"), "a_id", "left")
     right = b_all.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     both = left.join(right, F.col("m_b") == F.col("b_id"), "full").where(F.col("a_id").isNotNull() | is_running(F.col("b_kind")))
 
@@ -104,7 +105,7 @@ def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
     sources = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), p.alias("provider")) for f, p in named]), lambda s: s["provider"].isNotNull())
     method = F.when(paired, "cross_source_strong").otherwise("single_source")
     core = [F.when(F.col("a_id").isNotNull(), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c) for c in ("athlete_id", *CORE)]
-    return both.select("a_id", "b_id", method.alias("method"), *core, *[F.coalesce(x, y).alias(f) for f, (x, y) in values.items()], sources.alias("provenance"))
+    return both.select("a_id", "b_id", method.alias("method"), *core, *[F.coalesce(x, y).alias(f) for f, (x, y) in values.items()], sources.alias("provenance"), *["outcome"] * outcomes)
 
 
 def canonical_order(reconciled: DataFrame) -> DataFrame:

@@ -90,3 +90,8 @@ def test_matches_in_turn_against_a_plain_loop(spark):
     found = reconcile.assign(spark.createDataFrame(edges, "athlete_id long, a_id long, a_row long, a_start double, b_id long"))
     assert {tuple(r) for r in found.collect()} == expected and {x[2] for x in expected} == {"alone", "merged", "ambiguous"}
     assert "FlatMapGroupsInPandas" not in planned(found)
+
+
+def test_crowded_rows_are_decided_once(spark):
+    plan = planned(queries.reconciled_crowded(spark, SF))
+    assert len(re.findall("MapInArrow|FlatMapGroupsInPandas", plan)) == 1
