@@ -95,3 +95,13 @@ def test_matches_in_turn_against_a_plain_loop(spark):
 def test_crowded_rows_are_decided_once(spark):
     plan = planned(queries.reconciled_crowded(spark, SF))
     assert len(re.findall("MapInArrow|FlatMapGroupsInPandas", plan)) == 1
+
+
+def test_sources_link_files_that_were_decided_in_turn(spark):
+    plan = planned(queries.created_sources(spark, SF))
+    assert "FlatMapGroupsInPandas" not in plan
+    files = spark.createDataFrame([(1, 1, 100.0, 600.0, 2000.0), (2, 1, 101.0, 610.0, 2010.0), (3, 1, 102.0, 600.0, float("nan"))], "file_id long, athlete_id long, start_s double, elapsed_s double, distance_m double").withColumns({"provider": F.lit("p"), "external_id": F.lit(None).cast("string")})
+    none = files.select(F.lit(0).cast("long").alias("activity_id"), "athlete_id", "start_s", "elapsed_s", "distance_m").limit(0)
+    decided = tracking.create_missing(files, files.select("file_id", F.lit("unmatched").alias("status")), none)
+    # no number is not no value: SQL makes an activity of it, in a cluster as alone
+    assert {(r.file_id, r.activity_id) for r in tracking.created_rows(files, decided, new_id=F.col("new_of") + 10)[1].collect()} == {(1, 11), (2, 11), (3, 13)}
