@@ -105,3 +105,8 @@ def test_sources_link_files_that_were_decided_in_turn(spark):
     decided = tracking.create_missing(files, files.select("file_id", F.lit("unmatched").alias("status")), none)
     # no number is not no value: SQL makes an activity of it, in a cluster as alone
     assert {(r.file_id, r.activity_id) for r in tracking.created_rows(files, decided, new_id=F.col("new_of") + 10)[1].collect()} == {(1, 11), (2, 11), (3, 13)}
+
+
+def test_created_files_need_no_call_for_each_cluster(spark):
+    decided = queries.created_from_files(spark, SF)
+    assert "FlatMapGroupsInPandas" not in planned(decided) and decided.columns == ["file_id", "activity_id", "new_of", "action"]
